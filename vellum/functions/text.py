@@ -178,13 +178,11 @@ def preprocess_text(text: Column | str) -> Column:
 def task_prefix(text: Column | str, task: str = "document") -> Column:
     """Prefix the encoder input unless it already carries one of the task prefixes.
     ``task='document'`` matches the source behaviour for corpus text; ``'query'`` is for queries."""
-    t = _col(text)
     prefix = {"document": DOCUMENT_PREFIX, "query": QUERY_PREFIX}[task]
-    has = None
-    for p in TASK_PREFIXES:
-        cond = t.startswith(p)
-        has = cond if has is None else (has | cond)
-    return F.when(has, t).otherwise(F.concat(F.lit(prefix), t))
+    pattern = "^(" + "|".join(p.rstrip(":") for p in TASK_PREFIXES) + "):"
+    # Bind the input once: it is usually a regex pipeline that must not run once per reference.
+    return F.element_at(F.transform(F.array(_col(text)), lambda t: F.when(t.rlike(pattern), t).otherwise(
+        F.concat(F.lit(prefix), t))), 1)
 
 
 # --- T10 / T11: previews and base names ----------------------------------------------------------

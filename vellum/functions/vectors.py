@@ -60,10 +60,14 @@ def distance(a: Column | str, b: Column | str, metric: str = "cosine") -> Column
     raise ValueError(f"unknown metric {metric!r}; expected one of {METRICS}")
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and bind it for ``body`` (a lambda over the bound value). Without
+    this, an aggregate referenced inside a ``transform`` lambda is recomputed for every element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def l2_normalize(v: Column | str, eps: float = L2_EPS) -> Column:
-    d = as_double(v)
-    n = norm(d)
-    return F.transform(d, lambda x: x / F.greatest(n, F.lit(eps)))
+    return let(as_double(v), lambda d: let(norm(d), lambda n: F.transform(d, lambda x: x / F.greatest(n, F.lit(eps)))))
 
 
 def check_dim(dim: int, valid_dims: tuple[int, ...] = VALID_DIMS) -> None:
@@ -75,13 +79,14 @@ def postprocess(raw: Column | str, dim: int = 512, valid_dims: tuple[int, ...] =
     """Layer-norm over the full raw vector (population variance), keep the first ``dim`` values,
     then L2-normalise. Returns ARRAY<DOUBLE>."""
     check_dim(dim, valid_dims)
-    d = as_double(raw)
-    n = F.size(d)
-    mean = vsum(d) / n
-    var = F.aggregate(d, F.lit(0.0), lambda s, x: s + (x - mean) * (x - mean)) / n
-    scale = F.sqrt(var + F.lit(LAYER_NORM_EPS))
-    normed = F.slice(F.transform(d, lambda x: (x - mean) / scale), 1, dim)
-    return l2_normalize(normed)
+
+    def body(d: Column) -> Column:
+        return let(vsum(d) / F.size(d), lambda mean: let(
+            F.sqrt(F.aggregate(d, F.lit(0.0), lambda s, x: s + (x - mean) * (x - mean)) / F.size(d)
+                   + F.lit(LAYER_NORM_EPS)),
+            lambda scale: l2_normalize(F.slice(F.transform(d, lambda x: (x - mean) / scale), 1, dim))))
+
+    return let(as_double(raw), body)
 
 
 def is_valid_vector(v: Column | str, dim: int) -> Column:

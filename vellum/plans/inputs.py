@@ -67,3 +67,43 @@ def vector_collection(spark: SparkSession, sf_dir: str) -> DataFrame:
         "embedding",
         "label",
     )
+
+
+def meta_collection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vector collection with VARIANT metadata of four scalar types and a JSON-text list:
+    category (str), priority (int), score (float), flag (bool), tags (JSON list as text)."""
+    e = table(spark, sf_dir, "embeddings")
+    lab = F.col("label")
+    tag_list = F.transform(F.sequence(F.lit(0), lab % 3), lambda i: F.concat(F.lit("tag_"), i.cast("string")))
+    meta = F.to_variant_object(F.struct(
+        F.concat(F.lit("category_"), (lab % 3).cast("string")).alias("category"),
+        (lab % 5).cast("bigint").alias("priority"),
+        F.round(F.element_at("embedding", 1).cast("double"), 4).alias("score"),
+        (F.element_at("embedding", 2) > 0).alias("flag"),
+        F.to_json(tag_list).alias("tags"),
+    ))
+    return e.select(
+        F.concat(F.lit("vec_"), F.col("vec_id").cast("string")).alias("id"),
+        F.concat(F.lit("vector "), F.col("vec_id").cast("string"), F.lit(" label "), lab.cast("string")).alias("text"),
+        "embedding", "label", meta.alias("metadata"),
+    )
+
+
+def bad_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """embeddings with label 3 cut to 3 values, label 7 missing, label 5 with a NaN first value."""
+    e = table(spark, sf_dir, "embeddings")
+    emb = (F.when(F.col("label") == 3, F.slice("embedding", 1, 3))
+           .when(F.col("label") == 7, F.lit(None).cast("array<float>"))
+           .when(F.col("label") == 5, F.concat(F.array(F.lit(float("nan")).cast("float")),
+                                                F.slice("embedding", 2, 1 << 20)))
+           .otherwise(F.col("embedding")))
+    return e.select("vec_id", "label", emb.alias("embedding"))
+
+
+def markdown_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """markdown_docs in the shape the import job reads: ``(source_file, text)``."""
+    return markdown_docs(spark, sf_dir).select("source_file", F.col("content").alias("text"))
+
+
+def benchmark_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")

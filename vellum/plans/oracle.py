@@ -38,6 +38,60 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, id, {r4('distance')} AS distance
 """
 
 
+def _knn_sql(queries: str, corpus: str, metric: str, k: int, cols: str = "query_id, CAST(rank AS INTEGER) AS rank, id, " + "CAST(round(distance, 4) + 0.0 AS DOUBLE) AS distance") -> str:
+    """Brute force: every query against every corpus row, ranked by (distance at 1e-9, id)."""
+    return f"""
+WITH q AS ({queries}), c AS ({corpus}),
+d AS (SELECT q.*, c.*, {_dist(metric, 'CAST(q.qv AS DOUBLE[])', 'CAST(c.embedding AS DOUBLE[])')} AS distance FROM q, c),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 9), id) AS rank FROM d)
+SELECT {cols} FROM r WHERE rank <= {k}
+"""
+
+
+BENCH_Q = f"SELECT item_id AS query_id, {S.hash_vector(S.task_prefix('text', 'search_query: '), 256)} AS qv FROM benchmark"
+VEC_Q = "SELECT vec_id AS query_id, embedding AS qv FROM embeddings"
+
+
+def _count_cases_sql(table: str, preds: dict) -> str:
+    return " UNION ALL ".join(
+        f"SELECT '{n}' AS case_name, CAST(sum(CASE WHEN {p} THEN 1 ELSE 0 END) AS BIGINT) AS n_rows FROM ({table})"
+        for n, p in preds.items())
+
+
+def _where_cases() -> dict:
+    from vellum.functions.filters import where_sql
+    from vellum.plans.queries import WHERE_CASES
+
+    out = {}
+    for n, w in WHERE_CASES.items():
+        out[n] = "FALSE" if n == "absent_key" else where_sql(w)
+    return out
+
+
+def _where_document_cases() -> dict:
+    from vellum.functions.filters import where_document_sql
+    from vellum.plans.queries import WHERE_DOCUMENT_CASES
+
+    return {n: where_document_sql(w) for n, w in WHERE_DOCUMENT_CASES.items()}
+
+
+def _checksum(v: str) -> str:
+    return f"CAST(round(list_sum(list_transform(CAST({v} AS DOUBLE[]), lambda x, i: x * i)), 4) + 0.0 AS DOUBLE)"
+
+
+def _postprocess(v: str, dim: int) -> str:
+    m = f"list_avg(CAST({v} AS DOUBLE[]))"
+    return f"""(SELECT list_transform(s, lambda x: x / greatest(sqrt(list_sum(list_transform(s, lambda y: y * y))), 1e-12))
+  FROM (SELECT list_slice(list_transform(d, lambda x: (x - mu) / sqrt(var + 1e-5)), 1, {dim}) AS s
+        FROM (SELECT d, mu, list_avg(list_transform(d, lambda x: (x - mu) * (x - mu))) AS var
+              FROM (SELECT CAST({v} AS DOUBLE[]) AS d, {m} AS mu))))"""
+
+
+CHUNKS = S.chunk_collection(256)
+CHUNKS_NOVEC = S.chunk_collection(256, with_vectors=False)
+FAIL_PRIMARY = "left(md5(enc_input), 1) IN ('0', '1')"
+
+
 SQL = {
     "chunk_documents": f"SELECT doc_id, chunk_index, total_chunks, chunk AS text FROM ({_chunks(500, 50)})",
     "chunk_counts": " UNION ALL ".join(
@@ -58,4 +112,35 @@ SQL = {
     "knn_l2": _knn(S.VECTOR_COLLECTION, "id", "l2", 5),
     "knn_ip": _knn(S.VECTOR_COLLECTION, "id", "ip", 5),
     "knn_batch": _knn("SELECT * FROM embeddings", "vec_id", "cosine", 10),
+    "query_by_text": _knn_sql(BENCH_Q, CHUNKS, "cosine", 5),
+    "search_result_view": _knn_sql(
+        BENCH_Q, CHUNKS, "cosine", 5,
+        "query_id, CAST(rank AS INTEGER) AS rank, id, CAST(round(1.0 - distance, 4) + 0.0 AS DOUBLE) AS similarity, "
+        "doc_title AS title, " + S.basename("source_file") + " AS source, array_to_string(tags, ', ') AS tags, "
+        + S.excerpt("text", 300) + " AS excerpt"),
+    "knn_include": _knn_sql(VEC_Q, S.VECTOR_COLLECTION, "cosine", 5,
+                            "query_id, CAST(rank AS INTEGER) AS rank, id, text, label"),
+    "knn_filtered": _knn_sql(
+        VEC_Q, f"SELECT * FROM ({S.VECTOR_COLLECTION}) WHERE label >= 2 AND label <= 6 AND NOT contains(text, 'label 4')",
+        "cosine", 5),
+    "where_operators": _count_cases_sql(S.META_COLLECTION, _where_cases()),
+    "where_document": _count_cases_sql("SELECT * FROM documents", _where_document_cases()),
+    "embed_hash": f"""SELECT doc_id, CAST(b - 1 AS INTEGER) AS bucket, CAST(round(CAST(v[b] AS DOUBLE), 6) + 0.0 AS DOUBLE) AS weight
+        FROM (SELECT doc_id, v, unnest(range(1, len(v) + 1)) AS b FROM (
+              SELECT doc_id, {S.hash_vector(S.task_prefix(S.preprocess('text')), 256)} AS v FROM documents))
+        WHERE v[b] > 0""",
+    "embedding_postprocess": f"""SELECT vec_id, CAST(b - 1 AS INTEGER) AS pos, CAST(round(v[b], 6) + 0.0 AS DOUBLE) AS value
+        FROM (SELECT vec_id, v, unnest(range(1, len(v) + 1)) AS b FROM (
+              SELECT vec_id, {_postprocess('embedding', 64)} AS v FROM embeddings))""",
+    "validate_dimension": """SELECT vec_id, (label NOT IN (3, 5, 7)) AS is_valid,
+        CASE WHEN label = 7 THEN 'missing_embedding' WHEN label = 3 THEN 'dimension_mismatch:3'
+             WHEN label = 5 THEN 'nan_in_embedding' ELSE 'ok' END AS reason FROM embeddings""",
+    "embed_chunks": f"""SELECT id, 'ok' AS embed_status, CAST(len(embedding) AS INTEGER) AS dims,
+        {_checksum('embedding')} AS checksum FROM ({CHUNKS})""",
+    "embed_with_fallback": f"""SELECT id, CASE WHEN {FAIL_PRIMARY} THEN 'fallback' ELSE 'primary' END AS embed_model,
+        {_checksum('embedding')} AS checksum FROM ({CHUNKS})""",
+    "cache_lookup": f"""SELECT id, md5('hash-256:' || enc_input) AS cache_key,
+        enc_input IN (SELECT enc_input FROM ({CHUNKS_NOVEC}) WHERE lang IN ('en', 'fr')) AS hit FROM ({CHUNKS_NOVEC})""",
+    "cache_populate": f"""SELECT DISTINCT md5('hash-256:' || enc_input) AS cache_key, 'hash-256' AS model, md5(enc_input) AS text_hash,
+        CAST(len(embedding) AS INTEGER) AS dims, {_checksum('embedding')} AS checksum FROM ({CHUNKS})""",
 }

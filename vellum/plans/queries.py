@@ -109,6 +109,213 @@ def q_knn_batch(spark: SparkSession, sf: str) -> DataFrame:
     return _knn_view(res)
 
 
+# --- hash-encoded text search over the markdown chunk collection ----------------------------------
+
+HASH_DIM = 256
+
+
+def chunk_collection(spark: SparkSession, sf: str) -> DataFrame:
+    from vellum.operators.embed import HashEncoder
+    from vellum.plans.ingest import ingest_documents
+
+    rows, _ = ingest_documents(inputs.markdown_corpus(spark, sf), HashEncoder(HASH_DIM))
+    return rows
+
+
+def _text_search(spark: SparkSession, sf: str, k: int = 5, include=("distances",)) -> DataFrame:
+    from vellum.operators.embed import HashEncoder
+    from vellum.plans import search
+
+    coll = chunk_collection(spark, sf)
+    qv = search.embed_queries(inputs.benchmark_queries(spark, sf), HashEncoder(HASH_DIM))
+    return search.query_similar(coll, qv, k, "cosine", dim=HASH_DIM, include=include)
+
+
+def q_query_by_text(spark: SparkSession, sf: str) -> DataFrame:
+    return _knn_view(_text_search(spark, sf))
+
+
+def q_search_result_view(spark: SparkSession, sf: str) -> DataFrame:
+    from vellum.plans import search
+
+    res = search.result_view(_text_search(spark, sf, include=search.INCLUDE_ALL))
+    return res.select("query_id", "rank", "id", r4(F.col("similarity")).alias("similarity"), "title", "source",
+                      "tags", "excerpt")
+
+
+def q_knn_include(spark: SparkSession, sf: str) -> DataFrame:
+    from vellum.plans import search
+
+    coll = inputs.vector_collection(spark, sf)
+    res = search.query_similar(coll, _all_vector_queries(spark, sf), 5, "cosine", dim=EMB_DIM,
+                               include=("documents", "metadatas"))
+    return res.select("query_id", "rank", "id", "text", "label")
+
+
+KNN_WHERE = {"$and": [{"label": {"$gte": 2}}, {"label": {"$lte": 6}}]}
+KNN_WHERE_DOCUMENT = {"$not_contains": "label 4"}
+
+
+def q_knn_filtered(spark: SparkSession, sf: str) -> DataFrame:
+    from vellum.plans import search
+
+    coll = inputs.vector_collection(spark, sf)
+    res = search.query_similar(coll, _all_vector_queries(spark, sf), 5, "cosine", dim=EMB_DIM, where=KNN_WHERE,
+                               where_document=KNN_WHERE_DOCUMENT, include=("distances",))
+    return _knn_view(res)
+
+
+WHERE_CASES = {
+    "eq_str": {"category": "category_1"},
+    "eq_int": {"priority": 2},
+    "ne": {"category": {"$ne": "category_0"}},
+    "gt": {"score": {"$gt": 0.1}},
+    "gte": {"priority": {"$gte": 3}},
+    "lt": {"score": {"$lt": -0.1}},
+    "lte": {"priority": {"$lte": 1}},
+    "in": {"category": {"$in": ["category_0", "category_2"]}},
+    "nin": {"priority": {"$nin": [0, 4]}},
+    "and": {"$and": [{"category": "category_1"}, {"flag": True}]},
+    "or": {"$or": [{"priority": 0}, {"score": {"$gt": 0.2}}]},
+    "promoted": {"label": {"$in": [1, 2, 3]}},
+    "absent_key": {"no_such_key": 1},
+    "empty": {},
+}
+
+
+def _count_cases(df: DataFrame, preds: dict) -> DataFrame:
+    """One scan: a conditional count per case, then unpivoted to ``(case_name, n_rows)``."""
+    agg = df.agg(*[F.sum((F.lit(True) if p is None else p).cast("bigint")).alias(n) for n, p in preds.items()])
+    return agg.unpivot([], list(preds), "case_name", "n_rows")
+
+
+def q_where_operators(spark: SparkSession, sf: str) -> DataFrame:
+    from vellum.functions.filters import compile_where
+
+    coll = inputs.meta_collection(spark, sf)
+    return _count_cases(coll, {n: compile_where(w, coll.columns) for n, w in WHERE_CASES.items()})
+
+
+WHERE_DOCUMENT_CASES = {
+    "contains": {"$contains": "the"},
+    "not_contains": {"$not_contains": "le"},
+    "and": {"$and": [{"$contains": "eau"}, {"$not_contains": "the"}]},
+    "or": {"$or": [{"$contains": "und"}, {"$contains": "que"}]},
+}
+
+
+def q_where_document(spark: SparkSession, sf: str) -> DataFrame:
+    from vellum.functions.filters import compile_where_document
+
+    d = inputs.table(spark, sf, "documents")
+    return _count_cases(d, {n: compile_where_document(w) for n, w in WHERE_DOCUMENT_CASES.items()})
+
+
+# --- embedding (J3) -------------------------------------------------------------------------------
+
+
+def q_embed_hash(spark: SparkSession, sf: str) -> DataFrame:
+    from vellum.operators.embed import HashEncoder
+    from vellum.plans.ingest import encoder_input
+
+    d = inputs.table(spark, sf, "documents")
+    v = d.select("doc_id", HashEncoder(HASH_DIM).vector(encoder_input("text")).alias("v"))
+    e = v.select("doc_id", F.posexplode("v").alias("bucket", "w")).where(F.col("w") > 0)
+    return e.select("doc_id", F.col("bucket").cast("int").alias("bucket"),
+                    (F.round(F.col("w").cast("double"), 6) + F.lit(0.0)).alias("weight"))
+
+
+def q_embedding_postprocess(spark: SparkSession, sf: str) -> DataFrame:
+    from vellum.functions.vectors import postprocess
+
+    e = inputs.table(spark, sf, "embeddings")
+    p = e.select("vec_id", postprocess("embedding", 64).alias("v"))
+    return p.select("vec_id", F.posexplode("v").alias("pos", "x")).select(
+        "vec_id", F.col("pos").cast("int").alias("pos"), (F.round("x", 6) + F.lit(0.0)).alias("value"))
+
+
+def q_validate_dimension(spark: SparkSession, sf: str) -> DataFrame:
+    from vellum.functions.vectors import invalid_reason, is_valid_vector
+
+    b = inputs.bad_vectors(spark, sf)
+    return b.select("vec_id", is_valid_vector("embedding", EMB_DIM).alias("is_valid"),
+                    F.coalesce(invalid_reason("embedding", EMB_DIM), F.lit("ok")).alias("reason"))
+
+
+def _checksum(v) -> F.Column:
+    """sum(x_i * i) over 1-based positions, rounded to 4 decimals."""
+    c = F.col(v) if isinstance(v, str) else v
+    s = F.aggregate(F.transform(c, lambda x, i: x.cast("double") * (i + 1)), F.lit(0.0), lambda a, x: a + x)
+    return r4(s)
+
+
+def _hash_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    from vellum.plans.ingest import chunk_corpus, encoder_input
+
+    return chunk_corpus(inputs.markdown_corpus(spark, sf)).withColumn("_input", encoder_input("text"))
+
+
+def q_embed_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    from vellum.operators.embed import embed, python_hash_encoder
+
+    ch = _hash_chunks(spark, sf)
+    out = embed(ch, python_hash_encoder(HASH_DIM), "_input")
+    return out.select("id", "embed_status", F.size("embedding").cast("int").alias("dims"),
+                      _checksum("embedding").alias("checksum"))
+
+
+def fails_primary(text: str) -> bool:
+    import hashlib
+
+    return hashlib.md5(text.encode("utf-8")).hexdigest()[0] in "01"
+
+
+def q_embed_with_fallback(spark: SparkSession, sf: str) -> DataFrame:
+    from vellum.operators.embed import HashEncoder, embed_with_fallback, failing_encoder, python_hash_encoder
+
+    ch = _hash_chunks(spark, sf)
+    primary = failing_encoder(python_hash_encoder(HASH_DIM), fails_primary, name="primary")
+    ok, rejects = embed_with_fallback(ch, primary, HashEncoder(HASH_DIM, name="fallback"), "_input")
+    return ok.select("id", "embed_model", _checksum("embedding").alias("checksum"))
+
+
+CACHE_MODEL = f"hash-{HASH_DIM}"
+
+
+def _seed_cache(spark: SparkSession, sf: str) -> DataFrame:
+    """Cache entries for the chunk texts of English and French documents."""
+    from vellum.operators.embed import HashEncoder, cache_key
+
+    ch = _hash_chunks(spark, sf).join(
+        inputs.markdown_docs(spark, sf).select("source_file", "lang"), "source_file").where(
+        F.col("lang").isin("en", "fr"))
+    ent = ch.select(F.col("_input").alias("t")).distinct()
+    return ent.select(cache_key(CACHE_MODEL, F.col("t")).alias("cache_key"), F.lit(CACHE_MODEL).alias("model"),
+                      F.md5("t").alias("text_hash"), HashEncoder(HASH_DIM).vector(F.col("t")).alias("embedding"),
+                      F.current_timestamp().alias("ts"))
+
+
+def q_cache_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    from vellum.operators.embed import cache_lookup
+
+    ch = _hash_chunks(spark, sf)
+    res = cache_lookup(ch, _seed_cache(spark, sf), CACHE_MODEL, "_input")
+    return res.select("id", "cache_key", F.col("cached").isNotNull().alias("hit"))
+
+
+def q_cache_populate(spark: SparkSession, sf: str) -> DataFrame:
+    from vellum.operators.embed import HashEncoder, cached_embed
+    from vellum.sources.cache import EmbeddingCache
+    from vellum.session import shared_path
+
+    cache = EmbeddingCache(spark, shared_path(spark, "cache", unique=True))
+    cache.append(_seed_cache(spark, sf))
+    out, new_entries = cached_embed(_hash_chunks(spark, sf), HashEncoder(HASH_DIM), cache.read(), "_input")
+    cache.append(new_entries)
+    return cache.read().select("cache_key", "model", "text_hash", F.size("embedding").cast("int").alias("dims"),
+                               _checksum("embedding").alias("checksum"))
+
+
 QUERIES = {
     "chunk_documents": q_chunk_documents,
     "chunk_counts": q_chunk_counts,
@@ -121,4 +328,17 @@ QUERIES = {
     "knn_l2": _knn_metric("l2"),
     "knn_ip": _knn_metric("ip"),
     "knn_batch": q_knn_batch,
+    "query_by_text": q_query_by_text,
+    "search_result_view": q_search_result_view,
+    "knn_include": q_knn_include,
+    "knn_filtered": q_knn_filtered,
+    "where_operators": q_where_operators,
+    "where_document": q_where_document,
+    "embed_hash": q_embed_hash,
+    "embedding_postprocess": q_embedding_postprocess,
+    "validate_dimension": q_validate_dimension,
+    "embed_chunks": q_embed_chunks,
+    "embed_with_fallback": q_embed_with_fallback,
+    "cache_lookup": q_cache_lookup,
+    "cache_populate": q_cache_populate,
 }

@@ -105,3 +105,38 @@ SELECT 'vec_' || CAST(vec_id AS VARCHAR) AS id, 'vector ' || CAST(vec_id AS VARC
   embedding, label
 FROM embeddings
 """
+
+
+def hash_vector(x: str, dim: int) -> str:
+    """Dense L2-normalised FLOAT[] of the hash encoder (same float32 values as the Arrow step)."""
+    bk = hash_buckets(x, dim)
+    cnt = f"list_transform(range(0, {dim}), lambda b: len(list_filter({bk}, lambda z: z = b)))"
+    return (f"(SELECT list_transform(c, lambda v: CAST(CASE WHEN n > 0 THEN v / n ELSE 0 END AS FLOAT)) "
+            f"FROM (SELECT c, sqrt(list_sum(list_transform(c, lambda v: v * v))) AS n FROM (SELECT {cnt} AS c)))")
+
+
+def chunk_collection(dim: int = 256, size: int = 500, overlap: int = 50, with_vectors: bool = True) -> str:
+    """The markdown chunk collection: id, text, source_file, doc_title, chunk_index, total_chunks, tags,
+    enc_input and (optionally) embedding."""
+    step = size - overlap
+    vec = f", {hash_vector('enc_input', dim)} AS embedding" if with_vectors else ""
+    return f"""
+SELECT *{vec} FROM (
+  SELECT md5(source_file || ':' || CAST(chunk_index AS VARCHAR) || ':' || chunk) AS id, chunk AS text, source_file,
+         doc_title, chunk_index, total_chunks, {tags('chunk')} AS tags, lang,
+         {task_prefix(preprocess('chunk'))} AS enc_input
+  FROM (
+    SELECT source_file, doc_title, lang, CAST(i AS INTEGER) AS chunk_index, CAST(n AS INTEGER) AS total_chunks,
+           substr(content, CAST(i * {step} + 1 AS BIGINT), {size}) AS chunk
+    FROM (SELECT source_file, content, lang, {title('content')} AS doc_title, n, unnest(range(0, n)) AS i
+          FROM (SELECT *, {n_chunks('content', size, overlap)} AS n FROM ({MARKDOWN_DOCS})))))
+"""
+
+
+META_COLLECTION = """
+SELECT 'vec_' || CAST(vec_id AS VARCHAR) AS id, 'vector ' || CAST(vec_id AS VARCHAR) || ' label ' || CAST(label AS VARCHAR) AS text,
+  embedding, label, 'category_' || CAST(label % 3 AS VARCHAR) AS category, CAST(label % 5 AS BIGINT) AS priority,
+  round(CAST(embedding[1] AS DOUBLE), 4) AS score, embedding[2] > 0 AS flag,
+  '[' || array_to_string(list_transform(range(0, label % 3 + 1), lambda i: '"tag_' || CAST(i AS VARCHAR) || '"'), ',') || ']' AS tags
+FROM embeddings
+"""

@@ -36,7 +36,7 @@ def get_session(master: str | None = None, app: str = "vellum", **conf: str) ->
     for key, value in {**DEFAULT_CONF, **conf}.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
-    spark.sparkContext.setLogLevel("ERROR")
+    spark.sparkContext.setLogLevel("OFF")
     ensure_checkpoint_dir(spark)
     return spark
 
