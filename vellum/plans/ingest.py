@@ -85,3 +85,20 @@ def ingest_documents(docs: DataFrame, encoder: em.Encoder, size: int = tx.DEFAUL
                      overlap: int = tx.DEFAULT_CHUNK_OVERLAP, tags_scope: str = "chunk",
                      fallback: em.Encoder | None = None, rebalance: int | None = None) -> tuple[DataFrame, DataFrame]:
     return embed_chunks(chunk_corpus(docs, size, overlap, tags_scope), encoder, fallback, rebalance)
+
+
+def import_summary(docs: DataFrame, encoder: em.Encoder | None = None, size: int = tx.DEFAULT_CHUNK_SIZE,
+                   overlap: int = tx.DEFAULT_CHUNK_OVERLAP) -> DataFrame:
+    """Per-stage counts of an import in one aggregation: documents, chunks, embedded, rejected
+    (blank or failed vectors), plus mean chunk length."""
+    encoder = encoder or em.HashEncoder(256)
+    chunks = chunk_corpus(docs, size, overlap)
+    v = chunks.select("source_file", "text", encoder.vector(encoder_input("text")).alias("embedding"))
+    good = v.embedding.isNotNull() & (F.size("embedding") > 0)
+    return v.agg(
+        F.countDistinct("source_file").alias("n_documents"),
+        F.count(F.lit(1)).alias("n_chunks"),
+        F.sum(good.cast("bigint")).alias("n_embedded"),
+        F.sum((~good).cast("bigint")).alias("n_rejected"),
+        F.round(F.avg(F.length("text")), 4).alias("avg_chunk_chars"),
+    )

@@ -316,6 +316,171 @@ def q_cache_populate(spark: SparkSession, sf: str) -> DataFrame:
                                _checksum("embedding").alias("checksum"))
 
 
+# --- collection upkeep (J4) -----------------------------------------------------------------------
+
+
+def _meta_cols() -> list:
+    m = F.col("metadata")
+    return [
+        F.try_variant_get(m, "$.category", "string").alias("category"),
+        F.try_variant_get(m, "$.priority", "bigint").alias("priority"),
+    ]
+
+
+def _store(spark: SparkSession, name: str, dim: int = EMB_DIM):
+    from vellum.session import shared_path
+    from vellum.sources.snapshot import CollectionStore
+
+    return CollectionStore(spark, shared_path(spark, "collections", unique=True), name, dim, "cosine")
+
+
+def q_collection_open(spark: SparkSession, sf: str) -> DataFrame:
+    from vellum.sources.snapshot import CollectionStore
+
+    store = _store(spark, "test_collection")
+    store.commit(inputs.meta_collection(spark, sf))
+    reopened = CollectionStore(spark, store.path.rsplit("/", 1)[0], "test_collection", create_if_missing=False)
+    return reopened.read().select("id", "label", F.lit(reopened.dimension).alias("dimension"),
+                                  F.lit(reopened.metric).alias("metric"))
+
+
+def q_add_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """Collection of labels < 5, then an add of every vector in which labels 3/5/7 are invalid."""
+    from vellum.operators.collection import add_documents
+
+    coll = inputs.meta_collection(spark, sf)
+    current = coll.where(F.col("label") < 5)
+    bad = inputs.bad_vectors(spark, sf).select(
+        F.concat(F.lit("vec_"), F.col("vec_id").cast("string")).alias("id"), F.col("embedding").alias("bad_emb"))
+    new = coll.join(bad, "id").withColumn("embedding", F.col("bad_emb")).drop("bad_emb")
+    res = add_documents(current, new, EMB_DIM)
+    return res.collection.select("id", "label", F.size("embedding").cast("int").alias("dims"))
+
+
+def q_get_by_ids(spark: SparkSession, sf: str) -> DataFrame:
+    from vellum.operators.collection import get_by_ids
+
+    coll = inputs.meta_collection(spark, sf)
+    e = inputs.table(spark, sf, "embeddings")
+    ids = e.select(F.when(F.col("label").isin(1, 2), F.concat(F.lit("vec_"), F.col("vec_id").cast("string")))
+                   .otherwise(F.concat(F.lit("missing_"), F.col("vec_id").cast("string"))).alias("id"))
+    return get_by_ids(coll, ids).select("id", "text", "label", *_meta_cols())
+
+
+def q_delete_by_ids(spark: SparkSession, sf: str) -> DataFrame:
+    from vellum.operators.collection import delete_by_ids
+
+    coll = inputs.meta_collection(spark, sf)
+    e = inputs.table(spark, sf, "embeddings")
+    ids = e.select(F.when(F.col("label") == 0, F.concat(F.lit("vec_"), F.col("vec_id").cast("string")))
+                   .otherwise(F.concat(F.lit("ghost_"), F.col("vec_id").cast("string"))).alias("id"))
+    once = delete_by_ids(coll, ids)
+    twice = delete_by_ids(once, ids)
+    return twice.select("id", "label")
+
+
+def q_update_merge(spark: SparkSession, sf: str) -> DataFrame:
+    """label 4: new text + metadata {category, new_field} merged; label 8: metadata {} replaces;
+    label 6: updates aimed at unknown ids (not applied)."""
+    from vellum.operators.collection import update_documents
+
+    coll = inputs.meta_collection(spark, sf)
+    lab = F.col("label")
+    upd = coll.where(lab.isin(4, 6, 8)).select(
+        F.when(lab == 6, F.concat(F.lit("ghost_"), F.col("id"))).otherwise(F.col("id")).alias("id"),
+        F.when(lab == 4, F.concat(F.lit("updated "), F.col("id"))).alias("text"),
+        F.when(lab == 8, F.parse_json(F.lit("{}")))
+        .otherwise(F.to_variant_object(F.struct(F.lit("updated").alias("category"),
+                                                (lab * 10).cast("bigint").alias("new_field")))).alias("metadata"),
+    )
+    out, status = update_documents(coll, upd, EMB_DIM)
+    m = F.col("metadata")
+    return out.select(
+        "id", "text", "label", *_meta_cols(), F.try_variant_get(m, "$.new_field", "bigint").alias("new_field"),
+        F.size(m.cast("map<string,variant>")).cast("int").alias("n_keys"))
+
+
+def q_collection_count(spark: SparkSession, sf: str) -> DataFrame:
+    from vellum.operators.collection import count_rows
+
+    return count_rows(inputs.meta_collection(spark, sf))
+
+
+def q_list_ids(spark: SparkSession, sf: str) -> DataFrame:
+    from vellum.operators.collection import list_ids
+
+    return list_ids(inputs.meta_collection(spark, sf))
+
+
+def q_peek(spark: SparkSession, sf: str) -> DataFrame:
+    from vellum.operators.collection import peek
+
+    return peek(inputs.meta_collection(spark, sf)).select("id", "text", *_meta_cols())
+
+
+def q_metadata_profile(spark: SparkSession, sf: str) -> DataFrame:
+    from vellum.operators.collection import metadata_profile
+
+    return metadata_profile(inputs.meta_collection(spark, sf))
+
+
+def q_metadata_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    """events as metadata: props (dict) and tags (list) are stored as JSON text, then decoded."""
+    from pyspark.sql import types as T
+
+    from vellum.functions import metadata as md
+
+    ev = inputs.table(spark, sf, "events")
+    st = F.struct(
+        "event_type", "value", F.from_json("props", "k bigint").alias("props"),
+        F.array("event_type", F.concat(F.lit("u"), F.col("user_id").cast("string"))).alias("tags"))
+    schema = T.StructType([
+        T.StructField("event_type", T.StringType()), T.StructField("value", T.DoubleType()),
+        T.StructField("props", T.StructType([T.StructField("k", T.LongType())])),
+        T.StructField("tags", T.ArrayType(T.StringType())),
+    ])
+    stored = ev.select("event_id", md.encode(st, schema).alias("metadata"))
+    back = stored.select("event_id", md.decode(F.col("metadata")).alias("m"),
+                         F.try_variant_get("metadata", "$.props", "string").alias("stored_props"))
+    return back.select(
+        "event_id", "stored_props",
+        F.try_variant_get("m", "$.props.k", "bigint").alias("props_k"),
+        F.try_variant_get("m", "$.tags[1]", "string").alias("tag_user"),
+        F.try_variant_get("m", "$.event_type", "string").alias("event_type"),
+        F.try_variant_get("m", "$.value", "double").alias("value"),
+    )
+
+
+def q_collection_stats(spark: SparkSession, sf: str) -> DataFrame:
+    from vellum.operators.collection import collection_stats
+
+    return collection_stats(inputs.meta_collection(spark, sf), "test_collection")
+
+
+def q_verify_population(spark: SparkSession, sf: str) -> DataFrame:
+    from vellum.operators.collection import verify_population
+
+    return verify_population(chunk_collection(spark, sf))
+
+
+def q_backup_restore(spark: SparkSession, sf: str) -> DataFrame:
+    from vellum.session import shared_path
+
+    store = _store(spark, "test_collection")
+    store.commit(inputs.meta_collection(spark, sf))
+    path = store.backup(shared_path(spark, "backups", unique=True))
+    target = _store(spark, "restored")
+    target.restore(path)
+    r = target.read()
+    return r.select("id", "text", "label", *_meta_cols(), _checksum("embedding").alias("checksum"))
+
+
+def q_import_summary(spark: SparkSession, sf: str) -> DataFrame:
+    from vellum.plans.ingest import import_summary
+
+    return import_summary(inputs.markdown_corpus(spark, sf))
+
+
 QUERIES = {
     "chunk_documents": q_chunk_documents,
     "chunk_counts": q_chunk_counts,
@@ -341,4 +506,18 @@ QUERIES = {
     "embed_with_fallback": q_embed_with_fallback,
     "cache_lookup": q_cache_lookup,
     "cache_populate": q_cache_populate,
+    "collection_open": q_collection_open,
+    "add_documents": q_add_documents,
+    "get_by_ids": q_get_by_ids,
+    "delete_by_ids": q_delete_by_ids,
+    "update_merge": q_update_merge,
+    "collection_count": q_collection_count,
+    "list_ids": q_list_ids,
+    "peek": q_peek,
+    "metadata_profile": q_metadata_profile,
+    "metadata_roundtrip": q_metadata_roundtrip,
+    "collection_stats": q_collection_stats,
+    "verify_population": q_verify_population,
+    "backup_restore": q_backup_restore,
+    "import_summary": q_import_summary,
 }
