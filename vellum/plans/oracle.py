@@ -120,6 +120,45 @@ FROM c
 """
 
 
+DRAFT = S.DRAFT_RESPONSES
+RET, NORET, CONT = "'\\[Retrieval\\]'", "'\\[No Retrieval\\]'", "'\\[Continue to Use Evidence\\]'"
+
+
+def _rule(resp: str, prior: str) -> str:
+    return (f"(CASE WHEN regexp_matches({resp}, {RET}) THEN TRUE WHEN regexp_matches({resp}, {CONT}) THEN NOT ({prior}) "
+            f"WHEN regexp_matches({resp}, {NORET}) THEN FALSE ELSE TRUE END)")
+
+
+PRIOR_TOKEN = (f"coalesce(max(CASE WHEN regexp_matches(response, {RET}) THEN 1 ELSE 0 END) OVER "
+               f"(PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) = 1, FALSE)")
+
+# The recursive rule evaluated turn by turn (independent of the closed form used by Spark).
+PRIOR_DECIDED = f"""
+WITH RECURSIVE d AS (SELECT conv_id, turn, response, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn FROM ({DRAFT})),
+r(conv_id, rn, turn, ev, dec) AS (
+  SELECT conv_id, rn, turn, FALSE, {_rule('response', 'FALSE')} FROM d WHERE rn = 1
+  UNION ALL
+  SELECT d.conv_id, d.rn, d.turn, r.ev OR r.dec, {_rule('d.response', 'r.ev OR r.dec')}
+  FROM r JOIN d ON d.conv_id = r.conv_id AND d.rn = r.rn + 1)
+SELECT conv_id, turn, ev AS has_prior_evidence FROM r
+"""
+
+TOP5 = _knn_sql(BENCH_Q, CHUNKS, "cosine", 5, "query_id, rank, id, text, distance")
+TOP10 = _knn_sql(BENCH_Q, CHUNKS, "cosine", 10, "query_id, rank, id, text, distance")
+NL2 = "chr(10) || chr(10)"
+CTX_PROMPT = (f"string_agg('Context ' || CAST(rank AS VARCHAR) || ':' || chr(10) || text, {NL2} ORDER BY rank)")
+
+PRIORITIZED = f"""
+SELECT * FROM (
+  SELECT *, sum(length(text)) OVER (PARTITION BY query_id ORDER BY round(distance, 9), id
+                                    ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS used_chars
+  FROM (SELECT *, row_number() OVER (PARTITION BY query_id, text ORDER BY round(distance, 9), id) AS dup FROM ({TOP10}))
+  WHERE dup = 1)
+WHERE used_chars <= 2000
+"""
+PRIORITIZED_RANKED = f"SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 9), id) AS priority FROM ({PRIORITIZED})"
+
+
 SQL = {
     "chunk_documents": f"SELECT doc_id, chunk_index, total_chunks, chunk AS text FROM ({_chunks(500, 50)})",
     "chunk_counts": " UNION ALL ".join(
@@ -191,6 +230,35 @@ SQL = {
     "backup_restore": f"SELECT id, text, label, category, priority, {_checksum('embedding')} AS checksum FROM ({META})",
     "import_summary": f"""SELECT count(DISTINCT source_file) AS n_documents, count(*) AS n_chunks, CAST(count(*) AS BIGINT) AS n_embedded,
         CAST(0 AS BIGINT) AS n_rejected, round(avg(length(text)), 4) AS avg_chunk_chars FROM ({CHUNKS_NOVEC})""",
+    "reflection_tokens": f"""SELECT conv_id, turn,
+        CAST(len(regexp_extract_all(response, {RET})) AS INTEGER) AS n_retrieval,
+        CAST(len(regexp_extract_all(response, {NORET})) AS INTEGER) AS n_no_retrieval,
+        CAST(len(regexp_extract_all(response, {CONT})) AS INTEGER) AS n_continue,
+        CAST(NULLIF(regexp_extract(response, '\\[Utility:([1-5])\\]', 1), '') AS INTEGER) AS utility FROM ({DRAFT})""",
+    "retrieval_decision": f"""SELECT conv_id, turn, prior AS has_prior_evidence, {_rule('response', 'prior')} AS should_retrieve
+        FROM (SELECT *, {PRIOR_TOKEN} AS prior FROM ({DRAFT}))""",
+    "prior_evidence": PRIOR_DECIDED,
+    "retrieve_context": f"""SELECT query_id, CAST(count(*) AS INTEGER) AS n_contexts, string_agg(id, '|' ORDER BY rank) AS context_ids,
+        CAST(sum(length(text)) AS BIGINT) AS context_chars FROM ({TOP5}) GROUP BY query_id""",
+    "route_queries": f"""SELECT conv_id, turn, sr AS should_retrieve,
+        CASE WHEN sr THEN 'with_context' ELSE 'direct' END AS route,
+        CAST(CASE WHEN sr THEN (SELECT least(5, count(*)) FROM ({CHUNKS_NOVEC})) ELSE 0 END AS INTEGER) AS n_contexts
+        FROM (SELECT *, {_rule('response', 'prior')} AS sr FROM (SELECT *, {PRIOR_TOKEN} AS prior FROM ({DRAFT})))
+        WHERE role = 'user'""",
+    "context_prompt": f"""SELECT t.query_id, string_agg('Context ' || CAST(t.rank AS VARCHAR) || ':' || chr(10) || t.text, {NL2} ORDER BY t.rank) || {NL2} || 'Question: ' || any_value(b.text) AS prompt
+        FROM ({TOP5}) t JOIN benchmark b ON b.item_id = t.query_id GROUP BY t.query_id""",
+    "instruction_prompt": """SELECT conv_id, turn, '### Instruction:' || chr(10) || text || chr(10) || chr(10) || '### Response:' || chr(10)
+        || CASE WHEN next_role = 'assistant' AND next_text IS NOT NULL AND next_text <> ''
+                THEN '[Retrieval]<paragraph>' || next_text || '</paragraph>' ELSE '' END AS prompt
+        FROM (SELECT *, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS next_role,
+                        lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS next_text FROM conversations)
+        WHERE role = 'user'""",
+    "prioritize_contexts": f"""SELECT query_id, id, CAST(priority AS INTEGER) AS priority, CAST(used_chars AS BIGINT) AS used_chars
+        FROM ({PRIORITIZED_RANKED})""",
+    "fuse_context": f"""SELECT b.item_id AS query_id, CAST(count(p.id) AS INTEGER) AS n_contexts,
+        CASE WHEN count(p.id) > 0 THEN string_agg('Context ' || CAST(p.priority AS VARCHAR) || ':' || chr(10) || p.text, {NL2} ORDER BY p.priority)
+             || {NL2} || 'Question: ' || any_value(b.text) ELSE 'Question: ' || any_value(b.text) END AS prompt
+        FROM benchmark b LEFT JOIN ({PRIORITIZED_RANKED}) p ON p.query_id = b.item_id GROUP BY b.item_id""",
     "cache_populate": f"""SELECT DISTINCT md5('hash-256:' || enc_input) AS cache_key, 'hash-256' AS model, md5(enc_input) AS text_hash,
         CAST(len(embedding) AS INTEGER) AS dims, {_checksum('embedding')} AS checksum FROM ({CHUNKS})""",
 }

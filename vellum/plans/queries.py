@@ -481,6 +481,108 @@ def q_import_summary(spark: SparkSession, sf: str) -> DataFrame:
     return import_summary(inputs.markdown_corpus(spark, sf))
 
 
+# --- retrieval decision and context assembly (J6) -------------------------------------------------
+
+
+def q_reflection_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    from vellum.functions.tokens import reflection_tokens
+
+    d = inputs.draft_responses(spark, sf)
+    return d.select("conv_id", "turn", *[v.alias(k) for k, v in reflection_tokens("response").items()])
+
+
+def q_retrieval_decision(spark: SparkSession, sf: str) -> DataFrame:
+    from vellum.operators.context import decide
+
+    return decide(inputs.draft_responses(spark, sf), mode="token").select(
+        "conv_id", "turn", "has_prior_evidence", "should_retrieve")
+
+
+def q_prior_evidence(spark: SparkSession, sf: str) -> DataFrame:
+    from vellum.operators.context import prior_evidence
+
+    return prior_evidence(inputs.draft_responses(spark, sf), mode="decided").select(
+        "conv_id", "turn", "has_prior_evidence")
+
+
+def _retrieved(spark: SparkSession, sf: str, k: int = 5) -> DataFrame:
+    """Top-k chunks (with text) for every benchmark question."""
+    return _text_search(spark, sf, k, include=("documents", "distances"))
+
+
+def q_retrieve_context(spark: SparkSession, sf: str) -> DataFrame:
+    from vellum.operators.context import gather_contexts
+
+    ranked = _retrieved(spark, sf)
+    ids = gather_contexts(ranked, text_col="id").withColumnRenamed("contexts", "ids")
+    ctx = gather_contexts(ranked)
+    return ctx.join(ids, "query_id").select(
+        "query_id", F.size("contexts").cast("int").alias("n_contexts"), F.array_join("ids", "|").alias("context_ids"),
+        F.aggregate(F.transform("contexts", lambda c: F.length(c)), F.lit(0), lambda a, x: a + x)
+        .cast("bigint").alias("context_chars"))
+
+
+def q_route_queries(spark: SparkSession, sf: str) -> DataFrame:
+    """Every user turn: decide from its draft response, retrieve for the ones that need it, route."""
+    from vellum.operators.context import decide, gather_contexts, route
+    from vellum.operators.embed import HashEncoder
+    from vellum.plans import search
+
+    d = decide(inputs.draft_responses(spark, sf), mode="token").where(F.col("role") == "user")
+    conv = inputs.table(spark, sf, "conversations").select("conv_id", "turn", "text")
+    need = d.where("should_retrieve").join(conv, ["conv_id", "turn"]).select(
+        F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("query_id"), "text")
+    coll = chunk_collection(spark, sf)
+    qv = search.embed_queries(need, HashEncoder(HASH_DIM))
+    top = search.query_similar(coll, qv, 5, "cosine", dim=HASH_DIM, include=("distances",))
+    ctx = gather_contexts(top, text_col="id")
+    keyed = d.withColumn("query_id", F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")))
+    return route(keyed, ctx, ["query_id"]).select("conv_id", "turn", "should_retrieve", "route", "n_contexts")
+
+
+def q_context_prompt(spark: SparkSession, sf: str) -> DataFrame:
+    from vellum.functions.prompts import context_prompt
+    from vellum.operators.context import gather_contexts
+
+    ctx = gather_contexts(_retrieved(spark, sf))
+    q = inputs.benchmark_queries(spark, sf)
+    return q.join(ctx, "query_id").select("query_id", context_prompt("contexts", "text").alias("prompt"))
+
+
+def q_instruction_prompt(spark: SparkSession, sf: str) -> DataFrame:
+    """User turns as instructions; the following assistant turn, when there is one, as the paragraph."""
+    from pyspark.sql import Window
+
+    from vellum.functions.prompts import instruction_prompt
+
+    c = inputs.table(spark, sf, "conversations")
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    nxt = c.select("*", F.lead("role").over(w).alias("next_role"), F.lead("text").over(w).alias("next_text"))
+    para = F.when(F.col("next_role") == "assistant", F.col("next_text"))
+    return nxt.where(F.col("role") == "user").select("conv_id", "turn", instruction_prompt("text", para).alias("prompt"))
+
+
+CONTEXT_BUDGET = 2000
+
+
+def _prioritized(spark: SparkSession, sf: str) -> DataFrame:
+    from vellum.operators.context import prioritize_contexts
+
+    ranked = _retrieved(spark, sf, 10).withColumn("dkey", F.round("distance", knn_ops.DISTANCE_DECIMALS))
+    return prioritize_contexts(ranked, CONTEXT_BUDGET, score_col="dkey")
+
+
+def q_prioritize_contexts(spark: SparkSession, sf: str) -> DataFrame:
+    return _prioritized(spark, sf).select("query_id", "id", "priority", F.col("used_chars").cast("bigint"))
+
+
+def q_fuse_context(spark: SparkSession, sf: str) -> DataFrame:
+    from vellum.operators.context import fuse
+
+    q = inputs.benchmark_queries(spark, sf).withColumnRenamed("text", "question")
+    return fuse(_prioritized(spark, sf), q)
+
+
 QUERIES = {
     "chunk_documents": q_chunk_documents,
     "chunk_counts": q_chunk_counts,
@@ -520,4 +622,13 @@ QUERIES = {
     "verify_population": q_verify_population,
     "backup_restore": q_backup_restore,
     "import_summary": q_import_summary,
+    "reflection_tokens": q_reflection_tokens,
+    "retrieval_decision": q_retrieval_decision,
+    "prior_evidence": q_prior_evidence,
+    "retrieve_context": q_retrieve_context,
+    "route_queries": q_route_queries,
+    "context_prompt": q_context_prompt,
+    "instruction_prompt": q_instruction_prompt,
+    "prioritize_contexts": q_prioritize_contexts,
+    "fuse_context": q_fuse_context,
 }
