@@ -107,3 +107,24 @@ def markdown_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def benchmark_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+
+
+def write_markdown_files(spark: SparkSession, sf_dir: str, root: str, where: str | None = None) -> str:
+    """Write markdown_docs as one ``.md`` file per document below ``root`` (``<source>/doc_<id>.md``),
+    from the executors; ``root`` must be on a file system the executors share."""
+    md = markdown_docs(spark, sf_dir)
+    if where:
+        md = md.where(where)
+    local = root[len("file:"):] if root.startswith("file:") else root
+
+    def write(rows):
+        import os
+
+        for r in rows:
+            d = os.path.join(local, r["source"])
+            os.makedirs(d, exist_ok=True)
+            with open(os.path.join(d, f"doc_{r['doc_id']}.md"), "w", encoding="utf-8", newline="") as f:
+                f.write(r["content"])
+
+    md.select("doc_id", "source", "content").foreachPartition(write)
+    return root

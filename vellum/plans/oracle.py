@@ -259,6 +259,12 @@ SQL = {
         CASE WHEN count(p.id) > 0 THEN string_agg('Context ' || CAST(p.priority AS VARCHAR) || ':' || chr(10) || p.text, {NL2} ORDER BY p.priority)
              || {NL2} || 'Question: ' || any_value(b.text) ELSE 'Question: ' || any_value(b.text) END AS prompt
         FROM benchmark b LEFT JOIN ({PRIORITIZED_RANKED}) p ON p.query_id = b.item_id GROUP BY b.item_id""",
+    "scan_markdown": f"""SELECT 'doc_' || CAST(doc_id AS VARCHAR) || '.md' AS file, CAST(length(content) AS BIGINT) AS n_chars,
+        md5(content) AS text_md5 FROM ({S.MARKDOWN_DOCS})""",
+    "ingest_corpus": f"""SELECT {S.basename('source_file')} AS file, chunk_index, total_chunks, doc_title,
+        array_to_string(tags, '|') AS tags, text FROM ({CHUNKS_NOVEC})""",
+    "incremental_import": f"""SELECT {S.basename('source_file')} AS file, chunk_index, total_chunks, doc_title,
+        array_to_string(tags, '|') AS tags, text FROM ({CHUNKS_NOVEC})""",
     "cache_populate": f"""SELECT DISTINCT md5('hash-256:' || enc_input) AS cache_key, 'hash-256' AS model, md5(enc_input) AS text_hash,
         CAST(len(embedding) AS INTEGER) AS dims, {_checksum('embedding')} AS checksum FROM ({CHUNKS})""",
 }

@@ -583,6 +583,62 @@ def q_fuse_context(spark: SparkSession, sf: str) -> DataFrame:
     return fuse(_prioritized(spark, sf), q)
 
 
+# --- markdown files, batch and incremental import (S1-S3, S6) --------------------------------------
+
+
+def _corpus_dir(spark: SparkSession, sf: str, where: str | None = None, root: str | None = None) -> str:
+    from vellum.session import shared_path
+
+    root = root or shared_path(spark, "corpus", unique=True)
+    return inputs.write_markdown_files(spark, sf, root, where)
+
+
+def q_scan_markdown(spark: SparkSession, sf: str) -> DataFrame:
+    from vellum.functions.text import basename
+    from vellum.sources.markdown import scan_markdown
+
+    docs, _ = scan_markdown(spark, _corpus_dir(spark, sf))
+    return docs.select(basename("source_file").alias("file"), F.length("text").cast("bigint").alias("n_chars"),
+                       F.md5("text").alias("text_md5"))
+
+
+def _collection_view(rows: DataFrame) -> DataFrame:
+    from vellum.functions.text import basename
+
+    return rows.select(basename("source_file").alias("file"), "chunk_index", "total_chunks", "doc_title",
+                       F.array_join("tags", "|").alias("tags"), "text")
+
+
+def q_ingest_corpus(spark: SparkSession, sf: str) -> DataFrame:
+    from vellum.operators.embed import HashEncoder
+    from vellum.plans.ingest import ingest_documents
+    from vellum.sources.markdown import scan_markdown
+
+    docs, _ = scan_markdown(spark, _corpus_dir(spark, sf))
+    rows, _ = ingest_documents(docs, HashEncoder(HASH_DIM))
+    return _collection_view(rows)
+
+
+def q_incremental_import(spark: SparkSession, sf: str) -> DataFrame:
+    """Import en/fr files, then add de/es files to the folder and run again: only new files are
+    read; a third run with nothing new adds nothing."""
+    from vellum.session import shared_path
+    from vellum.sources.snapshot import CollectionStore
+    from vellum.streaming.incremental import run_incremental_import
+
+    base = shared_path(spark, "incremental", unique=True)
+    root, ckpt = f"{base}/corpus", f"{base}/checkpoint"
+    store = CollectionStore(spark, f"{base}/collections", "um_docs", HASH_DIM)
+    _corpus_dir(spark, sf, "lang IN ('en', 'fr')", root)
+    run_incremental_import(spark, root, store, ckpt)
+    _corpus_dir(spark, sf, "lang NOT IN ('en', 'fr')", root)
+    run_incremental_import(spark, root, store, ckpt)
+    again = run_incremental_import(spark, root, store, ckpt)
+    if again["before"] != again["after"]:
+        raise AssertionError(f"re-import changed the collection: {again}")
+    return _collection_view(store.read())
+
+
 QUERIES = {
     "chunk_documents": q_chunk_documents,
     "chunk_counts": q_chunk_counts,
@@ -631,4 +687,7 @@ QUERIES = {
     "instruction_prompt": q_instruction_prompt,
     "prioritize_contexts": q_prioritize_contexts,
     "fuse_context": q_fuse_context,
+    "scan_markdown": q_scan_markdown,
+    "ingest_corpus": q_ingest_corpus,
+    "incremental_import": q_incremental_import,
 }
