@@ -188,10 +188,11 @@ def knn_candidates(
     if k <= 0:
         raise ValueError("k must be positive")
     spark = corpus.sparkSession
-    q = queries.select(F.col(query_id_col).alias("query_id"), F.col(query_vec_col).alias("qvec")).where(
-        F.col("qvec").isNotNull() & (F.size("qvec") == dim)
-    )
-    n_queries = q.count()
+    raw_q = queries.select(F.col(query_id_col).alias("query_id"), F.col(query_vec_col).alias("qvec"))
+    # Count before validating: the count then needs no vector (the encoder is pruned away) and
+    # is an upper bound of the valid queries, which is all the block sizing needs.
+    n_queries = raw_q.select("query_id").count()
+    q = raw_q.where(F.col("qvec").isNotNull() & (F.size("qvec") == dim))
     qid_type = _arrow_type(q, "query_id")
     c = corpus.select(F.col(id_col).alias("id"), F.col(vec_col).alias("embedding"))
     id_type = _arrow_type(c, "id")

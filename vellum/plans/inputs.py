@@ -10,8 +10,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+def table(spark: SparkSession, sf_dir: str, name: str, balance: bool = True) -> DataFrame:
+    """Read a driver table. When the scan yields fewer splits than the cluster has cores (one big
+    row group, as in the test files), spread the rows with one round-robin exchange so per-row text
+    work is parallel; a table that already has enough splits is read as is (no exchange)."""
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    if balance:
+        return balanced(df)
+    return df
+
+
+def balanced(df: DataFrame) -> DataFrame:
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
 
 
 def markdown_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
