@@ -1,0 +1,91 @@
+"""Post-processing, validation, distances and the kNN kernel (fixture F6, F1)."""
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from vellum.functions import vectors as vx
+from vellum.operators import knn as kn
+
+
+def _np_post(raw, dim):
+    x = np.asarray(raw, dtype=np.float64)
+    y = (x - x.mean()) / np.sqrt(x.var() + 1e-5)
+    y = y[:dim]
+    return y / max(np.linalg.norm(y), 1e-12)
+
+
+@pytest.mark.parametrize("dim", [512, 256])
+def test_postprocess_unit_norm(spark, dim):
+    rng = np.random.default_rng(0)
+    raws = [rng.normal(size=768).astype(np.float32).tolist() for _ in range(3)]
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(raws)], "k int, raw array<float>")
+    rows = df.select("k", vx.postprocess("raw", dim).alias("v")).orderBy("k").collect()
+    for r, raw in zip(rows, raws):
+        assert len(r.v) == dim
+        assert abs(np.linalg.norm(r.v) - 1) < 1e-6
+        assert np.allclose(r.v, _np_post(raw, dim), atol=1e-12)
+
+
+def test_postprocess_bad_dim():
+    with pytest.raises(ValueError):
+        vx.postprocess(F.col("raw"), 100)
+
+
+def test_postprocess_constant_vector(spark):
+    df = spark.createDataFrame([([0.1] * 768,)], "raw array<float>")
+    v = df.select(vx.postprocess("raw", 512).alias("v")).first().v
+    assert len(v) == 512 and all(np.isfinite(v))
+
+
+def test_validation(spark):
+    df = spark.createDataFrame([(1, [1.0, 2.0, 3.0]), (2, [1.0]), (3, None), (4, [float("nan"), 1.0, 1.0])],
+                               "k int, v array<float>")
+    rows = {r.k: (r.ok, r.why) for r in df.select("k", vx.is_valid_vector("v", 3).alias("ok"),
+                                                  vx.invalid_reason("v", 3).alias("why")).collect()}
+    assert rows == {1: (True, None), 2: (False, "dimension_mismatch:1"), 3: (False, "missing_embedding"),
+                    4: (False, "nan_in_embedding")}
+
+
+def _vectors(n=150, dim=128, seed=1):
+    rng = np.random.default_rng(seed)
+    return rng.random((n, dim)).astype(np.float32)
+
+
+@pytest.mark.parametrize("metric", ["cosine", "l2", "ip"])
+def test_kernel_matches_expression(spark, metric):
+    x = _vectors()
+    corpus = spark.createDataFrame([(f"doc_{i}", x[i].tolist()) for i in range(len(x))], "id string, embedding array<float>")
+    queries = spark.createDataFrame([(i, x[i].tolist()) for i in range(0, 150, 15)], "query_id int, embedding array<float>")
+    res = kn.knn(corpus, queries, 3, metric, dim=128).collect()
+    for qid in range(0, 150, 15):
+        got = [(r.id, round(r.distance, 9)) for r in sorted((r for r in res if r.query_id == qid), key=lambda r: r.rank)]
+        exp = kn.knn_expression(corpus, x[qid].tolist(), 3, metric).orderBy("rank").collect()
+        assert [g[0] for g in got] == [e.id for e in exp]
+        assert np.allclose([g[1] for g in got], [e.distance for e in exp], atol=1e-9)
+        if metric != "ip":
+            assert got[0][0] == f"doc_{qid}"  # a stored vector finds itself first
+
+
+def test_kernel_ties_break_by_id(spark):
+    v = [1.0, 0.0, 0.0]
+    corpus = spark.createDataFrame([(f"d{i}", v) for i in (5, 3, 9, 1)] + [("far", [0.0, 1.0, 0.0])],
+                                   "id string, embedding array<float>")
+    q = spark.createDataFrame([(0, v)], "query_id int, embedding array<float>")
+    got = [r.id for r in kn.knn(corpus, q, 3, "cosine", dim=3).orderBy("rank").collect()]
+    assert got == ["d1", "d3", "d5"]
+
+
+def test_kernel_blocks_and_fewer_rows_than_k(spark):
+    x = _vectors(20, 8)
+    corpus = spark.createDataFrame([(i, x[i].tolist()) for i in range(4)], "id long, embedding array<float>")
+    queries = spark.createDataFrame([(i, x[i].tolist()) for i in range(20)], "query_id int, embedding array<float>")
+    # a budget of 5 query rows per block forces several broadcast blocks
+    res = kn.knn(corpus, queries, 10, "l2", dim=8, max_block_bytes=5 * 8 * 8).collect()
+    assert len(res) == 20 * 4
+
+
+def test_zero_vector_excluded_from_cosine(spark):
+    corpus = spark.createDataFrame([("z", [0.0, 0.0]), ("a", [1.0, 0.0])], "id string, embedding array<float>")
+    q = spark.createDataFrame([(0, [1.0, 1.0])], "query_id int, embedding array<float>")
+    assert [r.id for r in kn.knn(corpus, q, 5, "cosine", dim=2).collect()] == ["a"]
