@@ -60,3 +60,16 @@ def hash_embedding(text: Column | str, dim: int = 256) -> Column:
     """ARRAY<FLOAT> hash-encoder vector of ``text`` (all-zero when it has no tokens)."""
     t = F.col(text) if isinstance(text, str) else text
     return _densify(dim)(buckets(t, dim))
+
+
+def sparse_weights(df, id_col: str, text: Column, dim: int):
+    """Long form ``(id, bucket, weight)`` of the hash vectors, non-zero buckets only, computed with
+    JVM expressions and one aggregation (partial counts before the shuffle on ``(id, bucket)``).
+    Weights are rounded to float32 exactly as the dense vectors are."""
+    from pyspark.sql import Window
+
+    b = df.select(F.col(id_col).alias("_id"), F.explode(buckets(text, dim)).alias("bucket"))
+    cnt = b.groupBy("_id", "bucket").agg(F.count(F.lit(1)).alias("n"))
+    norm = F.sqrt(F.sum(F.col("n") * F.col("n")).over(Window.partitionBy("_id")))
+    return cnt.select(F.col("_id").alias(id_col), "bucket",
+                      (F.col("n") / norm).cast("float").alias("weight"))

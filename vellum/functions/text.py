@@ -84,10 +84,15 @@ def chunk_array(text: Column | str, size: int = DEFAULT_CHUNK_SIZE, overlap: int
     check_chunk_params(size, overlap)
     t = _col(text)
     step = size - overlap
-    windows = F.transform(
+    per_window = -(-size // step)  # pieces a window spans
+    # One linear pass cuts the text into pieces of ``step`` characters; window i is pieces
+    # i..i+per_window-1 joined and cut to ``size``. (Indexing the text itself per window would walk
+    # the UTF-8 bytes from the start every time: quadratic in the document length.)
+    pieces = F.regexp_extract_all(t, F.lit("(?s).{1,%d}" % step), 0)
+    # The piece array is bound once (outer transform) rather than re-extracted inside the lambda.
+    windows = F.element_at(F.transform(F.array(pieces), lambda p: F.transform(
         F.sequence(F.lit(0), chunk_count(t, size, overlap) - 1),
-        lambda i: F.substring(t, i * step + 1, F.lit(size)),
-    )
+        lambda i: F.substring(F.array_join(F.slice(p, i + 1, per_window), ""), 1, size))), 1)
     return F.when(t.isNull(), F.array(F.lit(None).cast("string"))).otherwise(windows)
 
 

@@ -185,7 +185,8 @@ WHERE_CASES = {
 
 def _count_cases(df: DataFrame, preds: dict) -> DataFrame:
     """One scan: a conditional count per case, then unpivoted to ``(case_name, n_rows)``."""
-    agg = df.agg(*[F.sum((F.lit(True) if p is None else p).cast("bigint")).alias(n) for n, p in preds.items()])
+    agg = df.agg(*[F.sum(F.when(F.lit(True) if p is None else p, F.lit(1)).otherwise(F.lit(0))).cast("bigint").alias(n)
+                   for n, p in preds.items()])
     return agg.unpivot([], list(preds), "case_name", "n_rows")
 
 
@@ -218,11 +219,12 @@ def q_embed_hash(spark: SparkSession, sf: str) -> DataFrame:
     from vellum.operators.embed import HashEncoder
     from vellum.plans.ingest import encoder_input
 
+    from vellum.functions.hashing import sparse_weights
+
     d = inputs.table(spark, sf, "documents")
-    v = d.select("doc_id", HashEncoder(HASH_DIM).vector(encoder_input("text")).alias("v"))
-    e = v.select("doc_id", F.posexplode("v").alias("bucket", "w")).where(F.col("w") > 0)
+    e = sparse_weights(d, "doc_id", encoder_input("text"), HashEncoder(HASH_DIM).dim)
     return e.select("doc_id", F.col("bucket").cast("int").alias("bucket"),
-                    (F.round(F.col("w").cast("double"), 6) + F.lit(0.0)).alias("weight"))
+                    (F.round(F.col("weight").cast("double"), 6) + F.lit(0.0)).alias("weight"))
 
 
 def q_embedding_postprocess(spark: SparkSession, sf: str) -> DataFrame:
