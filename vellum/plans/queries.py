@@ -553,13 +553,11 @@ def q_context_prompt(spark: SparkSession, sf: str) -> DataFrame:
 
 def q_instruction_prompt(spark: SparkSession, sf: str) -> DataFrame:
     """User turns as instructions; the following assistant turn, when there is one, as the paragraph."""
-    from pyspark.sql import Window
-
     from vellum.functions.prompts import instruction_prompt
+    from vellum.operators.context import segmented_next
 
     c = inputs.table(spark, sf, "conversations")
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    nxt = c.select("*", F.lead("role").over(w).alias("next_role"), F.lead("text").over(w).alias("next_text"))
+    nxt = segmented_next(c, "conv_id", "turn", ["role", "text"])
     para = F.when(F.col("next_role") == "assistant", F.col("next_text"))
     return nxt.where(F.col("role") == "user").select("conv_id", "turn", instruction_prompt("text", para).alias("prompt"))
 
