@@ -52,7 +52,8 @@ def strip_ws(c: Column | str) -> Column:
 def is_blank(c: Column | str) -> Column:
     """True for NULL, '' and whitespace-only strings."""
     c = _col(c)
-    return c.isNull() | (F.regexp_replace(c, f"{WS_CLASS}+", "") == "")
+    # Blank unless some non-whitespace character exists (found at once for ordinary text).
+    return c.isNull() | ~c.rlike(f"[^{WS_CHARS}]")
 
 
 def split_ws(c: Column | str) -> Column:
@@ -172,9 +173,10 @@ def preprocess_text(text: Column | str) -> Column:
     whitespace; collapse runs of dots; strip. Text made only of symbols ends as ''."""
     t = _col(text)
     kept = F.regexp_replace(t, f"[^{WORD_CHARS}{WS_CHARS}.,!?\\-]", "")
-    collapsed = F.array_join(split_ws(kept), " ")
+    # Every whitespace run becomes one space, so the final strip only has spaces to remove (trim).
+    collapsed = F.regexp_replace(kept, f"{WS_CLASS}+", " ")
     dots = F.regexp_replace(collapsed, "\\.{2,}", ".")
-    return F.when(is_blank(t), F.lit(EMPTY_SENTINEL)).otherwise(strip_ws(dots))
+    return F.when(is_blank(t), F.lit(EMPTY_SENTINEL)).otherwise(F.trim(dots))
 
 
 # --- T6: task prefix --------------------------------------------------------------------------

@@ -78,12 +78,15 @@ def _distances(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
     raise ValueError(metric)
 
 
-def _select_topk(cd: np.ndarray, cid: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Row-wise k smallest of ``cd`` under the order (distance, id); returns (nq, k') arrays."""
+def _select_topk(cd: np.ndarray, id_of, k: int) -> np.ndarray:
+    """Row-wise positions of the k smallest of ``cd`` under the order (distance, id).
+
+    ``id_of(r, cols)`` returns the ids of row ``r`` at columns ``cols``; it is only called for rows
+    whose k-th distance is tied, so ids never have to be materialised as a full matrix."""
     nq, m = cd.shape
     kk = min(k, m)
     if m <= kk:
-        return cd, cid
+        return np.broadcast_to(np.arange(m), (nq, m))
     kth = np.partition(cd, kk - 1, axis=1)[:, kk - 1 : kk]
     less = cd < kth
     eq = cd == kth
@@ -92,10 +95,10 @@ def _select_topk(cd: np.ndarray, cid: np.ndarray, k: int) -> tuple[np.ndarray, n
     mask = less | eq
     for r in np.nonzero(n_eq > need)[0]:
         cols = np.nonzero(eq[r])[0]
-        order = np.argsort(cid[r, cols], kind="stable")
+        order = np.argsort(np.asarray(id_of(r, cols)), kind="stable")
         mask[r, cols] = False
         mask[r, cols[order[: need[r]]]] = True
-    return cd[mask].reshape(nq, kk), cid[mask].reshape(nq, kk)
+    return np.nonzero(mask)[1].reshape(nq, kk)
 
 
 def _kernel(block_bc, metric: str, k: int, dim: int, id_col: str, vec_col: str, qid_type: pa.DataType,
@@ -105,32 +108,41 @@ def _kernel(block_bc, metric: str, k: int, dim: int, id_col: str, vec_col: str,
         q = blk.mat
         nq = q.shape[0]
         id_is_str = pa.types.is_string(id_type) or pa.types.is_large_string(id_type)
+        id_dtype = object if id_is_str else np.int64
         best_d = np.full((nq, 0), np.inf)
-        best_i = np.empty((nq, 0), dtype=object if id_is_str else np.int64)
+        best_i = np.empty((nq, 0), dtype=id_dtype)
         rows_per_tile = max(1, TILE_CELLS // max(nq, 1))
+        rows_idx = np.arange(nq)[:, None]
         for batch in batches:
             if batch.num_rows == 0:
                 continue
             ids_arr = batch.column(id_col)
-            vecs = batch.column(vec_col)
-            x, ok = _list_to_matrix(vecs, dim)
+            x, ok = _list_to_matrix(batch.column(vec_col), dim)
             keep = ok & np.asarray(ids_arr.is_valid().to_numpy(zero_copy_only=False))
             if not keep.all():
                 x = x[keep]
-                ids_np = np.asarray(ids_arr.filter(pa.array(keep)).to_pylist() if id_is_str
-                                    else ids_arr.filter(pa.array(keep)).to_numpy(zero_copy_only=False),
-                                    dtype=object if id_is_str else np.int64)
-            else:
-                ids_np = np.asarray(ids_arr.to_pylist() if id_is_str else ids_arr.to_numpy(zero_copy_only=False),
-                                    dtype=object if id_is_str else np.int64)
+                ids_arr = ids_arr.filter(pa.array(keep))
+            ids_np = np.asarray(ids_arr.to_pylist() if id_is_str else ids_arr.to_numpy(zero_copy_only=False),
+                                dtype=id_dtype)
             for s in range(0, x.shape[0], rows_per_tile):
                 xt = x[s : s + rows_per_tile]
                 it = ids_np[s : s + rows_per_tile]
                 d = np.round(_distances(q, xt, metric), DISTANCE_DECIMALS)
                 d[~np.isfinite(d)] = np.inf
+                kc = best_d.shape[1]
                 cd = np.concatenate([best_d, d], axis=1)
-                cid = np.concatenate([best_i, np.broadcast_to(it, d.shape)], axis=1)
-                best_d, best_i = _select_topk(cd, cid, k)
+
+                def id_of(r, cols, _b=best_i, _t=it, _kc=kc):
+                    return [_b[r, c] if c < _kc else _t[c - _kc] for c in cols]
+
+                pos = _select_topk(cd, id_of, k)
+                best_d = cd[rows_idx, pos]
+                from_best = pos < kc
+                new_i = np.empty(pos.shape, dtype=id_dtype)
+                if kc:
+                    new_i[from_best] = best_i[rows_idx, np.minimum(pos, kc - 1)][from_best]
+                new_i[~from_best] = it[(pos - kc)[~from_best]]
+                best_i = new_i
         if best_d.shape[1] == 0:
             return
         qi = np.repeat(np.arange(nq), best_d.shape[1])
