@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from vellum.functions.filters import compile_where
 from vellum.operators import collection as co
 from vellum.operators import knn as kn
+from vellum.plans import search
 from vellum.sources.snapshot import CollectionNotFound, CollectionStore
 
 DIM = 128
@@ -48,13 +49,21 @@ def test_wrong_dimension_rejected(spark, coll):
     res = co.add_documents(coll, bad, DIM)
     assert res.added.count() == 0 and [r.reason for r in res.rejected.collect()] == ["dimension_mismatch:3"]
     with pytest.raises(ValueError):
-        q = coll.sparkSession.createDataFrame([(0, [0.1, 0.2, 0.3])], "query_id int, embedding array<float>")
-        kn.knn(coll, q, 3, dim=DIM, query_vec_col="embedding").collect() if False else _query_dim_check(3)
+        search.query_similar_vector(coll, [0.1, 0.2, 0.3], 3, dim=DIM)
 
 
-def _query_dim_check(n):
-    if n != DIM:
-        raise ValueError("query embedding dimension does not match the collection")
+def test_single_vector_and_text_queries(spark, coll):
+    v = coll.where("id = 'doc_4'").first().embedding
+    res = search.query_similar_vector(coll, list(v), 3, dim=DIM, where={"priority": {"$lte": 4}}).orderBy("rank")
+    rows = res.collect()
+    assert rows[0].id == "doc_4" and rows[0].text.endswith("number 4") and len(rows) == 3
+    from vellum.operators.embed import HashEncoder
+    from vellum.plans.ingest import encoder_input
+
+    enc = HashEncoder(256)
+    tcoll = coll.withColumn("embedding", enc.vector(encoder_input("text")))
+    hit = search.query_text(tcoll, "This is test document number 7", enc, 1, include=("documents",)).first()
+    assert hit.id == "doc_7"
 
 
 def test_self_query_first(spark, coll):
