@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import os
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,12 +70,18 @@ def _strict_read(spark: SparkSession, root: str, partitions: int | None) -> Data
     listing = spark.createDataFrame([(p,) for p in sorted(paths)], "path string").repartition(n)
 
     def read(batches):
+        import pyarrow as pa
+
         for b in batches:
-            rows = []
-            for p in b["path"]:
-                st = os.stat(p)
+            paths = b.column("path").to_pylist()
+            mtimes, contents = [], []
+            for p in paths:
+                mtimes.append(int(os.stat(p).st_mtime * 1_000_000))
                 with open(p, "rb") as f:
-                    rows.append((p, pd.Timestamp(st.st_mtime, unit="s"), f.read()))
-            yield pd.DataFrame(rows, columns=["path", "modification_time", "content"])
+                    contents.append(f.read())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(paths, pa.string()), pa.array(mtimes, pa.int64()).cast(pa.timestamp("us", tz="UTC")),
+                 pa.array(contents, pa.binary())],
+                names=["path", "modification_time", "content"])
 
-    return listing.mapInPandas(read, "path string, modification_time timestamp, content binary")
+    return listing.mapInArrow(read, "path string, modification_time timestamp, content binary")
