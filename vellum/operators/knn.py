@@ -200,6 +200,9 @@ def knn_candidates(
     if k <= 0:
         raise ValueError("k must be positive")
     spark = corpus.sparkSession
+    from vellum.session import ship_package
+
+    ship_package(spark)
     raw_q = queries.select(F.col(query_id_col).alias("query_id"), F.col(query_vec_col).alias("qvec"))
     # Count before validating: the count then needs no vector (the encoder is pruned away) and
     # is an upper bound of the valid queries, which is all the block sizing needs.

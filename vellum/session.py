@@ -38,6 +38,7 @@ def get_session(master: str | None = None, app: str = "vellum", **conf: str) ->
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("OFF")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
@@ -66,3 +67,34 @@ def shared_path(spark: SparkSession, *parts: str, unique: bool = False) -> str:
     if base.startswith("file:"):
         base = base[len("file:") :]
     return os.path.join(base, "vellum", name)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``vellum`` importable in the Python workers (UDFs and Arrow kernels refer to its
+    modules): zip the package once per application and ``addPyFile`` it, which distributes it to
+    every executor through Spark itself."""
+    import zipfile
+
+    sc = spark.sparkContext
+    key = sc.applicationId
+    if key in _SHIPPED:
+        return
+    import vellum
+
+    pkg_dir = os.path.dirname(os.path.abspath(vellum.__file__))
+    base = shared_path(spark, "pyfiles", unique=True)
+    if "://" in base and not base.startswith("file:"):
+        base = tempfile.mkdtemp(prefix="vellum-pyfiles-")  # driver-side copy, served by Spark
+    os.makedirs(base, exist_ok=True)
+    path = os.path.join(base, "vellum.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as zf:
+        for root, _, files in os.walk(pkg_dir):
+            for name in files:
+                if name.endswith(".py"):
+                    full = os.path.join(root, name)
+                    zf.write(full, os.path.relpath(full, os.path.dirname(pkg_dir)))
+    sc.addPyFile(path)
+    _SHIPPED.add(key)
