@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import sentencepiece_rounds, simhash, token_counts
+from vellum.llm import sentencepiece_rounds, simhash, token_counts, token_files
 
 
 def tokenizer_file(name: str) -> str:
@@ -34,10 +34,15 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_rounds.round_trip(documents(spark, sf_dir), tokenizer_file("piece_bpe_32k.model"))
 
 
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.token_files(documents(spark, sf_dir), tokenizer_file("word_bpe_49k.json"), end_id=1)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op4_token_counts": op4_token_counts,
     "op6_sentencepiece": op6_sentencepiece,
+    "op9_token_files": op9_token_files,
 }
 
 SQL: dict[str, str] = {}
