@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import sentencepiece_rounds, simhash, token_counts, token_files
+from vellum.llm import line_dedup, packing, sentencepiece_rounds, simhash, token_counts, token_files, toxicity
 
 
 def tokenizer_file(name: str) -> str:
@@ -26,6 +26,16 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(documents(spark, sf_dir), shingle=3, max_bits=2)
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lengths = packing.token_lengths(documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.tiktoken"))
+    return packing.pack(lengths, capacities=(1024, 2048, 4096))
+
+
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(documents(spark, sf_dir), min_sites=3, removed_col="n_removed").select(
+        "doc_id", "n_removed", "text")
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"), limit=1024)
 
@@ -34,15 +44,25 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_rounds.round_trip(documents(spark, sf_dir), tokenizer_file("piece_bpe_32k.model"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet")
+    return toxicity.toxicity(documents(spark, sf_dir), labels)
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_files(documents(spark, sf_dir), tokenizer_file("word_bpe_49k.json"), end_id=1)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op2_packing": op2_packing,
+    "op3_line_dedup": op3_line_dedup,
     "op4_token_counts": op4_token_counts,
     "op6_sentencepiece": op6_sentencepiece,
+    "op7_toxicity": op7_toxicity,
     "op9_token_files": op9_token_files,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op3_line_dedup": line_dedup.ORACLE_SQL,
+}
