@@ -6,9 +6,19 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from vellum.llm import line_dedup, packing, sentencepiece_rounds, simhash, token_counts, token_files, toxicity
+from vellum.llm import (
+    embedding_dedup,
+    line_dedup,
+    packing,
+    pii,
+    sentencepiece_rounds,
+    simhash,
+    token_counts,
+    token_files,
+    topk,
+    toxicity,
+)
 
 
 def tokenizer_file(name: str) -> str:
@@ -22,6 +32,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
 
 
+def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/embeddings.parquet")
+
+
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(documents(spark, sf_dir), shingle=3, max_bits=2)
 
@@ -40,6 +54,10 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"), limit=1024)
 
 
+def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(embeddings(spark, sf_dir), k=10, every=100)
+
+
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_rounds.round_trip(documents(spark, sf_dir), tokenizer_file("piece_bpe_32k.model"))
 
@@ -49,20 +67,32 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(documents(spark, sf_dir), labels)
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(documents(spark, sf_dir))
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_files(documents(spark, sf_dir), tokenizer_file("word_bpe_49k.json"), end_id=1)
 
 
+def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.embedding_duplicates(embeddings(spark, sf_dir), threshold=0.95)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_packing": op2_packing,
     "op3_line_dedup": op3_line_dedup,
     "op4_token_counts": op4_token_counts,
+    "op5_topk": op5_topk,
     "op6_sentencepiece": op6_sentencepiece,
     "op7_toxicity": op7_toxicity,
+    "op8_pii": op8_pii,
     "op9_token_files": op9_token_files,
+    "op10_embedding_dedup": op10_embedding_dedup,
 }
 
 SQL: dict[str, str] = {
     "op3_line_dedup": line_dedup.ORACLE_SQL,
+    "op5_topk": topk.ORACLE_SQL,
 }
