@@ -70,11 +70,12 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
              .where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)
              .groupBy(F.col("doc_id").cast("long").alias("__id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic")))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.join(known, F.col("doc_id") == F.col("__id")).select("doc_id", "text", "toxic")
+    # Labels grow with the corpus, so they are not broadcast at any size.
+    return rows.join(known.hint("merge"), F.col("doc_id") == F.col("__id")).select("doc_id", "text", "toxic")
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-          sample_limit: int = 30_000, n_features: int = 1 << 13, steps: int = 150, penalty: float = 1e-3) -> Model:
+          sample_limit: int = 10_000, n_features: int = 1 << 13, steps: int = 150, penalty: float = 1e-3) -> Model:
     """Fit the classifier. Without labelled rows of both classes the model is the (smoothed) share of
     toxic rows alone."""
     prepare(docs.sparkSession)
