@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -35,7 +36,7 @@ from vellum.session import shared_path
 
 MAGIC = b"DACTOK01"
 BLOCK = 512
-KNOWN_LIMIT = 800_000  # words a worker remembers
+KNOWN_LIMIT = 400_000  # words a worker remembers in each of two generations
 _ENCODERS: dict[str, WordEncoder] = {}
 
 
@@ -176,7 +177,15 @@ class WordEncoder:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.by_word = self.drops_blanks(spec)
+        norm = spec["normalizer"] or {}
+        self.lowers = any(s["type"] == "Lowercase" for s in norm.get("normalizers", [norm]) if s)
+        suffix = spec["model"].get("end_of_word_suffix")
+        vocab = self.tokenizer.get_vocab()
+        self.word_end = np.zeros(max(vocab.values()) + 1, bool)
+        if suffix:
+            self.word_end[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     @staticmethod
     def drops_blanks(spec: dict) -> bool:
@@ -197,33 +206,80 @@ class WordEncoder:
         coded = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in coded]
 
+    def ask_letters(self, words: list[str]) -> list[bytes]:
+        """The same for words of Latin-1 letters, each one token of the split: many go in one text, and
+        the ids that end a word part them."""
+        out: list[bytes] = []
+        for at in range(0, len(words), 4096):
+            some = words[at:at + 4096]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            ends = ((np.flatnonzero(self.word_end[ids]) + 1) * 4).tolist()
+            if len(ends) != len(some):
+                out += self.ask(some)
+                continue
+            raw = ids.tobytes()
+            out += [raw[a:b] for a, b in zip([0, *ends[:-1]], ends)]
+        return out
+
     def learn(self, fresh: set[str]) -> None:
-        """Words of settled letters with one sign behind are put together from the two."""
-        known, joined, ask = self.known, [], set()
+        """Words of letters with one sign behind are put together from the two."""
+        known, joined, letters, rest = self.known, [], set(), set()
         for w in fresh:
-            stem = w[:-1]
-            if w[-1:] in ".,;:!?" and stem.isalpha() and max(stem) < "ɐ":
+            if w.isalpha():
+                letters.add(w)
+            elif w[-1:] in ".,;:!?" and (stem := w[:-1]).isalpha() and (w.isascii() or max(stem) <= "ÿ"):
                 joined.append(w)
-                ask.add(stem)
-                ask.add(w[-1])
+                letters.add(stem)
+                rest.add(w[-1])
             else:
-                ask.add(w)
-        ask = list(ask.difference(known))
-        known.update(zip(ask, self.ask(ask)))
+                rest.add(w)
+        letters = list(letters.difference(known))
+        if "".join(letters).isascii() or not any(max(w) > "ÿ" for w in letters):
+            known.update(zip(letters, self.ask_letters(letters)))
+        else:
+            rest.update(w for w in letters if max(w) > "ÿ")
+            letters = [w for w in letters if max(w) <= "ÿ"]
+            known.update(zip(letters, self.ask_letters(letters)))
+        rest = list(rest.difference(known))
+        known.update(zip(rest, self.ask(rest)))
         for w in joined:
             known[w] = known[w[:-1]] + known[w[-1]]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian u32 bytes."""
+    def fold(self, text: str) -> str:
+        """Lower case early where it cannot matter to the result: Latin-1 texts without special strings."""
+        if not self.lowers or "<|" in text:
+            return text
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return text
+        return text.lower()
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after the other (u32), and the number of each text's ids. Distinct words
+        are looked up once; the texts are then put together by gathering."""
         if not self.by_word:
-            return self.ask(texts)
-        cut = [t.replace("\n", " ").split(" ") for t in texts]
+            coded = self.ask(texts)
+            return np.frombuffer(b"".join(coded), "<u4"), np.array([len(c) // 4 for c in coded], np.int64)
+        cut = pc.split_pattern(pa.array([self.fold(t).replace("\n", " ") for t in texts], pa.string()), " ")
+        coded = cut.flatten().dictionary_encode()
+        words = coded.dictionary.to_pylist()
         if len(self.known) > KNOWN_LIMIT:
-            self.known = {}
-        if fresh := set().union(*cut).difference(self.known):
+            self.known, self.older = {}, self.known
+        if fresh := set(words).difference(self.known):
+            if self.older:
+                again = fresh.intersection(self.older)
+                self.known.update(zip(again, map(self.older.__getitem__, again)))
+                fresh -= again
             self.learn(fresh)
-        ids = self.known.__getitem__
-        return [b"".join(map(ids, words)) for words in cut]
+        ids = list(map(self.known.__getitem__, words))
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        start = np.cumsum(size) - size
+        word = coded.indices.to_numpy()
+        ends = np.cumsum(size[word])
+        at = np.repeat(start[word] - ends + size[word], size[word]) + np.arange(ends[-1] if len(ends) else 0)
+        per_text = np.diff(np.concatenate((np.zeros(1, np.int64), ends))[cut.offsets.to_numpy()])
+        return np.frombuffer(b"".join(ids), "<u4")[at], per_text
 
 
 def encoder(path: str) -> WordEncoder:
@@ -257,14 +313,14 @@ def write_token_files(docs: DataFrame, path: str, folder: str, id_col: str = "do
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code, part = encoder(path), TaskContext.get().partitionId()
-        end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
-        held: list[tuple[int | None, bytes]] = []
+        end = np.zeros(0, "<u4") if end_id is None else np.array([end_id], "<u4")
+        held: list[tuple[int | None, np.ndarray]] = []
         size = seq = 0
 
         def out() -> pa.RecordBatch:
             nonlocal held, size, seq
-            ids = np.frombuffer(b"".join(b for _, b in held), "<u4")
-            ends = np.cumsum([len(b) // 4 for _, b in held])
+            ids = np.concatenate([x for _, own in held for x in (own, end)])
+            ends = np.cumsum([len(own) + len(end) for _, own in held])
             name = f"part-{part:06d}-{seq:06d}.dac"
             put(folder, name, pack_file([d for d, _ in held], ends, ids, end_id))
             row = pa.RecordBatch.from_pydict({"file": [name], "part": [part], "seq": [seq], "documents": [len(held)],
@@ -275,9 +331,10 @@ def write_token_files(docs: DataFrame, path: str, folder: str, id_col: str = "do
 
         for batch in batches:
             for rows in slices(batch, "text"):
-                for doc_id, ids in zip(rows.column(0).to_pylist(), code.encode(rows.column(1).to_pylist())):
-                    held.append((doc_id, ids + end))
-                    size += len(ids) // 4 + 1
+                ids, sizes = code.encode(rows.column(1).to_pylist())
+                for doc_id, own in zip(rows.column(0).to_pylist(), np.split(ids, np.cumsum(sizes)[:-1])):
+                    held.append((doc_id, own))
+                    size += len(own) + len(end)
                     if size > file_tokens:
                         yield out()
         if held:
