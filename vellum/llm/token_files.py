@@ -37,6 +37,8 @@ from vellum.session import shared_path
 MAGIC = b"DACTOK01"
 BLOCK = 512
 KNOWN_LIMIT = 400_000  # words a worker remembers in each of two generations
+# A stop or comma behind another sign, or behind the one letter whose lower case ends in a mark.
+SIGN_BEFORE = re.compile(r"[.,](?<=[^\w\s].|[_İ].) ")
 _ENCODERS: dict[str, WordEncoder] = {}
 
 
@@ -209,17 +211,16 @@ class WordEncoder:
     def ask_letters(self, words: list[str]) -> list[bytes]:
         """The same for words of Latin-1 letters, each one token of the split: many go in one text, and
         the ids that end a word part them."""
-        out: list[bytes] = []
-        for at in range(0, len(words), 4096):
-            some = words[at:at + 4096]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
-            ends = ((np.flatnonzero(self.word_end[ids]) + 1) * 4).tolist()
-            if len(ends) != len(some):
-                out += self.ask(some)
-                continue
-            raw = ids.tobytes()
-            out += [raw[a:b] for a, b in zip([0, *ends[:-1]], ends)]
-        return out
+        if not words:
+            return []
+        lines = [" ".join(words[at:at + 64]) for at in range(0, len(words), 64)]
+        coded = self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)
+        ids = np.concatenate([np.array(e.ids, "<u4") for e in coded])
+        ends = ((np.flatnonzero(self.word_end[ids]) + 1) * 4).tolist()
+        if len(ends) != len(words):
+            return self.ask(words)
+        raw = ids.tobytes()
+        return [raw[a:b] for a, b in zip([0, *ends[:-1]], ends)]
 
     def learn(self, fresh: set[str]) -> None:
         """Words of letters with one sign behind are put together from the two."""
@@ -246,8 +247,15 @@ class WordEncoder:
             known[w] = known[w[:-1]] + known[w[-1]]
 
     def fold(self, text: str) -> str:
-        """Lower case early where it cannot matter to the result: Latin-1 texts without special strings."""
-        if not self.lowers or "<|" in text:
+        """The text with blanks for line ends and, where that cannot matter to the result, in lower case
+        (Latin-1 texts without special strings) and with a blank before a stop or comma that ends a word
+        (no other sign stands before it, so the split parts them anyway)."""
+        text = text.replace("\n", " ")
+        if "<|" in text:
+            return text
+        if not SIGN_BEFORE.search(text):
+            text = text.replace(". ", " . ").replace(", ", " , ")
+        if not self.lowers:
             return text
         try:
             text.encode("latin-1")
@@ -261,7 +269,7 @@ class WordEncoder:
         if not self.by_word:
             coded = self.ask(texts)
             return np.frombuffer(b"".join(coded), "<u4"), np.array([len(c) // 4 for c in coded], np.int64)
-        cut = pc.split_pattern(pa.array([self.fold(t).replace("\n", " ") for t in texts], pa.string()), " ")
+        cut = pc.split_pattern(pa.array([self.fold(t) for t in texts], pa.string()), " ")
         coded = cut.flatten().dictionary_encode()
         words = coded.dictionary.to_pylist()
         if len(self.known) > KNOWN_LIMIT:
@@ -330,7 +338,7 @@ def write_token_files(docs: DataFrame, path: str, folder: str, id_col: str = "do
                                        ("documents", pa.int64()), ("tokens", pa.int64())]))
 
         for batch in batches:
-            for rows in slices(batch, "text"):
+            for rows in slices(batch, "text", 8 << 20):
                 ids, sizes = code.encode(rows.column(1).to_pylist())
                 for doc_id, own in zip(rows.column(0).to_pylist(), np.split(ids, np.cumsum(sizes)[:-1])):
                     held.append((doc_id, own))
