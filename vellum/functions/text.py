@@ -40,13 +40,17 @@ DEFAULT_CHUNK_OVERLAP = 50
 # ---------------------------------------------------------------------------------------------
 
 
+# Every character that ``str.strip`` takes as white space.
+BLANKS = "".join(map(chr, filter(lambda cp: chr(cp).isspace(), range(0x3001))))
+
+
 def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
 def strip_ws(c: Column | str) -> Column:
     """Python ``str.strip()``: remove leading/trailing Unicode whitespace."""
-    return F.regexp_replace(_col(c), f"^{WS_CLASS}+|{WS_CLASS}+$", "")
+    return F.btrim(_col(c), F.lit(BLANKS))
 
 
 def is_blank(c: Column | str) -> Column:
@@ -127,7 +131,7 @@ def doc_title(text: Column | str, path: Column | str | None = None) -> Column:
     '#'-words dropped and every word capitalised, else the file stem title-cased."""
     t = _col(text)
     header = strip_ws(F.regexp_extract(t, HEADER_PATTERN, 1))
-    first_line = F.element_at(F.split(strip_ws(t), "\n"), 1)
+    first_line = F.substring_index(strip_ws(t), "\n", 1)
     words = F.filter(split_ws(first_line), lambda w: ~w.startswith("#"))
     from_line = F.array_join(F.transform(words, _capitalize_word), " ")
     if path is None:
