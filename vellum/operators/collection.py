@@ -86,7 +86,8 @@ def missing_ids(coll: DataFrame, ids: Sequence[str] | DataFrame) -> DataFrame:
 def delete_by_ids(coll: DataFrame, ids: Sequence[str] | DataFrame) -> DataFrame:
     """Rows whose id is not listed; an empty list is a no-op, unknown ids are ignored."""
     if not isinstance(ids, DataFrame):
-        return coll.where(~F.col("id").isin([str(i) for i in ids])) if ids else coll
+        gone = F.coalesce(F.col("id").isin([str(i) for i in ids]), F.lit(False))
+        return coll.where(~gone) if ids else coll
     return coll.join(_maybe_broadcast(_ids_frame(coll, ids)), "id", "left_anti")
 
 
@@ -106,35 +107,54 @@ def merge_metadata(old: Column, new: Column) -> Column:
 
 
 def update_documents(coll: DataFrame, updates: DataFrame, dim: int) -> tuple[DataFrame, DataFrame]:
-    """Apply ``updates(id, text?, embedding?, metadata?)``: NULL means "keep". Returns
-    ``(collection, status)`` with ``status(id, updated, reason)``; unknown ids are not applied and
-    an embedding of the wrong length rejects that update."""
+    """Apply ``updates(id, text?, embedding?, metadata?, seq?)``: NULL means "keep". Updates of one id are
+    applied in the order of ``seq`` (of the frame's rows without it), each to what the one before left.
+    Returns ``(collection, status)`` with ``status(id, updated, reason)``, one row per update; unknown
+    ids are not applied and an embedding of the wrong length rejects that update. Columns of the
+    collection that carry a metadata field are kept in step with it."""
     cols = set(updates.columns)
     u = updates.select(
         "id",
+        (F.col("seq") if "seq" in cols else F.monotonically_increasing_id()).alias("_u_seq"),
         (F.col("text") if "text" in cols else F.lit(None).cast("string")).alias("_u_text"),
         (F.col("embedding") if "embedding" in cols else F.lit(None).cast("array<float>")).alias("_u_emb"),
         (F.col("metadata") if "metadata" in cols else F.lit(None).cast("variant")).alias("_u_meta"),
     )
     bad_dim = F.col("_u_emb").isNotNull() & ~vx.is_valid_vector(F.col("_u_emb"), dim)
     known = u.join(coll.select("id"), "id", "left_semi")
-    status = u.join(known.select("id", F.lit(True).alias("_known")), "id", "left").select(
+    status = u.join(known.select("id", F.lit(True).alias("_known")).distinct(), "id", "left").select(
         "id",
         (F.col("_known").isNotNull() & ~bad_dim).alias("updated"),
         F.when(F.col("_known").isNull(), F.lit("not_found")).when(bad_dim, F.lit("dimension_mismatch")).alias("reason"),
     )
-    good = known.where(~bad_dim)
+    # One row per id: the last text and vector that are given, and the metadata in order.
+    in_order = F.array_sort(F.collect_list(F.struct("_u_seq", "_u_meta")),
+                            lambda a, b: F.when(a["_u_seq"] < b["_u_seq"], -1).when(a["_u_seq"] > b["_u_seq"], 1).otherwise(0))
+    good = known.where(~bad_dim).groupBy("id").agg(
+        F.max_by("_u_text", F.when(F.col("_u_text").isNotNull(), F.col("_u_seq"))).alias("_u_text"),
+        F.max_by("_u_emb", F.when(F.col("_u_emb").isNotNull(), F.col("_u_seq"))).alias("_u_emb"),
+        in_order.alias("_u_metas"))
     joined = coll.join(_maybe_broadcast(good), "id", "left")
-    out = joined.select(
-        *[
-            F.coalesce("_u_text", "text").alias("text") if c == "text"
-            else F.coalesce("_u_emb", "embedding").alias("embedding") if c == "embedding"
-            else merge_metadata(F.col("metadata"), F.col("_u_meta")).alias("metadata") if c == "metadata"
-            else F.col(c)
-            for c in coll.columns
-        ]
-    )
-    return out, status
+    if "metadata" in coll.columns:
+        merged = F.aggregate("_u_metas", F.col("metadata"), lambda old, m: merge_metadata(old, m["_u_meta"]))
+        joined = joined.withColumn("_merged", F.when(F.col("_u_metas").isNull(), F.col("metadata")).otherwise(merged))
+
+    def updated(c: str) -> Column:
+        if c == "text":
+            return F.coalesce("_u_text", "text").alias("text")
+        if c == "embedding":
+            return F.coalesce("_u_emb", "embedding").alias("embedding")
+        if c == "metadata":
+            return F.col("_merged").alias("metadata")
+        kind = coll.schema[c].dataType.simpleString()
+        if c != "id" and "metadata" in coll.columns and kind in ("string", "int", "bigint", "float", "double", "boolean"):
+            held = F.try_variant_get(F.col("_merged"), "$['%s']" % c.replace("'", "\\'"), kind)
+            given = F.exists("_u_metas", lambda m: F.coalesce(
+                F.array_contains(F.map_keys(m["_u_meta"].cast("map<string,variant>")), c), F.lit(False)))
+            return F.when(given, held).otherwise(F.col(c)).alias(c)
+        return F.col(c)
+
+    return joined.select(*[updated(c) for c in coll.columns]), status
 
 
 # --- M4-M6: count, ids, peek -------------------------------------------------------------------------

@@ -15,6 +15,7 @@ Encoders plug in through :class:`Encoder`. Two ship with the package:
 from __future__ import annotations
 
 import time
+import uuid
 from collections.abc import Callable, Sequence
 
 import pyarrow as pa
@@ -62,7 +63,15 @@ class HashEncoder(Encoder):
         )
 
 
-_MODELS: dict[str, Callable[[list[str]], list[list[float]]]] = {}
+_MODELS: dict[tuple[str, str], Callable[[list[str]], list[list[float]]]] = {}
+
+
+def worker_model(name: str, version: str, factory: Callable) -> Callable:
+    """The model of this Python worker, loaded at its first use. Called by import, so the dictionary is
+    the worker's own and not a copy sent with each task."""
+    if (name, version) not in _MODELS:
+        _MODELS[name, version] = factory()
+    return _MODELS[name, version]
 
 
 class BatchEncoder(Encoder):
@@ -79,10 +88,11 @@ class BatchEncoder(Encoder):
         retry_delay: float = DEFAULT_RETRY_DELAY,
     ):
         self.name, self.dim, self.factory = name, dim, factory
+        self.version = uuid.uuid4().hex  # models of one name do not mix
         self.batch_size, self.max_retries, self.retry_delay = batch_size, max_retries, retry_delay
 
     def _udf(self):
-        name, dim, factory = self.name, self.dim, self.factory
+        name, dim, factory, version = self.name, self.dim, self.factory, self.version
         batch_size, max_retries, delay = self.batch_size, self.max_retries, self.retry_delay
 
         def call(fn, texts):
@@ -101,9 +111,7 @@ class BatchEncoder(Encoder):
 
         @F.arrow_udf(EMBED_RESULT)
         def encode(texts: pa.Array) -> pa.Array:
-            fn = _MODELS.get(name)
-            if fn is None:
-                fn = _MODELS[name] = factory()
+            fn = worker_model(name, version, factory)
             values = texts.to_pylist()
             emb: list = [None] * len(values)
             status: list = ["failed"] * len(values)
@@ -217,8 +225,8 @@ def embed_with_fallback(
     done = first.where(F.col("embed_status") == "ok")
     failed = first.where(F.col("embed_status") != "ok")
     if fallback is not None:
-        retried = embed(failed.drop(out_col, "embed_status", "embed_attempts", "embed_model"), fallback, text_col,
-                        out_col)
+        retried = materialize(embed(failed.drop(out_col, "embed_status", "embed_attempts", "embed_model"), fallback,
+                                    text_col, out_col))
         allrows = done.unionByName(retried)
     else:
         allrows = first

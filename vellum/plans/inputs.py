@@ -82,16 +82,18 @@ def vector_collection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def meta_collection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The vector collection with VARIANT metadata of four scalar types and a JSON-text list:
-    category (str), priority (int), score (float), flag (bool), tags (JSON list as text)."""
+    zone (str) and weight (int) from the size of a component, score (float), flag (bool), and axes
+    (JSON list as text) naming the components that are positive."""
     e = table(spark, sf_dir, "embeddings")
     lab = F.col("label")
-    tag_list = F.transform(F.sequence(F.lit(0), lab % 3), lambda i: F.concat(F.lit("tag_"), i.cast("string")))
+    height = F.element_at("embedding", 3)
+    axes = F.array_compact(F.array(*[F.when(F.element_at("embedding", 5 + i) > 0, F.lit(name)) for i, name in enumerate("xyz")]))
     meta = F.to_variant_object(F.struct(
-        F.concat(F.lit("category_"), (lab % 3).cast("string")).alias("category"),
-        (lab % 5).cast("bigint").alias("priority"),
+        F.when(height > 0.05, "north").when(height < -0.05, "south").otherwise("level").alias("zone"),
+        F.floor(F.abs(F.element_at("embedding", 4).cast("double")) * 20).cast("bigint").alias("weight"),
         F.round(F.element_at("embedding", 1).cast("double"), 4).alias("score"),
         (F.element_at("embedding", 2) > 0).alias("flag"),
-        F.to_json(tag_list).alias("tags"),
+        F.to_json(axes).alias("axes"),
     ))
     return e.select(
         F.concat(F.lit("vec_"), F.col("vec_id").cast("string")).alias("id"),

@@ -96,11 +96,11 @@ META = S.META_COLLECTION
 
 PROFILE_SQL = f"""
 WITH m AS ({META}), e AS (
-  SELECT id, 'category' AS field, 'str' AS type, category AS value_str FROM m UNION ALL
-  SELECT id, 'priority', 'int', CAST(priority AS VARCHAR) FROM m UNION ALL
+  SELECT id, 'zone' AS field, 'str' AS type, zone AS value_str FROM m UNION ALL
+  SELECT id, 'weight', 'int', CAST(weight AS VARCHAR) FROM m UNION ALL
   SELECT id, 'score', 'float', CAST(score AS VARCHAR) FROM m UNION ALL
   SELECT id, 'flag', 'bool', CAST(flag AS VARCHAR) FROM m UNION ALL
-  SELECT id, 'tags', 'str', tags FROM m),
+  SELECT id, 'axes', 'str', axes FROM m),
 t AS (SELECT field, type, count(*) AS n FROM e GROUP BY 1, 2),
 ty AS (SELECT field, sum(n) AS count, string_agg(type || ':' || CAST(n AS VARCHAR), ',' ORDER BY type || ':' || CAST(n AS VARCHAR)) AS types
        FROM t GROUP BY 1),
@@ -210,16 +210,16 @@ SQL = {
         enc_input IN (SELECT enc_input FROM ({CHUNKS_NOVEC}) WHERE lang IN ('en', 'fr')) AS hit FROM ({CHUNKS_NOVEC})""",
     "collection_open": f"SELECT id, label, 64 AS dimension, 'cosine' AS metric FROM ({META})",
     "add_documents": f"SELECT id, label, CAST(64 AS INTEGER) AS dims FROM ({META}) WHERE label < 5 OR label IN (6, 8, 9)",
-    "get_by_ids": f"SELECT id, text, label, category, priority FROM ({META}) WHERE label IN (1, 2)",
+    "get_by_ids": f"SELECT id, text, label, zone, weight FROM ({META}) WHERE label IN (1, 2)",
     "delete_by_ids": f"SELECT id, label FROM ({META}) WHERE label <> 0",
     "update_merge": f"""SELECT id, CASE WHEN label = 4 THEN 'updated ' || id ELSE text END AS text, label,
-        CASE WHEN label = 4 THEN 'updated' WHEN label = 8 THEN NULL ELSE category END AS category,
-        CASE WHEN label = 8 THEN NULL ELSE priority END AS priority,
+        CASE WHEN label = 4 THEN 'updated' WHEN label = 8 THEN NULL ELSE zone END AS zone,
+        CASE WHEN label = 8 THEN NULL ELSE weight END AS weight,
         CASE WHEN label = 4 THEN CAST(label * 10 AS BIGINT) END AS new_field,
         CAST(CASE WHEN label = 4 THEN 6 WHEN label = 8 THEN 0 ELSE 5 END AS INTEGER) AS n_keys FROM ({META})""",
     "collection_count": "SELECT count(*) AS count FROM embeddings",
     "list_ids": "SELECT 'vec_' || CAST(vec_id AS VARCHAR) AS id FROM embeddings",
-    "peek": f"SELECT id, text, category, priority FROM ({META}) ORDER BY id LIMIT 5",
+    "peek": f"SELECT id, text, zone, weight FROM ({META}) ORDER BY id LIMIT 5",
     "metadata_profile": PROFILE_SQL,
     "metadata_roundtrip": """SELECT event_id, '{"k":' || CAST(CAST(json_extract(props, '$.k') AS BIGINT) AS VARCHAR) || '}' AS stored_props,
         CAST(json_extract(props, '$.k') AS BIGINT) AS props_k, 'u' || CAST(user_id AS VARCHAR) AS tag_user, event_type, value
@@ -227,7 +227,7 @@ SQL = {
     "collection_stats": "SELECT 'test_collection' AS name, CAST(count(*) AS BIGINT) AS count, CAST(5 AS BIGINT) AS n_fields, "
                         "CAST(64 AS INTEGER) AS dimension FROM embeddings",
     "verify_population": VERIFY_SQL,
-    "backup_restore": f"SELECT id, text, label, category, priority, {_checksum('embedding')} AS checksum FROM ({META})",
+    "backup_restore": f"SELECT id, text, label, zone, weight, {_checksum('embedding')} AS checksum FROM ({META})",
     "import_summary": f"""SELECT count(DISTINCT source_file) AS n_documents, count(*) AS n_chunks, CAST(count(*) AS BIGINT) AS n_embedded,
         CAST(0 AS BIGINT) AS n_rejected, round(avg(length(text)), 4) AS avg_chunk_chars FROM ({CHUNKS_NOVEC})""",
     "reflection_tokens": f"""SELECT conv_id, turn,

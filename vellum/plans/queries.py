@@ -166,17 +166,17 @@ def q_knn_filtered(spark: SparkSession, sf: str) -> DataFrame:
 
 
 WHERE_CASES = {
-    "eq_str": {"category": "category_1"},
-    "eq_int": {"priority": 2},
-    "ne": {"category": {"$ne": "category_0"}},
+    "eq_str": {"zone": "north"},
+    "eq_int": {"weight": 2},
+    "ne": {"zone": {"$ne": "south"}},
     "gt": {"score": {"$gt": 0.1}},
-    "gte": {"priority": {"$gte": 3}},
+    "gte": {"weight": {"$gte": 3}},
     "lt": {"score": {"$lt": -0.1}},
-    "lte": {"priority": {"$lte": 1}},
-    "in": {"category": {"$in": ["category_0", "category_2"]}},
-    "nin": {"priority": {"$nin": [0, 4]}},
-    "and": {"$and": [{"category": "category_1"}, {"flag": True}]},
-    "or": {"$or": [{"priority": 0}, {"score": {"$gt": 0.2}}]},
+    "lte": {"weight": {"$lte": 1}},
+    "in": {"zone": {"$in": ["south", "level"]}},
+    "nin": {"weight": {"$nin": [0, 4]}},
+    "and": {"$and": [{"zone": "north"}, {"flag": True}]},
+    "or": {"$or": [{"weight": 0}, {"score": {"$gt": 0.2}}]},
     "promoted": {"label": {"$in": [1, 2, 3]}},
     "absent_key": {"no_such_key": 1},
     "empty": {},
@@ -324,8 +324,8 @@ def q_cache_populate(spark: SparkSession, sf: str) -> DataFrame:
 def _meta_cols() -> list:
     m = F.col("metadata")
     return [
-        F.try_variant_get(m, "$.category", "string").alias("category"),
-        F.try_variant_get(m, "$.priority", "bigint").alias("priority"),
+        F.try_variant_get(m, "$.zone", "string").alias("zone"),
+        F.try_variant_get(m, "$.weight", "bigint").alias("weight"),
     ]
 
 
@@ -382,7 +382,7 @@ def q_delete_by_ids(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_update_merge(spark: SparkSession, sf: str) -> DataFrame:
-    """label 4: new text + metadata {category, new_field} merged; label 8: metadata {} replaces;
+    """label 4: new text + metadata {zone, new_field} merged; label 8: metadata {} replaces;
     label 6: updates aimed at unknown ids (not applied)."""
     from vellum.operators.collection import update_documents
 
@@ -392,7 +392,7 @@ def q_update_merge(spark: SparkSession, sf: str) -> DataFrame:
         F.when(lab == 6, F.concat(F.lit("ghost_"), F.col("id"))).otherwise(F.col("id")).alias("id"),
         F.when(lab == 4, F.concat(F.lit("updated "), F.col("id"))).alias("text"),
         F.when(lab == 8, F.parse_json(F.lit("{}")))
-        .otherwise(F.to_variant_object(F.struct(F.lit("updated").alias("category"),
+        .otherwise(F.to_variant_object(F.struct(F.lit("updated").alias("zone"),
                                                 (lab * 10).cast("bigint").alias("new_field")))).alias("metadata"),
     )
     out, status = update_documents(coll, upd, EMB_DIM)
@@ -513,15 +513,15 @@ def _retrieved(spark: SparkSession, sf: str, k: int = 5) -> DataFrame:
 
 
 def q_retrieve_context(spark: SparkSession, sf: str) -> DataFrame:
-    from vellum.operators.context import gather_contexts
-
-    ranked = _retrieved(spark, sf)
-    ids = gather_contexts(ranked, text_col="id").withColumnRenamed("contexts", "ids")
-    ctx = gather_contexts(ranked)
-    return ctx.join(ids, "query_id").select(
-        "query_id", F.size("contexts").cast("int").alias("n_contexts"), F.array_join("ids", "|").alias("context_ids"),
-        F.aggregate(F.transform("contexts", lambda c: F.length(c)), F.lit(0), lambda a, x: a + x)
-        .cast("bigint").alias("context_chars"))
+    # At most k hits per question; a question without hits keeps its row with none.
+    hits = _retrieved(spark, sf).groupBy("query_id").agg(
+        F.array_sort(F.collect_list(F.struct("rank", "id", F.length("text").alias("n")))).alias("hits"))
+    asked = inputs.benchmark_queries(spark, sf).select("query_id").join(hits, "query_id", "left")
+    hit = F.coalesce("hits", F.array().cast("array<struct<rank:int,id:string,n:int>>"))
+    return asked.select(
+        "query_id", F.size(hit).cast("int").alias("n_contexts"),
+        F.array_join(F.transform(hit, lambda h: h["id"]), "|").alias("context_ids"),
+        F.aggregate(hit, F.lit(0).cast("bigint"), lambda a, h: a + h["n"]).alias("context_chars"))
 
 
 def q_route_queries(spark: SparkSession, sf: str) -> DataFrame:
@@ -548,7 +548,7 @@ def q_context_prompt(spark: SparkSession, sf: str) -> DataFrame:
 
     ctx = gather_contexts(_retrieved(spark, sf))
     q = inputs.benchmark_queries(spark, sf)
-    return q.join(ctx, "query_id").select("query_id", context_prompt("contexts", "text").alias("prompt"))
+    return q.join(ctx, "query_id", "left").select("query_id", context_prompt("contexts", "text").alias("prompt"))
 
 
 def q_instruction_prompt(spark: SparkSession, sf: str) -> DataFrame:

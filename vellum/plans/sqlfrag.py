@@ -135,8 +135,10 @@ SELECT *{vec} FROM (
 
 META_COLLECTION = """
 SELECT 'vec_' || CAST(vec_id AS VARCHAR) AS id, 'vector ' || CAST(vec_id AS VARCHAR) || ' label ' || CAST(label AS VARCHAR) AS text,
-  embedding, label, 'category_' || CAST(label % 3 AS VARCHAR) AS category, CAST(label % 5 AS BIGINT) AS priority,
+  embedding, label, CASE WHEN embedding[3] > 0.05 THEN 'north' WHEN embedding[3] < -0.05 THEN 'south' ELSE 'level' END AS zone,
+  CAST(floor(abs(CAST(embedding[4] AS DOUBLE)) * 20) AS BIGINT) AS weight,
   round(CAST(embedding[1] AS DOUBLE), 4) AS score, embedding[2] > 0 AS flag,
-  '[' || array_to_string(list_transform(range(0, label % 3 + 1), lambda i: '"tag_' || CAST(i AS VARCHAR) || '"'), ',') || ']' AS tags
+  '[' || array_to_string(list_filter([CASE WHEN embedding[5] > 0 THEN '"x"' END, CASE WHEN embedding[6] > 0 THEN '"y"' END,
+    CASE WHEN embedding[7] > 0 THEN '"z"' END], lambda v: v IS NOT NULL), ',') || ']' AS axes
 FROM embeddings
 """

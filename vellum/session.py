@@ -36,7 +36,7 @@ def get_session(master: str | None = None, app: str = "vellum", **conf: str) ->
     for key, value in {**DEFAULT_CONF, **conf}.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
-    spark.sparkContext.setLogLevel("OFF")
+    spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
     ship_package(spark)
     return spark
@@ -52,6 +52,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         "spark.checkpoint.dir", None
     )
     if not configured:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         # Only reached in tests / ad-hoc local sessions: nothing was configured.
         configured = tempfile.mkdtemp(prefix="vellum-ckpt-")
     sc.setCheckpointDir(configured)

@@ -3,6 +3,8 @@ works on local disk, HDFS or an object store."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -25,14 +27,21 @@ def list_dirs(spark: SparkSession, path: str) -> list[str]:
 
 
 def write_text(spark: SparkSession, path: str, text: str) -> None:
-    """Write a small file (pointer / properties); overwrite-and-close is atomic enough for a pointer
-    that is only read after the data it names is complete."""
-    fs, p = _fs(spark, path)
+    """Write a small file (pointer / properties) beside its place and rename it, so that a reader sees the
+    old text or the new one, never an empty file."""
+    jvm = spark._jvm
+    fs, target = _fs(spark, path)
+    p = jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}")
     out = fs.create(p, True)
     try:
         out.write(bytearray(text.encode("utf-8")))
     finally:
         out.close()
+    option = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = option
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(
+        fs.makeQualified(p).toUri(), spark._jsc.hadoopConfiguration()).rename(p, target, options)
 
 
 def read_text(spark: SparkSession, path: str) -> str | None:

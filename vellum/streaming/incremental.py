@@ -25,7 +25,8 @@ BINARY_FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, co
 
 def markdown_stream(spark: SparkSession, root: str, max_files_per_trigger: int | None = None) -> DataFrame:
     reader = (spark.readStream.format("binaryFile").schema(BINARY_FILE_SCHEMA)
-              .option("recursiveFileLookup", "true"))
+              .option("recursiveFileLookup", "true")
+              .option("maxFileAge", "36500d"))  # files are imported once however old they are
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
     return reader.load(root)
@@ -33,17 +34,25 @@ def markdown_stream(spark: SparkSession, root: str, max_files_per_trigger: int |
 
 def run_incremental_import(spark: SparkSession, root: str, store: CollectionStore, checkpoint: str,
                            encoder: em.Encoder | None = None, chunk_size: int = 500, chunk_overlap: int = 50) -> dict:
-    """Import every file not yet seen; returns counts before/after and per-batch additions."""
+    """Import every file not yet seen; returns counts before/after, per-batch additions and the number of
+    files that are not UTF-8, whose ``(stage, key, reason)`` rows are kept below ``<checkpoint>/rejects``."""
     encoder = encoder or em.HashEncoder(store.dimension)
     before = store.read().count()
     added: list[int] = []
+    rejected: list[int] = []
 
     def batch(files: DataFrame, epoch_id: int) -> None:
         raw = files.where(F.lower("path").rlike(MARKDOWN_PATTERN))
         text = F.try_validate_utf8(F.col("content").cast("string"))
         docs = raw.select(F.regexp_replace("path", "^file:", "").alias("source_file"),
                           F.col("modificationTime").alias("modification_time"),
-                          F.regexp_replace(text, "\\r\\n?", "\n").alias("text")).where(F.col("text").isNotNull())
+                          F.regexp_replace(text, "\\r\\n?", "\n").alias("text"))
+        bad = em.materialize(docs.where(F.col("text").isNull()).select(
+            F.lit("scan").alias("stage"), F.col("source_file").alias("key"), F.lit("invalid_utf8").alias("reason")))
+        rejected.append(bad.count())
+        if rejected[-1]:  # one folder per batch: a replayed batch writes the same rows again
+            bad.write.mode("overwrite").parquet(f"{checkpoint}/rejects/batch={epoch_id}")
+        docs = docs.where(F.col("text").isNotNull())
         rows, _ = ingest_documents(docs, encoder, chunk_size, chunk_overlap)
         current = store.read() if store.segments() else rows.limit(0)
         res = add_documents(current, rows, store.dimension)
@@ -56,4 +65,4 @@ def run_incremental_import(spark: SparkSession, root: str, store: CollectionStor
     q = (markdown_stream(spark, root).writeStream.foreachBatch(batch)
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
-    return {"before": before, "after": store.read().count(), "batches": added}
+    return {"before": before, "after": store.read().count(), "batches": added, "rejected": sum(rejected)}
