@@ -2,6 +2,7 @@
 
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from vellum.operators.embed import HashEncoder
@@ -17,35 +18,37 @@ def _write(root, rel, data: bytes):
 
 
 def _corpus(root):
-    _write(root, "doc1.md", b"# Doc One\nSome text #tag1 and #tag2\n")
-    _write(root, "doc2.md", b"---\ntags: [t1, t2]\n---\n# Doc Two\r\nBody\r\nmore\rend")
-    _write(root, "nested/doc3.md", b"> quote with #important\n")
+    _write(root, "soil.md", b"# Soil care\nTurn it in #spring or #autumn\n")
+    _write(root, "seeds.md", b"---\ntags: [peas, beans]\n---\n# Seeds to buy\r\nBody\r\nmore\rend")
+    _write(root, "beds/frost.md", b"> cover them, says the #almanac\n")
     _write(root, "B.MD", b"upper case extension")
     _write(root, "c.markdown", b"long extension")
-    _write(root, "test3.txt", b"not markdown")
+    _write(root, "prices.txt", b"not markdown")
     _write(root, ".y.md", b"hidden file")
     _write(root, "_x.md", b"underscore file")
     _write(root, "empty.md", b"")
     _write(root, "bad.md", b"\xff\xfe invalid utf8")
 
 
-def test_default_scan(spark, scratch):
+def test_scan_by_sparks_own_listing(spark, scratch):
     root = scratch[len("file:"):] if scratch.startswith("file:") else scratch
     _corpus(root)
-    docs, rejects = scan_markdown(spark, root)
+    docs, rejects = scan_markdown(spark, root, strict=False)
     names = {os.path.basename(r.source_file): r.text for r in docs.collect()}
-    assert set(names) == {"doc1.md", "doc2.md", "doc3.md", "B.MD", "c.markdown"}
-    assert names["doc2.md"] == "---\ntags: [t1, t2]\n---\n# Doc Two\nBody\nmore\nend"
+    assert set(names) == {"soil.md", "seeds.md", "frost.md", "B.MD", "c.markdown"}
+    assert names["seeds.md"] == "---\ntags: [peas, beans]\n---\n# Seeds to buy\nBody\nmore\nend"
     assert [os.path.basename(r.key) for r in rejects.collect()] == ["bad.md"]
 
 
-def test_strict_scan_sees_hidden_and_empty(spark, scratch):
+def test_scan_is_complete(spark, scratch):
     root = scratch[len("file:"):] if scratch.startswith("file:") else scratch
     _corpus(root)
-    docs, rejects = scan_markdown(spark, root, strict=True)
+    docs, rejects = scan_markdown(spark, root)
     names = {os.path.basename(r.source_file) for r in docs.collect()}
-    assert {".y.md", "_x.md", "empty.md", "doc1.md", "doc3.md"} <= names and "test3.txt" not in names
+    assert {".y.md", "_x.md", "empty.md", "soil.md", "frost.md"} <= names and "prices.txt" not in names
     assert rejects.count() == 1
+    with pytest.raises(FileNotFoundError):
+        scan_markdown(spark, root + "/missing")
 
 
 def test_ingest_files(spark, scratch):
@@ -54,9 +57,9 @@ def test_ingest_files(spark, scratch):
     docs, _ = scan_markdown(spark, root)
     rows, rejects = ingest_documents(docs, HashEncoder(64), 200, 50)
     got = {os.path.basename(r.source_file): r for r in rows.collect()}
-    assert got["doc1.md"].doc_title == "Doc One" and got["doc1.md"].tags == ["tag1", "tag2"]
-    assert got["doc2.md"].tags == ["t1", "t2"] and got["doc3.md"].tags == ["important"]
-    assert len(got["doc1.md"].embedding) == 64 and rejects.count() == 0
+    assert got["soil.md"].doc_title == "Soil care" and got["soil.md"].tags == ["autumn", "spring"]
+    assert got["seeds.md"].tags == ["beans", "peas"] and got["frost.md"].tags == ["almanac"]
+    assert len(got["soil.md"].embedding) == 64 and rejects.count() == 0
     assert rows.where(F.col("creation_date").isNull()).count() == 0
     again, _ = ingest_documents(docs, HashEncoder(64), 200, 50)
     assert again.select("id").subtract(rows.select("id")).count() == 0  # content ids are stable

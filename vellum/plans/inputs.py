@@ -128,16 +128,19 @@ def write_markdown_files(spark: SparkSession, sf_dir: str, root: str, where: str
     md = markdown_docs(spark, sf_dir)
     if where:
         md = md.where(where)
-    local = root[len("file:"):] if root.startswith("file:") else root
 
     def write(rows):
-        import os
+        from vellum.sources.markdown import store_of
 
+        store, base = store_of(root)
+        made = set()
         for r in rows:
-            d = os.path.join(local, r["source"])
-            os.makedirs(d, exist_ok=True)
-            with open(os.path.join(d, f"doc_{r['doc_id']}.md"), "w", encoding="utf-8", newline="") as f:
-                f.write(r["content"])
+            d = f"{base}/{r['source']}"
+            if d not in made:
+                store.create_dir(d, recursive=True)
+                made.add(d)
+            with store.open_output_stream(f"{d}/doc_{r['doc_id']}.md") as f:
+                f.write(r["content"].encode("utf-8"))
 
     md.select("doc_id", "source", "content").foreachPartition(write)
     return root

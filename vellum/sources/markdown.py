@@ -1,10 +1,9 @@
 """Markdown corpus scans (S1-S3).
 
-Default mode reads with the ``binaryFile`` source (recursive listing, ``.md``/``.markdown`` matched
-case-insensitively on the path, file modification time from the listing). Two gaps of that source
-are documented rather than hidden: Hadoop listing skips names starting with ``.`` or ``_`` and
-the source drops zero-length files. ``strict=True`` lists files itself and reads them with
-``mapInPandas`` (needs a file system visible to executors), returning those files too.
+The scan is complete by default: tasks list and read the files themselves, through the file system of
+the root's scheme, with names that start with ``.`` or ``_`` and empty files too; a missing root is
+an error. ``strict=False`` reads with Spark's ``binaryFile`` source instead, for stores that only Spark
+reaches: its listing skips such names, and the source drops zero-length files.
 
 Bytes that are not valid UTF-8 make the file a reject (``try_validate_utf8``), not a failed job;
 ``\\r\\n`` and ``\\r`` become ``\\n`` (universal newlines).
@@ -14,6 +13,8 @@ from __future__ import annotations
 
 import os
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +22,13 @@ from pyspark.sql import functions as F
 MARKDOWN_PATTERN = "\\.(md|markdown)$"
 
 
+def store_of(root: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a folder's scheme and the folder's path in it."""
+    if "://" in root:
+        return fs.FileSystem.from_uri(root)
+    return fs.LocalFileSystem(), os.path.abspath(root.removeprefix("file:"))
+
+
 def _decode(content) -> tuple:
     text = F.try_validate_utf8(content.cast("string"))
     return text, F.regexp_replace(text, "\\r\\n?", "\n")
@@ -36,7 +44,7 @@ def list_markdown(spark: SparkSession, root: str) -> DataFrame:
         "path", F.col("modificationTime").alias("modification_time"), "length")
 
 
-def scan_markdown(spark: SparkSession, root: str, strict: bool = False, partitions: int | None = None
+def scan_markdown(spark: SparkSession, root: str, strict: bool = True, partitions: int | None = None
                   ) -> tuple[DataFrame, DataFrame]:
     """Returns ``(documents, rejects)``; documents ``(source_file, modification_time, text)``."""
     if strict:
@@ -59,29 +67,44 @@ def scan_markdown(spark: SparkSession, root: str, strict: bool = False, partitio
 
 
 def _strict_read(spark: SparkSession, root: str, partitions: int | None) -> DataFrame:
-    """List on the driver (paths only), read in tasks. Includes hidden, '_' and empty files."""
-    local = root[len("file:"):] if root.startswith("file:") else root
-    paths = []
-    for d, _, names in os.walk(local):
-        for n in names:
-            if n.lower().endswith((".md", ".markdown")):
-                paths.append(os.path.join(d, n))
-    n = partitions or max(1, min(len(paths), spark.sparkContext.defaultParallelism * 4))
-    listing = spark.createDataFrame([(p,) for p in sorted(paths)], "path string").repartition(n)
+    """Every markdown file below ``root``, hidden, '_' and empty ones too. The driver sees only the
+    entries of ``root`` itself; tasks list what is below them and read the files, through the file system
+    that the root's scheme names."""
+    store, base = store_of(root)
+    prefix = root[: root.index("://") + 3] + root[root.index("://") + 3:].split("/", 1)[0] if (
+        "://" in root and not root.startswith("file:")) else ""
+    if store.get_file_info(base).type == fs.FileType.NotFound:
+        raise FileNotFoundError(root)
+    top = [(e.path, e.type == fs.FileType.Directory, e.mtime_ns or 0) for e in store.get_file_info(fs.FileSelector(base))]
+    n = partitions or max(1, min(len(top), spark.sparkContext.defaultParallelism * 4))
+
+    def expand(batches):
+        own, _ = store_of(root)
+        for b in batches:
+            for path, is_dir, mtime in zip(*[c.to_pylist() for c in b.columns]):
+                found = [(path, mtime)] if not is_dir else [
+                    (e.path, e.mtime_ns or 0) for e in own.get_file_info(fs.FileSelector(path, recursive=True))
+                    if e.type == fs.FileType.File]
+                found = [x for x in found if x[0].lower().endswith((".md", ".markdown"))]
+                if found:
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([f for f, _ in found]), pa.array([m // 1000 for _, m in found], pa.int64())], ["path", "mtime"])
 
     def read(batches):
-        import pyarrow as pa
-
+        own, _ = store_of(root)
         for b in batches:
-            paths = b.column("path").to_pylist()
-            mtimes, contents = [], []
-            for p in paths:
-                mtimes.append(int(os.stat(p).st_mtime * 1_000_000))
-                with open(p, "rb") as f:
-                    contents.append(f.read())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(paths, pa.string()), pa.array(mtimes, pa.int64()).cast(pa.timestamp("us", tz="UTC")),
-                 pa.array(contents, pa.binary())],
-                names=["path", "modification_time", "content"])
-
-    return listing.mapInArrow(read, "path string, modification_time timestamp, content binary")
+            for at in range(0, b.num_rows, 64):
+                some = b.slice(at, 64)
+                paths, contents = some.column(0).to_pylist(), []
+                for path in paths:
+                    with own.open_input_stream(path) as f:
+                        contents.append(f.read())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([prefix + path for path in paths], pa.string()),
+                     some.column(1).cast(pa.timestamp("us", tz="UTC")), pa.array(contents, pa.binary())],
+                    names=["path", "modification_time", "content"])
+
+    listing = spark.createDataFrame(top, "path string, is_dir boolean, mtime long").repartition(n)
+    files = listing.mapInArrow(expand, "path string, mtime long")
+    spread = files.repartition(partitions or spark.sparkContext.defaultParallelism * 4)
+    return spread.mapInArrow(read, "path string, modification_time timestamp, content binary")
