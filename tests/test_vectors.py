@@ -89,3 +89,14 @@ def test_zero_vector_excluded_from_cosine(spark):
     corpus = spark.createDataFrame([("z", [0.0, 0.0]), ("a", [1.0, 0.0])], "id string, embedding array<float>")
     q = spark.createDataFrame([(0, [1.0, 1.0])], "query_id int, embedding array<float>")
     assert [r.id for r in kn.knn(corpus, q, 5, "cosine", dim=2).collect()] == ["a"]
+
+
+def test_many_rows_of_one_query_id_in_small_blocks(spark):
+    """Blocks are cut by rows, so one id may hold any number of them; the corpus is mapped once."""
+    corpus = spark.createDataFrame([(i, [float(np.sin(i * j + 1)) for j in range(8)]) for i in range(50)], "id long, embedding array<float>")
+    queries = spark.createDataFrame([(7, [float(j + 1) for j in range(8)])] * 400 + [(8, [0.0] * 8), (9, [1.0])],
+                                    "query_id long, embedding array<float>")
+    cands = kn.knn_candidates(corpus, queries, 3, "cosine", dim=8, max_block_bytes=5 * 8 * 8)
+    assert cands._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    best = {r.id for r in kn.knn(corpus, queries.limit(1), 3, "cosine", dim=8).collect()}
+    assert {r.id for r in cands.orderBy("distance").collect()} >= best

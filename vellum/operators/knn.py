@@ -1,28 +1,27 @@
 """Exact top-k similarity search of a query table against a corpus table.
 
-Plan shape (per query block):
+Plan shape:
 
+    query rows -> mapInArrow: packed in blocks of at most ``max_block_bytes`` -> shared folder
     corpus scan (id, embedding; where-filters pushed to Parquet)
-      -> mapInArrow: block matrix product against the broadcast query block, running top-k per
-         query kept across every Arrow batch of the task, emitted once per task
-      -> exchange by query_id (at most k rows per query per task)
+      -> mapInArrow: tiles of bounded size; every query block is read from the shared folder and
+         multiplied with the tile, top-k per query and tile
+      -> exchange by query_id (at most k rows per query and tile)
       -> row_number() over (partition by query_id order by distance, id) <= k
 
-The corpus is never shuffled and never replicated: each task streams its split once per query
-block. The query side is the only broadcast; it is counted first and split into blocks of at most
-``max_block_bytes`` each (hash of the query id), so what is broadcast has a checked size bound
-whatever the query table holds. Ties are broken by id; distances are compared at 1e-9 resolution
+The corpus is scanned once, never shuffled and never replicated; the query table passes through
+neither the driver nor a broadcast. Ties are broken by id; distances are compared at 1e-9 resolution
 so that float noise between kernels cannot reorder equal distances.
 """
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellum.functions.vectors import METRICS
@@ -167,18 +166,71 @@ def _arrow_type(df: DataFrame, col: str) -> pa.DataType:
     return to_arrow_type(df.schema[col].dataType)
 
 
-def _collect_block(spark: SparkSession, qdf: DataFrame, dim: int, metric: str) -> _Block:
-    tbl = qdf.toArrow()
-    ids = tbl.column("query_id").combine_chunks()
-    mat, ok = _list_to_matrix(tbl.column("qvec").combine_chunks(), dim)
-    ids_np = np.asarray(ids.to_pylist(), dtype=object) if pa.types.is_string(ids.type) else ids.to_numpy(
-        zero_copy_only=False)
-    mat, ids_np = mat[ok], ids_np[ok]
-    if metric == "cosine":
-        nrm = np.sqrt(np.einsum("ij,ij->i", mat, mat))
-        good = nrm > 0
-        mat, ids_np = mat[good] / nrm[good][:, None], ids_np[good]
-    return _Block(ids=ids_np, mat=np.ascontiguousarray(mat))
+def _pack_queries(metric: str, dim: int, rows_per_block: int, qid_type: pa.DataType):
+    """Query rows -> blocks ``(ids, mat)`` of at most ``rows_per_block`` queries, packed by the tasks that
+    hold them; vectors that cannot be ranked (wrong length, null, zero norm for cosine) are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            mat, ok = _list_to_matrix(batch.column(1), dim)
+            ok = ok & np.asarray(batch.column(0).is_valid().to_numpy(zero_copy_only=False))
+            if metric == "cosine":
+                nrm = np.sqrt(np.einsum("ij,ij->i", mat, mat))
+                ok = ok & (nrm > 0)
+                mat = mat / np.where(nrm > 0, nrm, 1.0)[:, None]
+            ids, mat = batch.column(0).filter(pa.array(ok)), mat[ok]
+            for at in range(0, len(mat), rows_per_block):
+                some = ids.slice(at, rows_per_block)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.ListArray.from_arrays(pa.array([0, len(some)], pa.int32()), some.cast(qid_type)),
+                     pa.array([np.ascontiguousarray(mat[at:at + rows_per_block]).tobytes()], pa.binary())], ["ids", "mat"])
+
+    return run
+
+
+def _read_blocks(folder: str, dim: int) -> Iterator[_Block]:
+    """The packed query blocks of the shared folder, one after the other."""
+    import pyarrow.parquet as pq
+    from pyarrow import fs
+
+    from vellum.sources.markdown import store_of
+
+    store, base = store_of(folder)
+    files = sorted(f.path for f in store.get_file_info(fs.FileSelector(base)) if f.path.endswith(".parquet"))
+    for path in files:
+        with store.open_input_file(path) as f:
+            for batch in pq.ParquetFile(f).iter_batches(batch_size=1):
+                for ids, mat in zip(batch.column("ids"), batch.column("mat")):
+                    ids = ids.values
+                    ids_np = np.asarray(ids.to_pylist(), dtype=object) if pa.types.is_string(ids.type) else ids.to_numpy(
+                        zero_copy_only=False)
+                    yield _Block(ids=ids_np, mat=np.frombuffer(mat.as_py(), np.float64).reshape(len(ids_np), dim))
+
+
+def _tiled(folder: str, metric: str, k: int, dim: int, qid_type: pa.DataType, id_type: pa.DataType, tile_bytes: int):
+    """Corpus batches are held in tiles of bounded size; every query block is read and ranked against
+    each tile, so the corpus is scanned once whatever the number of queries."""
+
+    class Held:
+        def __init__(self, value):
+            self.value = value
+
+    def rank(tile: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in _read_blocks(folder, dim):
+            yield from _kernel(Held(block), metric, k, dim, "id", "embedding", qid_type, id_type)(iter(tile))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tile, size = [], 0
+        for batch in batches:
+            tile.append(batch)
+            size += batch.nbytes
+            if size >= tile_bytes:
+                yield from rank(tile)
+                tile, size = [], 0
+        if tile:
+            yield from rank(tile)
+
+    return run
 
 
 def knn_candidates(
@@ -200,39 +252,23 @@ def knn_candidates(
     if k <= 0:
         raise ValueError("k must be positive")
     spark = corpus.sparkSession
-    from vellum.session import ship_package
+    from vellum.session import shared_path, ship_package
 
     ship_package(spark)
-    raw_q = queries.select(F.col(query_id_col).alias("query_id"), F.col(query_vec_col).alias("qvec"))
-    # Count before validating: the count then needs no vector (the encoder is pruned away) and
-    # is an upper bound of the valid queries, which is all the block sizing needs.
-    n_queries = raw_q.select("query_id").count()
-    q = raw_q.where(F.col("qvec").isNotNull() & (F.size("qvec") == dim))
+    q = queries.select(F.col(query_id_col).alias("query_id"), F.col(query_vec_col).alias("qvec")).where(
+        F.col("qvec").isNotNull() & (F.size("qvec") == dim))
     qid_type = _arrow_type(q, "query_id")
     c = corpus.select(F.col(id_col).alias("id"), F.col(vec_col).alias("embedding"))
     id_type = _arrow_type(c, "id")
-    schema = f"query_id {q.schema['query_id'].dataType.simpleString()}, id {c.schema['id'].dataType.simpleString()}, distance double"
-    if n_queries == 0:
-        return spark.createDataFrame([], schema)
+    qid_sql = q.schema["query_id"].dataType.simpleString()
+    schema = f"query_id {qid_sql}, id {c.schema['id'].dataType.simpleString()}, distance double"
+    # The executors write the query vectors in blocks to the shared folder and read them there, block by
+    # block: neither the driver nor a broadcast ever holds the query table, and a repeated query id is
+    # a row like any other.
+    folder = shared_path(spark, "knn", "queries", unique=True)
     rows_per_block = max(1, max_block_bytes // (dim * 8))
-    # Hash blocks have a binomial size; the 1.5x margin keeps each under the byte budget.
-    n_blocks = max(1, math.ceil(1.5 * n_queries / rows_per_block)) if n_queries > rows_per_block else 1
-    parts = []
-    for b in range(n_blocks):
-        qb = q if n_blocks == 1 else q.where(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)) == b)
-        block = _collect_block(spark, qb, dim, metric)
-        if block.mat.nbytes > 2 * max_block_bytes:
-            raise RuntimeError(f"query block {b} is {block.mat.nbytes} bytes, over the broadcast budget")
-        if block.mat.shape[0] == 0:
-            continue
-        bc = spark.sparkContext.broadcast(block)
-        parts.append(c.mapInArrow(_kernel(bc, metric, k, dim, "id", "embedding", qid_type, id_type), schema))
-    if not parts:
-        return spark.createDataFrame([], schema)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    q.mapInArrow(_pack_queries(metric, dim, rows_per_block, qid_type), f"ids array<{qid_sql}>, mat binary").write.parquet(folder)
+    return c.mapInArrow(_tiled(folder, metric, k, dim, qid_type, id_type, max_block_bytes), schema)
 
 
 def final_topk(cands: DataFrame, k: int) -> DataFrame:
