@@ -169,3 +169,18 @@ def test_store_backup_restore(spark, coll, scratch):
     path = empty_store.backup(f"{scratch}/backup_empty")
     with pytest.raises(ValueError):
         CollectionStore(spark, scratch, "target2", DIM).restore(path)
+
+
+def test_rows_without_id_get_a_content_id(spark, coll):
+    bare = _rows(spark, 3, "x", 40).drop("id")
+    first = co.add_documents(coll, bare, DIM)
+    assert first.added.count() == 3 and first.rejected.count() == 0
+    assert co.add_documents(first.collection, bare.withColumn("id", F.lit(None).cast("string")), DIM).added.count() == 0
+
+
+def test_restore_refuses_another_dimension_or_metric(spark, coll, scratch):
+    store = CollectionStore(spark, scratch, "wide", DIM)
+    store.commit(coll)
+    path = store.backup(f"{scratch}/wide_backup")
+    with pytest.raises(ValueError, match="dimension"):
+        CollectionStore(spark, scratch, "narrow", DIM // 2).restore(path)

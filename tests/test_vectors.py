@@ -100,3 +100,10 @@ def test_many_rows_of_one_query_id_in_small_blocks(spark):
     assert cands._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
     best = {r.id for r in kn.knn(corpus, queries.limit(1), 3, "cosine", dim=8).collect()}
     assert {r.id for r in cands.orderBy("distance").collect()} >= best
+
+
+def test_l2_keeps_its_digits_far_from_the_origin():
+    x = np.full((3, 4), 1e6)
+    x[0, 0] += 1e-4
+    x[1, 0] += 5e-4
+    assert np.allclose(kn._distances(np.full((1, 4), 1e6), x, "l2"), [[1e-8, 2.5e-7, 0]], rtol=1e-4, atol=0)

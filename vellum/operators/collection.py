@@ -59,7 +59,11 @@ class AddResult:
 
 def add_documents(current: DataFrame, new: DataFrame, dim: int) -> AddResult:
     """Validate dimensions, keep the first row per id within the batch (lowest text), skip ids that
-    already exist (the store keeps the first), append. Nothing invalid is written."""
+    already exist (the store keeps the first), append. Nothing invalid is written. A row without an id
+    (or a frame without the column) gets the content id of its text and metadata."""
+    meta = F.to_json("metadata") if "metadata" in new.columns else F.lit(None).cast("string")
+    made = F.when(F.col("text").isNotNull(), content_id(F.col("text"), meta))
+    new = new.withColumn("id", F.coalesce("id", made) if "id" in new.columns else made)
     valid_pred = vx.is_valid_vector(F.col("embedding"), dim) & F.col("id").isNotNull()
     rejected = new.where(~valid_pred).select(
         "id", F.coalesce(vx.invalid_reason(F.col("embedding"), dim), F.lit("missing_id")).alias("reason"))

@@ -71,9 +71,18 @@ def _distances(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
     if metric == "ip":
         return 1.0 - q @ x.T
     if metric == "l2":
-        qq = np.einsum("ij,ij->i", q, q)[:, None]
-        xx = np.einsum("ij,ij->i", x, x)[None, :]
-        return np.maximum(qq + xx - 2.0 * (q @ x.T), 0.0)
+        # Centred, so that a common offset does not cancel the digits; pairs that are still close for
+        # their size are taken again by differences.
+        centre = x.mean(axis=0) if len(x) else 0.0
+        qc, xc = q - centre, x - centre
+        size = np.einsum("ij,ij->i", qc, qc)[:, None] + np.einsum("ij,ij->i", xc, xc)[None, :]
+        d = np.maximum(size - 2.0 * (qc @ xc.T), 0.0)
+        i, j = np.nonzero(d < 1e-4 * size)
+        for at in range(0, len(i), 1 << 16):
+            a, b = i[at:at + (1 << 16)], j[at:at + (1 << 16)]
+            step = q[a] - x[b]
+            d[a, b] = np.einsum("ij,ij->i", step, step)
+        return d
     raise ValueError(metric)
 
 

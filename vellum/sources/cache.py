@@ -21,7 +21,8 @@ class EmbeddingCache:
     def read(self) -> DataFrame:
         if not fs.exists(self.spark, self.path):
             return self.spark.createDataFrame([], CACHE_SCHEMA)
-        return self.spark.read.schema(CACHE_SCHEMA).parquet(self.path)
+        # A file that cannot be read holds no entries: its texts are misses and are encoded again.
+        return self.spark.read.schema(CACHE_SCHEMA).option("ignoreCorruptFiles", "true").parquet(self.path)
 
     def append(self, entries: DataFrame) -> None:
         entries.select("cache_key", "model", "text_hash", "embedding", "ts").write.mode("append").parquet(self.path)
