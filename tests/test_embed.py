@@ -1,6 +1,7 @@
 """Encoder contract: retries, batch -> row fallback, second-model fallback, cache (F6)."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from vellum.operators import embed as em
@@ -87,3 +88,73 @@ def test_cache_read_through(spark):
 def test_dimension_discovery(spark):
     df = spark.createDataFrame([([],), ([1.0, 2.0, 3.0],)], "embedding array<float>")
     assert em.embedding_dimension(df) == 3
+
+
+def test_encoders_by_name():
+    em.register_encoder("tiny", em.HashEncoder(8))
+    assert em.encoder_named("tiny").dim == 8 and em.encoder_named(None) is None
+    with pytest.raises(ValueError):
+        em.encoder_named("never registered")
+
+
+def _counted(path):
+    """A model that writes a line for every text it is given and refuses those with 'sour'."""
+    def factory():
+        def encode_batch(texts):
+            if any("sour" in t for t in texts):
+                raise RuntimeError("refused")
+            with open(path, "a") as f:
+                f.writelines(f"{t}\n" for t in texts)
+            return [[float(len(t)), 1.0, 0.0, 2.0] for t in texts]
+
+        return encode_batch
+
+    return factory
+
+
+def test_whole_embed_job(spark, scratch, tmp_path):
+    """Cache, model, fallback, post-processing and rejects in one job; no text is encoded twice."""
+    from vellum.plans.ingest import ingest_documents
+    from vellum.sources.cache import EmbeddingCache
+
+    log = tmp_path / "calls"
+    model = em.BatchEncoder("counted", 4, _counted(str(log)), max_retries=1, retry_delay=0.0)
+    spare = em.BatchEncoder("spare", 4, lambda: (lambda ts: [[1.0, 2.0, 3.0, 4.0] if "very" in t else [] for t in ts]), retry_delay=0.0)
+    docs = spark.createDataFrame([("a.md", "sweet plum"), ("b.md", "sweet plum"), ("c.md", "very sour plum"), ("d.md", "sour")],
+                                 "source_file string, text string")
+    cache = EmbeddingCache(spark, scratch + "/cache")
+    rows, rejects = ingest_documents(docs, model, fallback=spare, cache=cache)
+    got = {r.source_file: r.embedding for r in rows.collect()}
+    assert set(got) == {"a.md", "b.md", "c.md"} and got["c.md"] == [1.0, 2.0, 3.0, 4.0]
+    assert [(r.stage, r.reason) for r in rejects.collect()] == [("embed", "failed")]
+    assert len(log.read_text().splitlines()) == 1 and cache.read().count() == 1  # the fallback's vector is not kept
+    again, _ = ingest_documents(docs, model, fallback=spare, cache=cache)
+    assert again.count() == 3 and len(log.read_text().splitlines()) == 1
+
+
+def test_search_with_a_model(spark):
+    """Search takes a Python model; a question it refuses, or without an id, gets a status row and no hits."""
+    from vellum.plans import search
+
+    model = em.failing_encoder(em.python_hash_encoder(32), lambda t: "forbidden" in t)
+    coll = spark.createDataFrame([("x", "green apple"), ("y", "old stone bridge")], "id string, text string")
+    coll = em.embed(coll, em.python_hash_encoder(32), "text").select("id", "text", "embedding")
+    asked = spark.createDataFrame([(1, "stone bridge"), (2, "forbidden"), (3, "apple"), (None, "apple")], "query_id int, text string")
+    hits, status = search.query_by_texts(coll, asked, model, 1, include=("documents",))
+    assert {r.query_id: r.id for r in hits.collect()} == {1: "y", 3: "x"}
+    assert {r.query_id: (r.status, r.reason) for r in status.collect()} == {
+        1: ("ok", None), 2: ("error", "failed"), 3: ("ok", None), None: ("error", "missing_id")}
+
+
+def test_import_counts(spark, scratch):
+    from vellum.plans.ingest import import_documents
+    from vellum.sources.snapshot import CollectionStore
+
+    store = CollectionStore(spark, scratch, "notes", 16)
+    model = em.failing_encoder(em.python_hash_encoder(16), lambda t: "sour" in t)
+    docs = spark.createDataFrame([("a.md", "x" * 900), ("b.md", "sour"), ("c.md", "fine")], "source_file string, text string")
+    first = import_documents(store, docs, model).first()
+    assert (first.n_documents, first.n_chunks, first.n_embedded, first.n_rejected, first.n_written) == (3, 4, 3, 1, 3)
+    more = import_documents(store, docs.limit(0), model).first()
+    assert (more.n_documents, more.n_chunks, more.n_written) == (0, 0, 0) and store.read().count() == 3
+    assert import_documents(store, docs, model).first().n_written == 0

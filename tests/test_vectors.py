@@ -85,10 +85,15 @@ def test_kernel_blocks_and_fewer_rows_than_k(spark):
     assert len(res) == 20 * 4
 
 
-def test_zero_vector_excluded_from_cosine(spark):
-    corpus = spark.createDataFrame([("z", [0.0, 0.0]), ("a", [1.0, 0.0])], "id string, embedding array<float>")
-    q = spark.createDataFrame([(0, [1.0, 1.0])], "query_id int, embedding array<float>")
-    assert [r.id for r in kn.knn(corpus, q, 5, "cosine", dim=2).collect()] == ["a"]
+def test_zero_vectors_are_at_distance_one(spark):
+    """A zero row or query has no direction: cosine 0 with all, so no row is lost while k is not reached."""
+    corpus = spark.createDataFrame([("z", [0.0, 0.0]), ("a", [1.0, 0.0]), ("o", [-1.0, 0.0])], "id string, embedding array<float>")
+    q = spark.createDataFrame([(0, [1.0, 1.0]), (1, [0.0, 0.0])], "query_id int, embedding array<float>")
+    got = kn.knn(corpus, q, 5, "cosine", dim=2).orderBy("query_id", "rank").collect()
+    assert [(r.query_id, r.id) for r in got] == [(0, "a"), (0, "z"), (0, "o"), (1, "a"), (1, "o"), (1, "z")]
+    assert got[1].distance == 1.0 and {r.distance for r in got[3:]} == {1.0}
+    one = kn.knn_expression(corpus, [1.0, 1.0], 5).orderBy("rank").collect()
+    assert [r.id for r in one] == ["a", "z", "o"] and one[1].distance == 1.0
 
 
 def test_many_rows_of_one_query_id_in_small_blocks(spark):

@@ -50,9 +50,10 @@ def squared_l2(a: Column | str, b: Column | str) -> Column:
 
 
 def distance(a: Column | str, b: Column | str, metric: str = "cosine") -> Column:
-    """Distance in the collection's metric; cosine is NULL when either vector has zero norm."""
+    """Distance in the collection's metric; a zero vector is at cosine distance 1 from all."""
     if metric == "cosine":
-        return F.lit(1.0) - F.try_divide(dot(a, b), norm(a) * norm(b))
+        size = norm(a) * norm(b)
+        return F.lit(1.0) - F.when(size == 0, F.lit(0.0)).otherwise(F.try_divide(dot(a, b), size))
     if metric == "l2":
         return squared_l2(a, b)
     if metric == "ip":

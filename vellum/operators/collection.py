@@ -4,7 +4,7 @@ ids, peek, metadata profile, statistics and population check.
 A collection is any DataFrame with ``id STRING, text STRING, embedding ARRAY<FLOAT>,
 metadata VARIANT`` plus optional promoted metadata columns. Id-keyed operations take either a
 Python list (compiled to an ``IN`` filter that reaches the Parquet scan) or a DataFrame of ids
-(semi/anti join; broadcast only when its counted size is under ``BROADCAST_ROWS``).
+(semi/anti join; broadcast only when its measured size is under ``BROADCAST_BYTES``).
 """
 
 from __future__ import annotations
@@ -17,9 +17,10 @@ from pyspark.sql import functions as F
 
 from vellum.functions import text as tx
 from vellum.functions import vectors as vx
+from vellum.operators.embed import embedding_dimension
 
-# Largest id / update table joined by broadcast (rows, counted before the join).
-BROADCAST_ROWS = 1_000_000
+# Largest id / update table joined by broadcast (bytes of its values, summed before the join).
+BROADCAST_BYTES = 64 << 20
 # ---------------------------------------------------------------------------------------------
 # Sample sizes of peek / population check / profile, and type names of the profile.
 PEEK_N = 5
@@ -36,9 +37,24 @@ def _ids_frame(coll: DataFrame, ids: Sequence[str] | DataFrame) -> DataFrame:
     return coll.sparkSession.createDataFrame([(str(i),) for i in ids], "id string")
 
 
-def _maybe_broadcast(df: DataFrame) -> DataFrame:
-    """Broadcast hint only after counting the (small) side."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+def measured_bytes(df: DataFrame) -> int:
+    """Bytes of the values of ``df``, with 16 a value for its place in the row."""
+    def size(name: str, kind: str) -> Column:
+        if kind == "string":
+            return F.octet_length(name)
+        if kind.startswith("array<") and kind[6:-1] in ("float", "double", "int", "bigint"):
+            return F.size(name) * 8
+        if kind in ("boolean", "int", "bigint", "float", "double", "timestamp", "date"):
+            return F.lit(0)
+        return F.octet_length(F.to_json(F.struct(name)))
+
+    total = sum((F.coalesce(size(c, k).cast("bigint"), F.lit(0)) + 16 for c, k in df.dtypes), F.lit(0))
+    return df.agg(F.sum(total).alias("n")).first()["n"] or 0
+
+
+def maybe_broadcast(df: DataFrame) -> DataFrame:
+    """Broadcast hint only after measuring the (small) side; beyond the bound the join shuffles."""
+    return F.broadcast(df) if measured_bytes(df) <= BROADCAST_BYTES else df
 
 
 def content_id(text: Column, metadata_json: Column | None = None) -> Column:
@@ -80,7 +96,7 @@ def add_documents(current: DataFrame, new: DataFrame, dim: int) -> AddResult:
 def get_by_ids(coll: DataFrame, ids: Sequence[str] | DataFrame) -> DataFrame:
     if not isinstance(ids, DataFrame):
         return coll.where(F.col("id").isin([str(i) for i in ids])) if ids else coll.limit(0)
-    return coll.join(_maybe_broadcast(_ids_frame(coll, ids)), "id", "left_semi")
+    return coll.join(maybe_broadcast(_ids_frame(coll, ids)), "id", "left_semi")
 
 
 def missing_ids(coll: DataFrame, ids: Sequence[str] | DataFrame) -> DataFrame:
@@ -92,7 +108,7 @@ def delete_by_ids(coll: DataFrame, ids: Sequence[str] | DataFrame) -> DataFrame:
     if not isinstance(ids, DataFrame):
         gone = F.coalesce(F.col("id").isin([str(i) for i in ids]), F.lit(False))
         return coll.where(~gone) if ids else coll
-    return coll.join(_maybe_broadcast(_ids_frame(coll, ids)), "id", "left_anti")
+    return coll.join(maybe_broadcast(_ids_frame(coll, ids)), "id", "left_anti")
 
 
 # --- M3: update with merge ------------------------------------------------------------------------
@@ -138,7 +154,7 @@ def update_documents(coll: DataFrame, updates: DataFrame, dim: int) -> tuple[Dat
         F.max_by("_u_text", F.when(F.col("_u_text").isNotNull(), F.col("_u_seq"))).alias("_u_text"),
         F.max_by("_u_emb", F.when(F.col("_u_emb").isNotNull(), F.col("_u_seq"))).alias("_u_emb"),
         in_order.alias("_u_metas"))
-    joined = coll.join(_maybe_broadcast(good), "id", "left")
+    joined = coll.join(maybe_broadcast(good), "id", "left")
     if "metadata" in coll.columns:
         merged = F.aggregate("_u_metas", F.col("metadata"), lambda old, m: merge_metadata(old, m["_u_meta"]))
         joined = joined.withColumn("_merged", F.when(F.col("_u_metas").isNull(), F.col("metadata")).otherwise(merged))
@@ -214,7 +230,7 @@ def metadata_profile(coll: DataFrame, samples: int = PROFILE_SAMPLES) -> DataFra
                                                       "sample_values")
 
 
-def _one_row_join(*frames: DataFrame) -> DataFrame:
+def one_row_join(*frames: DataFrame) -> DataFrame:
     """Side-by-side combination of single-row aggregates (each provably one row, so broadcast)."""
     out = frames[0].withColumn("_one", F.lit(1))
     for f in frames[1:]:
@@ -223,24 +239,33 @@ def _one_row_join(*frames: DataFrame) -> DataFrame:
 
 
 def collection_stats(coll: DataFrame, name: str) -> DataFrame:
-    """One row: name, count, number of metadata fields, dimension of the first vector."""
-    n = coll.agg(F.count(F.lit(1)).alias("count"), F.max(F.size("embedding")).alias("dimension"))
-    fields = metadata_entries(coll).agg(F.countDistinct("field").alias("n_fields"))
-    return _one_row_join(n, fields).select(F.lit(name).alias("name"), F.col("count").cast("bigint").alias("count"),
-                                      F.col("n_fields").cast("bigint").alias("n_fields"),
-                                      F.col("dimension").cast("int").alias("dimension"))
+    """One row: name, count, metadata fields (their number, and ``field=count (types)`` of each), and the
+    dimension as the length of the first vector met."""
+    dim = embedding_dimension(coll)
+    profile = metadata_profile(coll)
+    one = F.concat("field", F.lit("="), F.col("count").cast("string"), F.lit(" ("), "types", F.lit(")"))
+    fields = profile.agg(F.count("*").alias("n_fields"), F.array_join(F.array_sort(F.collect_list(one)), "; ").alias("fields"))
+    return one_row_join(count_rows(coll), fields).select(
+        F.lit(name).alias("name"), F.col("count").cast("bigint").alias("count"), F.col("n_fields").cast("bigint").alias("n_fields"),
+        "fields", F.lit(dim).cast("int").alias("dimension"))
 
 
 def verify_population(coll: DataFrame, n: int = VERIFY_SAMPLE_N) -> DataFrame:
-    """``(is_populated, count, fields, sample_ids, sample_previews)`` in one row."""
+    """``(is_populated, count, fields, sample_ids, sample_previews, sample_metadata)`` in one row; the
+    metadata of a sample row is ``key=value`` by key."""
     stats = coll.agg(F.count(F.lit(1)).alias("count"))
     fields = metadata_entries(coll).agg(F.array_join(F.array_sort(F.collect_set("field")), ",").alias("fields"))
-    sample = coll.select("id", tx.preview("text", 100).alias("p")).orderBy("id").limit(n).agg(
-        F.array_sort(F.collect_list(F.struct("id", "p"))).alias("s"))
-    return _one_row_join(stats, fields, sample).select(
+    entries = F.array_sort(F.map_entries(F.col("metadata").cast("map<string,string>")))
+    meta = F.array_join(F.transform(entries, lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"], F.lit("")))), ",")
+    sample = coll.select("id", tx.preview("text", 100).alias("p"), meta.alias("m")).orderBy("id").limit(n).agg(
+        F.array_sort(F.collect_list(F.struct("id", "p", "m"))).alias("s"))
+
+    def samples(c: str) -> Column:
+        return F.array_join(F.transform("s", lambda x: x[c]), "|")
+
+    return one_row_join(stats, fields, sample).select(
         (F.col("count") > 0).alias("is_populated"),
         F.col("count").cast("bigint").alias("count"),
         F.coalesce("fields", F.lit("")).alias("fields"),
-        F.array_join(F.transform("s", lambda x: x["id"]), "|").alias("sample_ids"),
-        F.array_join(F.transform("s", lambda x: x["p"]), "|").alias("sample_previews"),
+        samples("id").alias("sample_ids"), samples("p").alias("sample_previews"), samples("m").alias("sample_metadata"),
     )

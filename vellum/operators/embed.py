@@ -18,6 +18,7 @@ import time
 import uuid
 from collections.abc import Callable, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -127,11 +128,11 @@ class BatchEncoder(Encoder):
                         one, m, _ = call(fn, [values[i]])
                         attempts[i] = n + m
                         if one is not None:
-                            emb[i] = [float(x) for x in one[0]]
+                            emb[i] = np.asarray(one[0], np.float32)
                             status[i] = "ok"
                     continue
                 for j, i in enumerate(idx):
-                    emb[i] = [float(x) for x in out[j]]
+                    emb[i] = np.asarray(out[j], np.float32)
                     status[i], attempts[i] = "ok", n
             for i, v in enumerate(emb):
                 if v is not None and (len(v) == 0 or len(v) != dim):
@@ -154,7 +155,6 @@ def python_hash_encoder(dim: int = 256, name: str | None = None) -> BatchEncoder
     def factory():
         import hashlib
 
-        import numpy as np
         import regex
 
         splitter = regex.compile(r"[^\p{L}\p{N}_]+")
@@ -192,6 +192,25 @@ def failing_encoder(base: BatchEncoder, fails: Callable[[str], bool], name: str
     return BatchEncoder(name or f"{base.name}-flaky", base.dim, factory, base.batch_size, base.max_retries, 0.0)
 
 
+# --- choice by name (E11) -------------------------------------------------------------------------
+
+_ENCODERS: dict[str, Encoder] = {"hash": HashEncoder()}
+
+
+def register_encoder(name: str, encoder: Encoder) -> None:
+    """Make ``encoder`` known under ``name``, for jobs that are given names."""
+    _ENCODERS[name] = encoder
+
+
+def encoder_named(encoder: Encoder | str | None) -> Encoder | None:
+    """An encoder itself, or the one registered under a name; an unknown name raises."""
+    if not isinstance(encoder, str):
+        return encoder
+    if encoder not in _ENCODERS:
+        raise ValueError(f"unknown encoder {encoder!r}; registered: {sorted(_ENCODERS)}")
+    return _ENCODERS[encoder]
+
+
 def embed(df: DataFrame, encoder: Encoder, text_col: str = "text", out_col: str = "embedding") -> DataFrame:
     """Adds ``out_col``, ``embed_status``, ``embed_attempts``, ``embed_model``."""
     r = encoder.result(F.col(text_col))
@@ -262,25 +281,27 @@ def cache_lookup(df: DataFrame, cache: DataFrame, model: str, text_col: str = "t
 
 def cached_embed(
     df: DataFrame, encoder: Encoder, cache: DataFrame, text_col: str = "text", out_col: str = "embedding",
+    fallback: Encoder | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """Read-through cache. Returns ``(rows with out_col + embed_source, new cache entries)``.
+    """Read-through cache. Returns ``(rows with out_col, embed_source and embed_model, new cache entries)``.
 
-    Only distinct missing texts are encoded; results are joined back on the key (so row order
-    and duplicates of the input do not matter)."""
+    Only distinct missing texts are encoded, by ``encoder`` and, where it fails, by ``fallback``; results
+    are joined back on the key (so row order and duplicates of the input do not matter). Vectors of the
+    fallback are not kept: the encoder gets the text again next time."""
     looked = cache_lookup(df, cache, encoder.name, text_col)
-    misses = looked.where(F.col("cached").isNull()).select("cache_key", F.col(text_col).alias("_t")).dropDuplicates(
-        ["cache_key"])
-    computed = materialize(embed(misses, encoder, "_t", "_computed"))
-    ok = computed.where(F.col("embed_status") == "ok")
-    new_entries = ok.select(
+    misses = looked.where(F.col("cached").isNull() & F.col(text_col).isNotNull()).select(
+        "cache_key", F.col(text_col).alias("_t")).dropDuplicates(["cache_key"])
+    ok, _ = embed_with_fallback(misses, encoder, fallback, "_t", "_computed")
+    new_entries = ok.where(F.col("embed_model") == encoder.name).select(
         "cache_key", F.lit(encoder.name).alias("model"), F.md5("_t").alias("text_hash"),
         F.col("_computed").alias("embedding"), F.current_timestamp().alias("ts"),
     )
-    out = looked.join(ok.select("cache_key", "_computed"), "cache_key", "left").select(
+    out = looked.join(ok.select("cache_key", "_computed", F.col("embed_model").alias("_model")), "cache_key", "left").select(
         *[c for c in looked.columns if c != "cached"],
         F.coalesce("cached", "_computed").alias(out_col),
         F.when(F.col("cached").isNotNull(), F.lit("cache")).when(F.col("_computed").isNotNull(), F.lit("computed"))
         .otherwise(F.lit("failed")).alias("embed_source"),
+        F.when(F.col("cached").isNotNull(), F.lit(encoder.name)).otherwise(F.col("_model")).alias("embed_model"),
     )
     return out, new_entries
 

@@ -64,10 +64,8 @@ def _distances(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
     if metric == "cosine":
         nx = np.sqrt(np.einsum("ij,ij->i", x, x))
         with np.errstate(divide="ignore", invalid="ignore"):
-            xn = x / nx[:, None]
-        d = 1.0 - q @ xn.T
-        d[:, nx == 0] = np.inf
-        return d
+            xn = np.where(nx[:, None] == 0, 0.0, x / nx[:, None])  # a zero vector is at distance 1 from all
+        return 1.0 - q @ xn.T
     if metric == "ip":
         return 1.0 - q @ x.T
     if metric == "l2":
@@ -177,7 +175,8 @@ def _arrow_type(df: DataFrame, col: str) -> pa.DataType:
 
 def _pack_queries(metric: str, dim: int, rows_per_block: int, qid_type: pa.DataType):
     """Query rows -> blocks ``(ids, mat)`` of at most ``rows_per_block`` queries, packed by the tasks that
-    hold them; vectors that cannot be ranked (wrong length, null, zero norm for cosine) are left out."""
+    hold them. Vectors that cannot be ranked (wrong length, null, not finite) are left out; a zero vector
+    is at cosine distance 1 from every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -185,7 +184,6 @@ def _pack_queries(metric: str, dim: int, rows_per_block: int, qid_type: pa.DataT
             ok = ok & np.asarray(batch.column(0).is_valid().to_numpy(zero_copy_only=False))
             if metric == "cosine":
                 nrm = np.sqrt(np.einsum("ij,ij->i", mat, mat))
-                ok = ok & (nrm > 0)
                 mat = mat / np.where(nrm > 0, nrm, 1.0)[:, None]
             ids, mat = batch.column(0).filter(pa.array(ok)), mat[ok]
             for at in range(0, len(mat), rows_per_block):
@@ -267,7 +265,7 @@ def knn_candidates(
     q = queries.select(F.col(query_id_col).alias("query_id"), F.col(query_vec_col).alias("qvec")).where(
         F.col("qvec").isNotNull() & (F.size("qvec") == dim))
     qid_type = _arrow_type(q, "query_id")
-    c = corpus.select(F.col(id_col).alias("id"), F.col(vec_col).alias("embedding"))
+    c = corpus.select(F.col(id_col).alias("id"), F.col(vec_col).alias("embedding")).where(F.size("embedding") == dim)
     id_type = _arrow_type(c, "id")
     qid_sql = q.schema["query_id"].dataType.simpleString()
     schema = f"query_id {qid_sql}, id {c.schema['id'].dataType.simpleString()}, distance double"

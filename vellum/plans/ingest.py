@@ -11,8 +11,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vellum.functions import text as tx
+from vellum.functions import vectors as vx
 from vellum.operators import embed as em
 from vellum.operators.chunking import chunk_documents
+from vellum.operators.collection import add_documents, one_row_join
+from vellum.sources.cache import EmbeddingCache
+from vellum.sources.snapshot import CollectionStore
 
 COLLECTION_COLUMNS = ["id", "text", "embedding", "source_file", "doc_title", "chunk_index", "total_chunks",
                       "creation_date", "tags", "metadata"]
@@ -63,42 +67,65 @@ def metadata_object() -> F.Column:
     ))
 
 
-def embed_chunks(chunks: DataFrame, encoder: em.Encoder, fallback: em.Encoder | None = None,
-                 rebalance: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """Vectors for chunk rows -> ``(collection rows, rejects)``. Cheap JVM encoders run in place;
-    Python encoders go through ``embed_with_fallback`` (materialised once, failures quarantined)."""
+def _rejects(bad: DataFrame, reason) -> DataFrame:
+    return bad.select(F.lit("embed").alias("stage"), F.col("id").alias("key"), reason.alias("reason"),
+                      F.col("text").alias("payload"))
+
+
+def embed_chunks(chunks: DataFrame, encoder: em.Encoder | str, fallback: em.Encoder | str | None = None,
+                 rebalance: int | None = None, cache: EmbeddingCache | None = None,
+                 postprocess_dim: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Vectors for chunk rows -> ``(collection rows, rejects)``.
+
+    The whole job: cleaned text with its prefix -> cache -> encoder -> fallback for what it failed ->
+    post-processing to ``postprocess_dim`` values -> rejects. Encoders are given themselves or by their
+    registered name. The hash encoder alone runs in place; everything else is written once, so no
+    model is called again when rows and rejects are both read. New vectors are added to ``cache``."""
+    encoder, fallback = em.encoder_named(encoder), em.encoder_named(fallback)
     src = chunks.repartition(rebalance) if rebalance else chunks
     src = src.withColumn("_input", encoder_input("text"))
-    if isinstance(encoder, em.HashEncoder) and fallback is None:
-        ok = src.withColumn("embedding", encoder.vector(F.col("_input")))
-        rejects = ok.limit(0).select(F.lit("embed").alias("stage"), F.col("id").alias("key"),
-                                     F.lit("").alias("reason"), F.col("text").alias("payload"))
+    if cache is not None:
+        looked, new = em.cached_embed(src, encoder, cache.read(), "_input", fallback=fallback)
+        done = em.materialize(looked)  # before the new entries are part of the cache
+        cache.append(new)
+    elif isinstance(encoder, em.HashEncoder) and fallback is None:
+        done = src.withColumn("embedding", encoder.vector(F.col("_input")))
     else:
-        ok, bad = em.embed_with_fallback(src, encoder, fallback, "_input", "embedding")
-        rejects = bad.select(F.lit("embed").alias("stage"), F.col("id").alias("key"), "reason",
-                             F.col("text").alias("payload"))
-    rows = ok.withColumn("metadata", metadata_object()).select(*COLLECTION_COLUMNS)
-    return rows, rejects
-
-
-def ingest_documents(docs: DataFrame, encoder: em.Encoder, size: int = tx.DEFAULT_CHUNK_SIZE,
+        done = None
+        rows, bad = em.embed_with_fallback(src, encoder, fallback, "_input", "embedding")
+        rejects = _rejects(bad, F.col("reason"))
+    if done is not None:
+        valid = vx.is_valid_vector("embedding", encoder.dim)
+        reason = F.when(F.col("embedding").isNull(), F.lit("failed")).otherwise(vx.invalid_reason("embedding", encoder.dim))
+        rows, rejects = done.where(valid), _rejects(done.where(~valid), reason)
+    if postprocess_dim:
+        rows = rows.withColumn("embedding", vx.postprocess("embedding", postprocess_dim).cast("array<float>"))
+    return rows.withColumn("metadata", metadata_object()).select(*COLLECTION_COLUMNS), rejects
+
+
+def ingest_documents(docs: DataFrame, encoder: em.Encoder | str, size: int = tx.DEFAULT_CHUNK_SIZE,
                      overlap: int = tx.DEFAULT_CHUNK_OVERLAP, tags_scope: str = "chunk",
-                     fallback: em.Encoder | None = None, rebalance: int | None = None) -> tuple[DataFrame, DataFrame]:
-    return embed_chunks(chunk_corpus(docs, size, overlap, tags_scope), encoder, fallback, rebalance)
-
-
-def import_summary(docs: DataFrame, encoder: em.Encoder | None = None, size: int = tx.DEFAULT_CHUNK_SIZE,
-                   overlap: int = tx.DEFAULT_CHUNK_OVERLAP) -> DataFrame:
-    """Per-stage counts of an import in one aggregation: documents, chunks, embedded, rejected
-    (blank or failed vectors), plus mean chunk length."""
-    encoder = encoder or em.HashEncoder(256)
-    chunks = chunk_corpus(docs, size, overlap)
-    v = chunks.select("source_file", "text", encoder.vector(encoder_input("text")).alias("embedding"))
-    good = v.embedding.isNotNull() & (F.size("embedding") > 0)
-    return v.agg(
-        F.countDistinct("source_file").alias("n_documents"),
-        F.count(F.lit(1)).alias("n_chunks"),
-        F.sum(good.cast("bigint")).alias("n_embedded"),
-        F.sum((~good).cast("bigint")).alias("n_rejected"),
-        F.round(F.avg(F.length("text")), 4).alias("avg_chunk_chars"),
-    )
+                     fallback: em.Encoder | str | None = None, rebalance: int | None = None,
+                     cache: EmbeddingCache | None = None,
+                     postprocess_dim: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """``docs(source_file, text[, modification_time])`` -> ``(collection rows, rejects)``."""
+    return embed_chunks(chunk_corpus(docs, size, overlap, tags_scope), encoder, fallback, rebalance, cache, postprocess_dim)
+
+
+def import_documents(store: CollectionStore, docs: DataFrame, encoder: em.Encoder | str, **job) -> DataFrame:
+    """Import ``docs`` into ``store`` (ids that it has are left alone) and return one row of counts:
+    documents, chunks, embedded, rejected, written, mean chunk length. ``job`` goes to ``ingest_documents``."""
+    rows, rejects = ingest_documents(docs, encoder, **job)
+    rows, rejects = em.materialize(rows), em.materialize(rejects)
+    current = store.read() if store.segments() else rows.limit(0)
+    segment = store.append(add_documents(current, rows, store.dimension).added)
+    chunks = rows.select("source_file", "text").withColumn("ok", F.lit(1)).unionByName(
+        rejects.select(F.lit(None).cast("string").alias("source_file"), F.col("payload").alias("text"), F.lit(0).alias("ok")))
+    counts = chunks.agg(F.count("*").alias("n_chunks"), F.sum("ok").alias("n_embedded"),
+                        F.sum(1 - F.col("ok")).alias("n_rejected"),
+                        F.round(F.avg(F.length("text")), 4).alias("avg_chunk_chars"))
+    files = docs.agg(F.countDistinct("source_file").alias("n_documents"))
+    written = store.segment(segment).agg(F.count("*").alias("n_written"))
+    zero = [F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(c)
+            for c in ("n_documents", "n_chunks", "n_embedded", "n_rejected", "n_written")]
+    return one_row_join(files, counts, written).select(*zero, "avg_chunk_chars")

@@ -62,10 +62,9 @@ def _where_cases() -> dict:
     from vellum.functions.filters import where_sql
     from vellum.plans.queries import WHERE_CASES
 
-    out = {}
-    for n, w in WHERE_CASES.items():
-        out[n] = "FALSE" if n == "absent_key" else where_sql(w)
-    return out
+    # Written out where SQL would convert types, or the key is no column.
+    own = {"mixed_in": "weight = 1", "text_on_int": "FALSE", "int_on_bool": "FALSE", "dotted_key": "FALSE", "absent_key": "FALSE"}
+    return {n: own.get(n) or where_sql(w) for n, w in WHERE_CASES.items()}
 
 
 def _where_document_cases() -> dict:
@@ -111,11 +110,14 @@ SELECT CAST(count AS BIGINT) AS count, ty.field AS field, types, sample_values F
 """
 
 VERIFY_SQL = f"""
-WITH c AS ({CHUNKS_NOVEC}), smp AS (SELECT id, {S.preview('text', 100)} AS p FROM c ORDER BY id LIMIT 3)
+WITH c AS ({CHUNKS_NOVEC}), smp AS (SELECT id, {S.preview('text', 100)} AS p,
+  'chunk_index=' || chunk_index || ',creation_date=,doc_title=' || doc_title || ',source_file=' || source_file
+  || ',tags=' || CAST(to_json(tags) AS VARCHAR) || ',total_chunks=' || total_chunks AS m FROM c ORDER BY id LIMIT 3)
 SELECT count(*) > 0 AS is_populated, CAST(count(*) AS BIGINT) AS count,
   'chunk_index,creation_date,doc_title,source_file,tags,total_chunks' AS fields,
   (SELECT string_agg(id, '|' ORDER BY id) FROM smp) AS sample_ids,
-  (SELECT string_agg(p, '|' ORDER BY id) FROM smp) AS sample_previews
+  (SELECT string_agg(p, '|' ORDER BY id) FROM smp) AS sample_previews,
+  (SELECT string_agg(m, '|' ORDER BY id) FROM smp) AS sample_metadata
 FROM c
 """
 
@@ -212,11 +214,13 @@ SQL = {
     "add_documents": f"SELECT id, label, CAST(64 AS INTEGER) AS dims FROM ({META}) WHERE label < 5 OR label IN (6, 8, 9)",
     "get_by_ids": f"SELECT id, text, label, zone, weight FROM ({META}) WHERE label IN (1, 2)",
     "delete_by_ids": f"SELECT id, label FROM ({META}) WHERE label <> 0",
-    "update_merge": f"""SELECT id, CASE WHEN label = 4 THEN 'updated ' || id ELSE text END AS text, label,
+    "update_merge": f"""SELECT id, CASE WHEN label = 4 THEN 'updated again ' || id ELSE text END AS text,
+        CASE WHEN label = 4 THEN 104 ELSE label END AS label,
         CASE WHEN label = 4 THEN 'updated' WHEN label = 8 THEN NULL ELSE zone END AS zone,
         CASE WHEN label = 8 THEN NULL ELSE weight END AS weight,
         CASE WHEN label = 4 THEN CAST(label * 10 AS BIGINT) END AS new_field,
-        CAST(CASE WHEN label = 4 THEN 6 WHEN label = 8 THEN 0 ELSE 5 END AS INTEGER) AS n_keys FROM ({META})""",
+        CAST(CASE WHEN label = 4 THEN 7 WHEN label = 8 THEN 0 ELSE 5 END AS INTEGER) AS n_keys,
+        CAST(CASE WHEN label = 4 THEN 2 WHEN label = 8 THEN 1 ELSE 0 END AS INTEGER) AS n_applied FROM ({META})""",
     "collection_count": "SELECT count(*) AS count FROM embeddings",
     "list_ids": "SELECT 'vec_' || CAST(vec_id AS VARCHAR) AS id FROM embeddings",
     "peek": f"SELECT id, text, zone, weight FROM ({META}) ORDER BY id LIMIT 5",
@@ -224,12 +228,22 @@ SQL = {
     "metadata_roundtrip": """SELECT event_id, '{"k":' || CAST(CAST(json_extract(props, '$.k') AS BIGINT) AS VARCHAR) || '}' AS stored_props,
         CAST(json_extract(props, '$.k') AS BIGINT) AS props_k, 'u' || CAST(user_id AS VARCHAR) AS tag_user, event_type, value
         FROM events""",
-    "collection_stats": "SELECT 'test_collection' AS name, CAST(count(*) AS BIGINT) AS count, CAST(5 AS BIGINT) AS n_fields, "
-                        "CAST(64 AS INTEGER) AS dimension FROM embeddings",
+    "collection_stats": f"""SELECT 'test_collection' AS name, (SELECT count(*) FROM embeddings) AS count, count(*) AS n_fields,
+        string_agg(field || '=' || CAST(count AS VARCHAR) || ' (' || types || ')', '; ' ORDER BY field) AS fields,
+        CAST(64 AS INTEGER) AS dimension FROM ({PROFILE_SQL})""",
     "verify_population": VERIFY_SQL,
     "backup_restore": f"SELECT id, text, label, zone, weight, {_checksum('embedding')} AS checksum FROM ({META})",
-    "import_summary": f"""SELECT count(DISTINCT source_file) AS n_documents, count(*) AS n_chunks, CAST(count(*) AS BIGINT) AS n_embedded,
-        CAST(0 AS BIGINT) AS n_rejected, round(avg(length(text)), 4) AS avg_chunk_chars FROM ({CHUNKS_NOVEC})""",
+    "import_summary": f"""SELECT count(DISTINCT source_file) AS n_documents, count(*) AS n_chunks,
+        count(*) FILTER (WHERE NOT {FAIL_PRIMARY}) AS n_embedded, count(*) FILTER (WHERE {FAIL_PRIMARY}) AS n_rejected,
+        count(*) FILTER (WHERE NOT {FAIL_PRIMARY} AND lang <> 'en') AS n_written, round(avg(length(text)), 4) AS avg_chunk_chars
+        FROM ({CHUNKS_NOVEC})""",
+    "ingest_composed": f"""SELECT id, CAST(len(v) AS INTEGER) AS dims, {_checksum('v')} AS checksum
+        FROM (SELECT id, CAST({_postprocess('embedding', 64)} AS FLOAT[]) AS v FROM ({CHUNKS}))""",
+    "query_with_model": f"""WITH b AS (SELECT item_id, {S.task_prefix('text', 'search_query: ')} AS enc_input FROM benchmark),
+        t AS (SELECT query_id, id, distance FROM ({_knn_sql(BENCH_Q, CHUNKS, "cosine", 1, "query_id, id, distance")}))
+        SELECT item_id AS query_id, CASE WHEN {FAIL_PRIMARY} THEN 'error' ELSE 'ok' END AS status,
+        CASE WHEN {FAIL_PRIMARY} THEN 'failed' END AS reason, CASE WHEN NOT {FAIL_PRIMARY} THEN id END AS id,
+        CASE WHEN NOT {FAIL_PRIMARY} THEN {r4('distance')} END AS distance FROM b JOIN t ON item_id = query_id""",
     "reflection_tokens": f"""SELECT conv_id, turn,
         CAST(len(regexp_extract_all(response, {RET})) AS INTEGER) AS n_retrieval,
         CAST(len(regexp_extract_all(response, {NORET})) AS INTEGER) AS n_no_retrieval,

@@ -122,13 +122,44 @@ def chunk_collection(spark: SparkSession, sf: str) -> DataFrame:
     return rows
 
 
+_STORED: dict[tuple, str] = {}
+
+
+def stored_collection(spark: SparkSession, sf: str) -> DataFrame:
+    """The chunk collection as a store holds it: the documents are imported once in an application (again
+    if the table has changed), and every search reads the stored rows."""
+    from vellum.session import shared_path
+    from vellum.sources import fs
+    from vellum.sources.snapshot import CollectionStore
+
+    docs = f"{sf.rstrip('/')}/documents.parquet"
+    key = (spark.sparkContext.applicationId, docs, *fs.stamp(spark, docs))
+    if key not in _STORED:
+        root = shared_path(spark, "collections", unique=True)
+        CollectionStore(spark, root, "chunks", HASH_DIM).commit(chunk_collection(spark, sf))
+        _STORED[key] = root
+    return CollectionStore(spark, _STORED[key], "chunks", create_if_missing=False).read()
+
+
 def _text_search(spark: SparkSession, sf: str, k: int = 5, include=("distances",)) -> DataFrame:
     from vellum.operators.embed import HashEncoder
     from vellum.plans import search
 
-    coll = chunk_collection(spark, sf)
-    qv = search.embed_queries(inputs.benchmark_queries(spark, sf), HashEncoder(HASH_DIM))
-    return search.query_similar(coll, qv, k, "cosine", dim=HASH_DIM, include=include)
+    hits, _ = search.query_by_texts(stored_collection(spark, sf), inputs.benchmark_queries(spark, sf),
+                                    HashEncoder(HASH_DIM), k, include=include)
+    return hits
+
+
+def q_query_with_model(spark: SparkSession, sf: str) -> DataFrame:
+    """Every question through a Python model that refuses some of them: its best chunk, or the reason why
+    it has none."""
+    from vellum.operators.embed import failing_encoder, python_hash_encoder
+    from vellum.plans import search
+
+    encoder = failing_encoder(python_hash_encoder(HASH_DIM), fails_primary, name="questions")
+    hits, status = search.query_by_texts(stored_collection(spark, sf), inputs.benchmark_queries(spark, sf), encoder, 1,
+                                         include=("distances",))
+    return status.join(hits, "query_id", "left").select("query_id", "status", "reason", "id", r4(F.col("distance")).alias("distance"))
 
 
 def q_query_by_text(spark: SparkSession, sf: str) -> DataFrame:
@@ -178,6 +209,11 @@ WHERE_CASES = {
     "and": {"$and": [{"zone": "north"}, {"flag": True}]},
     "or": {"$or": [{"weight": 0}, {"score": {"$gt": 0.2}}]},
     "promoted": {"label": {"$in": [1, 2, 3]}},
+    "int_on_float": {"score": {"$gt": 0}},
+    "mixed_in": {"weight": {"$in": [1, 0.5, "2"]}},
+    "text_on_int": {"weight": "2"},
+    "int_on_bool": {"flag": 1},
+    "dotted_key": {"no.such": 1},
     "absent_key": {"no_such_key": 1},
     "empty": {},
 }
@@ -382,24 +418,29 @@ def q_delete_by_ids(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_update_merge(spark: SparkSession, sf: str) -> DataFrame:
-    """label 4: new text + metadata {zone, new_field} merged; label 8: metadata {} replaces;
-    label 6: updates aimed at unknown ids (not applied)."""
+    """label 4: new text + metadata {zone, new_field} merged, then a second update that gives the text and
+    the promoted label anew; label 8: metadata {} replaces; label 6: updates aimed at unknown ids (not applied)."""
     from vellum.operators.collection import update_documents
 
     coll = inputs.meta_collection(spark, sf)
     lab = F.col("label")
-    upd = coll.where(lab.isin(4, 6, 8)).select(
+    first = coll.where(lab.isin(4, 6, 8)).select(
         F.when(lab == 6, F.concat(F.lit("ghost_"), F.col("id"))).otherwise(F.col("id")).alias("id"),
         F.when(lab == 4, F.concat(F.lit("updated "), F.col("id"))).alias("text"),
         F.when(lab == 8, F.parse_json(F.lit("{}")))
         .otherwise(F.to_variant_object(F.struct(F.lit("updated").alias("zone"),
                                                 (lab * 10).cast("bigint").alias("new_field")))).alias("metadata"),
-    )
-    out, status = update_documents(coll, upd, EMB_DIM)
+        F.lit(1).alias("seq"))
+    second = coll.where(lab == 4).select(
+        "id", F.concat(F.lit("updated again "), F.col("id")).alias("text"),
+        F.to_variant_object(F.struct((lab + 100).cast("bigint").alias("label"))).alias("metadata"), F.lit(2).alias("seq"))
+    out, status = update_documents(coll, first.unionByName(second), EMB_DIM)
     m = F.col("metadata")
-    return out.select(
+    applied = status.groupBy("id").agg(F.count_if("updated").alias("n_applied"))
+    return out.join(applied, "id", "left").select(
         "id", "text", "label", *_meta_cols(), F.try_variant_get(m, "$.new_field", "bigint").alias("new_field"),
-        F.size(m.cast("map<string,variant>")).cast("int").alias("n_keys"))
+        F.size(m.cast("map<string,variant>")).cast("int").alias("n_keys"),
+        F.coalesce("n_applied", F.lit(0)).cast("int").alias("n_applied"))
 
 
 def q_collection_count(spark: SparkSession, sf: str) -> DataFrame:
@@ -462,7 +503,7 @@ def q_collection_stats(spark: SparkSession, sf: str) -> DataFrame:
 def q_verify_population(spark: SparkSession, sf: str) -> DataFrame:
     from vellum.operators.collection import verify_population
 
-    return verify_population(chunk_collection(spark, sf))
+    return verify_population(stored_collection(spark, sf))
 
 
 def q_backup_restore(spark: SparkSession, sf: str) -> DataFrame:
@@ -478,9 +519,30 @@ def q_backup_restore(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_import_summary(spark: SparkSession, sf: str) -> DataFrame:
-    from vellum.plans.ingest import import_summary
+    """An import whose model refuses some chunks, into a store that holds the English documents already."""
+    from vellum.operators.embed import failing_encoder, python_hash_encoder
+    from vellum.plans.ingest import import_documents
+
+    encoder = failing_encoder(python_hash_encoder(HASH_DIM), fails_primary, name="import")
+    store = _store(spark, "imported", HASH_DIM)
+    english = inputs.markdown_docs(spark, sf).where(F.col("lang") == "en")
+    import_documents(store, english.select("source_file", F.col("content").alias("text")), encoder)
+    return import_documents(store, inputs.markdown_corpus(spark, sf), encoder)
+
+
+def q_ingest_composed(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole embed job by names: cache, a model that refuses some chunks, fallback, post-processing."""
+    from vellum.operators.embed import HashEncoder, failing_encoder, python_hash_encoder, register_encoder
+    from vellum.plans.ingest import ingest_documents
+    from vellum.session import shared_path
+    from vellum.sources.cache import EmbeddingCache
 
-    return import_summary(inputs.markdown_corpus(spark, sf))
+    register_encoder("model", failing_encoder(python_hash_encoder(HASH_DIM), fails_primary, name=CACHE_MODEL))
+    register_encoder("spare", HashEncoder(HASH_DIM, name="spare"))
+    cache = EmbeddingCache(spark, shared_path(spark, "cache", unique=True))
+    cache.append(_seed_cache(spark, sf))
+    rows, _ = ingest_documents(inputs.markdown_corpus(spark, sf), "model", fallback="spare", cache=cache, postprocess_dim=64)
+    return rows.select("id", F.size("embedding").cast("int").alias("dims"), _checksum("embedding").alias("checksum"))
 
 
 # --- retrieval decision and context assembly (J6) -------------------------------------------------
@@ -534,9 +596,7 @@ def q_route_queries(spark: SparkSession, sf: str) -> DataFrame:
     conv = inputs.table(spark, sf, "conversations").select("conv_id", "turn", "text")
     need = d.where("should_retrieve").join(conv, ["conv_id", "turn"]).select(
         F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("query_id"), "text")
-    coll = chunk_collection(spark, sf)
-    qv = search.embed_queries(need, HashEncoder(HASH_DIM))
-    top = search.query_similar(coll, qv, 5, "cosine", dim=HASH_DIM, include=("distances",))
+    top, _ = search.query_by_texts(stored_collection(spark, sf), need, HashEncoder(HASH_DIM), include=("distances",))
     ctx = gather_contexts(top, text_col="id")
     keyed = d.withColumn("query_id", F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")))
     return route(keyed, ctx, ["query_id"]).select("conv_id", "turn", "should_retrieve", "route", "n_contexts")
@@ -653,6 +713,7 @@ QUERIES = {
     "knn_batch": q_knn_batch,
     "query_by_text": q_query_by_text,
     "search_result_view": q_search_result_view,
+    "query_with_model": q_query_with_model,
     "knn_include": q_knn_include,
     "knn_filtered": q_knn_filtered,
     "where_operators": q_where_operators,
@@ -678,6 +739,7 @@ QUERIES = {
     "verify_population": q_verify_population,
     "backup_restore": q_backup_restore,
     "import_summary": q_import_summary,
+    "ingest_composed": q_ingest_composed,
     "reflection_tokens": q_reflection_tokens,
     "retrieval_decision": q_retrieval_decision,
     "prior_evidence": q_prior_evidence,

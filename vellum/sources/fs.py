@@ -26,6 +26,12 @@ def list_dirs(spark: SparkSession, path: str) -> list[str]:
     return sorted(s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory())
 
 
+def stamp(spark: SparkSession, path: str) -> tuple[int, int]:
+    """Bytes below a path and its time of change: different once the data there are others."""
+    fs, p = _fs(spark, path)
+    return fs.getContentSummary(p).getLength(), fs.getFileStatus(p).getModificationTime()
+
+
 def write_text(spark: SparkSession, path: str, text: str) -> None:
     """Write a small file (pointer / properties) beside its place and rename it, so that a reader sees the
     old text or the new one, never an empty file."""
