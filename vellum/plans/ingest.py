@@ -88,16 +88,16 @@ def embed_chunks(chunks: DataFrame, encoder: em.Encoder | str, fallback: em.Enco
         looked, new = em.cached_embed(src, encoder, cache.read(), "_input", fallback=fallback)
         done = em.materialize(looked)  # before the new entries are part of the cache
         cache.append(new)
+        valid = vx.is_valid_vector("embedding", encoder.dim)
+        reason = F.when(F.col("embedding").isNull(), F.lit("failed")).otherwise(vx.invalid_reason("embedding", encoder.dim))
+        rows, rejects = done.where(valid), _rejects(done.where(~valid), reason)
     elif isinstance(encoder, em.HashEncoder) and fallback is None:
-        done = src.withColumn("embedding", encoder.vector(F.col("_input")))
+        # A hash vector is missing only where the text is; a filter on the vector itself would make it twice.
+        rows = src.where(F.col("_input").isNotNull()).withColumn("embedding", encoder.vector(F.col("_input")))
+        rejects = _rejects(src.where(F.col("_input").isNull()), F.lit("failed"))
     else:
-        done = None
         rows, bad = em.embed_with_fallback(src, encoder, fallback, "_input", "embedding")
         rejects = _rejects(bad, F.col("reason"))
-    if done is not None:
-        valid = vx.is_valid_vector("embedding", encoder.dim)
-        reason = F.when(F.col("embedding").isNull(), F.lit("failed")).otherwise(vx.invalid_reason("embedding", encoder.dim))
-        rows, rejects = done.where(valid), _rejects(done.where(~valid), reason)
     if postprocess_dim:
         rows = rows.withColumn("embedding", vx.postprocess("embedding", postprocess_dim).cast("array<float>"))
     return rows.withColumn("metadata", metadata_object()).select(*COLLECTION_COLUMNS), rejects
