@@ -78,3 +78,29 @@ def test_embedding_duplicates(vectors, tile):
 def test_passes_follow_the_number_of_nodes():
     assert embedding_dedup.passes_for(100, 128, 0.95, 0.99) == 2
     assert embedding_dedup.passes_for(10**6, 128, 0.95, 0.99) < embedding_dedup.passes_for(10**9, 128, 0.95, 0.99)
+
+
+def test_pairs_in_a_dense_cone_meet(spark):
+    """A third of the rows at cosine 0.9 to each other, with single pairs at 0.955 planted in the cone:
+    far more rows than a window share the first signs there, and the pairs must meet all the same."""
+    rng = np.random.default_rng(7)
+
+    def directions(n, *across):
+        """Unit vectors at right angles to each of ``across`` (which are so to each other)."""
+        x = rng.normal(size=(n, 128))
+        for u in across:
+            x -= (x * u).sum(axis=1, keepdims=True) * u
+        return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+    base = directions(2400)
+    axis = directions(1)
+    own = directions(800, axis)
+    own[1:200:2] = 0.55 * own[:200:2] + np.sqrt(1 - 0.55**2) * directions(100, axis, own[:200:2])
+    base[:800] = np.sqrt(0.9) * axis + np.sqrt(0.1) * own  # rows 2k and 2k + 1 < 200 at 0.9 + 0.1 * 0.55
+    link = np.triu(base @ base.T >= 0.95, 1)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(base)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r for r in embedding_dedup.embedding_duplicates(rows.repartition(4), window=16).collect()}
+    a, b = np.nonzero(link)
+    assert len(a) >= 100 and len(got) == 2400
+    met = sum(got[x].component_id == got[y].component_id for x, y in zip(a.tolist(), b.tolist()))
+    assert met >= 0.99 * len(a), (met, len(a))

@@ -3,10 +3,16 @@
 Equal vectors are one node with a count. In each pass every node gets 62 signs of random projections
 as one key; the nodes are sorted by it, lexicographically, and each is compared with its ``window``
 next neighbours. Pairs with cosine (in doubles) of ``threshold`` or more link; the links of all passes
-are united. The number of passes follows from the number of nodes: two vectors right at the threshold
-share a sign with probability p = 1 - angle / pi, and once they share the first log2(nodes / window)
-signs they are expected within a window, so passes are added until that happens in one of them with
-probability ``recall``.
+are united.
+
+Nodes that share the first ``depth`` signs of a pass are a block, and all pairs of a block are compared:
+one of up to ``window`` + 1 nodes lies whole in one partition and its windows hold all its pairs; a
+larger one, as a dense region gives, is cut into tiles of bounded size, and pairs of tiles are separate
+work. So a pair meets in a pass whenever it shares the first ``depth`` signs, however many other nodes
+do. Two vectors right at the threshold share a sign with probability p = 1 - angle / pi, and passes are
+added until some pass has them in one block with probability ``recall``; this does not depend on how
+the vectors are spread. ``depth`` is log2(nodes / window) or more: the blocks of trial passes are
+counted at several depths, and the one with the least work over all its passes is taken.
 
 A class larger than the window has links that no window holds. They are found exactly: all members of
 each class are compared in tiles of bounded size, pairs of tiles being separate work, and only counts
@@ -27,13 +33,42 @@ from pyspark.sql import functions as F
 from vellum.llm.shared import connected_components, local_roots, materialise, prepare
 
 SIGNS = 62
+#: Passes counted to choose the depth, and what a row costs in a pass besides its comparisons, in comparisons.
+TRIALS, ROW = 2, 512
 
 
-def passes_for(n: int, window: int, threshold: float, recall: float) -> int:
-    """Passes after which a pair at the threshold has met with probability ``recall``."""
-    depth = math.ceil(math.log2(max(1.0, n / window)))
+def depth_for(n: int, window: int) -> int:
+    """Signs that leave a window of rows to a block, were the rows spread evenly."""
+    return min(SIGNS, math.ceil(math.log2(max(1.0, n / window))))
+
+
+def passes_at(depth: int, threshold: float, recall: float) -> int:
+    """Passes after which a pair at the threshold has shared its first ``depth`` signs with probability
+    ``recall``."""
     met = (1 - math.acos(threshold) / math.pi) ** depth
-    return max(2, math.ceil(math.log(1 - recall) / math.log(1 - met))) if met < 1 else 2
+    return max(2, math.ceil(math.log(1 - recall) / math.log1p(-met))) if met < 1 else 2
+
+
+def passes_for(n: int, window: int, threshold: float, recall: float) -> int:
+    """Passes after which a pair at the threshold has met with probability ``recall``, at the least depth."""
+    return passes_at(depth_for(n, window), threshold, recall)
+
+
+def crowding(keyed: DataFrame, depths: list[int], window: int) -> dict[int, float]:
+    """Depth -> pairs within the blocks of more than ``window`` + 1 rows; rows of ``(pass, dim, key)``."""
+    last = max(depths)
+    fine = keyed.groupBy("pass", "dim", F.shiftright("key", SIGNS - last).alias("fine")).agg(F.count("*").alias("n"))
+    at = fine.select("pass", "dim", "n", "fine", F.explode(F.array(*map(F.lit, depths))).alias("depth"))
+    blocks = at.groupBy("pass", "dim", "depth", F.expr(f"shiftright(fine, {last} - depth)").alias("prefix")).agg(
+        F.sum("n").cast("double").alias("n"))
+    pairs = blocks.where(F.col("n") > window + 1).groupBy("depth").agg(F.sum(F.col("n") * F.col("n") / 2))
+    return dict(map(tuple, pairs.collect()))  # a row a depth
+
+
+def depth_of_least_work(n: int, window: int, threshold: float, recall: float, crowd: dict[int, float], depths: list[int]) -> int:
+    """The depth with the fewest comparisons over all its passes; ``crowd`` has the pairs in large
+    blocks of one pass."""
+    return min(depths, key=lambda d: passes_at(d, threshold, recall) * (n * (window + ROW) + crowd.get(d, 0.0)))
 
 
 def unit_rows(data: list[bytes]) -> np.ndarray:
@@ -41,6 +76,14 @@ def unit_rows(data: list[bytes]) -> np.ndarray:
     return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
 
 
+def in_tiles(rows: DataFrame, group: list[str], columns: list[str]) -> DataFrame:
+    """Each row with its ``tile`` out of ``tiles``, once for every pair ``low <= high`` of tiles it is in."""
+    rows = rows.withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
+    return rows.select(*group, *columns, "tile", other.alias("with")).select(
+        *group, F.least("tile", "with").alias("low"), F.greatest("tile", "with").alias("high"), "tile", *columns)
+
+
 def embedding_duplicates(vectors: DataFrame, threshold: float = 0.95, window: int = 128, recall: float = 0.995,
                          tile: int = 1024, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """``(vec_id, n_links, component_id, kept)`` for every row: ``n_links`` other rows linked directly,
@@ -75,22 +118,33 @@ def embedding_duplicates(vectors: DataFrame, threshold: float = 0.95, window: in
     packed = materialise(nodes.select("node", "first_id", "copies", "v").mapInArrow(
         as_bytes, "node long, first_id long, copies long, data binary"), "vectors-packed")
     n_nodes = packed.count()
-    n_passes = passes_for(n_nodes, window, threshold, recall)
-
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            node, data = batch.column(0).to_numpy(), batch.column(1).to_pylist()
-            sizes = np.array([len(d) // 8 for d in data])
-            for dim in np.unique(sizes).tolist():
-                at = np.flatnonzero(sizes == dim)
-                own = [data[i] for i in at.tolist()]
-                unit = unit_rows(own)
-                for p in range(n_passes):
-                    planes = np.random.default_rng([11, dim, p]).standard_normal((dim, SIGNS))
-                    key = (unit @ planes > 0) @ (1 << np.arange(SIGNS - 1, -1, -1, dtype=np.int64))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([p] * len(own), pa.int32()), pa.array([dim] * len(own), pa.int32()), pa.array(key),
-                         pa.array(node[at]), pa.array(own, pa.binary())], ["pass", "dim", "key", "node", "data"])
+    least = depth_for(n_nodes, window)
+    depths = list(range(least, min(SIGNS, least + 24) + 1, 2))
+
+    def keys(passes: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                node, data = batch.column(0).to_numpy(), batch.column(1).to_pylist()
+                sizes = np.array([len(d) // 8 for d in data])
+                for dim in np.unique(sizes).tolist():
+                    at = np.flatnonzero(sizes == dim)
+                    unit = unit_rows([data[i] for i in at.tolist()])
+                    for p in range(passes):
+                        planes = np.random.default_rng([11, dim, p]).standard_normal((dim, SIGNS))
+                        key = (unit @ planes > 0) @ (1 << np.arange(SIGNS - 1, -1, -1, dtype=np.int64))
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array([p] * len(at), pa.int32()), pa.array([dim] * len(at), pa.int32()), pa.array(key),
+                             pa.array(node[at])], ["pass", "dim", "key", "node"])
+
+        return packed.select("node", "data").mapInArrow(run, "pass int, dim int, key long, node long")
+
+    crowd = {d: pairs / TRIALS for d, pairs in crowding(keys(TRIALS), depths, window).items()}
+    depth = depth_of_least_work(n_nodes, window, threshold, recall, crowd, depths)
+    block = ["pass", "dim", "prefix"]
+    keyed = keys(passes_at(depth, threshold, recall)).withColumn("prefix", F.shiftright("key", SIGNS - depth))
+    keyed = materialise(keyed, "vectors-keys")
+    large = materialise(keyed.groupBy(*block).agg(F.count("*").alias("size")).where(F.col("size") > window + 1), "vectors-large")
+    spread = materialise(keyed.join(large, block, "left").join(packed.select("node", "data"), "node"), "vectors-spread")
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Sorted rows -> a spanning forest of the links inside windows."""
@@ -122,20 +176,32 @@ def embedding_duplicates(vectors: DataFrame, threshold: float = 0.95, window: in
         if held:
             yield links(held)
 
-    spread = packed.select("node", "data").mapInArrow(keys, "pass int, dim int, key long, node long, data binary")
-    ordered = (materialise(spread, "vectors-keys").repartitionByRange("pass", "dim", "key", "node")
-               .sortWithinPartitions("pass", "dim", "key", "node"))
-    edges = ordered.mapInArrow(windows, "u long, v long")
+    def meet(group: pd.DataFrame) -> pd.DataFrame:
+        """A spanning forest of the links of two tiles with each other (of one tile: among themselves)."""
+        node = group.node.to_numpy()
+        at, other = np.flatnonzero(group.tile == group.low), np.flatnonzero(group.tile == group.high)
+        unit = unit_rows(group.data.tolist())
+        x, y = np.nonzero(unit[at] @ unit[other].T >= threshold)
+        root = local_roots(len(node), at[x], other[y])
+        own = np.flatnonzero(root != np.arange(len(node)))
+        return pd.DataFrame({"u": node[own], "v": node[root[own]]})
+
+    # Blocks that fit a window are never cut: their rows are equal in all columns of the range.
+    is_large = F.col("size").isNotNull()
+    ordered = (spread.withColumn("cut_key", F.when(is_large, F.col("key"))).withColumn("cut_node", F.when(is_large, F.col("node")))
+               .repartitionByRange(*block, "cut_key", "cut_node").sortWithinPartitions("pass", "dim", "key", "node"))
+    near = ordered.select("pass", "dim", "key", "node", "data").mapInArrow(windows, "u long, v long")
+    tiled = spread.where(is_large).withColumn("tiles", F.ceil(F.col("size") / F.lit(tile)).cast("int"))
+    tiled = in_tiles(tiled, block, ["node", "data"])
+    crowded = tiled.groupBy(*block, "low", "high").applyInPandas(meet, "u long, v long")
+    edges = near.unionByName(crowded)
     roots = materialise(connected_components(edges, "vectors-cc"), "vectors-roots")
 
     # All direct links inside each class, tile against tile.
     member = materialise(roots.join(packed, "node"), "vectors-members")
     sizes = materialise(member.groupBy("root").agg(F.ceil(F.count("*") / F.lit(tile)).cast("int").alias("tiles"),
                                                    F.min("first_id").alias("component_id")), "vectors-classes")
-    placed = member.join(sizes, "root").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
-    placed = placed.select("root", "node", "copies", "data", "tile", other.alias("with")).select(
-        "root", F.least("tile", "with").alias("low"), F.greatest("tile", "with").alias("high"), "tile", "node", "copies", "data")
+    placed = in_tiles(member.join(sizes, "root"), ["root"], ["node", "copies", "data"])
 
     def count(group: pd.DataFrame) -> pd.DataFrame:
         """Links of the members of two tiles with each other (of one tile: among themselves)."""
