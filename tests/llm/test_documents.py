@@ -64,6 +64,16 @@ def test_simhash_brute(docs, empty):
     assert sorted(i for i in ids if i) == sorted({n for n in name if n}) and ids.count(None) == 1
 
 
+def test_keep_first_with_repeated_ids(spark):
+    """Texts of one id that are near-duplicates of nothing all stay; of each component one row does."""
+    a, b, c, d = ("first text stands alone", "another one of its own kind", "this has a smaller id elsewhere", "plain row twice")
+    rows = [(1, a), (1, b), (2, b), (1, c), (0, c), (3, d), (3, d), (1, b), (4, None), (4, ""), (None, a)]
+    kept = simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    left = sorted((r.doc_id, r.text) for r in kept if r.doc_id is not None and r.doc_id != 4)
+    assert left == sorted([(0, c), (1, a), (1, b), (3, d)])
+    assert [r.text or "" for r in kept if r.doc_id == 4] == [""] and [r.text for r in kept if r.doc_id is None] == [a]
+
+
 @pytest.mark.parametrize("node_limit", [1, 8192])
 def test_simhash_links_in_crowded_nodes(spark, node_limit):
     """Hundreds of codes a few bits apart: the same components as all pairs, however nodes are split."""

@@ -54,18 +54,22 @@ def fingerprint(text: bytes | None, shingle: int = 3) -> int:
     return int(np.packbits(ones * 2 > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """``(doc_id, fp)`` for every row; ``fp`` holds the unsigned bits as a signed long."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3,
+                 hashed: bool = False) -> DataFrame:
+    """``(doc_id, fp)`` for every row; ``fp`` holds the unsigned bits as a signed long. ``hashed`` adds
+    ``th``, a hash of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 fps = np.array([fingerprint(x, shingle) for x in part.column(1).to_pylist()], np.uint64)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fps.view(np.int64)), *part.columns[2:]],
+                                                 ["doc_id", "fp", "th"][:part.num_columns])
 
     prepare(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"),
+                       *[F.xxhash64(text_col).alias("th")] * hashed)
+    return rows.mapInArrow(run, "doc_id long, fp long" + ", th long" * hashed)
 
 
 def gray_rank(fp):
@@ -217,6 +221,15 @@ def fingerprint_links(uniq: DataFrame, max_bits: int = 2, node_limit: int = 8192
     return ordered.select("mask", "pattern", "fp").mapInArrow(run, "u long, v long")
 
 
+def members(fps: DataFrame, max_bits: int, node_limit: int) -> DataFrame:
+    """``(fp, first_id, root)`` of every distinct fingerprint; ``root`` is the same all over a component."""
+    uniq = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-uniq")
+    roots = connected_components(fingerprint_links(uniq.select("fp"), max_bits, node_limit), "simhash-cc")
+    member = uniq.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(
+        "fp", "first_id", F.coalesce("root", "fp").alias("root"))
+    return materialise(member, "simhash-member")
+
+
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3,
                        max_bits: int = 2, node_limit: int = 8192) -> DataFrame:
     """``(doc_id, fingerprint, component_id)`` for every row: ``fingerprint`` as 16 hex digits,
@@ -226,11 +239,7 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     fingerprint, but never name one (null if no row of the component has an id). Repeated rows are
     returned as often as they occur. Other columns are not read. An empty table gives no rows."""
     fps = materialise(fingerprints(docs, id_col, text_col, shingle), "simhash-fps")
-    uniq = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-uniq")
-    roots = connected_components(fingerprint_links(uniq.select("fp"), max_bits, node_limit), "simhash-cc")
-    member = uniq.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(
-        "fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    member = materialise(member, "simhash-member")
+    member = members(fps, max_bits, node_limit)
     named = materialise(member.groupBy("root").agg(F.min("first_id").alias("component_id")), "simhash-named")
     label = materialise(member.join(named, "root").select("fp", "component_id"), "simhash-label")
     return fps.join(label, "fp").select(
@@ -238,10 +247,18 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3,
-               max_bits: int = 2) -> DataFrame:
-    """The rows of ``docs`` with one document left of each component: the smallest id, once even if its
-    row is repeated. Rows without an id cannot be named and stay. All columns are kept as they are."""
-    label = simhash_components(docs, id_col, text_col, shingle, max_bits)
-    keep = label.where("doc_id = component_id").select(F.col("doc_id").alias("__keep_id")).distinct()
-    named = docs.join(keep, F.col(id_col).cast("long") == F.col("__keep_id"), "left_semi").dropDuplicates([id_col])
+               max_bits: int = 2, node_limit: int = 8192) -> DataFrame:
+    """The rows of ``docs`` with one document left of each component: the smallest id and, if several texts
+    of the component have it, the one with the smallest fingerprint and text hash (both as signed
+    numbers); once even if its row is repeated. An id whose texts are in several components may so stay
+    once for each. Rows without an id cannot be named and stay. All columns are kept as they are."""
+    fps = materialise(fingerprints(docs, id_col, text_col, shingle, hashed=True), "simhash-fps")
+    first = (members(fps, max_bits, node_limit).where("first_id is not null")
+             .groupBy("root").agg(F.min(F.struct("first_id", "fp")).alias("first")))
+    first = materialise(first.select("first.*"), "simhash-first")
+    keep = (fps.join(first, (fps.doc_id == first.first_id) & (fps.fp == first.fp), "left_semi")
+            .groupBy(F.col("doc_id").alias("__keep_id"), "fp").agg(F.min("th").alias("__keep_th")).drop("fp"))
+    own = docs.withColumn("__th", F.xxhash64(text_col))
+    named = own.join(keep, (F.col(id_col).cast("long") == F.col("__keep_id")) & (F.col("__th") == F.col("__keep_th")), "left_semi")
+    named = named.dropDuplicates([id_col, "__th"]).drop("__th")
     return named.unionByName(docs.where(F.col(id_col).isNull()))
