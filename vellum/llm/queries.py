@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from vellum.llm import (
     embedding_dedup,
     line_dedup,
+    merkle,
     packing,
     pii,
     sentencepiece_rounds,
@@ -79,6 +80,10 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.embedding_duplicates(embeddings(spark, sf_dir), threshold=0.95)
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.proofs(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_packing": op2_packing,
@@ -90,9 +95,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": op8_pii,
     "op9_token_files": op9_token_files,
     "op10_embedding_dedup": op10_embedding_dedup,
+    "op11_merkle": op11_merkle,
 }
 
 SQL: dict[str, str] = {
     "op3_line_dedup": line_dedup.ORACLE_SQL,
     "op5_topk": topk.ORACLE_SQL,
+    "op11_merkle": merkle.ORACLE_SQL,
 }
