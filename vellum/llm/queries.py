@@ -15,6 +15,7 @@ from vellum.llm import (
     pii,
     sentencepiece_rounds,
     simhash,
+    spelling,
     token_counts,
     token_files,
     topk,
@@ -84,6 +85,10 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.proofs(documents(spark, sf_dir))
 
 
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_groups(documents(spark, sf_dir), min_length=7, min_count=2, ratio=10, struck=31)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_packing": op2_packing,
@@ -96,10 +101,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_files": op9_token_files,
     "op10_embedding_dedup": op10_embedding_dedup,
     "op11_merkle": op11_merkle,
+    "op12_spelling": op12_spelling,
 }
 
 SQL: dict[str, str] = {
     "op3_line_dedup": line_dedup.ORACLE_SQL,
     "op5_topk": topk.ORACLE_SQL,
     "op11_merkle": merkle.ORACLE_SQL,
+    "op12_spelling": spelling.oracle_sql(),
 }
