@@ -9,8 +9,8 @@ numbers. One edit moves one letter from a group to another, or adds one to a gro
 the same block or in adjacent ones, and only those are compared: all pairs of a block and its
 neighbours have their squared distances from the NumPy product of the blocks' letter-count matrices
 (``|a|^2 + |b|^2 - 2ab``), pairs above two go, the rest is verified letter by letter. A block that
-holds much is dealt to tiles by a hash, and every pair of tiles is a task of its own, so the
-memory of a task is bounded whatever the vocabulary; no pair is lost and none is emitted but the near.
+holds much is dealt to tiles by a hash. A tile meets those it is compared with one after the other, so that two are held at
+a time, whatever the vocabulary; no pair is lost and none is emitted but the near.
 """
 
 from __future__ import annotations
@@ -53,52 +53,57 @@ def group_counts(word: Column) -> list[Column]:
     return [F.length(word) - F.length(F.translate(word, "".join(alphabet[g::GROUPS]), "")) for g in range(GROUPS - 1)]
 
 
-def block_pairs(blocks: DataFrame) -> DataFrame:
-    """``(a, b, ta, tb)``: each block ``a`` (an array of length and group counts) with itself and with the
-    neighbours ``b`` that come after it, and the tiles of both."""
+def neighbours(blocks: DataFrame) -> DataFrame:
+    """``(a, ta, b, tb)``: the number and tiles of each block with those of itself and of the blocks after
+    it that may hold near words: one letter more in some group, or one letter moved between two."""
     last = GROUPS - 1  # the last group's count follows from the length
     steps = [(0,) * GROUPS]
-    for g in range(GROUPS):  # one letter more, in group g
+    for g in range(GROUPS):
         steps.append((1, *(int(g == i) for i in range(last))))
         steps += [(0, *(int(i == g) - int(i == h) for i in range(last))) for h in range(g)]  # from group h to g
-    moved = F.explode(F.array(*[F.array(*[F.col("a")[i] + s for i, s in enumerate(step)]) for step in steps])).alias("b")
-    other = blocks.select(F.col("block").alias("b"), F.col("tiles").alias("tb"))
-    return (blocks.select(F.col("block").alias("a"), F.col("tiles").alias("ta"))
-            .select("a", "ta", moved).join(other, "b"))
-
-
-def near_in(words: list[str], others: list[str] | None) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of near words of two lists of words of one length each (the second's as long or one
-    longer); of one list, pairs ``i < j``."""
-    def codes(some: list[str]) -> np.ndarray:
-        return np.frombuffer("".join(some).encode("utf-32-le"), "<u4").reshape(len(some), -1)
-
-    def counts(code: np.ndarray) -> np.ndarray:
-        place = np.where(code < 0x80, code - 0x61, code - (0xC0 - 26)).astype(np.int64)
-        flat = np.bincount((np.arange(len(code))[:, None] * 90 + place).ravel(), minlength=90 * len(code))
-        return flat.reshape(-1, 90).astype(np.float32 if code.shape[1] < 4000 else np.float64)  # products stay exact
-
-    a = codes(words)
-    b = a if others is None else codes(others)
-    ca = counts(a)
-    cb = ca if others is None else counts(b)
-    aa, bb = np.einsum("ij,ij->i", ca, ca), np.einsum("ij,ij->i", cb, cb)
-    la, lb = a.shape[1], b.shape[1]
-    found = []
-    for at in range(0, len(a), 256):
-        square = aa[at:at + 256, None] + bb[None, :] - 2 * (ca[at:at + 256] @ cb.T)
-        i, j = np.nonzero(square <= 2)
+    moved = F.explode(F.array(*[F.array(*[F.col("block")[i] + s for i, s in enumerate(step)]) for step in steps])).alias("block")
+    other = blocks.select("block", F.col("number").alias("b"), F.col("tiles").alias("tb"))
+    return (blocks.select(F.col("number").alias("a"), F.col("tiles").alias("ta"), moved)
+            .join(other, "block").drop("block"))
+
+
+class Tile:
+    """Words of one length with their letters and letter counts, ready for products."""
+
+    def __init__(self, words: pa.Array, n: np.ndarray):
+        self.words, self.n = words, n
+        self.codes = np.frombuffer("".join(words.to_pylist()).encode("utf-32-le"), "<u4").reshape(len(words), -1)
+        place = np.where(self.codes < 0x80, self.codes - 0x61, self.codes - (0xC0 - 26)).astype(np.int64)
+        flat = np.bincount((np.arange(len(words))[:, None] * 90 + place).ravel(), minlength=90 * len(words))
+        # Sums of squares of counts stay exact in single precision up to 2^24.
+        counts = flat.reshape(-1, 90).astype(np.float32 if self.codes.shape[1] < 2000 else np.float64)
+        square = np.einsum("ij,ij->i", counts, counts)[:, None]
+        one = np.ones_like(square)
+        # left @ right is the negative squared distance; letters that the left words lack add nothing.
+        self.used = np.append(np.flatnonzero(counts.any(axis=0)), (90, 91))
+        self.left = np.hstack((2 * counts, -square, -one))[:, self.used]
+        self.right = np.hstack((counts, one, square)).T
+
+
+def near_in(a: Tile, b: Tile | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of near words of two tiles (words of ``b`` as long as those of ``a`` or one longer); pairs
+    ``i < j`` of one tile."""
+    alone, b = b is None, b or a
+    la, lb = a.codes.shape[1], b.codes.shape[1]
+    step = max(1, TILE_LETTERS // lb)
+    found, right = [], b.right[a.used]
+    for at in range(0, len(a.codes), 256):
+        i, j = np.divmod(np.flatnonzero(a.left[at:at + 256] @ right >= -2), len(b.codes))
         i += at
-        if others is None:
+        if alone:
             i, j = i[i < j], j[i < j]
-        for s in range(0, len(i), max(1, TILE_LETTERS // lb)):
-            x, y = i[s:s + TILE_LETTERS // lb + 1], j[s:s + TILE_LETTERS // lb + 1]
+        for s in range(0, len(i), step):
+            x, y = i[s:s + step], j[s:s + step]
             if la == lb:
-                fits = (a[x] != b[y]).sum(axis=1) == 1
-            else:  # equal up to some place, and after it with one letter more
-                front, back = a[x] == b[y][:, :-1], a[x] == b[y][:, 1:]
-                lead = np.logical_and.accumulate(front, axis=1).sum(axis=1)
-                tail = np.logical_and.accumulate(back[:, ::-1], axis=1).sum(axis=1)
+                fits = (a.codes[x] != b.codes[y]).sum(axis=1) == 1
+            else:  # equal up to some place, and from there with one letter more
+                lead = np.logical_and.accumulate(a.codes[x] == b.codes[y, :-1], axis=1).sum(axis=1)
+                tail = np.logical_and.accumulate((a.codes[x] == b.codes[y, 1:])[:, ::-1], axis=1).sum(axis=1)
                 fits = lead + tail >= la
             found.append((x[fits], y[fits]))
     if not found:
@@ -106,63 +111,65 @@ def near_in(words: list[str], others: list[str] | None) -> tuple[np.ndarray, np.
     return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
 
 
+def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows ``(a, i, b, j, word, n)`` sorted by these -> ``(a, b, na, nb)`` of near words. A tile's own words
+    have ``b`` -1 and so come first; the tiles they are compared with follow one by one, so two tiles
+    are held at a time."""
+    own: Tile | None = None
+    held: list[pa.RecordBatch] = []
+    key = None
+
+    def closed() -> Iterator[pa.RecordBatch]:
+        nonlocal own
+        if not held:
+            return
+        table = pa.Table.from_batches(held).combine_chunks()
+        tile = Tile(table.column("word").combine_chunks(), table.column("n").to_numpy())
+        if key[2] == -1:
+            own, task = tile, key[:2]
+            own.task = task
+            x, y = near_in(own)
+        elif own is None or own.task != key[:2]:  # a tile without words of its own
+            return
+        else:
+            x, y = near_in(own, tile)
+        if len(x):
+            yield pa.RecordBatch.from_arrays(
+                [own.words.take(pa.array(x)), tile.words.take(pa.array(y)), pa.array(own.n[x]), pa.array(tile.n[y])],
+                ["a", "b", "na", "nb"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.stack([batch.column(c).to_numpy() for c in range(4)])
+        cuts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+        for s, e in zip(cuts, cuts[1:]):
+            now = tuple(keys[:, s].tolist())
+            if now != key:
+                yield from closed()
+                held, key = [], now
+            held.append(batch.slice(s, e - s))
+    yield from closed()
+
+
 def near_pairs(words: DataFrame) -> DataFrame:
     """``words(word, n)``, each word once -> ``(a, b, na, nb)``, each pair of near words once."""
     block = F.array(F.length("word"), *group_counts(F.col("word")))
     keyed = materialise(words.select("word", "n", block.alias("block")), "spelling-blocks")
     size = F.greatest(F.ceil(F.col("n") / TILE_WORDS), F.ceil(F.col("n") * F.col("block")[0] / TILE_LETTERS))
-    blocks = materialise(keyed.groupBy("block").agg(F.count("*").alias("n")).select("block", size.cast("int").alias("tiles")), "spelling-tiles")
-    pairs = block_pairs(blocks).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("ta") - 1)))
-    pairs = pairs.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("tb") - 1)))
-    pairs = pairs.where((F.col("a") != F.col("b")) | (F.col("i") <= F.col("j")))
-    alone = (F.col("a") == F.col("b")) & (F.col("i") == F.col("j"))
-    one = F.struct(F.lit(0).alias("side"), F.col("a").alias("block"), F.col("i").alias("tile"))
-    two = F.struct(F.lit(1).alias("side"), F.col("b").alias("block"), F.col("j").alias("tile"))
-    name = F.concat_ws(",", F.array_join("a", ","), F.col("i"), F.array_join("b", ","), F.col("j"))
-    tasks = pairs.select(name.alias("task"), alone.alias("alone"), F.explode(F.when(alone, F.array(one)).otherwise(F.array(one, two))).alias("s"))
-    tasks = materialise(tasks.select("task", "alone", "s.*"), "spelling-tasks")
+    blocks = materialise(keyed.groupBy("block").agg(F.count("*").alias("n")).select(
+        "block", size.cast("int").alias("tiles"), F.monotonically_increasing_id().alias("number")), "spelling-tiles")
     tile = F.pmod(F.xxhash64("word"), F.col("tiles")).cast("int")
-    dealt = keyed.join(blocks, "block").withColumn("tile", tile).drop("tiles")
-    sent = dealt.join(tasks, ["block", "tile"]).select("task", "alone", "side", "word", "n")
-
-    def near(table: pa.Table) -> pa.RecordBatch:
-        """The near pairs of whole tasks, rows sorted by task and side."""
-        task, alone, side, word = (table.column(c).to_pylist() for c in ("task", "alone", "side", "word"))
-        n = table.column("n").to_numpy()
-        bound = [0, *(i for i in range(1, len(task)) if task[i] != task[i - 1]), len(task)]
-        left, right = [], []
-        for s, e in zip(bound, bound[1:]):
-            cut = e if alone[s] else s + sum(1 for x in side[s:e] if not x)
-            if cut > s and (alone[s] or cut < e):  # a tile may have no words
-                x, y = near_in(word[s:cut], None if alone[s] else word[cut:e])
-                left += (x + s).tolist()
-                right += (y + (s if alone[s] else cut)).tolist()
-        return pa.RecordBatch.from_arrays(
-            [pa.array([word[k] for k in left], pa.string()), pa.array([word[k] for k in right], pa.string()),
-             pa.array(n[left].astype(np.int64) if left else [], pa.int64()),
-             pa.array(n[right].astype(np.int64) if right else [], pa.int64())], ["a", "b", "na", "nb"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            task = batch.column(0).to_pylist()
-            if held and held[-1].column(0)[0].as_py() != task[0]:  # what was held ended with its batch
-                yield near(pa.Table.from_batches(held))
-                held = []
-            cut = len(task) - 1
-            while cut and task[cut - 1] == task[-1]:
-                cut -= 1
-            if cut:
-                yield near(pa.Table.from_batches([*held, batch.slice(0, cut)]))
-                held = []
-            held.append(batch.slice(cut))
-        if held:
-            yield near(pa.Table.from_batches(held))
-
-    return sent.repartition("task").sortWithinPartitions("task", "side").mapInArrow(
-        run, "a string, b string, na long, nb long")
+    dealt = keyed.join(blocks, "block").select(F.col("number").alias("from"), tile.alias("tile"), "word", "n")
+    to = neighbours(blocks).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("ta") - 1)))
+    to = to.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("tb") - 1)))
+    to = to.where((F.col("a") != F.col("b")) | (F.col("i") <= F.col("j")))
+    alone = (F.col("a") == F.col("b")) & (F.col("i") == F.col("j"))
+    to = materialise(to.select("a", "i", F.when(alone, F.lit(-1)).otherwise(F.col("b")).cast("long").alias("b"), "j",
+                               F.col("b").alias("from"), F.col("j").alias("tile")), "spelling-tasks")
+    sent = dealt.join(to, ["from", "tile"]).select("a", "i", "b", "j", "word", "n")
+    return sent.repartition("a", "i").sortWithinPartitions("a", "i", "b", "j").mapInArrow(
+        compare, "a string, b string, na long, nb long")
 
 
 def roots_of(forms: DataFrame, rounds: int = 64) -> DataFrame:
