@@ -13,6 +13,7 @@ from vellum.llm import (
     merkle,
     packing,
     pii,
+    quality,
     sentencepiece_rounds,
     simhash,
     spelling,
@@ -89,6 +90,11 @@ def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_groups(documents(spark, sf_dir), min_length=7, min_count=2, ratio=10, struck=31)
 
 
+def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet")
+    return quality.quality_rules(documents(spark, sf_dir), labels)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_packing": op2_packing,
@@ -102,6 +108,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_embedding_dedup": op10_embedding_dedup,
     "op11_merkle": op11_merkle,
     "op12_spelling": op12_spelling,
+    "op13_quality": op13_quality,
 }
 
 SQL: dict[str, str] = {
