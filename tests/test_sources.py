@@ -63,3 +63,61 @@ def test_ingest_files(spark, scratch):
     assert rows.where(F.col("creation_date").isNull()).count() == 0
     again, _ = ingest_documents(docs, HashEncoder(64), 200, 50)
     assert again.select("id").subtract(rows.select("id")).count() == 0  # content ids are stable
+
+
+def test_levels_are_listed_to_the_end(spark, scratch):
+    root = scratch[len("file:"):] if scratch.startswith("file:") else scratch
+    _write(root, "/".join(f"d{i}" for i in range(9))[0:] + "/deep.md", b"deep")
+    _write(root, ".hidden/_under/x.md", b"x")
+    for i in range(300):
+        _write(root, f"flat/{i}.md", b"")
+    os.makedirs(os.path.join(root, "none/at/all.md"))  # a folder with such a name is no file
+    os.utime(os.path.join(root, "flat/7.md"), (1_000_000_000, 1_000_000_000))
+    docs, _ = scan_markdown(spark, root)
+    rows = {r.source_file: r.t for r in docs.select("source_file", F.unix_seconds("modification_time").alias("t")).collect()}
+    assert len(rows) == 302 and rows[os.path.join(root, "flat/7.md")] == 1_000_000_000
+
+
+def test_the_driver_sees_no_entry(spark, scratch, monkeypatch):
+    root = scratch[len("file:"):] if scratch.startswith("file:") else scratch
+    _corpus(root)
+    made = []
+    own = spark.createDataFrame
+    monkeypatch.setattr(spark, "createDataFrame", lambda rows, *a, **k: made.append(list(rows)) or own(made[-1], *a, **k))
+    docs, _ = scan_markdown(spark, root)
+    assert docs.count() == 9 - 1 and made == [[(os.path.abspath(root),)]]
+
+
+def test_file_that_is_gone_is_a_reject(spark, scratch):
+    from vellum.sources.markdown import decoded, list_files, read_files
+
+    root = scratch[len("file:"):] if scratch.startswith("file:") else scratch
+    _write(root, "a.md", b"a")
+    _write(root, "b.md", b"b")
+    files = list_files(spark, root)
+    os.rename(os.path.join(root, "b.md"), os.path.join(root, "b.txt"))
+    docs, rejects = decoded(read_files(files, root))
+    assert docs.count() == 1 and [(os.path.basename(r.key), r.reason) for r in rejects.collect()] == [("b.md", "missing_file")]
+
+
+@pytest.mark.parametrize("files_per_batch", [None, 2])
+def test_stream_takes_every_file_once(spark, scratch, files_per_batch):
+    from vellum.sources.snapshot import CollectionStore
+    from vellum.streaming.incremental import run_incremental_import
+
+    base = scratch[len("file:"):] if scratch.startswith("file:") else scratch
+    root, ckpt = f"{base}/in", f"{base}/ckpt"
+    os.makedirs(root)
+    store = CollectionStore(spark, f"{base}/coll", "notes", 32)
+    assert run_incremental_import(spark, root, store, ckpt) == {"before": 0, "after": 0, "batches": [], "rejected": 0}
+    _corpus(root)
+    os.utime(os.path.join(root, "soil.md"), (1_500_000_000, 1_500_000_000))
+    first = run_incremental_import(spark, root, store, ckpt, files_per_batch=files_per_batch)
+    names = {os.path.basename(r.source_file) for r in store.read().select("source_file").collect()}
+    assert names == {"soil.md", "seeds.md", "frost.md", "B.MD", "c.markdown", ".y.md", "_x.md", "empty.md"}
+    assert first["rejected"] == 1 and sum(first["batches"]) == first["after"]
+    _write(root, "beds/_later.md", b"came later")
+    second = run_incremental_import(spark, root, store, ckpt, files_per_batch=files_per_batch)
+    assert sum(second["batches"]) == 1 and second["rejected"] == 0
+    third = run_incremental_import(spark, root, store, ckpt, files_per_batch=files_per_batch)
+    assert third["before"] == third["after"] == second["after"]

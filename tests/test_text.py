@@ -11,37 +11,28 @@ def _one(spark, expr, value):
     return spark.createDataFrame([(value,)], "t string").select(expr(F.col("t")).alias("r")).first()["r"]
 
 
-def reference_chunks(content, size, overlap):
-    """The window loop, written out plainly, as the property the expression must satisfy."""
-    if not content or len(content) <= size:
-        return [content]
-    out, start = [], 0
-    while start < len(content):
-        end = min(start + size, len(content))
-        out.append(content[start:end])
-        if end == len(content):
-            break
-        start = end - overlap
-    return out
-
-
-@pytest.mark.parametrize("text,size,overlap,n", [
-    ("", 100, 20, 1), ("A short sentence ok.", 100, 20, 1), ("x" * 100, 100, 20, 1), ("y" * 154, 100, 20, 2),
-    ("z" * 340, 200, 50, 2), ("x" * 200, 200, 50, 1),
-])
-def test_chunk_cases(spark, text, size, overlap, n):
-    got = _one(spark, lambda c: tx.chunk_array(c, size, overlap), text)
-    assert got == reference_chunks(text, size, overlap)
-    assert len(got) == n
+def check_windows(text, size, overlap, got):
+    """Windows by their definition: they start at multiples of ``size - overlap``, all but the last are full,
+    the last is the first that reaches the end; a text that fits is its own window."""
+    step = size - overlap
+    assert all(w == text[i * step:i * step + size] for i, w in enumerate(got))
+    assert all(len(w) == size for w in got[:-1])
+    assert got[-1] == text[-len(got[-1]):] if got[-1] else text == ""
+    assert len(got) == max(1, -(-(len(text) - overlap) // step))
+
+
+@pytest.mark.parametrize("length", [0, 1, 29, 30, 31, 52, 53, 74, 75, 500, 1009])
+@pytest.mark.parametrize("size,overlap", [(30, 8), (30, 0), (7, 6), (64, 63)])
+def test_chunk_windows(spark, length, size, overlap):
+    text = "".join(chr(0x4E00 + (i * i) % 1999) for i in range(length))
+    check_windows(text, size, overlap, _one(spark, lambda c: tx.chunk_array(c, size, overlap), text))
 
 
-def test_chunk_overlap_rebuilds_text(spark):
-    text = "".join(chr(97 + (i * 7) % 26) for i in range(1234)) + "é😀" * 40
-    got = _one(spark, lambda c: tx.chunk_array(c, 100, 20), text)
-    assert got == reference_chunks(text, 100, 20)
-    rebuilt = got[0] + "".join(c[20:] for c in got[1:-1])
-    last = got[-1]
-    assert (rebuilt + last[len(rebuilt) - (len(text) - len(last)):]) == text
+def test_chunk_windows_by_code_points(spark):
+    text = "naïve 🦋 " * 131
+    got = _one(spark, lambda c: tx.chunk_array(c, 45, 11), text)
+    check_windows(text, 45, 11, got)
+    assert got[0] + "".join(w[11:] for w in got[1:]) == text
 
 
 def test_chunk_bad_params():
@@ -58,10 +49,10 @@ def test_chunk_rows_do_not_carry_the_document(spark):
 
 
 def test_chunk_documents_rows(spark):
-    df = spark.createDataFrame([(1, "a" * 154), (2, "")], "doc_id int, text string")
-    rows = chunk_documents(df, "text", 100, 20, keep=["doc_id"]).orderBy("doc_id", "chunk_index").collect()
+    df = spark.createDataFrame([(1, "a" * 131), (2, "")], "doc_id int, text string")
+    rows = chunk_documents(df, "text", 60, 15, keep=["doc_id"]).orderBy("doc_id", "chunk_index").collect()
     assert [(r.doc_id, r.chunk_index, r.total_chunks, len(r.chunk)) for r in rows] == [
-        (1, 0, 2, 100), (1, 1, 2, 74), (2, 0, 1, 0)]
+        (1, 0, 3, 60), (1, 1, 3, 60), (1, 2, 3, 41), (2, 0, 1, 0)]
 
 
 @pytest.mark.parametrize("inp,expected", [
@@ -74,11 +65,11 @@ def test_preprocess(spark, inp, expected):
 
 
 @pytest.mark.parametrize("inp,expected", [
-    ("---\ntags: [tag1, tag2, tag3]\n---\nbody", ["tag1", "tag2", "tag3"]),
-    ("text with #tag1 and #tag2", ["tag1", "tag2"]),
-    ("---\ntags: []\n---\nx", [""]),
-    ("no tags here", []),
-    ("---\ntags: [a, b]\n---\n#c and #a", ["a", "b", "c"]),
+    ("---\ntags: [kelp, moss]\n---\nOn shore life", ["kelp", "moss"]),
+    ("Plant #garlic beside #roses; never #garlic twice", ["garlic", "roses"]),
+    ("---\ntags: []\n---\nnothing named", [""]),
+    ("A plain line about rain", []),
+    ("---\ntags: [oak, elm]\n---\n#ash then #oak", ["ash", "elm", "oak"]),
 ])
 def test_tags(spark, inp, expected):
     assert _one(spark, tx.extract_tags, inp) == expected

@@ -39,12 +39,12 @@ def test_postprocess_constant_vector(spark):
 
 
 def test_validation(spark):
-    df = spark.createDataFrame([(1, [1.0, 2.0, 3.0]), (2, [1.0]), (3, None), (4, [float("nan"), 1.0, 1.0])],
-                               "k int, v array<float>")
+    df = spark.createDataFrame([(1, [1.0, 2.0, 3.0]), (2, [1.0]), (3, None), (4, [float("nan"), 1.0, 1.0]),
+                                (5, [1.0, float("-inf"), 1.0])], "k int, v array<float>")
     rows = {r.k: (r.ok, r.why) for r in df.select("k", vx.is_valid_vector("v", 3).alias("ok"),
                                                   vx.invalid_reason("v", 3).alias("why")).collect()}
     assert rows == {1: (True, None), 2: (False, "dimension_mismatch:1"), 3: (False, "missing_embedding"),
-                    4: (False, "nan_in_embedding")}
+                    4: (False, "nan_in_embedding"), 5: (False, "infinity_in_embedding")}
 
 
 def _vectors(n=150, dim=128, seed=1):
@@ -112,3 +112,18 @@ def test_l2_keeps_its_digits_far_from_the_origin():
     x[0, 0] += 1e-4
     x[1, 0] += 5e-4
     assert np.allclose(kn._distances(np.full((1, 4), 1e6), x, "l2"), [[1e-8, 2.5e-7, 0]], rtol=1e-4, atol=0)
+
+
+def test_import_cleans_a_chunk_once(spark):
+    """The optimised plan has the cleaning's replacements as often as one cleaning has them."""
+    from vellum.operators.embed import HashEncoder
+    from vellum.plans.ingest import encoder_input, ingest_documents
+
+    docs = spark.createDataFrame([("/a.md", "some text")], "source_file string, text string")
+
+    def cleanings(df):
+        return df._jdf.queryExecution().optimizedPlan().toString().count("empty_document")
+
+    once = cleanings(docs.select(encoder_input("text").alias("x")))
+    rows, rejects = ingest_documents(docs, HashEncoder(64))
+    assert cleanings(rows) == once > 0 and rejects.count() == 0

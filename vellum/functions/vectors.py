@@ -91,12 +91,12 @@ def postprocess(raw: Column | str, dim: int = 512, valid_dims: tuple[int, ...] =
 
 
 def is_valid_vector(v: Column | str, dim: int) -> Column:
-    """Present, exactly ``dim`` long, no NULL/NaN element (E7)."""
+    """Present, exactly ``dim`` long, no NULL, NaN or infinite element (E7)."""
     c = _col(v)
     return (
         c.isNotNull()
         & (F.size(c) == dim)
-        & ~F.exists(c, lambda x: x.isNull() | F.isnan(x))
+        & ~F.exists(c, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     )
 
 
@@ -106,4 +106,5 @@ def invalid_reason(v: Column | str, dim: int) -> Column:
         F.when(c.isNull(), F.lit("missing_embedding"))
         .when(F.size(c) != dim, F.concat(F.lit("dimension_mismatch:"), F.size(c).cast("string")))
         .when(F.exists(c, lambda x: x.isNull() | F.isnan(x)), F.lit("nan_in_embedding"))
+        .when(F.exists(c, lambda x: F.abs(x) == float("inf")), F.lit("infinity_in_embedding"))
     )

@@ -92,9 +92,10 @@ def embed_chunks(chunks: DataFrame, encoder: em.Encoder | str, fallback: em.Enco
         reason = F.when(F.col("embedding").isNull(), F.lit("failed")).otherwise(vx.invalid_reason("embedding", encoder.dim))
         rows, rejects = done.where(valid), _rejects(done.where(~valid), reason)
     elif isinstance(encoder, em.HashEncoder) and fallback is None:
-        # A hash vector is missing only where the text is; a filter on the vector itself would make it twice.
-        rows = src.where(F.col("_input").isNotNull()).withColumn("embedding", encoder.vector(F.col("_input")))
-        rejects = _rejects(src.where(F.col("_input").isNull()), F.lit("failed"))
+        # Cleaned text is never null and always has a hash vector: nothing to reject, and a filter here would
+        # be pushed down as a second cleaning of every chunk.
+        rows = src.withColumn("embedding", encoder.vector(F.col("_input")))
+        rejects = _rejects(chunks.limit(0), F.lit("failed"))
     else:
         rows, bad = em.embed_with_fallback(src, encoder, fallback, "_input", "embedding")
         rejects = _rejects(bad, F.col("reason"))

@@ -103,12 +103,15 @@ def meta_collection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bad_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """embeddings with label 3 cut to 3 values, label 7 missing, label 5 with a NaN first value."""
+    """embeddings with label 3 cut to 3 values, label 7 missing, label 5 with a NaN first value, label 2 with
+    an infinite one (of either sign)."""
     e = table(spark, sf_dir, "embeddings")
     emb = (F.when(F.col("label") == 3, F.slice("embedding", 1, 3))
            .when(F.col("label") == 7, F.lit(None).cast("array<float>"))
            .when(F.col("label") == 5, F.concat(F.array(F.lit(float("nan")).cast("float")),
                                                 F.slice("embedding", 2, 1 << 20)))
+           .when(F.col("label") == 2, F.concat(F.array(F.when(F.col("vec_id") % 2 == 0, float("inf")).otherwise(
+               float("-inf")).cast("float")), F.slice("embedding", 2, 1 << 20)))
            .otherwise(F.col("embedding")))
     return e.select("vec_id", "label", emb.alias("embedding"))
 
@@ -122,14 +125,30 @@ def benchmark_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
+def file_name(source_file, source) -> F.Column:
+    """The name a document gets on disk: hidden for src1, with '_' for src2, else its own."""
+    mark = F.when(source == "src1", ".").when(source == "src2", "_").otherwise("")
+    return F.concat(mark, F.regexp_extract(source_file, "([^/]*)$", 1))
+
+
+# Time of change of the file of document 0; each next one is a minute younger, all far in the past.
+FIRST_DATE = 1_577_836_800
+
+
 def write_markdown_files(spark: SparkSession, sf_dir: str, root: str, where: str | None = None) -> str:
-    """Write markdown_docs as one ``.md`` file per document below ``root`` (``<source>/doc_<id>.md``),
-    from the executors; ``root`` must be on a file system the executors share."""
+    """Write markdown_docs as one ``.md`` file per document below ``root`` (``<source>/<file_name>``), from
+    the executors; ``root`` must be on a file system the executors share. Some names start with ``.`` or
+    ``_``; beside each English document stand an empty file ``empty_<id>.md`` and a file ``bad_<id>.md`` that
+    is not UTF-8. On a local store the times of change follow from the ids."""
     md = markdown_docs(spark, sf_dir)
     if where:
         md = md.where(where)
 
     def write(rows):
+        import os
+
+        from pyarrow import fs
+
         from vellum.sources.markdown import store_of
 
         store, base = store_of(root)
@@ -139,8 +158,13 @@ def write_markdown_files(spark: SparkSession, sf_dir: str, root: str, where: str
             if d not in made:
                 store.create_dir(d, recursive=True)
                 made.add(d)
-            with store.open_output_stream(f"{d}/doc_{r['doc_id']}.md") as f:
-                f.write(r["content"].encode("utf-8"))
-
-    md.select("doc_id", "source", "content").foreachPartition(write)
+            odd = [(f"empty_{r['doc_id']}.md", b""), (f"bad_{r['doc_id']}.md", b"\xff\xfe")] if r["lang"] == "en" else []
+            for name, content in [(r["name"], r["content"].encode("utf-8")), *odd]:
+                with store.open_output_stream(f"{d}/{name}") as f:
+                    f.write(content)
+                if isinstance(store, fs.LocalFileSystem):
+                    os.utime(f"{d}/{name}", (FIRST_DATE + 60 * r["doc_id"],) * 2)
+
+    name = file_name(F.col("source_file"), F.col("source"))
+    md.select("doc_id", "source", "lang", name.alias("name"), "content").foreachPartition(write)
     return root

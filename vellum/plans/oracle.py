@@ -91,6 +91,13 @@ CHUNKS_NOVEC = S.chunk_collection(256, with_vectors=False)
 FAIL_PRIMARY = "left(md5(enc_input), 1) IN ('0', '1')"
 
 
+# Documents as files: names by source, and an empty file beside each English document.
+FILE_NAME = (f"CASE WHEN contains(source_file, '/src1/') THEN '.' WHEN contains(source_file, '/src2/') THEN '_' ELSE '' END || "
+             f"{S.basename('source_file')}")
+FILE_CHUNKS = f"""SELECT {FILE_NAME} AS file, chunk_index, total_chunks, doc_title, array_to_string(tags, '|') AS tags, text
+FROM ({CHUNKS_NOVEC})
+UNION ALL SELECT 'empty_' || doc_id || '.md', 0, 1, 'Empty ' || doc_id, '', '' FROM documents WHERE lang = 'en'"""
+
 META = S.META_COLLECTION
 
 PROFILE_SQL = f"""
@@ -201,9 +208,9 @@ SQL = {
     "embedding_postprocess": f"""SELECT vec_id, CAST(b - 1 AS INTEGER) AS pos, CAST(round(v[b], 6) + 0.0 AS DOUBLE) AS value
         FROM (SELECT vec_id, v, unnest(range(1, len(v) + 1)) AS b FROM (
               SELECT vec_id, {_postprocess('embedding', 64)} AS v FROM embeddings))""",
-    "validate_dimension": """SELECT vec_id, (label NOT IN (3, 5, 7)) AS is_valid,
+    "validate_dimension": """SELECT vec_id, (label NOT IN (2, 3, 5, 7)) AS is_valid,
         CASE WHEN label = 7 THEN 'missing_embedding' WHEN label = 3 THEN 'dimension_mismatch:3'
-             WHEN label = 5 THEN 'nan_in_embedding' ELSE 'ok' END AS reason FROM embeddings""",
+             WHEN label = 5 THEN 'nan_in_embedding' WHEN label = 2 THEN 'infinity_in_embedding' ELSE 'ok' END AS reason FROM embeddings""",
     "embed_chunks": f"""SELECT id, 'ok' AS embed_status, CAST(len(embedding) AS INTEGER) AS dims,
         {_checksum('embedding')} AS checksum FROM ({CHUNKS})""",
     "embed_with_fallback": f"""SELECT id, CASE WHEN {FAIL_PRIMARY} THEN 'fallback' ELSE 'primary' END AS embed_model,
@@ -273,12 +280,11 @@ SQL = {
         CASE WHEN count(p.id) > 0 THEN string_agg('Context ' || CAST(p.priority AS VARCHAR) || ':' || chr(10) || p.text, {NL2} ORDER BY p.priority)
              || {NL2} || 'Question: ' || any_value(b.text) ELSE 'Question: ' || any_value(b.text) END AS prompt
         FROM benchmark b LEFT JOIN ({PRIORITIZED_RANKED}) p ON p.query_id = b.item_id GROUP BY b.item_id""",
-    "scan_markdown": f"""SELECT 'doc_' || CAST(doc_id AS VARCHAR) || '.md' AS file, CAST(length(content) AS BIGINT) AS n_chars,
-        md5(content) AS text_md5 FROM ({S.MARKDOWN_DOCS})""",
-    "ingest_corpus": f"""SELECT {S.basename('source_file')} AS file, chunk_index, total_chunks, doc_title,
-        array_to_string(tags, '|') AS tags, text FROM ({CHUNKS_NOVEC})""",
-    "incremental_import": f"""SELECT {S.basename('source_file')} AS file, chunk_index, total_chunks, doc_title,
-        array_to_string(tags, '|') AS tags, text FROM ({CHUNKS_NOVEC})""",
+    "scan_markdown": f"""SELECT {FILE_NAME} AS file, CAST(length(content) AS BIGINT) AS n_chars,
+        md5(content) AS text_md5, 1577836800 + 60 * doc_id AS modified FROM ({S.MARKDOWN_DOCS})
+        UNION ALL SELECT 'empty_' || doc_id || '.md', 0, md5(''), 1577836800 + 60 * doc_id FROM documents WHERE lang = 'en'""",
+    "ingest_corpus": FILE_CHUNKS,
+    "incremental_import": FILE_CHUNKS,
     "cache_populate": f"""SELECT DISTINCT md5('hash-256:' || enc_input) AS cache_key, 'hash-256' AS model, md5(enc_input) AS text_hash,
         CAST(len(embedding) AS INTEGER) AS dims, {_checksum('embedding')} AS checksum FROM ({CHUNKS})""",
 }

@@ -659,7 +659,7 @@ def q_scan_markdown(spark: SparkSession, sf: str) -> DataFrame:
 
     docs, _ = scan_markdown(spark, _corpus_dir(spark, sf))
     return docs.select(basename("source_file").alias("file"), F.length("text").cast("bigint").alias("n_chars"),
-                       F.md5("text").alias("text_md5"))
+                       F.md5("text").alias("text_md5"), F.unix_seconds("modification_time").alias("modified"))
 
 
 def _collection_view(rows: DataFrame) -> DataFrame:
@@ -681,14 +681,15 @@ def q_ingest_corpus(spark: SparkSession, sf: str) -> DataFrame:
 
 def q_incremental_import(spark: SparkSession, sf: str) -> DataFrame:
     """Import en/fr files, then add de/es files to the folder and run again: only new files are
-    read; a third run with nothing new adds nothing."""
+    read; a third run with nothing new adds nothing. Names that start with ``.`` or ``_``, empty files,
+    files that are not UTF-8 and old files are among them."""
     from vellum.session import shared_path
     from vellum.sources.snapshot import CollectionStore
     from vellum.streaming.incremental import run_incremental_import
 
     base = shared_path(spark, "incremental", unique=True)
     root, ckpt = f"{base}/corpus", f"{base}/checkpoint"
-    store = CollectionStore(spark, f"{base}/collections", "um_docs", HASH_DIM)
+    store = CollectionStore(spark, f"{base}/collections", "notes", HASH_DIM)
     _corpus_dir(spark, sf, "lang IN ('en', 'fr')", root)
     run_incremental_import(spark, root, store, ckpt)
     _corpus_dir(spark, sf, "lang NOT IN ('en', 'fr')", root)

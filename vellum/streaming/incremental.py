@@ -1,11 +1,14 @@
 """Incremental import (S6): new markdown files in a folder -> chunks -> vectors -> appended to a
 collection, with Structured Streaming.
 
-The file source remembers which files it has seen in its checkpoint, so each run (trigger
-``availableNow``) reads only files added since the previous run. Each micro-batch goes through
-the same import plan as a batch import and is appended with ``add_documents`` semantics: chunk ids
-are content ids and rows whose id already exists are skipped, so a micro-batch replayed after a
-failure (at-least-once ``foreachBatch``) does not duplicate anything.
+A file source of Spark skips names that start with ``.`` or ``_`` and empty files. Here the stream reads
+a log of files instead: each run lists the folder level by level as Spark jobs (``list_files``), appends
+the files that the log does not have yet, and the stream (trigger ``availableNow``) takes the log's new
+rows from its checkpoint on; tasks read the files they name. So every file is imported once, whatever
+its name, size or age. Each micro-batch goes through the same import plan as a batch import and is
+appended with ``add_documents`` semantics: chunk ids are content ids and rows whose id already exists are
+skipped, so a micro-batch replayed after a failure (at-least-once ``foreachBatch``) does not duplicate
+anything; a run that ended before its stream did leaves its files in the log for the next one.
 """
 
 from __future__ import annotations
@@ -16,43 +19,53 @@ from pyspark.sql import functions as F
 from vellum.operators import embed as em
 from vellum.operators.collection import add_documents
 from vellum.plans.ingest import ingest_documents
-from vellum.sources.markdown import MARKDOWN_PATTERN
+from vellum.sources import fs
+from vellum.sources.markdown import decoded, list_files, read_files
 from vellum.sources.snapshot import CollectionStore
 
+LOG_SCHEMA = "path string, modification_time timestamp"
 
-BINARY_FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
 
+def log_new_files(spark: SparkSession, root: str, log: str, files_per_batch: int | None = None) -> None:
+    """Append the markdown files below ``root`` that ``log`` does not have; nothing is written if there are
+    none. A log file, the unit of a micro-batch, names ``files_per_batch`` files at most."""
+    files = list_files(spark, root)
+    if fs.exists(spark, log):
+        files = files.join(spark.read.schema(LOG_SCHEMA).parquet(log).select("path"), "path", "left_anti")
+    files = em.materialize(files.select("path", "modification_time"))
+    if not files.isEmpty():
+        files.coalesce(64).write.mode("append").option("maxRecordsPerFile", files_per_batch or 0).parquet(log)
 
-def markdown_stream(spark: SparkSession, root: str, max_files_per_trigger: int | None = None) -> DataFrame:
-    reader = (spark.readStream.format("binaryFile").schema(BINARY_FILE_SCHEMA)
-              .option("recursiveFileLookup", "true")
-              .option("maxFileAge", "36500d"))  # files are imported once however old they are
-    if max_files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
-    return reader.load(root)
+
+def file_stream(spark: SparkSession, log: str, one_by_one: bool = False) -> DataFrame:
+    """The rows of the log as a stream; ``one_by_one`` makes each log file a micro-batch."""
+    reader = spark.readStream.schema(LOG_SCHEMA).option("maxFileAge", "36500d")
+    if one_by_one:
+        reader = reader.option("maxFilesPerTrigger", "1")
+    return reader.parquet(log)
 
 
 def run_incremental_import(spark: SparkSession, root: str, store: CollectionStore, checkpoint: str,
-                           encoder: em.Encoder | None = None, chunk_size: int = 500, chunk_overlap: int = 50) -> dict:
+                           encoder: em.Encoder | None = None, chunk_size: int = 500, chunk_overlap: int = 50,
+                           files_per_batch: int | None = None) -> dict:
     """Import every file not yet seen; returns counts before/after, per-batch additions and the number of
-    files that are not UTF-8, whose ``(stage, key, reason)`` rows are kept below ``<checkpoint>/rejects``."""
+    files that are not UTF-8 or were gone, whose ``(stage, key, reason)`` rows are kept below
+    ``<checkpoint>/rejects``. The log of files is ``<checkpoint>/files``."""
     encoder = encoder or em.HashEncoder(store.dimension)
     before = store.read().count()
     added: list[int] = []
     rejected: list[int] = []
+    log = f"{checkpoint}/files"
+    log_new_files(spark, root, log, files_per_batch)
+    if not fs.exists(spark, log):  # the folder has no markdown file yet
+        return {"before": before, "after": before, "batches": [], "rejected": 0}
 
     def batch(files: DataFrame, epoch_id: int) -> None:
-        raw = files.where(F.lower("path").rlike(MARKDOWN_PATTERN))
-        text = F.try_validate_utf8(F.col("content").cast("string"))
-        docs = raw.select(F.regexp_replace("path", "^file:", "").alias("source_file"),
-                          F.col("modificationTime").alias("modification_time"),
-                          F.regexp_replace(text, "\\r\\n?", "\n").alias("text"))
-        bad = em.materialize(docs.where(F.col("text").isNull()).select(
-            F.lit("scan").alias("stage"), F.col("source_file").alias("key"), F.lit("invalid_utf8").alias("reason")))
+        docs, bad = decoded(em.materialize(read_files(files, root)))
+        bad = em.materialize(bad.select("stage", "key", "reason"))
         rejected.append(bad.count())
         if rejected[-1]:  # one folder per batch: a replayed batch writes the same rows again
             bad.write.mode("overwrite").parquet(f"{checkpoint}/rejects/batch={epoch_id}")
-        docs = docs.where(F.col("text").isNotNull())
         rows, _ = ingest_documents(docs, encoder, chunk_size, chunk_overlap)
         current = store.read() if store.segments() else rows.limit(0)
         res = add_documents(current, rows, store.dimension)
@@ -62,7 +75,7 @@ def run_incremental_import(spark: SparkSession, root: str, store: CollectionStor
             store.append(new_rows)
         added.append(n)
 
-    q = (markdown_stream(spark, root).writeStream.foreachBatch(batch)
-         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    q = (file_stream(spark, log, bool(files_per_batch)).writeStream.foreachBatch(batch)
+         .option("checkpointLocation", f"{checkpoint}/stream").trigger(availableNow=True).start())
     q.awaitTermination()
     return {"before": before, "after": store.read().count(), "batches": added, "rejected": sum(rejected)}
