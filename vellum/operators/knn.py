@@ -3,15 +3,20 @@
 Plan shape:
 
     query rows -> mapInArrow: packed in blocks of at most ``max_block_bytes`` -> shared folder
+    one row in ``SEED_RATE`` of the corpus, chosen by a hash of the id, ranked as below
+      -> the distance of every query's k-th there: its bound, packed with it
     corpus scan (id, embedding; where-filters pushed to Parquet)
-      -> mapInArrow: tiles of bounded size; every query block is read from the shared folder and
-         multiplied with the tile, top-k per query and tile
-      -> exchange by query_id (at most k rows per query and tile)
+      -> mapInArrow: tiles of bounded size, each with its centre and radius; every query block is read
+         from the shared folder; queries that the triangle inequality keeps beyond their bound
+         skip the tile, the others are multiplied with it, and at most k rows within the bound remain
+      -> exchange by query_id (about SEED_RATE * k rows a query, however many tasks there are)
       -> row_number() over (partition by query_id order by distance, id) <= k
 
-The corpus is scanned once, never shuffled and never replicated; the query table passes through
-neither the driver nor a broadcast. Ties are broken by id; distances are compared at 1e-9 resolution
-so that float noise between kernels cannot reorder equal distances.
+The corpus is never shuffled and never replicated; the query table passes through neither the driver
+nor a broadcast. Tiles follow the order of storage, so rows stored near their like (``operators.ann``)
+are skipped most. Ties are broken by id; cosine and inner-product distances are compared at 1e-9, squared
+distances at ten significant digits, so that float noise between kernels cannot reorder equal
+distances and rows very near to a query keep their order.
 """
 
 from __future__ import annotations
@@ -26,8 +31,13 @@ from pyspark.sql import functions as F
 
 from vellum.functions.vectors import METRICS
 
-# Resolution at which distances are compared before the id tie-break.
+# Resolution at which distances are compared before the id tie-break: decimals, and for l2 the
+# significant digits after the first.
 DISTANCE_DECIMALS = 9
+# One corpus row in so many bounds the distances that are worth keeping.
+SEED_RATE = 64
+# Rows that share a centre and radius.
+TILE_ROWS = 2048
 # Upper bound on one broadcast query block, bytes of float64 payload.
 DEFAULT_MAX_BLOCK_BYTES = 64 << 20
 # Upper bound on one distance tile inside a task (number of float64 cells).
@@ -38,6 +48,39 @@ TILE_CELLS = 1 << 22
 class _Block:
     ids: np.ndarray  # query ids (int64 or object)
     mat: np.ndarray  # (nq, dim) float64, already normalised for cosine
+    bound: np.ndarray  # (nq,) no row further away is among the k nearest
+
+
+def resolved(d: np.ndarray, metric: str) -> np.ndarray:
+    """Distances at the resolution they are compared at."""
+    if metric != "l2":
+        return np.round(d, DISTANCE_DECIMALS)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        unit = 10.0 ** (np.floor(np.log10(d)) - DISTANCE_DECIMALS)
+        return np.where(d > 0, np.round(d / unit) * unit, d)
+
+
+def resolved_column(d: Column, metric: str) -> Column:
+    if metric != "l2":
+        return F.round(d, DISTANCE_DECIMALS)
+    unit = F.pow(F.lit(10.0), F.floor(F.log10(d)) - DISTANCE_DECIMALS)
+    return F.when(d > 0, F.round(d / unit) * unit).otherwise(d)
+
+
+def reachable(q: np.ndarray, bound: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
+    """Which queries may have a row of the tile ``x`` within their bound, by the tile's centre and radius."""
+    if metric == "cosine":
+        size = np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
+        x = np.divide(x, size, out=np.zeros_like(x), where=size > 0)  # |q - x|^2 = 2 * distance on unit vectors
+    centre = x.mean(axis=0)
+    radius = np.sqrt(np.einsum("ij,ij->i", x - centre, x - centre).max())
+    if metric == "ip":
+        least = 1.0 - (q @ centre + np.sqrt(np.einsum("ij,ij->i", q, q)) * radius)
+        most = bound
+    else:
+        least = np.sqrt(np.einsum("ij,ij->i", q - centre, q - centre)) - radius
+        most = np.sqrt(np.maximum(bound * (2.0 if metric == "cosine" else 1.0), 0.0))
+    return ~(least > most + 1e-6 * (1.0 + np.abs(most) + radius))  # not finite: reachable
 
 
 def _list_to_matrix(arr: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -107,24 +150,23 @@ def _select_topk(cd: np.ndarray, id_of, k: int) -> np.ndarray:
     return np.nonzero(mask)[1].reshape(nq, kk)
 
 
-def _kernel(block_bc, metric: str, k: int, dim: int, id_col: str, vec_col: str, qid_type: pa.DataType,
+def _kernel(blk: _Block, metric: str, k: int, dim: int, id_col: str, vec_col: str, qid_type: pa.DataType,
             id_type: pa.DataType):
+    """Batches of corpus rows -> one batch of each query's ``k`` nearest of them within its bound."""
     def run(batches):
-        blk: _Block = block_bc.value
         q = blk.mat
         nq = q.shape[0]
         id_is_str = pa.types.is_string(id_type) or pa.types.is_large_string(id_type)
         id_dtype = object if id_is_str else np.int64
-        best_d = np.full((nq, 0), np.inf)
-        best_i = np.empty((nq, 0), dtype=id_dtype)
-        rows_per_tile = max(1, TILE_CELLS // max(nq, 1))
-        rows_idx = np.arange(nq)[:, None]
+        best_d = np.full((nq, k), np.inf)
+        best_i = np.full((nq, k), "" if id_is_str else 0, dtype=id_dtype)
+        rows_per_tile = max(1, min(TILE_ROWS, TILE_CELLS // max(nq, 1)))
         for batch in batches:
             if batch.num_rows == 0:
                 continue
             ids_arr = batch.column(id_col)
             x, ok = _list_to_matrix(batch.column(vec_col), dim)
-            keep = ok & np.asarray(ids_arr.is_valid().to_numpy(zero_copy_only=False))
+            keep = ok & np.asarray(ids_arr.is_valid().to_numpy(zero_copy_only=False)) & np.isfinite(x).all(axis=1)
             if not keep.all():
                 x = x[keep]
                 ids_arr = ids_arr.filter(pa.array(keep))
@@ -133,28 +175,32 @@ def _kernel(block_bc, metric: str, k: int, dim: int, id_col: str, vec_col: str,
             for s in range(0, x.shape[0], rows_per_tile):
                 xt = x[s : s + rows_per_tile]
                 it = ids_np[s : s + rows_per_tile]
-                d = np.round(_distances(q, xt, metric), DISTANCE_DECIMALS)
-                d[~np.isfinite(d)] = np.inf
-                kc = best_d.shape[1]
-                cd = np.concatenate([best_d, d], axis=1)
-
-                def id_of(r, cols, _b=best_i, _t=it, _kc=kc):
-                    return [_b[r, c] if c < _kc else _t[c - _kc] for c in cols]
+                most = np.minimum(blk.bound, best_d[:, -1])
+                own = np.flatnonzero(reachable(q, most, xt, metric))
+                if not len(own):
+                    continue
+                d = resolved(_distances(q[own], xt, metric), metric)
+                d[~(d <= most[own, None])] = np.inf
+                hit = np.flatnonzero(np.isfinite(d).any(axis=1))
+                own, d = own[hit], d[hit]
+                cd = np.concatenate([best_d[own], d], axis=1)
+
+                def id_of(r, cols, _b=best_i, _t=it, _own=own):
+                    return [_b[_own[r], c] if c < k else _t[c - k] for c in cols]
 
                 pos = _select_topk(cd, id_of, k)
-                best_d = cd[rows_idx, pos]
-                from_best = pos < kc
-                new_i = np.empty(pos.shape, dtype=id_dtype)
-                if kc:
-                    new_i[from_best] = best_i[rows_idx, np.minimum(pos, kc - 1)][from_best]
-                new_i[~from_best] = it[(pos - kc)[~from_best]]
-                best_i = new_i
-        if best_d.shape[1] == 0:
-            return
-        qi = np.repeat(np.arange(nq), best_d.shape[1])
+                chosen = np.take_along_axis(cd, pos, axis=1)
+                new_i = np.where(pos < k, np.take_along_axis(best_i[own], np.minimum(pos, k - 1), axis=1),
+                                 it[np.maximum(pos - k, 0)])
+                order = np.argsort(chosen, axis=1, kind="stable")
+                best_d[own] = np.take_along_axis(chosen, order, axis=1)
+                best_i[own] = np.take_along_axis(new_i, order, axis=1)
+        qi = np.repeat(np.arange(nq), k)
         dd = best_d.ravel()
         ii = best_i.ravel()
         fin = np.isfinite(dd)
+        if not fin.any():
+            return
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array(blk.ids[qi[fin]], type=qid_type),
@@ -174,23 +220,25 @@ def _arrow_type(df: DataFrame, col: str) -> pa.DataType:
 
 
 def _pack_queries(metric: str, dim: int, rows_per_block: int, qid_type: pa.DataType):
-    """Query rows -> blocks ``(ids, mat)`` of at most ``rows_per_block`` queries, packed by the tasks that
+    """Query rows with their bounds -> blocks ``(ids, mat, bounds)`` of at most ``rows_per_block`` queries, packed by the tasks that
     hold them. Vectors that cannot be ranked (wrong length, null, not finite) are left out; a zero vector
     is at cosine distance 1 from every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             mat, ok = _list_to_matrix(batch.column(1), dim)
-            ok = ok & np.asarray(batch.column(0).is_valid().to_numpy(zero_copy_only=False))
+            ok = ok & np.asarray(batch.column(0).is_valid().to_numpy(zero_copy_only=False)) & np.isfinite(mat).all(axis=1)
+            bound = batch.column(2).to_numpy(zero_copy_only=False)
             if metric == "cosine":
                 nrm = np.sqrt(np.einsum("ij,ij->i", mat, mat))
                 mat = mat / np.where(nrm > 0, nrm, 1.0)[:, None]
-            ids, mat = batch.column(0).filter(pa.array(ok)), mat[ok]
+            ids, mat, bound = batch.column(0).filter(pa.array(ok)), mat[ok], bound[ok].astype(np.float64)
             for at in range(0, len(mat), rows_per_block):
                 some = ids.slice(at, rows_per_block)
                 yield pa.RecordBatch.from_arrays(
                     [pa.ListArray.from_arrays(pa.array([0, len(some)], pa.int32()), some.cast(qid_type)),
-                     pa.array([np.ascontiguousarray(mat[at:at + rows_per_block]).tobytes()], pa.binary())], ["ids", "mat"])
+                     pa.array([np.ascontiguousarray(mat[at:at + rows_per_block]).tobytes()], pa.binary()),
+                     pa.array([bound[at:at + rows_per_block].tobytes()], pa.binary())], ["ids", "mat", "bounds"])
 
     return run
 
@@ -207,24 +255,21 @@ def _read_blocks(folder: str, dim: int) -> Iterator[_Block]:
     for path in files:
         with store.open_input_file(path) as f:
             for batch in pq.ParquetFile(f).iter_batches(batch_size=1):
-                for ids, mat in zip(batch.column("ids"), batch.column("mat")):
+                for ids, mat, bound in zip(batch.column("ids"), batch.column("mat"), batch.column("bounds")):
                     ids = ids.values
                     ids_np = np.asarray(ids.to_pylist(), dtype=object) if pa.types.is_string(ids.type) else ids.to_numpy(
                         zero_copy_only=False)
-                    yield _Block(ids=ids_np, mat=np.frombuffer(mat.as_py(), np.float64).reshape(len(ids_np), dim))
+                    yield _Block(ids=ids_np, mat=np.frombuffer(mat.as_py(), np.float64).reshape(len(ids_np), dim),
+                                 bound=np.frombuffer(bound.as_py(), np.float64))
 
 
 def _tiled(folder: str, metric: str, k: int, dim: int, qid_type: pa.DataType, id_type: pa.DataType, tile_bytes: int):
     """Corpus batches are held in tiles of bounded size; every query block is read and ranked against
     each tile, so the corpus is scanned once whatever the number of queries."""
 
-    class Held:
-        def __init__(self, value):
-            self.value = value
-
     def rank(tile: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in _read_blocks(folder, dim):
-            yield from _kernel(Held(block), metric, k, dim, "id", "embedding", qid_type, id_type)(iter(tile))
+            yield from _kernel(block, metric, k, dim, "id", "embedding", qid_type, id_type)(iter(tile))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tile, size = [], 0
@@ -269,18 +314,30 @@ def knn_candidates(
     id_type = _arrow_type(c, "id")
     qid_sql = q.schema["query_id"].dataType.simpleString()
     schema = f"query_id {qid_sql}, id {c.schema['id'].dataType.simpleString()}, distance double"
-    # The executors write the query vectors in blocks to the shared folder and read them there, block by
-    # block: neither the driver nor a broadcast ever holds the query table, and a repeated query id is
-    # a row like any other.
-    folder = shared_path(spark, "knn", "queries", unique=True)
     rows_per_block = max(1, max_block_bytes // (dim * 8))
-    q.mapInArrow(_pack_queries(metric, dim, rows_per_block, qid_type), f"ids array<{qid_sql}>, mat binary").write.parquet(folder)
-    return c.mapInArrow(_tiled(folder, metric, k, dim, qid_type, id_type, max_block_bytes), schema)
+
+    def packed(rows: DataFrame) -> str:
+        # The executors write the query vectors in blocks to the shared folder and read them there, block
+        # by block: neither the driver nor a broadcast ever holds the query table.
+        folder = shared_path(spark, "knn", "queries", unique=True)
+        rows.mapInArrow(_pack_queries(metric, dim, rows_per_block, qid_type),
+                        f"ids array<{qid_sql}>, mat binary, bounds binary").write.parquet(folder)
+        return folder
+
+    def ranked(rows: DataFrame, folder: str) -> DataFrame:
+        return rows.mapInArrow(_tiled(folder, metric, k, dim, qid_type, id_type, max_block_bytes), schema)
+
+    seeds = packed(q.withColumn("bound", F.lit(float("inf"))))
+    near = final_topk(ranked(c.where(F.pmod(F.xxhash64("id"), F.lit(SEED_RATE)) == 0), seeds), k)
+    bounds = near.where(F.col("rank") == k).select(F.col("query_id").alias("seeded"), F.col("distance").alias("bound"))
+    bounded = q.join(bounds, q.query_id == bounds.seeded, "left").select(
+        "query_id", "qvec", F.coalesce("bound", F.lit(float("inf"))).alias("bound"))
+    return ranked(c, packed(bounded))
 
 
 def final_topk(cands: DataFrame, k: int) -> DataFrame:
     """``(query_id, rank, id, distance)`` keeping the k best per query under (distance, id)."""
-    w = Window.partitionBy("query_id").orderBy(F.round("distance", DISTANCE_DECIMALS), F.col("id"))
+    w = Window.partitionBy("query_id").orderBy("distance", "id")
     return (
         cands.withColumn("rank", F.row_number().over(w))
         .where(F.col("rank") <= k)
@@ -324,6 +381,7 @@ def knn_expression(
     scored = corpus.select(F.col(id_col).alias("id"), distance(F.col(vec_col), q, metric).alias("distance")).where(
         F.col("distance").isNotNull()
     )
-    top = scored.orderBy(F.round("distance", DISTANCE_DECIMALS), F.col("id")).limit(k)
-    w = Window.orderBy(F.round("distance", DISTANCE_DECIMALS), F.col("id"))
+    scored = scored.withColumn("distance", resolved_column(F.col("distance"), metric))
+    top = scored.orderBy("distance", "id").limit(k)
+    w = Window.orderBy("distance", "id")
     return top.select(F.row_number().over(w).cast("int").alias("rank"), "id", "distance")

@@ -28,12 +28,20 @@ def _dist(metric: str, a: str, b: str) -> str:
     return f"1.0 - list_inner_product({a}, {b})"
 
 
+def _resolved(metric: str) -> str:
+    """The key distances are compared by: 1e-9, for l2 ten significant digits."""
+    if metric != "l2":
+        return "round(distance, 9)"
+    return ("CASE WHEN distance > 0 THEN round(distance / pow(10, floor(log10(distance)) - 9)) "
+            "* pow(10, floor(log10(distance)) - 9) ELSE 0 END")
+
+
 def _knn(corpus: str, id_expr: str, metric: str, k: int) -> str:
     return f"""
 WITH q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS qv FROM embeddings),
 c AS (SELECT {id_expr} AS id, CAST(embedding AS DOUBLE[]) AS v FROM ({corpus})),
 d AS (SELECT query_id, id, {_dist(metric, 'qv', 'v')} AS distance FROM q, c),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 9), id) AS rank FROM d)
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY {_resolved(metric)}, id) AS rank FROM d)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, id, {r4('distance')} AS distance FROM r WHERE rank <= {k}
 """
 
@@ -43,7 +51,7 @@ def _knn_sql(queries: str, corpus: str, metric: str, k: int, cols: str = "query_
     return f"""
 WITH q AS ({queries}), c AS ({corpus}),
 d AS (SELECT q.*, c.*, {_dist(metric, 'CAST(q.qv AS DOUBLE[])', 'CAST(c.embedding AS DOUBLE[])')} AS distance FROM q, c),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 9), id) AS rank FROM d)
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY {_resolved(metric)}, id) AS rank FROM d)
 SELECT {cols} FROM r WHERE rank <= {k}
 """
 
@@ -186,6 +194,11 @@ SQL = {
         {S.excerpt('text', 200)} AS excerpt_200 FROM documents""",
     "knn_cosine": _knn(S.VECTOR_COLLECTION, "id", "cosine", 5),
     "knn_l2": _knn(S.VECTOR_COLLECTION, "id", "l2", 5),
+    "knn_l2_near": _knn_sql(
+        VEC_Q, f"""SELECT id, embedding FROM ({S.VECTOR_COLLECTION})
+        UNION ALL SELECT 'near ' || vec_id || ' ' || step, list_concat([CAST(embedding[1] AS DOUBLE) + step * 1e-6],
+                                                                       CAST(embedding[2:] AS DOUBLE[]))
+        FROM embeddings, (VALUES (1), (2), (3)) AS s(step)""", "l2", 4, "query_id, CAST(rank AS INTEGER) AS rank, id"),
     "knn_ip": _knn(S.VECTOR_COLLECTION, "id", "ip", 5),
     "knn_batch": _knn("SELECT * FROM embeddings", "vec_id", "cosine", 10),
     "query_by_text": _knn_sql(BENCH_Q, CHUNKS, "cosine", 5),

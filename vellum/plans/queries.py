@@ -103,6 +103,18 @@ def _knn_metric(metric: str, k: int = 5):
     return run
 
 
+def q_knn_l2_near(spark: SparkSession, sf: str) -> DataFrame:
+    """The collection with three copies of each vector 1e-6, 2e-6 and 3e-6 away: the nearest first."""
+    near = inputs.table(spark, sf, "embeddings").withColumn("step", F.explode(F.array(*[F.lit(i) for i in (1, 2, 3)])))
+    v = F.col("embedding").cast("array<double>")
+    moved = F.concat(F.array(F.element_at(v, 1) + F.col("step") * 1e-6), F.slice(v, 2, EMB_DIM))
+    name = F.concat_ws(" ", F.lit("near"), "vec_id", "step")
+    coll = inputs.vector_collection(spark, sf).select("id", F.col("embedding").cast("array<double>").alias("embedding"))
+    corpus = coll.unionByName(near.select(name.alias("id"), moved.alias("embedding")))
+    res = knn_ops.knn(corpus, _all_vector_queries(spark, sf), 4, "l2", dim=EMB_DIM)
+    return res.select("query_id", "rank", "id")
+
+
 def q_knn_batch(spark: SparkSession, sf: str) -> DataFrame:
     corpus = inputs.table(spark, sf, "embeddings")
     res = knn_ops.knn(corpus, _all_vector_queries(spark, sf), 10, "cosine", dim=EMB_DIM, id_col="vec_id")
@@ -710,6 +722,7 @@ QUERIES = {
     "text_preview": q_text_preview,
     "knn_cosine": _knn_metric("cosine"),
     "knn_l2": _knn_metric("l2"),
+    "knn_l2_near": q_knn_l2_near,
     "knn_ip": _knn_metric("ip"),
     "knn_batch": q_knn_batch,
     "query_by_text": q_query_by_text,
