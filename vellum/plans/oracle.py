@@ -201,6 +201,7 @@ SQL = {
         FROM embeddings, (VALUES (1), (2), (3)) AS s(step)""", "l2", 4, "query_id, CAST(rank AS INTEGER) AS rank, id"),
     "knn_ip": _knn(S.VECTOR_COLLECTION, "id", "ip", 5),
     "knn_batch": _knn("SELECT * FROM embeddings", "vec_id", "cosine", 10),
+    "knn_lsh_recall": "SELECT 10 AS k, CAST(sum(least(10, n)) AS BIGINT) AS n_true, TRUE AS reached FROM (SELECT count(*) OVER () AS n FROM embeddings)",
     "query_by_text": _knn_sql(BENCH_Q, CHUNKS, "cosine", 5),
     "search_result_view": _knn_sql(
         BENCH_Q, CHUNKS, "cosine", 5,

@@ -260,6 +260,19 @@ def q_where_document(spark: SparkSession, sf: str) -> DataFrame:
     return _count_cases(d, {n: compile_where_document(w) for n, w in WHERE_DOCUMENT_CASES.items()})
 
 
+def q_knn_lsh_recall(spark: SparkSession, sf: str) -> DataFrame:
+    """Approximate search of every vector among all: recall of the ten nearest against exact search."""
+    from vellum.operators.ann import CellIndex, recall
+    from vellum.session import shared_path
+
+    corpus = inputs.table(spark, sf, "embeddings")
+    queries = _all_vector_queries(spark, sf)
+    index = CellIndex.build(corpus, shared_path(spark, "ann", unique=True), EMB_DIM, "cosine", id_col="vec_id")
+    found = index.search(queries, 10, index.probes_for(queries, 10, target=0.95))
+    return recall(found, index.exact(queries, 10)).select(
+        F.lit(10).alias("k"), "n_true", (F.col("recall") >= 0.9).alias("reached"))
+
+
 # --- embedding (J3) -------------------------------------------------------------------------------
 
 
@@ -725,6 +738,7 @@ QUERIES = {
     "knn_l2_near": q_knn_l2_near,
     "knn_ip": _knn_metric("ip"),
     "knn_batch": q_knn_batch,
+    "knn_lsh_recall": q_knn_lsh_recall,
     "query_by_text": q_query_by_text,
     "search_result_view": q_search_result_view,
     "query_with_model": q_query_with_model,
