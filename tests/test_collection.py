@@ -127,6 +127,52 @@ def test_updates_of_one_id_follow_each_other(spark):
     assert out.where("shelf = 'poetry'").count() == 2
 
 
+def test_an_empty_object_starts_anew(spark):
+    """Metadata of updates in turn: an empty object replaces what was there, later fields follow it."""
+    coll = _rows(spark, 3).withColumn("shelf", F.try_variant_get("metadata", "$.shelf", "string"))
+    upd = spark.createDataFrame(
+        [("doc_0", '{"a": 1}', 1), ("doc_0", "{}", 2), ("doc_0", '{"b": 2, "c": null}', 3), ("doc_0", '{"b": 3}', 4), ("doc_0", None, 5),
+         ("doc_1", '{"shelf": "x"}', 1), ("doc_1", "{}", 2)],
+        "id string, m string, seq int").select("id", F.parse_json("m").alias("metadata"), "seq")
+    out, _ = co.update_documents(coll, upd, DIM)
+    got = {r.id: (r.m, r.shelf) for r in out.select("id", F.to_json("metadata").alias("m"), "shelf").collect()}
+    assert got["doc_0"] == ('{"b":3,"c":null}', "poetry") and got["doc_1"] == ("{}", None)
+
+
+def test_one_id_with_very_many_updates(spark):
+    """Fields of one id meet by field, after partial sums: no list of its updates is made."""
+    coll = _rows(spark, 3)
+    upd = spark.range(40_000).repartition(8).select(
+        F.lit("doc_1").alias("id"), F.concat(F.lit("t"), "id").alias("text"), F.to_variant_object(F.struct(F.col("id").alias("n"))).alias("metadata"),
+        F.col("id").alias("seq"))
+    folded = co.folded_updates(upd.select("id", F.col("seq").alias("_u_seq"), F.col("text").alias("_u_text"),
+                                          F.lit(None).cast("array<float>").alias("_u_emb"), F.col("metadata").alias("_u_meta")))
+    row = folded.select("_u_text", F.size("_u_fields").alias("n")).collect()
+    assert [(r._u_text, r.n) for r in row] == [("t39999", 1)]
+    out, _ = co.update_documents(coll, upd, DIM)
+    assert out.where("text = 't39999' and try_variant_get(metadata, '$.n', 'bigint') = 39999").count() == 1
+
+
+def test_change_segments(spark, coll, scratch):
+    """Updates and deletes write what they change; reading, adding anew and compacting see the same rows."""
+    store = CollectionStore(spark, scratch, "changes", DIM)
+    store.commit(coll)
+    upd = spark.createDataFrame([("doc_2", "new two"), ("ghost", "x"), ("doc_3", "new three")], "id string, text string")
+    status = {r.id: r.reason for r in store.update(upd).collect()}
+    assert status == {"doc_2": None, "doc_3": None, "ghost": "not_found"}
+    assert spark.read.parquet(f"{store.path}/snapshots/{store.segments()[-1]}").count() == 2
+    store.delete(spark.createDataFrame([("doc_3",), ("doc_4",), ("nobody",), (None,)], "id string"))
+    texts = {r.id: r.text for r in store.read().collect()}
+    assert set(texts) == {f"doc_{i}" for i in range(10)} - {"doc_3", "doc_4"} and texts["doc_2"] == "new two"
+    store.append(coll.where("id = 'doc_4'"))
+    store.update(spark.createDataFrame([("doc_2", "newer two")], "id string, text string"))
+    live = {(r.id, r.text) for r in store.read().collect()}
+    assert ("doc_2", "newer two") in live and "doc_4" in dict(live) and len(live) == 9
+    store.compact()
+    assert len(store.segments()) == 1 and {(r.id, r.text) for r in store.read().collect()} == live
+    assert store.update(spark.createDataFrame([], "id string, text string")).count() == 0 and len(store.segments()) == 1
+
+
 @pytest.mark.parametrize("where,ids", [
     ({"n": {"$gt": 0}}, "abd"), ({"n": 1}, "b"), ({"n": {"$in": [1, 0.5]}}, "ab"), ({"n": "2"}, "c"), ({"n": 2}, "d"),
     ({"n": True}, "e"), ({"my.key": "k"}, "a"), ({"n": {"$nin": ["2", 0.5]}}, "bde"),

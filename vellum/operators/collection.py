@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from vellum.functions import text as tx
 from vellum.functions import vectors as vx
-from vellum.operators.embed import embedding_dimension
+from vellum.operators.embed import embedding_dimension, materialize
 
 # Largest id / update table joined by broadcast (bytes of its values, summed before the join).
 BROADCAST_BYTES = 64 << 20
@@ -126,6 +126,38 @@ def merge_metadata(old: Column, new: Column) -> Column:
     )
 
 
+def folded_updates(u: DataFrame) -> DataFrame:
+    """``u(id, _u_seq, _u_text, _u_emb, _u_meta)`` -> one row an id: the last text and vector given; the
+    metadata that the updates leave in turn as ``_u_fields`` (key, value), which replaces the old one
+    where ``_u_reset`` (an update gave an empty object) and else is merged into it; and the names of all
+    fields given. First the last value by (id, field), with partial sums, so that very many updates of
+    one id are not gathered; then a row an id, as wide as its fields."""
+    fields = F.col("_u_meta").cast("map<string,variant>")
+    kind = "struct<kind:int,key:string,value:variant>"
+    none = F.lit(None)
+    parts = F.concat(
+        F.array(F.struct(F.lit(0).alias("kind"), none.alias("key"), none.alias("value")).cast(kind)),
+        F.when(F.size(fields) == 0, F.array(F.struct(F.lit(1).alias("kind"), none.alias("key"), none.alias("value")).cast(kind)))
+        .when(F.size(fields) > 0, F.transform(F.map_entries(fields), lambda e: F.struct(
+            F.lit(2).alias("kind"), e["key"].alias("key"), e["value"].alias("value"))))
+        .otherwise(F.array().cast(f"array<{kind}>")))
+    rows = u.select("id", "_u_seq", "_u_text", "_u_emb", F.explode(parts).alias("p")).select("id", "_u_seq", "_u_text", "_u_emb", "p.*")
+
+    def last(c: str) -> Column:
+        return F.max_by(c, F.when((F.col("kind") == 0) & F.col(c).isNotNull(), F.col("_u_seq"))).alias(c)
+
+    by_field = rows.groupBy("id", "kind", "key").agg(
+        last("_u_text"), last("_u_emb"), F.max_by("value", "_u_seq").alias("value"), F.max("_u_seq").alias("seq"))
+    by_id = by_field.groupBy("id").agg(
+        F.max_by("_u_text", F.when(F.col("kind") == 0, F.lit(1))).alias("_u_text"),
+        F.max_by("_u_emb", F.when(F.col("kind") == 0, F.lit(1))).alias("_u_emb"),
+        F.max(F.when(F.col("kind") == 1, F.col("seq"))).alias("reset"),
+        F.collect_list(F.when(F.col("kind") == 2, F.struct("key", "seq", "value"))).alias("fields"))
+    left = F.filter("fields", lambda e: F.col("reset").isNull() | (e["seq"] > F.col("reset")))
+    return by_id.select("id", "_u_text", "_u_emb", F.col("reset").isNotNull().alias("_u_reset"),
+                        left.alias("_u_fields"), F.transform("fields", lambda e: e["key"]).alias("_u_named"))
+
+
 def update_documents(coll: DataFrame, updates: DataFrame, dim: int) -> tuple[DataFrame, DataFrame]:
     """Apply ``updates(id, text?, embedding?, metadata?, seq?)``: NULL means "keep". Updates of one id are
     applied in the order of ``seq`` (of the frame's rows without it), each to what the one before left.
@@ -140,24 +172,22 @@ def update_documents(coll: DataFrame, updates: DataFrame, dim: int) -> tuple[Dat
         (F.col("embedding") if "embedding" in cols else F.lit(None).cast("array<float>")).alias("_u_emb"),
         (F.col("metadata") if "metadata" in cols else F.lit(None).cast("variant")).alias("_u_meta"),
     )
+    u = materialize(u)  # read for the rows and for the status
     bad_dim = F.col("_u_emb").isNotNull() & ~vx.is_valid_vector(F.col("_u_emb"), dim)
-    known = u.join(coll.select("id"), "id", "left_semi")
-    status = u.join(known.select("id", F.lit(True).alias("_known")).distinct(), "id", "left").select(
+    known = coll.select(F.col("id").alias("_id"))
+    status = u.join(known, F.col("id") == F.col("_id"), "left").select(
         "id",
-        (F.col("_known").isNotNull() & ~bad_dim).alias("updated"),
-        F.when(F.col("_known").isNull(), F.lit("not_found")).when(bad_dim, F.lit("dimension_mismatch")).alias("reason"),
+        (F.col("_id").isNotNull() & ~bad_dim).alias("updated"),
+        F.when(F.col("_id").isNull(), F.lit("not_found")).when(bad_dim, F.lit("dimension_mismatch")).alias("reason"),
     )
-    # One row per id: the last text and vector that are given, and the metadata in order.
-    in_order = F.array_sort(F.collect_list(F.struct("_u_seq", "_u_meta")),
-                            lambda a, b: F.when(a["_u_seq"] < b["_u_seq"], -1).when(a["_u_seq"] > b["_u_seq"], 1).otherwise(0))
-    good = known.where(~bad_dim).groupBy("id").agg(
-        F.max_by("_u_text", F.when(F.col("_u_text").isNotNull(), F.col("_u_seq"))).alias("_u_text"),
-        F.max_by("_u_emb", F.when(F.col("_u_emb").isNotNull(), F.col("_u_seq"))).alias("_u_emb"),
-        in_order.alias("_u_metas"))
-    joined = coll.join(maybe_broadcast(good), "id", "left")
+    good = folded_updates(u.where(~bad_dim))
+    joined = coll.join(maybe_broadcast(materialize(good)), "id", "left")
     if "metadata" in coll.columns:
-        merged = F.aggregate("_u_metas", F.col("metadata"), lambda old, m: merge_metadata(old, m["_u_meta"]))
-        joined = joined.withColumn("_merged", F.when(F.col("_u_metas").isNull(), F.col("metadata")).otherwise(merged))
+        given = F.map_from_entries(F.transform("_u_fields", lambda e: F.struct(e["key"], e["value"])))
+        fields = F.to_variant_object(given)
+        merged = (F.when(F.col("_u_fields").isNull() | (~F.col("_u_reset") & (F.size("_u_fields") == 0)), F.col("metadata"))
+                  .when(F.col("_u_reset"), fields).otherwise(merge_metadata(F.col("metadata"), fields)))
+        joined = joined.withColumn("_merged", merged)
 
     def updated(c: str) -> Column:
         if c == "text":
@@ -169,9 +199,7 @@ def update_documents(coll: DataFrame, updates: DataFrame, dim: int) -> tuple[Dat
         kind = coll.schema[c].dataType.simpleString()
         if c != "id" and "metadata" in coll.columns and kind in ("string", "int", "bigint", "float", "double", "boolean"):
             held = F.try_variant_get(F.col("_merged"), "$['%s']" % c.replace("'", "\\'"), kind)
-            given = F.exists("_u_metas", lambda m: F.coalesce(
-                F.array_contains(F.map_keys(m["_u_meta"].cast("map<string,variant>")), c), F.lit(False)))
-            return F.when(given, held).otherwise(F.col(c)).alias(c)
+            return F.when(F.array_contains("_u_named", c), held).otherwise(F.col(c)).alias(c)
         return F.col(c)
 
     return joined.select(*[updated(c) for c in coll.columns]), status

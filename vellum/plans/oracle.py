@@ -235,6 +235,9 @@ SQL = {
     "add_documents": f"SELECT id, label, CAST(64 AS INTEGER) AS dims FROM ({META}) WHERE label < 5 OR label IN (6, 8, 9)",
     "get_by_ids": f"SELECT id, text, label, zone, weight FROM ({META}) WHERE label IN (1, 2)",
     "delete_by_ids": f"SELECT id, label FROM ({META}) WHERE label <> 0",
+    "update_segments": f"""SELECT id, CASE WHEN label = 4 THEN 'updated again ' || id ELSE text END AS text,
+        CASE WHEN label = 4 THEN 104 ELSE label END AS label, CASE WHEN label = 4 THEN CAST(40 AS BIGINT) END AS new_field,
+        4 AS segments, TRUE AS same_after_compaction FROM ({META}) WHERE label <> 0 OR embedding[2] > 0""",
     "update_merge": f"""SELECT id, CASE WHEN label = 4 THEN 'updated again ' || id ELSE text END AS text,
         CASE WHEN label = 4 THEN 104 ELSE label END AS label,
         CASE WHEN label = 4 THEN 'updated' WHEN label = 8 THEN NULL ELSE zone END AS zone,

@@ -442,6 +442,42 @@ def q_delete_by_ids(spark: SparkSession, sf: str) -> DataFrame:
     return twice.select("id", "label")
 
 
+def _updates(coll: DataFrame) -> DataFrame:
+    """The updates of ``update_merge``, from one scan."""
+    lab, second = F.col("label"), F.col("seq") == 2
+    rows = coll.where(lab.isin(4, 6, 8)).withColumn("seq", F.explode(F.when(lab == 4, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))))
+    return rows.select(
+        F.when(lab == 6, F.concat(F.lit("ghost_"), F.col("id"))).otherwise(F.col("id")).alias("id"),
+        F.when(second, F.concat(F.lit("updated again "), F.col("id"))).when(lab == 4, F.concat(F.lit("updated "), F.col("id"))).alias("text"),
+        F.when(lab == 8, F.parse_json(F.lit("{}")))
+        .when(second, F.to_variant_object(F.struct((lab + 100).cast("bigint").alias("label"))))
+        .otherwise(F.to_variant_object(F.struct(F.lit("updated").alias("zone"),
+                                                (lab * 10).cast("bigint").alias("new_field")))).alias("metadata"),
+        "seq")
+
+
+def q_update_segments(spark: SparkSession, sf: str) -> DataFrame:
+    """The same updates on a stored collection, which writes the changed rows only; then label 0 is deleted,
+    some of its rows are added anew, and the segments are compacted into one."""
+    from vellum.session import shared_path
+    from vellum.sources.snapshot import CollectionStore
+
+    coll = inputs.meta_collection(spark, sf)
+    store = CollectionStore(spark, shared_path(spark, "segments", unique=True), "vectors", EMB_DIM)
+    store.commit(coll)
+    store.update(_updates(coll))
+    store.delete(coll.where("label = 0").select("id"))
+    store.append(coll.where("label = 0 and embedding[1] > 0"))
+    segments = len(store.segments())
+    live = store.read().select("id", "text", "label", "metadata")
+    before = live.agg(F.count("*").alias("n"), F.sum(F.xxhash64("id", "text", "label").cast("decimal(38,0)")).alias("h")).first()
+    store.compact()
+    after = store.read()
+    same = after.agg(F.count("*").alias("n"), F.sum(F.xxhash64("id", "text", "label").cast("decimal(38,0)")).alias("h")).first() == before
+    return after.select("id", "text", "label", F.try_variant_get("metadata", "$.new_field", "bigint").alias("new_field"),
+                        F.lit(segments).alias("segments"), F.lit(same).alias("same_after_compaction"))
+
+
 def q_update_merge(spark: SparkSession, sf: str) -> DataFrame:
     """label 4: new text + metadata {zone, new_field} merged, then a second update that gives the text and
     the promoted label anew; label 8: metadata {} replaces; label 6: updates aimed at unknown ids (not applied)."""
@@ -449,17 +485,7 @@ def q_update_merge(spark: SparkSession, sf: str) -> DataFrame:
 
     coll = inputs.meta_collection(spark, sf)
     lab = F.col("label")
-    first = coll.where(lab.isin(4, 6, 8)).select(
-        F.when(lab == 6, F.concat(F.lit("ghost_"), F.col("id"))).otherwise(F.col("id")).alias("id"),
-        F.when(lab == 4, F.concat(F.lit("updated "), F.col("id"))).alias("text"),
-        F.when(lab == 8, F.parse_json(F.lit("{}")))
-        .otherwise(F.to_variant_object(F.struct(F.lit("updated").alias("zone"),
-                                                (lab * 10).cast("bigint").alias("new_field")))).alias("metadata"),
-        F.lit(1).alias("seq"))
-    second = coll.where(lab == 4).select(
-        "id", F.concat(F.lit("updated again "), F.col("id")).alias("text"),
-        F.to_variant_object(F.struct((lab + 100).cast("bigint").alias("label"))).alias("metadata"), F.lit(2).alias("seq"))
-    out, status = update_documents(coll, first.unionByName(second), EMB_DIM)
+    out, status = update_documents(coll, _updates(coll), EMB_DIM)
     m = F.col("metadata")
     applied = status.groupBy("id").agg(F.count_if("updated").alias("n_applied"))
     return out.join(applied, "id", "left").select(
@@ -758,6 +784,7 @@ QUERIES = {
     "get_by_ids": q_get_by_ids,
     "delete_by_ids": q_delete_by_ids,
     "update_merge": q_update_merge,
+    "update_segments": q_update_segments,
     "collection_count": q_collection_count,
     "list_ids": q_list_ids,
     "peek": q_peek,
