@@ -106,6 +106,30 @@ def test_gray_tree_finds_all_links():
     assert len(a) == want.sum() and want[a, b].all()
 
 
+def test_groups_are_pruned_on_ordinary_codes():
+    """Random codes: whole groups go at every level above the codes, and few codes are ever compared."""
+    rng = np.random.default_rng(6)
+    fps = np.unique(rng.integers(0, 1 << 64, 20_000, dtype=np.uint64))
+    gray = fps.copy()
+    for k in (1, 2, 4, 8, 16, 32):
+        gray ^= gray >> np.uint64(k)
+    counts = {}
+    simhash.links_in_node(fps[np.argsort(gray)], 2, counts)
+    assert len(counts) >= 4 and all(counts[k][1] > 0 for k in list(counts)[1:])
+    assert counts[0][0] < 0.15 * len(fps)**2
+
+
+def test_dense_links_give_a_forest_only():
+    """Codes that all link with one another: fewer edges than codes."""
+    fps = np.array([0] + [1 << b for b in range(64)], np.uint64)
+    gray = fps.copy()
+    for k in (1, 2, 4, 8, 16, 32):
+        gray ^= gray >> np.uint64(k)
+    fps = fps[np.argsort(gray)]
+    u, v = simhash.forest(simhash.tree_of_codes(fps), fps, 2)
+    assert 64 <= len(u) < 2 * len(fps) and set(u.tolist()) | set(v.tolist()) == set(fps.tolist())
+
+
 def test_token_counts(docs, empty):
     from tokenizers import Tokenizer
 

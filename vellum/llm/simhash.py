@@ -5,16 +5,18 @@ Fingerprints: lower-case A-Z, words are runs without space, tab, LF, VT, FF, CR;
 half of the hashes. Fewer words than a shingle: the whole sequence is the one shingle; no words (null
 or empty text): fingerprint zero, which links like any other.
 
-Links (at most ``max_bits`` differing bits) are found on distinct fingerprints. The top nodes of the
-index are the shared masked patterns of ``max_bits + 1`` bands: two linked fingerprints agree on one
-band at least, so each fingerprint hangs below one top node per band and only meets its own nodes.
-A node with more than ``node_limit`` fingerprints is split further on the bits its mask leaves free,
-again into ``max_bits + 1`` parts, so no link is lost and no task gets an unbounded node. Below a top
-node fingerprints are in Gray order; runs of 16 are factored into a mask of agreeing bits and their
-pattern, runs of 16 nodes into the next level, each level holding only the bits its parent does not.
-A search adds up the differences level by level and drops a whole group once they exceed ``max_bits``.
-
-Each task gives only a spanning forest of its links; components are closed over the whole corpus.
+Links (at most ``max_bits`` differing bits) are found on distinct fingerprints, by one tree over all of
+them. They are range-partitioned and sorted by Gray rank; runs of at most ``node_limit`` consecutive
+codes are the lower nodes. Every node is factored into a mask of the bits its codes agree on and their
+pattern; runs of 16 nodes are factored again, level by level, each level testing only the bits its parent
+does not. A search adds up the differences from the top and drops a whole group once they exceed
+``max_bits``. The few upper levels (``MAX_NODES`` lower nodes at most) are sent to every task, which
+emits for each fingerprint the lower nodes that are left, those of its own rank or above; a node's
+codes and the fingerprints that reach it meet in one task, where the search goes on below the node in
+the same way. The task holds one node and one batch of fingerprints at a time.
+
+A task gives only a spanning forest of the links of each batch; components are closed over the whole
+corpus.
 """
 
 from __future__ import annotations
@@ -29,6 +31,7 @@ from pyspark.sql import functions as F
 from vellum.llm.shared import connected_components, local_roots, materialise, prepare, slices
 
 FAN = 16
+MAX_NODES = 1 << 14  # lower nodes; with 16 bytes and two ranks each the upper tree stays under a megabyte
 
 
 def fingerprint(text: bytes | None, shingle: int = 3) -> int:
@@ -79,146 +82,139 @@ def gray_rank(fp):
     return fp
 
 
-def split_bits(free: list[int], parts: int) -> list[list[int]]:
-    """``free`` bit numbers in ``parts`` runs of nearly equal length."""
-    cuts = [round(i * len(free) / parts) for i in range(parts + 1)]
-    return [free[a:b] for a, b in zip(cuts, cuts[1:])]
-
-
 def signed(mask: int) -> int:
     return mask - (1 << 64) if mask >> 63 else mask
 
 
-def bits_of(mask: int) -> list[int]:
-    return [b for b in range(63, -1, -1) if mask >> b & 1]
-
-
-def links_in_node(fps: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs ``i < j`` of the Gray-ordered codes below one top node that differ in at most
-    ``max_bits`` bits, found by descending the hierarchy with accumulated differences."""
-    n = len(fps)
-    every = np.uint64(0xFFFFFFFFFFFFFFFF)
-    # levels[0] are the codes; each next level factors runs of FAN nodes.
-    levels = [(np.full(n, every), fps)]
-    while len(levels[-1][0]) > FAN:
-        mask, pattern = levels[-1]
-        at = np.arange(0, len(mask), FAN)
-        common = np.bitwise_and.reduceat(mask, at)
-        both, some = np.bitwise_and.reduceat(pattern, at), np.bitwise_or.reduceat(pattern, at)
-        common &= ~(both ^ some)
-        levels.append((common, both & common))
-    last = [np.minimum((np.arange(len(m)) + 1) * FAN**k, n) - 1 for k, (m, _) in enumerate(levels)]
-    found_a, found_b = [], []
-    top_mask, top_pattern = levels[-1]
-    for at in range(0, n, 2048):
-        q = np.repeat(np.arange(at, min(n, at + 2048)), len(top_mask))
-        node = np.tile(np.arange(len(top_mask)), min(n, at + 2048) - at)
-        acc = np.bitwise_count((fps[q] ^ top_pattern[node]) & top_mask[node])
-        for k in range(len(levels) - 1, -1, -1):
-            keep = (acc <= max_bits) & (last[k][node] > q)
-            q, node, acc = q[keep], node[keep], acc[keep]
-            if not k:
-                break
-            mask, pattern = levels[k - 1]
-            child = (node[:, None] * FAN + np.arange(FAN)).ravel()
-            held = np.repeat(levels[k][0][node], FAN)
-            q, acc = np.repeat(q, FAN), np.repeat(acc, FAN)
-            real = child < len(mask)
-            q, acc, node, held = q[real], acc[real], child[real], held[real]
-            acc = acc + np.bitwise_count((fps[q] ^ pattern[node]) & mask[node] & ~held)
-        found_a.append(q)
-        found_b.append(node)
-    return np.concatenate(found_a), np.concatenate(found_b)
-
-
-def forest(mask: np.ndarray, pattern: np.ndarray, fps: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning edges ``(fp, smallest linked fp)`` of whole top nodes, rows sorted by node."""
-    n = len(fps)
-    new = np.ones(n, bool)
-    new[1:] = (mask[1:] != mask[:-1]) | (pattern[1:] != pattern[:-1])
-    group = np.cumsum(new) - 1
-    starts = np.flatnonzero(new)
-    sizes = np.diff(np.append(starts, n))
-    a, b = [], []
-    small = sizes[group] <= 2 * FAN
-    for step in range(1, 2 * FAN):  # small nodes: codes at equal distance in the run, all nodes at once
-        i = np.flatnonzero(small[:-step] & (group[:-step] == group[step:])) if step < n else np.empty(0, int)
-        if not len(i):
-            break
-        i = i[np.bitwise_count(fps[i] ^ fps[i + step]) <= max_bits]
-        a.append(i)
-        b.append(i + step)
-    for g in np.flatnonzero(sizes > 2 * FAN):
-        x, y = links_in_node(fps[starts[g]:starts[g] + sizes[g]], max_bits)
-        a.append(x + starts[g])
-        b.append(y + starts[g])
-    if not a:
-        return fps[:0], fps[:0]
-    a, b = np.concatenate(a), np.concatenate(b)
-    root = local_roots(n, a, b)
-    own = np.flatnonzero(root != np.arange(n))
-    return fps[own], fps[root[own]]
-
-
-def fingerprint_links(uniq: DataFrame, max_bits: int = 2, node_limit: int = 8192) -> DataFrame:
+class Tree:
+    """Codes or factored nodes in Gray order, and the levels above them: ``levels[0]`` are the nodes' masks
+    and patterns, each next level factors runs of ``FAN``."""
+
+    def __init__(self, mask: np.ndarray, pattern: np.ndarray):
+        self.levels = [(mask, pattern)]
+        while len(self.levels[-1][0]) > FAN:
+            mask, pattern = self.levels[-1]
+            at = np.arange(0, len(mask), FAN)
+            common = np.bitwise_and.reduceat(mask, at)
+            both, some = np.bitwise_and.reduceat(pattern, at), np.bitwise_or.reduceat(pattern, at)
+            common &= ~(both ^ some)
+            self.levels.append((common, both & common))
+
+    def search(self, codes: np.ndarray, max_bits: int, step: int = 2048, least: np.ndarray | None = None,
+               counts: dict | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """``(code index, node index)`` of the lowest nodes whose agreed bits differ from a code's in at most
+        ``max_bits``, ``step`` codes at a time. ``least`` gives the first node that a code asks for;
+        ``counts`` collects how many nodes were tested and dropped on each level."""
+        n = len(self.levels[0][0])
+        last = [np.minimum((np.arange(len(m)) + 1) * FAN**k, n) - 1 for k, (m, _) in enumerate(self.levels)]
+        top_mask, top_pattern = self.levels[-1]
+        for at in range(0, len(codes), step):
+            own = np.arange(at, min(len(codes), at + step))
+            q, node = np.repeat(own, len(top_mask)), np.tile(np.arange(len(top_mask)), len(own))
+            acc = np.bitwise_count((codes[q] ^ top_pattern[node]) & top_mask[node])
+            for k in range(len(self.levels) - 1, -1, -1):
+                keep = acc <= max_bits
+                if counts is not None:
+                    tested, dropped = counts.get(k, (0, 0))
+                    counts[k] = (tested + len(keep), dropped + int((~keep).sum()))
+                if least is not None:
+                    keep &= last[k][node] >= least[q]
+                q, node, acc = q[keep], node[keep], acc[keep]
+                if not k:
+                    break
+                mask, pattern = self.levels[k - 1]
+                child = (node[:, None] * FAN + np.arange(FAN)).ravel()
+                held = np.repeat(self.levels[k][0][node], FAN)
+                q, acc = np.repeat(q, FAN), np.repeat(acc, FAN)
+                real = child < len(mask)
+                q, acc, node, held = q[real], acc[real], child[real], held[real]
+                acc = acc + np.bitwise_count((codes[q] ^ pattern[node]) & mask[node] & ~held)
+            yield q, node
+
+
+def tree_of_codes(fps: np.ndarray) -> Tree:
+    return Tree(np.full(len(fps), 0xFFFFFFFFFFFFFFFF, np.uint64), fps)
+
+
+def links_in_node(fps: np.ndarray, max_bits: int, counts: dict | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs ``i < j`` of Gray-ordered codes that differ in at most ``max_bits`` bits."""
+    parts = list(tree_of_codes(fps).search(fps, max_bits, least=np.arange(1, len(fps) + 1), counts=counts))
+    return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+
+
+def forest(tree: Tree, codes: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that connect what links between ``codes`` and the tree's codes do: fewer than there are codes
+    on both sides, however dense the links."""
+    held = tree.levels[0][1]
+    every = np.concatenate((held, codes))
+    root = np.arange(len(every))
+    # Few codes at a time, as a dense node links each of them with all it holds.
+    for q, node in tree.search(codes, max_bits, step=max(64, (1 << 22) // max(1, len(held)))):
+        root = local_roots(len(every), np.concatenate((np.arange(len(every)), q + len(held))),
+                           np.concatenate((root, node)))
+    own = np.flatnonzero((root != np.arange(len(every))) & (every != every[root]))
+    return every[own], every[root[own]]
+
+
+def lower_nodes(uniq: DataFrame, node_limit: int) -> tuple[DataFrame, np.ndarray]:
+    """The codes in Gray order with their node, ``(node, gray, fp)``, and the nodes' ``(node, first, last, mask,
+    pattern)`` in that order (at most about ``MAX_NODES``, gathered on the driver)."""
+    n = uniq.count()
+    size = max(node_limit, -(-n // (MAX_NODES // 2)))
+    tops = max(1, -(-n // size))
+    gray = gray_rank(F.col("fp")).bitwiseXOR(F.lit(signed(1 << 63)))
+    # The range borders are sampled, so a partition may hold some nodes more or less; each is cut by itself.
+    ordered = materialise(uniq.select("fp", gray.alias("gray")).repartitionByRange(min(tops, 2048), "gray")
+                          .sortWithinPartitions("gray").withColumn("mid", F.monotonically_increasing_id()), "simhash-order")
+    place = F.col("mid").bitwiseAND(F.lit((1 << 33) - 1))
+    node = F.col("mid") - place + F.floor(place / size)
+    ordered = ordered.select(node.alias("node"), "gray", "fp")
+    sums = ordered.groupBy("node").agg(F.min("gray").alias("first"), F.max("gray").alias("last"),
+                                       F.bit_and("fp").alias("both"), F.bit_or("fp").alias("some")).orderBy("node").collect()
+    rows = np.array([tuple(r) for r in sums], np.int64).reshape(-1, 5)
+    mask = ~(rows[:, 3] ^ rows[:, 4])
+    return ordered, np.stack([rows[:, 0], rows[:, 1], rows[:, 2], mask, rows[:, 3] & mask])
+
+
+def fingerprint_links(uniq: DataFrame, max_bits: int = 2, node_limit: int = 4096) -> DataFrame:
     """Distinct ``fp`` -> ``(u, v)`` edges that connect exactly what links of at most ``max_bits`` do."""
-    parts = max_bits + 1
-    node_limit = max(node_limit, 1 << parts)  # codes with so few free bits are never more: splitting ends
-    masks = [sum(1 << b for b in band) for band in split_bits(bits_of((1 << 64) - 1), parts)]
-
-    def hang(df: DataFrame, under: dict[int, list[int]] | None, first: list[int]) -> DataFrame:
-        """One row per finer mask: ``(mask, pattern, fp)``."""
-        if under is None:
-            choice = F.array(*[F.lit(signed(m)) for m in first])
-        else:
-            choice = F.create_map(*[x for m, finer in under.items()
-                                    for x in (F.lit(signed(m)), F.array(*[F.lit(signed(f)) for f in finer]))])[F.col("mask")]
-        return (df.select("fp", F.explode(choice).alias("mask"))
-                .select("mask", F.col("mask").bitwiseAND(F.col("fp")).alias("pattern"), "fp"))
-
-    todo, done = hang(uniq, None, masks), []
-    while True:
-        todo = materialise(todo, "simhash-nodes")
-        counted = materialise(todo.groupBy("mask", "pattern").agg(F.count("*").alias("n")).where("n > 1"), "simhash-sizes")
-        done.append(todo.join(counted.where(F.col("n") <= node_limit).select("mask", "pattern"), ["mask", "pattern"]))
-        over = counted.where(F.col("n") > node_limit).select("mask", "pattern")
-        if over.isEmpty():
-            break
-        finer = {}
-        for m in masks:
-            free = bits_of(((1 << 64) - 1) & ~m)
-            finer[m] = [m | sum(1 << b for b in band) for band in split_bits(free, parts)]
-        todo = hang(todo.join(over, ["mask", "pattern"]), finer, [])
-        masks = sorted({f for fs in finer.values() for f in fs})
-    nodes = done[0]
-    for more in done[1:]:
-        nodes = nodes.union(more)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-
-        def out(rows: np.ndarray) -> pa.RecordBatch:
-            u, v = forest(rows[0], rows[1], rows[2].view(np.uint64), max_bits)
-            return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], ["u", "v"])
+    ordered, nodes = lower_nodes(uniq, node_limit)
+    number, last, mask, pattern = nodes[0], nodes[2], nodes[3].view(np.uint64), nodes[4].view(np.uint64)
 
+    def reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        upper = Tree(mask, pattern)
+        for batch in batches:
+            gray, fp = batch.column(1).to_numpy(), batch.column(2).to_numpy()
+            own = np.searchsorted(last, gray)  # the node that holds the code; those before it ask for it
+            for q, node in upper.search(fp.view(np.uint64), max_bits, least=own):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(number[node]), pa.array(np.ones(len(q), np.int32)), pa.array(gray[q]), pa.array(fp[q])],
+                    ["node", "side", "gray", "fp"])
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, tree, held = None, None, []
         for batch in batches:
-            held.append(np.stack([c.to_numpy() for c in batch.columns[:3]]))
-            rows = np.concatenate(held, axis=1)
-            if not rows.shape[1]:
-                held = []
+            if not batch.num_rows:
                 continue
-            tail = np.flatnonzero((rows[0] != rows[0][-1]) | (rows[1] != rows[1][-1]))  # the last node may go on
-            cut = tail[-1] + 1 if len(tail) else 0
-            if cut:
-                yield out(rows[:, :cut])
-            held = [rows[:, cut:]]
-        if held and held[0].shape[1]:
-            yield out(held[0])
-
-    ordered = (nodes.repartition("mask", "pattern")
-               .withColumn("gray", gray_rank(F.col("fp")).bitwiseXOR(F.lit(signed(1 << 63))))
-               .sortWithinPartitions("mask", "pattern", "gray"))
-    return ordered.select("mask", "pattern", "fp").mapInArrow(run, "u long, v long")
+            node, side, fp = (batch.column(i).to_numpy() for i in (0, 1, 3))
+            cuts = np.flatnonzero((node[1:] != node[:-1]) | (side[1:] != side[:-1])) + 1
+            for s, e in zip([0, *cuts.tolist()], [*cuts.tolist(), len(node)]):
+                codes = fp[s:e].view(np.uint64)
+                if node[s] != key:
+                    key, tree, held = node[s], None, []
+                if side[s] == 0:
+                    held.append(codes)
+                    continue
+                if tree is None:
+                    tree = tree_of_codes(np.concatenate(held))
+                u, v = forest(tree, codes, max_bits)
+                if len(u):
+                    yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], ["u", "v"])
+
+    asked = ordered.select("node", "gray", "fp").mapInArrow(reach, "node long, side int, gray long, fp long")
+    met = ordered.select("node", F.lit(0).alias("side"), "gray", "fp").unionByName(asked)
+    return (met.repartition("node").sortWithinPartitions("node", "side", "gray")
+            .mapInArrow(link, "u long, v long"))
 
 
 def members(fps: DataFrame, max_bits: int, node_limit: int) -> DataFrame:
@@ -231,7 +227,7 @@ def members(fps: DataFrame, max_bits: int, node_limit: int) -> DataFrame:
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3,
-                       max_bits: int = 2, node_limit: int = 8192) -> DataFrame:
+                       max_bits: int = 2, node_limit: int = 4096) -> DataFrame:
     """``(doc_id, fingerprint, component_id)`` for every row: ``fingerprint`` as 16 hex digits,
     ``component_id`` the smallest ``doc_id`` reachable over links, itself included.
 
@@ -247,7 +243,7 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3,
-               max_bits: int = 2, node_limit: int = 8192) -> DataFrame:
+               max_bits: int = 2, node_limit: int = 4096) -> DataFrame:
     """The rows of ``docs`` with one document left of each component: the smallest id and, if several texts
     of the component have it, the one with the smallest fingerprint and text hash (both as signed
     numbers); once even if its row is repeated. An id whose texts are in several components may so stay
