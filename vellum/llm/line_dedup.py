@@ -14,7 +14,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.shared import materialise, prepare
+from vellum.llm.shared import free_names, materialise, prepare
 
 LG_K = 12
 
@@ -52,16 +52,19 @@ def spread_lines(lines: DataFrame, min_sites: int) -> DataFrame:
 
 def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source",
              min_sites: int = 3) -> DataFrame:
-    """``(id, th, gone)`` of every document that loses lines; ``gone`` has a flag for each of its lines."""
+    """``(id, th, gone, n)`` of every document that loses lines: ``gone`` has a flag, "1" for a line that goes,
+    for each of its lines up to the last of them, ``n`` counts them."""
     prepare(docs.sparkSession)
     lines = materialise(occurrences(docs, id_col, text_col, site_col), "lines")
     spread = materialise(spread_lines(lines, min_sites), "lines-spread")
     own = lines.join(spread, ["h1", "h2"], "left")
     gone = F.col("first").isNotNull() & ~F.struct("id", "th", "pos").eqNullSafe(F.col("first"))
     hit = materialise(own.where(gone).select("id", "th", "pos").distinct(), "lines-gone")
-    # A flag for every line up to the last, so that filtering a text is one step a line.
-    per_doc = hit.groupBy("id", "th").agg(F.collect_set("pos").alias("at"))
-    return per_doc.select("id", "th", F.map_from_arrays("at", F.transform("at", lambda p: F.lit(True))).alias("gone"))
+    # One flag a line up to the last that goes, in one text: a line's flag is a character of it.
+    per_doc = hit.groupBy("id", "th").agg(F.array_sort(F.collect_list("pos")).alias("at"))
+    gaps = F.transform("at", lambda p, i: F.concat(
+        F.repeat(F.lit("0"), p - F.coalesce(F.get("at", i - 1), F.lit(-1)) - 1), F.lit("1")))
+    return per_doc.select("id", "th", F.split(F.array_join(gaps, ""), "").alias("gone"), F.size("at").cast("long").alias("n"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source",
@@ -69,25 +72,25 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """``docs`` with all its columns, its boilerplate lines taken out of ``text_col`` (and ``n_chars``, if
     there is one, set to the new length of changed texts). A document whose lines all go keeps its
     row with an empty text. Rows with equal id and text count as one document and change alike; a null
-    id sorts first; an empty table gives no rows. ``removed_col`` adds the number of lines taken out."""
+    id sorts first; an empty table gives no rows; columns of any name are kept. ``removed_col`` adds the number of lines taken out."""
+    i, t, g, n, h, fresh_text = free_names(docs, "__id", "__th", "__gone", "__n", "__h", "__new")
     gone = removals(docs, id_col, text_col, site_col, min_sites).select(
-        F.col("id").alias("__id"), F.col("th").alias("__th"), F.col("gone").alias("__gone"))
-    own = docs.withColumn("__h", F.xxhash64(text_col))
-    joined = own.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__th")), "left")
-    kept = F.filter(F.split(F.col(text_col), "\n", -1), lambda x, i: F.col("__gone")[i].isNull())
-    hit = F.col("__gone").isNotNull()
-    out = {text_col: F.when(hit, F.array_join(kept, "\n")).otherwise(F.col(text_col))}
-    fresh = joined.withColumn("__new", out[text_col])
+        F.col("id").alias(i), F.col("th").alias(t), F.col("gone").alias(g), F.col("n").alias(n))
+    own = docs.withColumn(h, F.xxhash64(text_col))
+    joined = own.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col(i)) & (F.col(h) == F.col(t)), "left")
+    kept = F.filter(F.split(F.col(text_col), "\n", -1), lambda x, k: F.coalesce(F.get(g, k), F.lit("0")) != "1")
+    hit = F.col(g).isNotNull()
+    fresh = joined.withColumn(fresh_text, F.when(hit, F.array_join(kept, "\n")).otherwise(F.col(text_col)))
     columns = []
     for c in docs.columns:
         if c == text_col:
-            columns.append(F.col("__new").alias(c))
+            columns.append(F.col(fresh_text).alias(c))
         elif c == "n_chars":
-            columns.append(F.when(hit, F.length("__new").cast(docs.schema[c].dataType)).otherwise(F.col(c)).alias(c))
+            columns.append(F.when(hit, F.length(fresh_text).cast(docs.schema[c].dataType)).otherwise(F.col(c)).alias(c))
         else:
             columns.append(F.col(c))
     if removed_col:
-        columns.append(F.coalesce(F.size(F.map_keys("__gone")), F.lit(0)).cast("long").alias(removed_col))
+        columns.append(F.coalesce(n, F.lit(0)).cast("long").alias(removed_col))
     return fresh.select(*columns)
 
 

@@ -19,6 +19,17 @@ def prepare(spark: SparkSession) -> None:
     ship_package(spark)
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """``names``, with underscores before those that ``df`` has (in any case) already."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` below the shared checkpoint folder and read it back: lineage is cut, a lost
     executor loses nothing, and a later join sees plain scans whose skewed partitions AQE can split."""
