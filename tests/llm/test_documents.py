@@ -273,6 +273,133 @@ def test_contexts_find_unseen_identifiers(spark):
     assert got[101].spans == "" and all(got[i].n_phone == 1 and got[i].n_added == 0 for i in range(30))
 
 
+def brute_known(texts, min_support=3, accept=0.9):
+    """The bootstrapping in plain loops: added spans of each text, as (kind, start, end)."""
+    kinds = ("email", "ip", "card", "phone")
+
+    def instances(pattern, text):
+        """Matches with the patterns of their sides, which end at the matches before and after."""
+        found = list(re.finditer(pattern, text, re.A))
+        for i, m in enumerate(found):
+            low = max(m.start() - 48, found[i - 1].end() if i else 0)
+            high = min(m.end() + 48, found[i + 1].start() if i + 1 < len(found) else len(text))
+            before = re.split(r"\s+", text[low:m.start()].lower(), flags=re.A)
+            after = re.split(r"\s+", text[m.end():high].lower(), flags=re.A)
+            before, after = [w for w in before if w], [w for w in after if w]
+            out = [f"L {before[-1]}"] if before else []
+            out += [f"R {after[0]}"] if after else []
+            out += [f"B {before[-1]} _ {after[0]}"] if before and after else []
+            yield m, out + ([f"LL {before[-2]} {before[-1]}"] if len(before) > 1 else [])
+
+    def shape(kind, v):
+        n = sum("0" <= c <= "9" for c in v)
+        return {"email": "@" in v, "ip": bool(re.fullmatch(r"[0-9]+(\.[0-9]+){2,}", v)),
+                "card": bool(re.fullmatch("[0-9][0-9 -]*", v)) and 12 <= n <= 19,
+                "phone": bool(re.fullmatch(r"[0-9+(][0-9 ()./-]*", v)) and 7 <= n <= 15}[kind]
+
+    seeds, cands, places = {k: {} for k in kinds}, {}, []
+    tokens = (r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+", r"(?<!\S)[+(]*+[0-9][0-9()./-]*+(?: \(?[0-9][0-9()./-]*+)++")
+    for at, text in enumerate(texts):
+        text = text or ""
+        base = brute_spans(text)
+        for k in kinds:
+            for m, own in instances(BASE[k] if k != "card" else "[0-9](?:[ -]?[0-9]){12,}+", text):
+                if fine(k, m[0]):
+                    seeds[k].setdefault(m[0].lower(), set()).update(own)
+        for pattern in tokens:
+            for m, own in instances(pattern, text):
+                lead = len(re.match(r"[^A-Za-z0-9@+]*", m[0])[0])
+                v = re.sub(r"(?<![^A-Za-z0-9])[^A-Za-z0-9]+$", "", m[0][lead:])
+                s, e = m.start() + lead, m.start() + lead + len(v)
+                if 5 <= len(v) <= 64 and re.search("[0-9@]", v) and all(e <= b or f <= s for _, b, f in base):
+                    cands.setdefault(v.lower(), set()).update(own)
+                    places.append((at, s, e, v.lower()))
+    n_values = sum(map(len, seeds.values())) + len(cands)
+    known, size = {}, 0
+    for _ in range(10):
+        conf = {}
+        for p in {p for own in (*seeds.values(), cands) for ps in own.values() for p in ps}:
+            under = {k: sum(p in ps for ps in seeds[k].values()) for k in kinds}
+            own = [v for v in cands if p in cands[v]]
+            for k in kinds:
+                hits = [v for v in own if known.get(v, ("",))[0] == k]
+                c = under[k] + sum(known[v][1] for v in hits)
+                against = sum(under.values()) - under[k] + sum(
+                    not shape(k, v) or (v in known and known[v][0] != k) for v in own)
+                share = (len(seeds[k]) - under[k]) / (n_values - sum(under.values()) - len(own) + 1)
+                x = c / (c + against + 1)
+                if under[k] + len(hits) >= min_support and x >= 0.5 and x >= (1 + share) / 2:
+                    conf[p, k] = x
+        found = {}
+        for v, ps in cands.items():
+            scores = [(1 - np.prod([1 - conf[p, k] for p in ps if (p, k) in conf]), -i, k)
+                      for i, k in enumerate(kinds) if shape(k, v)]
+            best = max(scores, default=(0, 0, ""))
+            if best[0] >= accept:
+                found[v] = (best[2], best[0])
+        known = found
+        if len(known) <= size:
+            break
+        size = len(known)
+    out = [[] for _ in texts]
+    for at, s, e, v in sorted(set(places), key=lambda x: (x[0], x[1], -x[2])):
+        if v in known and all(e > f for _, _, f in out[at]):
+            out[at].append((known[v][0], s, e))
+    return out
+
+
+def contexts():
+    """Six numbers of the base form behind a phrase, twelve unseen ones behind it; these also stand behind a
+    second phrase that no base number knows, where three more stand; decoys beside common words."""
+    rows = [f"Dial my line +49 30 5550{100 + i} today please" for i in range(6)]
+    rows += [f"Dial my line 030-5551{200 + i} today please" for i in range(12)]
+    rows += [f"Reach the desk under 030-5551{200 + i}, says Ann" for i in range(12)]
+    rows += [f"Reach the desk under 0176 777 {400 + i}, says Ann" for i in range(3)]
+    rows += [f"write to u{i}@ex.org for the parts" for i in range(9)] + [f"the host 10.0.0.{i} for the parts" for i in range(9)]
+    rows += ["we sold 5559990000 for the parts", "part 030-9998887 of the stock", "on 2024-05-06 for the parts", "", "see u@local for the parts"]
+    return rows
+
+
+def test_bootstrapping_discovers(spark):
+    rows = contexts()
+    out = pii.personal_data(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(3)).collect()
+    want = brute_known(rows)
+    names = ("email", "ip", "card", "phone")
+    for r in out:
+        spans = sorted(brute_spans(rows[r.doc_id]) + want[r.doc_id], key=lambda x: (names.index(x[0]), x[1], x[2]))
+        assert (r.spans, r.n_added) == (",".join(f"{k}:{s}:{e}" for k, s, e in spans), len(want[r.doc_id])), rows[r.doc_id]
+    added = [bool(x) for x in want]
+    assert all(added[6:33]) and not any(added[:6]) and not any(added[33:])  # the last three by the second phrase
+
+
+def test_columns_of_any_name_stay(spark):
+    """Columns named like the operators' own helpers, in any case."""
+    clash = ("__id", "__TH", "__gone", "__n", "__h", "__new", "__cuts", "__keep_id", "__keep_th", "__toxic_score", toxicity.FIELD + "_", "fp")
+    rows = [(i, f"line one of all\nmail a{i}@b.co and own {i}", f"s{i % 4}", *range(12)) for i in range(8)]
+    schema = "doc_id long, text string, source string, " + ", ".join(f"{c} long" for c in clash)
+    docs = spark.createDataFrame(rows, schema)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(8)], "doc_id long, toxic int")
+    for out in (line_dedup.dedup_lines(docs), pii.redact(docs), simhash.keep_first(docs), toxicity.drop_toxic(docs, labels)):
+        assert out.columns == docs.columns
+        assert all([r[c] for c in clash] == list(range(12)) for r in out.collect())
+
+
+def test_removed_lines_are_found_in_linear_time(spark):
+    """Three copies of one long text: each line's flag is one step away, so twice the lines take about twice as long."""
+    import time
+
+    def seconds(n):
+        text = "\n".join(f"line number {i}" for i in range(n))
+        df = spark.createDataFrame([(i, text, f"s{i}") for i in range(3)], "doc_id long, text string, source string")
+        began = time.time()
+        rows = line_dedup.dedup_lines(df, removed_col="gone").orderBy("doc_id").collect()
+        assert [r.gone for r in rows] == [0, n, n] and rows[0].text == text and rows[1].text == ""
+        return time.time() - began
+
+    seconds(1000)
+    assert seconds(80_000) < 8 * seconds(20_000) + 5
+
+
 def test_redact(docs, empty):
     out = pii.redact(docs)
     assert out.columns == docs.columns and out.schema["n_chars"].dataType == docs.schema["n_chars"].dataType

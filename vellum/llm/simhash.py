@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.shared import connected_components, local_roots, materialise, prepare, slices
+from vellum.llm.shared import connected_components, free_names, local_roots, materialise, prepare, slices
 
 FAN = 16
 MAX_NODES = 1 << 14  # lower nodes; with 16 bytes and two ranks each the upper tree stays under a megabyte
@@ -247,14 +247,15 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The rows of ``docs`` with one document left of each component: the smallest id and, if several texts
     of the component have it, the one with the smallest fingerprint and text hash (both as signed
     numbers); once even if its row is repeated. An id whose texts are in several components may so stay
-    once for each. Rows without an id cannot be named and stay. All columns are kept as they are."""
+    once for each. Rows without an id cannot be named and stay. All columns, of any name, are kept as they are."""
     fps = materialise(fingerprints(docs, id_col, text_col, shingle, hashed=True), "simhash-fps")
     first = (members(fps, max_bits, node_limit).where("first_id is not null")
              .groupBy("root").agg(F.min(F.struct("first_id", "fp")).alias("first")))
     first = materialise(first.select("first.*"), "simhash-first")
+    i, t, h = free_names(docs, "__keep_id", "__keep_th", "__th")
     keep = (fps.join(first, (fps.doc_id == first.first_id) & (fps.fp == first.fp), "left_semi")
-            .groupBy(F.col("doc_id").alias("__keep_id"), "fp").agg(F.min("th").alias("__keep_th")).drop("fp"))
-    own = docs.withColumn("__th", F.xxhash64(text_col))
-    named = own.join(keep, (F.col(id_col).cast("long") == F.col("__keep_id")) & (F.col("__th") == F.col("__keep_th")), "left_semi")
-    named = named.dropDuplicates([id_col, "__th"]).drop("__th")
+            .groupBy(F.col("doc_id").alias(i), "fp").agg(F.min("th").alias(t)).drop("fp"))
+    own = docs.withColumn(h, F.xxhash64(text_col))
+    named = own.join(keep, (F.col(id_col).cast("long") == F.col(i)) & (F.col(h) == F.col(t)), "left_semi")
+    named = named.dropDuplicates([id_col, h]).drop(h)
     return named.unionByName(docs.where(F.col(id_col).isNull()))

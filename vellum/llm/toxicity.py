@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vellum.llm.shared import materialise, prepare, slices
+from vellum.llm.shared import free_names, materialise, prepare, slices
 
 BITS = 18
 GRAMS = (3, 4, 5)
@@ -198,5 +198,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:
-    """The rows of ``docs`` that the classifier does not call toxic, with all their columns."""
-    return with_score(docs, train(docs, labels, id_col, text_col, **params), text_col).where(F.col(FIELD) < 0.5).drop(FIELD)
+    """The rows of ``docs`` that the classifier does not call toxic (score under 0.5), with all their columns,
+    of any name. Null and empty texts stay, unless the classes' shares alone say toxic; repeated rows stay or
+    go alike; an empty table gives no rows."""
+    field, = free_names(docs, FIELD)
+    model = train(docs, labels, id_col, text_col, **params)
+    return with_score(docs, model, text_col, field).where(F.col(field) < 0.5).drop(field)
