@@ -181,28 +181,35 @@ def fingerprint_links(uniq: DataFrame, max_bits: int = 2, node_limit: int = 4096
     ordered, nodes = lower_nodes(uniq, node_limit)
     number, last, mask, pattern = nodes[0], nodes[2], nodes[3].view(np.uint64), nodes[4].view(np.uint64)
 
+    def block(node: int, side: int, gray: np.ndarray, fp: np.ndarray) -> tuple:
+        return node, side, int(gray[0]), fp.tobytes()
+
     def reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Batches of codes in Gray order -> blocks ``(node, side, first, codes)``: the codes of each node (side 0)
+        and for each node the codes of the batch that reach it (side 1)."""
         upper = Tree(mask, pattern)
         for batch in batches:
-            gray, fp = batch.column(1).to_numpy(), batch.column(2).to_numpy()
+            node, gray, fp = (c.to_numpy() for c in batch.columns[:3])
+            cuts = [0, *(np.flatnonzero(node[1:] != node[:-1]) + 1).tolist(), len(node)]
+            out = [block(int(node[s]), 0, gray[s:e], fp[s:e]) for s, e in zip(cuts, cuts[1:]) if e > s]
             own = np.searchsorted(last, gray)  # the node that holds the code; those before it ask for it
-            for q, node in upper.search(fp.view(np.uint64), max_bits, least=own):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(number[node]), pa.array(np.ones(len(q), np.int32)), pa.array(gray[q]), pa.array(fp[q])],
-                    ["node", "side", "gray", "fp"])
+            for q, met in upper.search(fp.view(np.uint64), max_bits, least=own):
+                order = np.argsort(met, kind="stable")
+                q, met = q[order], met[order]
+                ends = [0, *(np.flatnonzero(met[1:] != met[:-1]) + 1).tolist(), len(met)]
+                out += [block(int(number[met[s]]), 1, gray[q[s:e]], fp[q[s:e]]) for s, e in zip(ends, ends[1:]) if e > s]
+            for at in range(0, len(out), 1024):
+                yield pa.RecordBatch.from_arrays([pa.array(list(c)) if i != 1 else pa.array(list(c), pa.int32())
+                                                  for i, c in enumerate(zip(*out[at:at + 1024]))], ["node", "side", "first", "codes"])
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, tree, held = None, None, []
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            node, side, fp = (batch.column(i).to_numpy() for i in (0, 1, 3))
-            cuts = np.flatnonzero((node[1:] != node[:-1]) | (side[1:] != side[:-1])) + 1
-            for s, e in zip([0, *cuts.tolist()], [*cuts.tolist(), len(node)]):
-                codes = fp[s:e].view(np.uint64)
-                if node[s] != key:
-                    key, tree, held = node[s], None, []
-                if side[s] == 0:
+            for node, side, codes in zip(*[batch.column(i) for i in (0, 1, 3)]):
+                node, codes = node.as_py(), np.frombuffer(codes.as_py(), np.uint64)
+                if node != key:
+                    key, tree, held = node, None, []
+                if side.as_py() == 0:
                     held.append(codes)
                     continue
                 if tree is None:
@@ -211,9 +218,8 @@ def fingerprint_links(uniq: DataFrame, max_bits: int = 2, node_limit: int = 4096
                 if len(u):
                     yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], ["u", "v"])
 
-    asked = ordered.select("node", "gray", "fp").mapInArrow(reach, "node long, side int, gray long, fp long")
-    met = ordered.select("node", F.lit(0).alias("side"), "gray", "fp").unionByName(asked)
-    return (met.repartition("node").sortWithinPartitions("node", "side", "gray")
+    met = ordered.select("node", "gray", "fp").mapInArrow(reach, "node long, side int, first long, codes binary")
+    return (met.repartition("node").sortWithinPartitions("node", "side", "first")
             .mapInArrow(link, "u long, v long"))
 
 
