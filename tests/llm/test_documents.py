@@ -459,12 +459,49 @@ def test_packing(spark, empty):
 
 
 def test_best_fit_takes_the_tightest_bin():
-    place, final = packing.best_fit(np.array([4000, 3000, 1000, 90, 24]), (1024, 2048, 4096))
+    place, final, _ = packing.best_fit(np.array([4000, 3000, 1000, 90, 24]), (1024, 2048, 4096))
     assert place[2] == 1 and place[3] == 0  # 1000 beside 3000, 90 beside 4000
     assert sorted(final.tolist()) == [4096, 4096]
     assert packing.best_fit(np.array([700]), (1024, 2048, 4096))[1].tolist() == [1024]
 
 
+def test_bins_of_all_lengths_are_opened_together():
+    """No length serves alone: each is opened in the middle of the run, where its fill is the cheapest."""
+    caps = (1024, 2048, 4096)
+    mixed = np.array([1300] * 300 + [1030] * 60 + [1010] * 160)
+    place, final, opened = packing.best_fit(mixed, caps)
+    middle = opened[len(opened) // 5:-len(opened) // 5]
+    assert all((middle == c).sum() >= 10 for c in caps), [(middle == c).sum() for c in caps]
+
+    def cost(final):
+        return sum(packing.bin_cost(int(c)) for c in final)
+
+    for alone in ((4096,), (2048,)):
+        own = packing.best_fit(mixed, alone)[1]
+        assert cost(final) < cost(own)
+    assert len(packing.best_fit(np.array([], np.int64), caps)[0]) == 0
+
+
+def test_opened_lengths_on_ordinary_documents():
+    """Lengths as of ordinary text: bins of each length are open at once, little of them is padding."""
+    rng = np.random.default_rng(3)
+    sizes = np.sort(np.clip(rng.lognormal(6.2, 1.1, 6000).astype(int), 1, 4096))[::-1]
+    place, final, opened = packing.best_fit(sizes, (1024, 2048, 4096))
+    middle = opened[len(opened) // 5:-len(opened) // 5]
+    assert {1024, 2048} <= set(middle.tolist()) and 4096 in opened
+    assert sizes.sum() / final.sum() > 0.99
+    assert (np.bincount(place, sizes) <= final).all() and (final <= opened).all()
+
+
+def test_token_lengths_of_odd_texts(spark):
+    rows = [(1, None, 5), (2, "", 6), (3, "a b " * 60_000, 7), (4, "same text", 8), (4, "same text", 8), (None, "x", 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, th int").withColumn("n_tokens", F.lit("clash"))
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    count = packing.counter(path)
+    got = sorted(((r.doc_id or 0), r.n_tokens) for r in packing.token_lengths(docs, path).collect())
+    assert got == sorted((i or 0, len(count(t or "")) + 1) for i, t, _ in rows)
+
+
 def test_toxicity(spark, docs, empty):
     rng = np.random.default_rng(0)
     plain = ["river", "stone", "cloud", "green", "walks", "table"]

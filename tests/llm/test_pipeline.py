@@ -76,23 +76,37 @@ def brute_redacted(text, added=()):
 
 
 def brute_bins(pieces):
-    """``pieces`` of falling length one after the other, looking at every open bin: members of each bin
-    with its final capacity."""
+    """``pieces`` of falling length one after the other, looking at every open bin and, for a new one, at every
+    later piece: members of each bin with its final capacity."""
     caps, bins = (1024, 2048, 4096), []  # a bin: room, capacity, members
-    left = sum(n for *_, n in pieces)
-    for *who, n in pieces:
-        left -= n
+    smallest = lambda n: min(c for c in caps if c >= n)
+    for at, (*who, n) in enumerate(pieces):
         fits = [b for b in bins if b[0] >= n]
         if fits:
             b = min(fits, key=lambda b: b[0])  # the first opened, if several
         else:
-            more = max(0, left - sum(b[0] for b in bins))
-            cap = min((c for c in caps if c >= n), key=lambda c: (max(0, c - n - more) / c, -c))
-            b = [cap, cap, []]
+            later = [m for *_, m in pieces[at + 1:]]
+            widest = max((b[0] for b in bins), default=0)
+            unclaimed = sum(m for m in later if m <= widest) - sum(b[0] for b in bins)
+            cost = {}
+            for c in (c for c in caps if c >= n):
+                filled, spare = n, unclaimed
+                for m in later:
+                    if filled + m > c:
+                        continue
+                    if m <= widest:
+                        if m > spare:
+                            break
+                        spare -= m
+                    filled += m
+                real = smallest(filled)
+                cost[c] = (real + real * real / 12_288 + 160) / filled
+            b = [min(cost, key=lambda c: (cost[c], c)), 0, []]
             bins.append(b)
         b[0] -= n
+        b[1] += n
         b[2].append((*who, n))
-    return {(tuple(b[2]), min(c for c in caps if c >= b[1] - b[0])) for b in bins}
+    return {(tuple(b[2]), smallest(b[1])) for b in bins}
 
 
 def test_run_against_brute_force(spark):
