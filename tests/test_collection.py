@@ -1,6 +1,7 @@
 """Collection upkeep and search filters on a shelf of ten short books (128-d wave vectors)."""
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -184,6 +185,49 @@ def test_filters_compare_like_with_like(spark, where, ids):
     assert "".join(sorted(r.id for r in df.where(compile_where(where, df.columns)).collect())) == ids
 
 
+def test_lookup_opens_only_files_that_can_hold_the_ids(spark, scratch):
+    rows = spark.range(4_000).select(F.md5(F.col("id").cast("string")).alias("id"), F.concat(F.lit("text "), "id").alias("text"),
+                                     F.array(F.lit(1.0).cast("float"), F.lit(2.0).cast("float")).alias("embedding"),
+                                     F.to_variant_object(F.struct(F.col("id").alias("n"))).alias("metadata"))
+    store = CollectionStore(spark, scratch, "files", 2)
+    store.commit(rows, partitions=20, cluster=True)
+    text_of = {r.id: r.text for r in rows.collect()}
+    some = sorted(text_of)[5::400]
+    assert len(some) == 10
+    files = store.files_with(some)
+    assert sum(map(len, files.values())) <= 10 < len(store.read().inputFiles())
+    found = store.lookup([*some, some[0], "nobody", None])
+    assert {r.id: r.text for r in found.collect()} == {i: text_of[i] for i in some} and found.count() == 10
+    assert len(found.inputFiles()) <= 10
+    assert not store.files_with(["zz"]) and store.lookup(["zz"]).count() == 0 and store.lookup([]).count() == 0
+
+    store.update(spark.createDataFrame([(some[0], "new")], "id string, text string"))
+    store.delete(spark.createDataFrame([(some[1],)], "id string"))
+    store.append(rows.where(F.col("id") == some[1]).withColumn("text", F.lit("back")))
+    store.delete(spark.createDataFrame([(some[2],)], "id string"))
+    want = {**{i: text_of[i] for i in some[3:]}, some[0]: "new", some[1]: "back"}
+    assert {r.id: r.text for r in store.lookup(some).collect()} == want
+    store.compact()
+    assert {r.id: r.text for r in store.lookup(some).collect()} == want
+
+
+def test_metadata_keys_are_read_from_their_own_columns(spark, scratch):
+    """A filter on a key that is no column reads that key of the metadata, not the whole object."""
+    rows = spark.range(500).select(
+        F.concat(F.lit("doc "), "id").alias("id"), F.lit("t").alias("text"), F.array(F.lit(1.0).cast("float")).alias("embedding"),
+        F.to_variant_object(F.struct((F.col("id") % 5).alias("weight"), F.md5(F.col("id").cast("string")).alias("blob"))).alias("metadata"))
+    store = CollectionStore(spark, scratch, "shredded", 1)
+    store.commit(rows)
+    hit = store.read().where(compile_where({"weight": 3}, store.read().columns)).select("id")
+    assert hit.count() == 100
+    plan = hit._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    read = [line for line in plan.splitlines() if line.startswith("ReadSchema")]
+    assert len(read) == 1 and "metadata:struct<" in read[0] and "blob" not in plan, plan
+    part = [f for f in store.read().inputFiles()][0].removeprefix("file://")
+    shredded = {c.path for c in (pq.ParquetFile(part).schema.column(k) for k in range(len(pq.ParquetFile(part).schema)))}
+    assert {"metadata.typed_value.weight.typed_value", "metadata.typed_value.blob.typed_value"} <= shredded
+
+
 def test_peek_profile_stats(spark, coll):
     assert [r.id for r in co.peek(coll, 3).collect()] == ["doc_0", "doc_1", "doc_2"]
     prof = {r.field: r for r in co.metadata_profile(coll).collect()}

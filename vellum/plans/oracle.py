@@ -238,6 +238,10 @@ SQL = {
     "update_segments": f"""SELECT id, CASE WHEN label = 4 THEN 'updated again ' || id ELSE text END AS text,
         CASE WHEN label = 4 THEN 104 ELSE label END AS label, CASE WHEN label = 4 THEN CAST(40 AS BIGINT) END AS new_field,
         4 AS segments, TRUE AS same_after_compaction FROM ({META}) WHERE label <> 0 OR embedding[2] > 0""",
+    "lookup_stored": f"""SELECT id, CASE WHEN label = 4 THEN 'updated again ' || id ELSE text END AS text,
+        CASE WHEN label = 4 THEN 104 ELSE label END AS label, CASE WHEN label = 4 THEN CAST(40 AS BIGINT) END AS new_field
+        FROM ({META}) WHERE label <> 0
+        AND id IN (SELECT 'vec_' || CAST(min(vec_id) AS VARCHAR) FROM embeddings GROUP BY label)""",
     "update_merge": f"""SELECT id, CASE WHEN label = 4 THEN 'updated again ' || id ELSE text END AS text,
         CASE WHEN label = 4 THEN 104 ELSE label END AS label,
         CASE WHEN label = 4 THEN 'updated' WHEN label = 8 THEN NULL ELSE zone END AS zone,

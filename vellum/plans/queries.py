@@ -478,6 +478,22 @@ def q_update_segments(spark: SparkSession, sf: str) -> DataFrame:
                         F.lit(segments).alias("segments"), F.lit(same).alias("same_after_compaction"))
 
 
+def q_lookup_stored(spark: SparkSession, sf: str) -> DataFrame:
+    """Each label's first id, and one that is not there, from a stored collection after updates and deletes:
+    only the files that can hold them are opened."""
+    from vellum.session import shared_path
+    from vellum.sources.snapshot import CollectionStore
+
+    coll = inputs.meta_collection(spark, sf)
+    store = CollectionStore(spark, shared_path(spark, "lookup", unique=True), "vectors", EMB_DIM)
+    store.commit(coll, partitions=16, cluster=True)
+    store.update(_updates(coll))
+    store.delete(coll.where("label = 0").select("id"))
+    first = inputs.table(spark, sf, "embeddings").groupBy("label").agg(F.min("vec_id").alias("vec_id")).collect()
+    return store.lookup([*[f"vec_{r.vec_id}" for r in first], "nobody"]).select(
+        "id", "text", "label", F.try_variant_get("metadata", "$.new_field", "bigint").alias("new_field"))
+
+
 def q_update_merge(spark: SparkSession, sf: str) -> DataFrame:
     """label 4: new text + metadata {zone, new_field} merged, then a second update that gives the text and
     the promoted label anew; label 8: metadata {} replaces; label 6: updates aimed at unknown ids (not applied)."""
@@ -785,6 +801,7 @@ QUERIES = {
     "delete_by_ids": q_delete_by_ids,
     "update_merge": q_update_merge,
     "update_segments": q_update_segments,
+    "lookup_stored": q_lookup_stored,
     "collection_count": q_collection_count,
     "list_ids": q_list_ids,
     "peek": q_peek,
