@@ -112,6 +112,58 @@ def _counted(path):
     return factory
 
 
+def test_lookup_does_not_move_the_cache(spark, scratch):
+    """The cache lies in buckets of the key: only the texts are shuffled to it, also in a new session's reader."""
+    from vellum.sources.cache import EmbeddingCache
+
+    def entries(ids, value, day):
+        return spark.range(*ids).select(
+            em.cache_key("m", F.concat(F.lit("text "), F.col("id"))).alias("cache_key"), F.lit("m").alias("model"),
+            F.md5(F.concat(F.lit("text "), F.col("id"))).alias("text_hash"),
+            F.array(F.lit(value).cast("float")).alias("embedding"), F.lit(f"2024-01-0{day}").cast("timestamp").alias("ts"))
+
+    cache = EmbeddingCache(spark, scratch + "/it's a cache", buckets=4)
+    assert cache.read().count() == 0
+    cache.compact()
+    cache.append(entries((0, 300), 1.0, 1))
+    cache.append(entries((200, 400), 2.0, 2))
+    cache.append(entries((390, 420), 0.0, 3).withColumn("embedding", F.array().cast("array<float>")))
+    again = EmbeddingCache(spark, scratch + "/it's a cache")
+    texts = spark.range(500).select("id", F.concat(F.lit("text "), F.col("id")).alias("text"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        looked = em.cache_lookup(texts, again.read(), "m")
+        plan = looked._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in plan, plan
+        assert {r.id for r in looked.where("cached IS NOT NULL").collect()} == set(range(400))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert again.read().count() == 530
+    again.compact()
+    assert cache.read().count() == 400
+    got = {r.id: r.cached for r in em.cache_lookup(texts, cache.read(), "m").collect()}
+    assert got == {i: [1.0] if i < 200 else [2.0] if i < 400 else None for i in range(500)}
+
+
+def test_a_cache_file_that_cannot_be_read_is_a_miss(spark, scratch):
+    from pathlib import Path
+
+    from vellum.sources.cache import EmbeddingCache
+
+    cache = EmbeddingCache(spark, scratch + "/broken", buckets=2)
+    texts = spark.range(40).select(F.concat(F.lit("t"), F.col("id")).alias("text"))
+    _, new = em.cached_embed(texts, em.HashEncoder(8), cache.read())
+    cache.append(new)
+    files = sorted(Path(scratch + "/broken/v000001").glob("*.parquet"))
+    assert len(files) == 2
+    files[0].write_bytes(b"not a file of the cache")
+    left = cache.read().count()
+    assert 0 < left < 40
+    out, new = em.cached_embed(texts, em.HashEncoder(8), cache.read())
+    assert out.where("embedding IS NULL").count() == 0 and new.count() == 40 - left
+
+
 def test_whole_embed_job(spark, scratch, tmp_path):
     """Cache, model, fallback, post-processing and rejects in one job; no text is encoded twice."""
     from vellum.plans.ingest import ingest_documents

@@ -360,9 +360,12 @@ def _seed_cache(spark: SparkSession, sf: str) -> DataFrame:
 
 def q_cache_lookup(spark: SparkSession, sf: str) -> DataFrame:
     from vellum.operators.embed import cache_lookup
+    from vellum.session import shared_path
+    from vellum.sources.cache import EmbeddingCache
 
-    ch = _hash_chunks(spark, sf)
-    res = cache_lookup(ch, _seed_cache(spark, sf), CACHE_MODEL, "_input")
+    cache = EmbeddingCache(spark, shared_path(spark, "cache", unique=True))
+    cache.append(_seed_cache(spark, sf))
+    res = cache_lookup(_hash_chunks(spark, sf), cache.read(), CACHE_MODEL, "_input")
     return res.select("id", "cache_key", F.col("cached").isNotNull().alias("hit"))
 
 
