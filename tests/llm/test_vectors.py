@@ -75,6 +75,35 @@ def test_embedding_duplicates(vectors, tile):
     assert embedding_dedup.embedding_duplicates(vectors.limit(0)).count() == 0
 
 
+def test_codes_bound_their_error():
+    """No cosine of codes is farther from the true one than the stated slack, whatever the vectors' lengths."""
+    rng = np.random.default_rng(3)
+    for dim in (1, 2, 64, 500):
+        x = rng.normal(size=(300, dim)) * 10.0 ** rng.integers(-3, 4, size=(300, 1))
+        x[1::2] = x[::2] + rng.normal(size=(150, dim)) * np.abs(x[::2]).max(axis=1, keepdims=True) * 0.1
+        unit = embedding_dedup.unit_rows([v.tobytes() for v in x])
+        code, slack = embedding_dedup.unit_codes([embedding_dedup.as_code(v / np.abs(v).max()) for v in x])
+        assert np.abs(code @ code.T - unit @ unit.T).max() <= slack < 1e-3
+
+
+def test_pairs_within_the_rounding_are_compared_in_doubles(spark):
+    """Pairs just over and just under the threshold, closer to it than the codes can tell, beside vectors of
+    another length."""
+    rows, want = [], {}
+    for k, gap in enumerate([1e-7, -1e-7, 1e-9, -1e-9, 1e-6, -1e-6] * 20):
+        a, b = np.zeros(260), np.zeros(260)
+        a[2 * k] = 1.0
+        b[2 * k], b[2 * k + 1] = 0.95 + gap, np.sqrt(1 - (0.95 + gap) ** 2)
+        rows += [(2 * k, a.tolist()), (2 * k + 1, b.tolist())]
+        want[2 * k] = want[2 * k + 1] = int(gap > 0)
+    odd = [0.95 + 1e-8, float(np.sqrt(1 - (0.95 + 1e-8) ** 2))]
+    rows += [(900, [1.0, 0.0]), (901, odd)]
+    want[900] = want[901] = 1
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    got = {r.vec_id: r.n_links for r in embedding_dedup.embedding_duplicates(df).collect()}
+    assert got == want
+
+
 def test_passes_follow_the_number_of_nodes():
     assert embedding_dedup.passes_for(100, 128, 0.95, 0.99) == 2
     assert embedding_dedup.passes_for(10**6, 128, 0.95, 0.99) < embedding_dedup.passes_for(10**9, 128, 0.95, 0.99)

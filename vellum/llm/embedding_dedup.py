@@ -14,6 +14,11 @@ added until some pass has them in one block with probability ``recall``; this do
 the vectors are spread. ``depth`` is log2(nodes / window) or more: the blocks of trial passes are
 counted at several depths, and the one with the least work over all its passes is taken.
 
+The passes move no vectors in doubles: keys are sorted out first, and only two bytes a component (each
+vector scaled to its largest component and rounded) travel to the windows and tiles. The rounding can
+change a cosine by a bound that follows from the codes' lengths. Pairs above the threshold by more than
+it link at once; those within it that are not joined yet are few, and are compared in doubles.
+
 A class larger than the window has links that no window holds. They are found exactly: all members of
 each class are compared in tiles of bounded size, pairs of tiles being separate work, and only counts
 leave them, so the direct links within a class are complete whatever its size.
@@ -35,6 +40,7 @@ from vellum.llm.shared import connected_components, local_roots, materialise, pr
 SIGNS = 62
 #: Passes counted to choose the depth, and what a row costs in a pass besides its comparisons, in comparisons.
 TRIALS, ROW = 2, 512
+FULL = 32767  # the code of a vector's largest component
 
 
 def depth_for(n: int, window: int) -> int:
@@ -76,6 +82,35 @@ def unit_rows(data: list[bytes]) -> np.ndarray:
     return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
 
 
+def as_code(x: np.ndarray) -> bytes:
+    """A vector whose largest component is 1 (or -1), rounded to two bytes a component."""
+    return np.rint(x * FULL).astype("<i2").tobytes()
+
+
+def unit_codes(codes: list[bytes]) -> tuple[np.ndarray, float]:
+    """Unit rows of codes, and a bound of the change that rounding made to the cosine of any two. Each
+    component is off by half a step at most, so a row by sqrt(dim) / 2, and unit vectors are no farther
+    apart than that over the shorter length."""
+    x = np.frombuffer(b"".join(codes), "<i2").reshape(len(codes), -1).astype(float)
+    length = np.sqrt(np.einsum("ij,ij->i", x, x))
+    off = math.sqrt(x.shape[1]) / 2
+    return x / length[:, None], 2 * off / (length.min() - off) + 1e-12
+
+
+def forest(node: np.ndarray, a: list, b: list, cosine: list, threshold: float, slack: float) -> tuple:
+    """``(u, v, sure)``: a spanning forest of the pairs ``a``, ``b`` that link whatever the rounding did, and
+    the pairs left open that it does not join."""
+    a, b, cosine = np.concatenate(a), np.concatenate(b), np.concatenate(cosine)
+    sure = cosine >= threshold + slack
+    root = local_roots(len(node), a[sure], b[sure])
+    own = np.flatnonzero(root != np.arange(len(node)))
+    a, b = a[~sure], b[~sure]
+    apart = root[a] != root[b]
+    a, b = a[apart], b[apart]
+    return (np.concatenate((node[own], node[a])), np.concatenate((node[root[own]], node[b])),
+            np.arange(len(own) + len(a)) < len(own))
+
+
 def in_tiles(rows: DataFrame, group: list[str], columns: list[str]) -> DataFrame:
     """Each row with its ``tile`` out of ``tiles``, once for every pair ``low <= high`` of tiles it is in."""
     rows = rows.withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
@@ -106,17 +141,19 @@ def embedding_duplicates(vectors: DataFrame, threshold: float = 0.95, window: in
     def as_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Scaled by the largest component, so that no square over- or underflows."""
         for batch in batches:
-            data = []
+            data, code = [], []
             for v in batch.column(3).to_pylist():
                 x = np.array(v, "<f8")
-                data.append((x / np.abs(x).max()).tobytes())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(data, pa.binary())],
-                                             ["node", "first_id", "copies", "data"])
+                x = x / np.abs(x).max()
+                data.append(x.tobytes())
+                code.append(as_code(x))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(data, pa.binary()), pa.array(code, pa.binary())],
+                                             ["node", "first_id", "copies", "data", "code"])
 
     # Node numbers are fixed once they are written.
     nodes = materialise(nodes, "vectors-nodes")
     packed = materialise(nodes.select("node", "first_id", "copies", "v").mapInArrow(
-        as_bytes, "node long, first_id long, copies long, data binary"), "vectors-packed")
+        as_bytes, "node long, first_id long, copies long, data binary, code binary"), "vectors-packed")
     n_nodes = packed.count()
     least = depth_for(n_nodes, window)
     depths = list(range(least, min(SIGNS, least + 24) + 1, 2))
@@ -144,25 +181,28 @@ def embedding_duplicates(vectors: DataFrame, threshold: float = 0.95, window: in
     keyed = keys(passes_at(depth, threshold, recall)).withColumn("prefix", F.shiftright("key", SIGNS - depth))
     keyed = materialise(keyed, "vectors-keys")
     large = materialise(keyed.groupBy(*block).agg(F.count("*").alias("size")).where(F.col("size") > window + 1), "vectors-large")
-    spread = materialise(keyed.join(large, block, "left").join(packed.select("node", "data"), "node"), "vectors-spread")
+    # Keys alone are sorted out and written; the codes join them on the way to the windows and tiles.
+    placed = materialise(keyed.join(large, block, "left"), "vectors-placed")
+    codes = packed.select("node", "code")
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Sorted rows -> a spanning forest of the links inside windows."""
+        """Sorted rows -> the links inside windows."""
         held: list[tuple] = []
 
         def links(run: list[tuple]) -> pa.RecordBatch:
-            unit = unit_rows([d for _, _, _, d in run])
+            unit, slack = unit_codes([d for _, _, _, d in run])
             node = np.array([n for _, _, n, _ in run])
-            a, b = [], []
+            a, b, cosine = [], [], []
             for i in range(0, len(run), 512):
                 block = unit[i:i + 512] @ unit[i:i + 512 + window].T
-                x, y = np.nonzero(block >= threshold)
+                x, y = np.nonzero(block >= threshold - slack)
                 ok = (y > x) & (y - x <= window)
-                a.append(x[ok] + i)
-                b.append(y[ok] + i)
-            root = local_roots(len(run), np.concatenate(a), np.concatenate(b))
-            own = np.flatnonzero(root != np.arange(len(run)))
-            return pa.RecordBatch.from_arrays([pa.array(node[own]), pa.array(node[root[own]])], ["u", "v"])
+                x, y = x[ok], y[ok]
+                a.append(x + i)
+                b.append(y + i)
+                cosine.append(block[x, y])
+            return pa.RecordBatch.from_arrays(list(map(pa.array, forest(node, a, b, cosine, threshold, slack))),
+                                              ["u", "v", "sure"])
 
         for batch in batches:
             for row in zip(*[batch.column(i).to_pylist() for i in (0, 1, 3, 4)]):
@@ -177,28 +217,44 @@ def embedding_duplicates(vectors: DataFrame, threshold: float = 0.95, window: in
             yield links(held)
 
     def meet(group: pd.DataFrame) -> pd.DataFrame:
-        """A spanning forest of the links of two tiles with each other (of one tile: among themselves)."""
+        """The links of two tiles with each other (of one tile: among themselves)."""
         node = group.node.to_numpy()
         at, other = np.flatnonzero(group.tile == group.low), np.flatnonzero(group.tile == group.high)
-        unit = unit_rows(group.data.tolist())
-        x, y = np.nonzero(unit[at] @ unit[other].T >= threshold)
-        root = local_roots(len(node), at[x], other[y])
-        own = np.flatnonzero(root != np.arange(len(node)))
-        return pd.DataFrame({"u": node[own], "v": node[root[own]]})
+        unit, slack = unit_codes(group.code.tolist())
+        cosine = unit[at] @ unit[other].T
+        x, y = np.nonzero(cosine >= threshold - slack)
+        u, v, sure = forest(node, [at[x]], [other[y]], [cosine[x, y]], threshold, slack)
+        return pd.DataFrame({"u": u, "v": v, "sure": sure})
+
+    def exactly(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The pairs that link by their cosine in doubles."""
+        for batch in batches:
+            data = [batch.column(i).to_pylist() for i in (2, 3)]
+            sizes = np.array([len(d) for d in data[0]])
+            for size in np.unique(sizes).tolist():
+                at = np.flatnonzero(sizes == size)
+                one, other = (unit_rows([d[i] for i in at.tolist()]) for d in data)
+                yield batch.select([0, 1]).take(pa.array(at[np.einsum("ij,ij->i", one, other) >= threshold]))
 
     # Blocks that fit a window are never cut: their rows are equal in all columns of the range.
     is_large = F.col("size").isNotNull()
-    ordered = (spread.withColumn("cut_key", F.when(is_large, F.col("key"))).withColumn("cut_node", F.when(is_large, F.col("node")))
+    ordered = (placed.join(codes, "node")
+               .withColumn("cut_key", F.when(is_large, F.col("key"))).withColumn("cut_node", F.when(is_large, F.col("node")))
                .repartitionByRange(*block, "cut_key", "cut_node").sortWithinPartitions("pass", "dim", "key", "node"))
-    near = ordered.select("pass", "dim", "key", "node", "data").mapInArrow(windows, "u long, v long")
-    tiled = spread.where(is_large).withColumn("tiles", F.ceil(F.col("size") / F.lit(tile)).cast("int"))
-    tiled = in_tiles(tiled, block, ["node", "data"])
-    crowded = tiled.groupBy(*block, "low", "high").applyInPandas(meet, "u long, v long")
-    edges = near.unionByName(crowded)
+    near = ordered.select("pass", "dim", "key", "node", "code").mapInArrow(windows, "u long, v long, sure boolean")
+    tiled = placed.where(is_large).withColumn("tiles", F.ceil(F.col("size") / F.lit(tile)).cast("int"))
+    tiled = in_tiles(tiled, block, ["node"]).join(codes, "node")
+    crowded = tiled.groupBy(*block, "low", "high").applyInPandas(meet, "u long, v long, sure boolean")
+    found = materialise(near.unionByName(crowded), "vectors-found")
+    ends = packed.select("node", "data")
+    still = (found.where("not sure").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+             .join(ends.toDF("u", "a"), "u").join(ends.toDF("v", "b"), "v"))
+    edges = found.where("sure").select("u", "v").unionByName(
+        still.select("u", "v", "a", "b").mapInArrow(exactly, "u long, v long"))
     roots = materialise(connected_components(edges, "vectors-cc"), "vectors-roots")
 
     # All direct links inside each class, tile against tile.
-    member = materialise(roots.join(packed, "node"), "vectors-members")
+    member = materialise(roots.join(packed.drop("code"), "node"), "vectors-members")
     sizes = materialise(member.groupBy("root").agg(F.ceil(F.count("*") / F.lit(tile)).cast("int").alias("tiles"),
                                                    F.min("first_id").alias("component_id")), "vectors-classes")
     placed = in_tiles(member.join(sizes, "root"), ["root"], ["node", "copies", "data"])
