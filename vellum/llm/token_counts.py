@@ -7,12 +7,15 @@ count as one token each, as the library does by default.
 
 Two passes over the texts: the first sums every pre-token's occurrences (counted in the task, then by
 ``groupBy``) and counts the pieces of each distinct one; the second gives each document its frequencies.
-The ``hot_limit`` most frequent pre-tokens, a bounded table, are broadcast and summed in the task; all
-others go through a shuffle join, which therefore has no hot key and moves only the rare tail.
+The ``hot_limit`` most frequent pre-tokens are broadcast and summed in the task; all others go through a
+shuffle join, which therefore has no hot key and moves only the rare tail. A pre-token can be as long as a
+text, so those of more than ``WIDE`` characters go by a hash of fixed width in both ways: the broadcast
+table has at most ``hot_limit`` keys of at most 4 x ``WIDE`` bytes, whatever the texts are.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 from collections import Counter
@@ -31,6 +34,8 @@ PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 # texts with other characters are split by the library itself.
 SETTLED = re.compile("[^\x00-՗ -⁯₠-₿℀-↋ぁ-ゖ゠-ヿ一-鿯가-힣！-ﾾ]")
 
+WIDE = 65  # characters of a key; longer pre-tokens are known by a NUL and their sha256
+HELD = 1 << 27  # characters of text whose pre-tokens a task holds at most before it passes them on
 _SPLITTERS: dict[str, PreTokens] = {}
 
 
@@ -69,6 +74,12 @@ class PreTokens:
         return [len(e) for e in self.tokenizer.encode_batch(tokens, add_special_tokens=False)]
 
 
+def key_of(token: str) -> str:
+    """The token, or the hash of a long one. No pre-token is equal to a hash: the split parts a NUL from
+    letters and digits behind it."""
+    return token if len(token) <= WIDE else "\0" + hashlib.sha256(token.encode()).hexdigest()
+
+
 def splitter(path: str) -> PreTokens:
     if path not in _SPLITTERS:
         import os
@@ -79,11 +90,11 @@ def splitter(path: str) -> PreTokens:
 
 
 def piece_table(texts: DataFrame, path: str, flush: int = 400_000) -> DataFrame:
-    """``texts(text)`` -> ``(token, n, pieces)``: every distinct pre-token, its occurrences over all
-    texts, and its number of pieces."""
+    """``texts(text)`` -> ``(token, n, pieces)``: every distinct pre-token by its key (``key_of``), its
+    occurrences over all texts, and its number of pieces."""
 
     def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, seen = splitter(path), Counter()
+        split, seen, held = splitter(path), Counter(), 0
 
         def out() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(seen.values(), pa.int64())],
@@ -93,9 +104,10 @@ def piece_table(texts: DataFrame, path: str, flush: int = 400_000) -> DataFrame:
             for part in slices(batch, "text"):
                 for text in part.column(0).to_pylist():
                     seen.update(split.parts(text)[0])
-                if len(seen) > flush:
+                    held += len(text)
+                if len(seen) > flush or held > HELD:
                     yield out()
-                    seen = Counter()
+                    seen, held = Counter(), 0
         if seen:
             yield out()
 
@@ -103,8 +115,10 @@ def piece_table(texts: DataFrame, path: str, flush: int = 400_000) -> DataFrame:
         split = splitter(path)
         for batch in batches:
             for part in slices(batch, "token", 1 << 20):
-                pieces = split.pieces(part.column(0).to_pylist())
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(pieces, pa.int64())], ["token", "n", "pieces"])
+                tokens = part.column(0).to_pylist()
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(map(key_of, tokens), pa.string()), part.column(1), pa.array(split.pieces(tokens), pa.int64())],
+                    ["token", "n", "pieces"])
 
     summed = texts.mapInArrow(occurrences, "token string, n long").groupBy("token").agg(F.sum("n").alias("n"))
     return materialise(summed.mapInArrow(count, "token string, n long, pieces long"), "token-pieces")
@@ -134,8 +148,10 @@ def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
                     for token, n in Counter(found).items():
                         if (p := pieces.get(token)) is not None:
                             total += n * p
+                        elif (key := key_of(token)) is not token and (p := pieces.get(key)) is not None:
+                            total += n * p
                         else:
-                            tokens.append(token)
+                            tokens.append(key)
                             counts.append(n)
                     known.append(total)
                     ends.append(len(tokens))
