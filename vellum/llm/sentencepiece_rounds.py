@@ -26,7 +26,8 @@ from vellum.llm.shared import prepare, slices
 
 MARK = "▁"
 LONG = 4096
-KNOWN_LIMIT = 800_000  # words a worker remembers
+KNOWN_LIMIT = 800_000  # words a worker remembers,
+KNOWN_CHARS = 1 << 25  # and their characters; a slice of texts comes on top, and goes with the next one
 NONE = np.int64(1 << 40)
 _MODELS: dict[str, PieceModel] = {}
 
@@ -88,6 +89,7 @@ class PieceModel:
         self.flat = np.frombuffer(b"".join(surface), np.uint8)
         self.line_end = next((p for p in self.joined if "\n" in p), None)
         self.known: dict[str, bytes] = {}
+        self.chars = 0  # of the words in ``known``
 
     def of(self, text: str) -> int | None:
         """Symbol of a piece or a single character."""
@@ -153,6 +155,7 @@ class PieceModel:
                 done[w] = b"".join([done[s] if s in done else known[s] for s in segs])
         known.update((w, done[w]) for w in words)
         known.update((s, v) for s, v in done.items() if len(s) == 1)
+        self.chars += sum(map(len, words))
 
     def lookup(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank and merged id of each pair (rank NONE: no piece)."""
@@ -278,8 +281,8 @@ class PieceModel:
     def encode_all(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text."""
         cut = [self.words(t) for t in texts]
-        if len(self.known) > KNOWN_LIMIT:
-            self.known = {}
+        if len(self.known) > KNOWN_LIMIT or self.chars > KNOWN_CHARS:
+            self.known, self.chars = {}, 0
         fresh = set().union(*cut).difference(self.known)
         if fresh:
             self.learn(list(fresh))
