@@ -185,6 +185,45 @@ def test_sentencepiece_random_and_long():
         assert m.decode(ids) == sp.decode(ids)
 
 
+def test_remembered_words_are_bounded_by_size(monkeypatch):
+    """Words as long as a paragraph are forgotten by their characters, and the ids stay the same."""
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(sentencepiece_rounds, "KNOWN_CHARS", 5000)
+    monkeypatch.setattr(token_files, "KNOWN_CHARS", 5000)
+    texts = [[f"plain words {k} " * 3, chr(97 + k % 26) * 1500 + str(k), "plain words"] for k in range(40)]
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    sp, m = sentencepiece.SentencePieceProcessor(model_file=path), sentencepiece_rounds.PieceModel(path)
+    for part in texts:
+        assert [x.tolist() for x in m.encode_all(part)] == sp.encode(part)
+        assert sum(map(len, m.known)) <= 5000 + 2 * sum(map(len, part))
+    path = public_tokenizers.path("word_bpe_49k.json")
+    t, e = Tokenizer.from_file(path), token_files.WordEncoder(path)
+    for part in texts:
+        ids, sizes = e.encode(part)
+        assert ids.tolist() == [i for x in t.encode_batch(part, add_special_tokens=False) for i in x.ids]
+        assert max(sum(map(len, e.known)), sum(map(len, e.older))) <= 5000 + 2 * sum(map(len, part))
+
+
+def test_long_pre_tokens_go_by_hash(spark, monkeypatch):
+    """Pre-tokens beyond the key's width, hot and rare, alike at their beginning; a NUL and hash-like letters; and
+    a task that passes its counts on after every text."""
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(token_counts, "HELD", 10)
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    t = Tokenizer.from_file(path)
+    long = ["a" * 64, "a" * 65, "a" * 66, "a" * 200 + "b", "a" * 200 + "c", "=" * 300, "9" * 100, "é" * 70]
+    texts = [" ".join(long[k % 8:]) for k in range(24)] + ["\0" + hashlib.sha256(b"a" * 66).hexdigest(), "\0" * 80]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    want = {i: len(t.encode(x, add_special_tokens=False).ids) for i, x in enumerate(texts)}
+    for hot in (0, 4, 1000):
+        assert {r.doc_id: r.n_tokens for r in token_counts.token_counts(rows, path, hot_limit=hot).collect()} == want
+    keys = [r.token for r in token_counts.piece_table(rows.select("text"), path).collect()]
+    assert max(map(len, keys)) <= token_counts.WIDE and len(set(keys)) == len(keys)
+
+
 def test_token_files(docs, empty):
     from tokenizers import Tokenizer
 

@@ -33,10 +33,13 @@ from pyspark.sql import functions as F
 
 from vellum.llm.shared import materialise, prepare, slices
 from vellum.session import shared_path
+from vellum.sources.markdown import store_of
 
 MAGIC = b"DACTOK01"
 BLOCK = 512
-KNOWN_LIMIT = 400_000  # words a worker remembers in each of two generations
+# What a worker remembers in each of two generations: words, and their characters (a slice of texts comes on
+# top of these, and goes with the next generation).
+KNOWN_LIMIT, KNOWN_CHARS = 400_000, 1 << 24
 # A stop or comma behind another sign, or behind the one letter whose lower case ends in a mark.
 SIGN_BEFORE = re.compile(r"[.,](?<=[^\w\s].|[_İ].) ")
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -188,6 +191,7 @@ class WordEncoder:
             self.word_end[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.chars = 0  # of the words in ``known``
 
     @staticmethod
     def drops_blanks(spec: dict) -> bool:
@@ -272,14 +276,16 @@ class WordEncoder:
         cut = pc.split_pattern(pa.array([self.fold(t) for t in texts], pa.string()), " ")
         coded = cut.flatten().dictionary_encode()
         words = coded.dictionary.to_pylist()
-        if len(self.known) > KNOWN_LIMIT:
-            self.known, self.older = {}, self.known
+        if len(self.known) > KNOWN_LIMIT or self.chars > KNOWN_CHARS:
+            self.known, self.older, self.chars = {}, self.known, 0
         if fresh := set(words).difference(self.known):
             if self.older:
                 again = fresh.intersection(self.older)
                 self.known.update(zip(again, map(self.older.__getitem__, again)))
+                self.chars += sum(map(len, again))
                 fresh -= again
             self.learn(fresh)
+            self.chars += sum(map(len, fresh))
         ids = list(map(self.known.__getitem__, words))
         size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         start = np.cumsum(size) - size
@@ -304,9 +310,7 @@ def encoder(path: str) -> WordEncoder:
 
 def put(folder: str, name: str, data: bytes) -> None:
     """Write a file of the shared folder so that it appears whole under its name."""
-    from pyarrow import fs
-
-    store, base = fs.FileSystem.from_uri(folder) if re.match(r"\w+:", folder) else (fs.LocalFileSystem(), folder)
+    store, base = store_of(folder)
     store.create_dir(base, recursive=True)
     part = f"{base}/_{name}.{TaskContext.get().taskAttemptId()}"
     with store.open_output_stream(part) as out:
