@@ -4,9 +4,10 @@ A text is lower-cased, its UTF-8 bytes get a blank at both ends, and every run o
 hashed to one of 2^18 features, counted as present or absent. Over all labelled training rows Spark
 counts the documents of each class that hold a feature; the log ratio of the two (smoothed) shares is
 the feature's scale. The ``n_features`` features that part the classes best (by the likelihood gain of
-their counts) form the model; logistic weights on the scaled features are fitted by gradient steps on
-a sample of at most about ``sample_limit`` training rows, taken by a hash of the id. Every whole text is
-then scored in one pass over the documents.
+their counts) form the model; logistic weights on the scaled features are fitted by gradient steps on a
+sample, taken by a hash of the id from each class alone, at most about half of ``sample_limit`` rows of
+it, so that a rare class is in it as far as it can be; weights give the classes their true shares
+again. Every whole text is then scored in one pass over the documents.
 
 Labels are learnt only from rows whose crc32 of the id (as text) is not divisible by 5; label, language,
 source and id are no inputs of a score.
@@ -28,6 +29,7 @@ from vellum.llm.shared import free_names, materialise, prepare, slices
 BITS = 18
 GRAMS = (3, 4, 5)
 FIELD = "__toxic_score"
+PLACES = 1 << 20  # features of texts that a gradient step works on at a time
 
 
 def features(text: str | None) -> np.ndarray:
@@ -80,9 +82,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     toxic rows alone."""
     prepare(docs.sparkSession)
     rows = training_rows(docs, labels, id_col, text_col)
-    n_labels = labels.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0).count()
-    share = min(1.0, sample_limit / max(1, n_labels))
-    sampled = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20))
+    is_toxic = (F.col("toxic") != 0).cast("int")
+    per_class = dict(map(tuple, rows.groupBy(is_toxic).count().collect()))  # two rows
+    below = [int(min(1.0, sample_limit / 2 / per_class.get(c, 1)) * (1 << 40)) for c in (0, 1)]
+    sampled = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < F.when(is_toxic == 1, F.lit(below[1])).otherwise(F.lit(below[0]))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Documents by feature and class, summed in the task; the sampled texts pass on."""
@@ -146,7 +149,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         if not y:
             return
         y, flat, sizes = np.concatenate(y).astype(float), np.concatenate(flat), np.concatenate(sizes)
-        row = np.repeat(np.arange(len(y)), sizes)
+        ends = np.cumsum(sizes)
+        cuts = [0, *(np.flatnonzero(np.diff(ends // PLACES)) + 1).tolist(), len(y)]
+        parts = [(slice(a, b), flat[ends[a] - sizes[a]:ends[b - 1]], np.repeat(np.arange(b - a, dtype=np.int32), sizes[a:b]))
+                 for a, b in zip(cuts, cuts[1:])]
         pos = max(1.0, y.sum())
         weight = np.where(y > 0, n1 / pos, n0 / max(1.0, len(y) - pos))
         weight /= weight.sum()
@@ -154,9 +160,13 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         theta = np.append(np.zeros(len(scale)), math.log(n1 / n0))
         m, v = np.zeros_like(theta), np.zeros_like(theta)
         for t in range(1, steps + 1):
-            z = np.bincount(row, (theta[:-1] * scale)[flat], len(y)) + theta[-1]
-            slope = (1 / (1 + np.exp(-np.clip(z, -500, 500))) - y) * weight
-            g = np.append(np.bincount(flat, slope[row], len(scale)) * scale + penalty * theta[:-1], slope.sum())
+            own, g, total = theta[:-1] * scale, np.zeros(len(scale)), 0.0
+            for rows, places, row in parts:
+                z = np.bincount(row, own[places], rows.stop - rows.start) + theta[-1]
+                slope = (1 / (1 + np.exp(-np.clip(z, -500, 500))) - y[rows]) * weight[rows]
+                g += np.bincount(places, slope[row], len(scale))
+                total += slope.sum()
+            g = np.append(g * scale + penalty * theta[:-1], total)
             m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
             theta -= 0.03 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
         yield pa.RecordBatch.from_arrays([pa.array([(theta[:-1] * scale).tolist()]), pa.array([theta[-1]])], ["w", "b"])
