@@ -32,6 +32,7 @@ from vellum.operators.embed import materialize
 
 PART_ROWS = 8192
 PART_QUERIES = 1024
+BATCH_VALUES = 1 << 20  # numbers that are held at once while rows are dealt to cells
 MAX_CELLS = 4096  # centres are sent to every task: at most so many, so their bytes are bounded by the dimension
 
 
@@ -49,29 +50,40 @@ def _apart(q: np.ndarray, centres: np.ndarray, metric: str) -> np.ndarray:
     return (q * q).sum(axis=1)[:, None] + (centres * centres).sum(axis=1)[None, :] - 2.0 * (q @ centres.T)
 
 
-def _by_cell(df: DataFrame, id_name: str, centres: np.ndarray, metric: str, nprobe: int) -> DataFrame:
-    """Rows ``(id, embedding)`` with their ``nprobe`` nearest cells, nearest first: one row a cell, ``(id,
-    embedding, cell, place)``. The cell of a row is the nearest by distance, also for ip."""
-    dim = centres.shape[1]
-    id_type = df.schema["id"].dataType.simpleString()
+def _dealt(id_name: str, centres: np.ndarray, metric: str, nprobe: int, vectors: bool):
+    """Batches ``(id, embedding)`` -> batches of the rows with their cells. Rows are dealt out a few at a time, so
+    that what is held for them stays within ``BATCH_VALUES`` numbers."""
+    dim, nprobe = centres.shape[1], min(nprobe, len(centres))
+    step = max(1, BATCH_VALUES // max(len(centres), dim, nprobe * (dim if vectors else 1)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, max(1, (1 << 22) // len(centres))):
-                some = batch.slice(at, max(1, (1 << 22) // len(centres)))
+            for at in range(0, batch.num_rows, step):
+                some = batch.slice(at, step)
                 mat, _ = kn._list_to_matrix(some.column(1), dim)
                 mat = _unit(mat, metric)
                 far = _apart(mat, centres, metric if nprobe > 1 or id_name == "query_id" else "l2")
                 cells = np.argsort(far, axis=1, kind="stable")[:, :nprobe]
-                rows = np.repeat(np.arange(len(mat)), cells.shape[1])
-                flat = pa.array(mat[rows].ravel())
-                yield pa.RecordBatch.from_arrays(
-                    [some.column(0).take(pa.array(rows)),
-                     pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * dim, pa.int32()), flat),
-                     pa.array(cells.ravel().astype(np.int32)), pa.array(np.tile(np.arange(cells.shape[1]), len(mat)).astype(np.int32))],
-                    [id_name, "embedding", "cell", "place"])
+                rows = np.repeat(np.arange(len(mat)), nprobe)
+                columns = {id_name: some.column(0).take(pa.array(rows))}
+                if vectors:
+                    columns["embedding"] = pa.ListArray.from_arrays(
+                        pa.array(np.arange(len(rows) + 1) * dim, pa.int32()), pa.array(mat[rows].ravel()))
+                columns["cell"] = pa.array(cells.ravel().astype(np.int32))
+                columns["place"] = pa.array(np.tile(np.arange(nprobe), len(mat)).astype(np.int32))
+                yield pa.RecordBatch.from_pydict(columns)
+
+    return run
 
-    return df.select("id", "embedding").mapInArrow(run, f"{id_name} {id_type}, embedding array<double>, cell int, place int")
+
+def _by_cell(df: DataFrame, id_name: str, centres: np.ndarray, metric: str, nprobe: int, vectors: bool = True) -> DataFrame:
+    """Rows ``(id, embedding)`` with their ``nprobe`` nearest cells, nearest first: one row a cell, ``(id,
+    embedding, cell, place)``, without the embedding unless ``vectors``. The cell of a row is the nearest by
+    distance, also for ip."""
+    id_type = df.schema["id"].dataType.simpleString()
+    return df.select("id", "embedding").mapInArrow(
+        _dealt(id_name, centres, metric, nprobe, vectors),
+        f"{id_name} {id_type}, {'embedding array<double>, ' if vectors else ''}cell int, place int")
 
 
 @dataclass(frozen=True)
@@ -118,10 +130,10 @@ class CellIndex:
     def rows(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/rows")
 
-    def _queries(self, queries: DataFrame, nprobe: int) -> DataFrame:
+    def _queries(self, queries: DataFrame, nprobe: int, vectors: bool = True) -> DataFrame:
         usable = queries.select(F.col("query_id").alias("id"), F.col("embedding").cast("array<double>").alias("embedding")).where(
             vx.is_valid_vector("embedding", self.dim) & F.col("id").isNotNull())
-        return _by_cell(usable, "query_id", self.centres, self.metric, min(nprobe, len(self.centres)))
+        return _by_cell(usable, "query_id", self.centres, self.metric, min(nprobe, len(self.centres)), vectors)
 
     def search(self, queries: DataFrame, k: int, nprobe: int) -> DataFrame:
         """``queries(query_id, embedding)`` -> ``(query_id, rank, id, distance)`` among the rows of each
@@ -147,12 +159,11 @@ class CellIndex:
             out = pa.schema([("query_id", types[0]), ("id", types[1]), ("distance", pa.float64())])
             if not asks.num_rows or not rows.num_rows:
                 return out.empty_table()
-            asks, rows = asks.combine_chunks(), rows.combine_chunks()
+            asks = asks.combine_chunks()
             mat, _ = kn._list_to_matrix(asks.column("embedding"), dim)
-            ids = asks.column("query_id").combine_chunks()
-            ids = np.asarray(ids.to_pylist(), object) if pa.types.is_string(ids.type) else ids.to_numpy(zero_copy_only=False)
-            block = kn._Block(ids=ids, mat=mat, bound=np.full(len(mat), np.inf))
-            found = list(kn._kernel(block, metric, k, dim, "id", "embedding", *types)(iter(rows.to_batches())))
+            block = kn._Block(ids=asks.column("query_id").combine_chunks(), mat=mat, bound=np.full(len(mat), np.inf))
+            held = kn.corpus_rows(rows.select(["id", "embedding"]).combine_chunks().to_batches(), dim, metric, k)
+            found = list(kn.nearest(block, held, metric, k, *types))
             return pa.Table.from_batches(found).cast(out) if found else out.empty_table()
 
         pairs = left.groupBy("cell", "part", "block").cogroup(right.groupBy("cell", "part", "block")).applyInArrow(
@@ -170,7 +181,7 @@ class CellIndex:
         draw = F.pmod(F.xxhash64(F.lit(seed), "query_id"), F.lit(1 << 30)) < F.lit(min(1.0, sample_limit / max(1, n)) * (1 << 30))
         sample = materialize(queries.where(draw))
         true = self.exact(sample, k).select("query_id", "id").join(self.rows().select("id", "cell"), "id")
-        needed = true.join(self._queries(sample, len(self.centres)).select("query_id", "cell", "place"), ["query_id", "cell"])
+        needed = true.join(self._queries(sample, len(self.centres), vectors=False), ["query_id", "cell"])
         counts = needed.groupBy("place").agg(F.count("*").alias("n")).orderBy("place").collect()  # at most a row a cell
         total, seen = sum(r.n for r in counts), 0
         for r in counts:
