@@ -100,3 +100,58 @@ def test_index_of_no_rows(spark, scratch):
     index = ann.CellIndex.build(none, f"{scratch}/none", 4, "l2")
     queries = spark.createDataFrame([(1, [1.0] * 4)], "query_id long, embedding array<double>")
     assert index.search(queries, 3, 2).count() == 0 and index.exact(queries, 3).count() == 0
+
+
+@pytest.mark.parametrize("metric", ["cosine", "l2", "ip"])
+def test_screening_loses_no_neighbour_and_measures_few_pairs(metric, monkeypatch):
+    """Single precision only sorts pairs out: rows of very different lengths, far from the origin or 1e-7 apart
+    are ranked as in double precision, and few pairs of all are measured in it."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(8)
+    plain = rng.normal(size=(3000, 16))
+    odd = [plain * 10.0**rng.uniform(-3, 3, size=(3000, 1)), plain + 1e3, np.repeat(plain[:1000], 3, axis=0) + 1e-7 * plain,
+           np.r_[plain, np.zeros((5, 16))]]
+    measured = []
+    whole = kn._pair_distances
+    monkeypatch.setattr(kn, "_pair_distances", lambda q, x, i, j, m: measured.append(len(i)) or whole(q, x, i, j, m))
+    for x in [plain, *odd]:
+        vectors = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * 16, pa.int32()), pa.array(x.ravel()))
+        batch = pa.RecordBatch.from_arrays([pa.array(np.arange(len(x))), vectors], ["id", "embedding"])
+        rows = kn.corpus_rows([batch], 16, metric, 5)
+        q = rows.mat[:200]
+        d = kn.resolved(whole(q, rows.mat, *np.divmod(np.arange(200 * len(x)), len(x)), metric), metric).reshape(200, len(x))
+        true = np.argsort(d, axis=1, kind="stable")[:, :5]
+        for bound in (np.full(200, np.inf), np.sort(d, axis=1)[:, 4]):
+            measured.clear()
+            block = kn._Block(pa.array(np.arange(200)), q, bound)
+            got = pa.Table.from_batches(list(kn.nearest(block, rows, metric, 5, pa.int64(), pa.int64()))).to_pydict()
+            assert set(zip(got["query_id"], got["id"])) == {(i, int(j)) for i, row in enumerate(true) for j in row}
+            assert x is not plain or sum(measured) < 0.02 * d.size
+
+
+def test_equal_vectors_are_held_k_times():
+    import pyarrow as pa
+
+    x = np.r_[np.ones((50, 4)), np.eye(4)]
+    vectors = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * 4, pa.int32()), pa.array(x.ravel()))
+    ids = pa.array([f"d{i:02d}" for i in reversed(range(54))])
+    rows = kn.corpus_rows([pa.RecordBatch.from_arrays([ids, vectors], ["id", "embedding"])], 4, "l2", 3)
+    assert sorted(rows.ids.to_pylist()) == ["d00", "d01", "d02", "d03", "d04", "d05", "d06"]
+
+
+def test_rows_are_dealt_to_cells_in_small_batches(monkeypatch):
+    """However many cells a row goes to, a batch of copies holds at most ``BATCH_VALUES`` numbers."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(ann, "BATCH_VALUES", 1 << 10)
+    x, centres = np.random.default_rng(2).normal(size=(300, 8)), np.random.default_rng(3).normal(size=(40, 8))
+    vectors = pa.ListArray.from_arrays(pa.array(np.arange(301) * 8, pa.int32()), pa.array(x.ravel()))
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(300)), vectors], ["id", "embedding"])
+    true = np.argsort(((x[:, None] - centres[None])**2).sum(axis=2), axis=1)
+    for with_vectors, width in ((True, 8), (False, 1)):
+        dealt = list(ann._dealt("query_id", centres, "l2", 20, with_vectors)(iter([batch])))
+        assert max(b.num_rows for b in dealt) * width <= 1 << 10
+        got = pa.Table.from_batches(dealt)
+        assert got.column_names == ["query_id", *(["embedding"] if with_vectors else []), "cell", "place"]
+        assert got.column("cell").to_pylist() == true[:, :20].ravel().tolist()
