@@ -210,3 +210,18 @@ def test_import_counts(spark, scratch):
     more = import_documents(store, docs.limit(0), model).first()
     assert (more.n_documents, more.n_chunks, more.n_written) == (0, 0, 0) and store.read().count() == 3
     assert import_documents(store, docs, model).first().n_written == 0
+
+
+def test_hash_vectors_hash_a_token_once_a_batch(spark):
+    """Buckets of the Arrow step are those of the JVM expression, which the vectors no longer run for every token."""
+    from vellum.functions import hashing
+
+    words = ["the", "été", "straße", "日本", "x_1", "42"]
+    rows = spark.createDataFrame([(" ".join(words * 3),), ("",), (None,)], "t string")
+    jvm = spark.createDataFrame([(w,) for w in words], "w string").select("w", hashing.token_bucket(F.col("w"), 64).alias("b"))
+    assert {r.w: r.b for r in jvm.collect()} == {w: hashing.bucket_of(w, 64) for w in words}
+    vectors = rows.select("t", hashing.hash_embedding("t", 64).alias("v"))
+    assert "md5" not in vectors._jdf.queryExecution().optimizedPlan().toString().lower()
+    full, empty, null = [r.v for r in vectors.collect()]
+    assert {i for i, x in enumerate(full) if x} == {hashing.bucket_of(w, 64) for w in words}
+    assert not any(empty) and null is None
