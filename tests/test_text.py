@@ -103,3 +103,26 @@ def test_preview_and_basename(spark):
     assert _one(spark, lambda c: tx.preview(c, 100), "x" * 100) == "x" * 100
     assert _one(spark, lambda c: tx.excerpt(c, 3), "abcdef") == "abc..."
     assert _one(spark, tx.basename, "/a/b/c.md") == "c.md"
+
+
+def test_cleaning_by_its_rules(spark):
+    import re
+
+    import regex
+
+    texts = ["a  b..c", "a$ $b", "x  y\x1c\x85z", ".$.", "é~日本 \U0001f600 ok!?-,", "\\$1 $2", "#", "-- . . ..  ", "a\n\n#\nb\t"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", tx.preprocess_text("t").alias("r"))
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    for r in rows.collect():
+        kept = regex.sub(r"[^\p{L}\p{N}_\s\x1c-\x1f.,!?\-]", "", r.t)
+        assert r.r == re.sub(r"\.{2,}", ".", re.sub(r"\s+", " ", kept)).strip()
+    assert plan.count("x{2028}") <= 1, plan  # white space is told apart in the test for blanks alone
+
+
+def test_titles_by_their_rules(spark):
+    cases = {"  \n# One \nx": "One", "a # b\nc": "A B", "#\nx": "My Notes", "## two": "two", "#  \nx": "", " one two \n# no": "no",
+             "x#y z": "X#y Z", " \n": "My Notes", "#tag\nrest": "My Notes"}
+    rows = spark.createDataFrame([(t, "/a/my_notes.md") for t in cases], "t string, p string")
+    assert {r.t: r.title for r in rows.select("t", tx.doc_title("t", "p").alias("title")).collect()} == cases
+    null = spark.createDataFrame([(None, "/a/my_notes.md")], "t string, p string")
+    assert null.select(tx.doc_title("t", "p").alias("title")).first().title == "My Notes"
