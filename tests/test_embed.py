@@ -225,3 +225,46 @@ def test_hash_vectors_hash_a_token_once_a_batch(spark):
     full, empty, null = [r.v for r in vectors.collect()]
     assert {i for i, x in enumerate(full) if x} == {hashing.bucket_of(w, 64) for w in words}
     assert not any(empty) and null is None
+
+
+def test_tokens_go_to_python_as_one_string(spark):
+    from vellum.functions import hashing
+
+    texts = ["", " ", "a", "--a b_c--", "Été straße 日本\n\t42 x", "ΑΣ İx", "...!", " z\x1cq\x85", "é \U0001d54f", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = rows.select(hashing.tokens("t").alias("a"), hashing.joined_tokens(F.col("t")).alias("j"),
+                      hashing.hash_embedding("t", 64).alias("v")).collect()
+    for r in got:
+        if r.a is None:
+            assert r.j is None and r.v is None
+            continue
+        assert r.a == [w for w in r.j.split(" ") if w]
+        counts = np.bincount([hashing.bucket_of(w, 64) for w in r.a], minlength=64) if r.a else np.zeros(64)
+        assert np.allclose(r.v, counts / max(1e-300, np.sqrt((counts * counts).sum())))
+
+
+def test_rows_to_embed_are_computed_once(spark):
+    """The texts are looked up and the missing ones encoded from one run of what made them."""
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def made(t):
+        seen.add(1)
+        return t * 2
+
+    rows = spark.createDataFrame([("a",), ("b",), ("a",), (None,)], "t string").where("t is not null").select(
+        made("t").alias("text"))
+    out, new = em.cached_embed(rows, em.HashEncoder(8), spark.createDataFrame([], em.CACHE_SCHEMA))
+    assert out.count() == 3 and new.count() == 2
+    assert seen.value == 3
+
+
+def test_valid_vectors(spark):
+    from vellum.functions import vectors as vx
+
+    inf, nan = float("inf"), float("nan")
+    rows = [([1.0, 2.0], True), ([1.0], False), ([1.0, None], False), ([nan, 1.0], False), ([1.0, inf], False),
+            ([-inf, None], False), (None, False), ([], False)]
+    got = spark.createDataFrame([(i, v) for i, (v, _) in enumerate(rows)], "i int, v array<float>").select(
+        "i", vx.is_valid_vector("v", 2).alias("ok")).collect()
+    assert {r.i: r.ok for r in got} == {i: ok for i, (_, ok) in enumerate(rows)}
