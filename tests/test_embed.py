@@ -259,6 +259,19 @@ def test_rows_to_embed_are_computed_once(spark):
     assert seen.value == 3
 
 
+def test_import_writes_model_vectors_once(spark, scratch, monkeypatch):
+    from vellum.plans.ingest import import_documents
+    from vellum.sources.snapshot import CollectionStore
+
+    written, write = [], em.materialize
+    monkeypatch.setattr(em, "materialize", lambda df: written.append(df.columns) or write(df))
+    store = CollectionStore(spark, scratch, "notes", 16)
+    docs = spark.createDataFrame([("a.md", "x" * 900), ("b.md", "sour")], "source_file string, text string")
+    model = em.failing_encoder(em.python_hash_encoder(16), lambda t: "sour" in t)
+    assert import_documents(store, docs, model).first().n_written == 2
+    assert len([c for c in written if "embedding" in c]) == 1
+
+
 def test_valid_vectors(spark):
     from vellum.functions import vectors as vx
 
