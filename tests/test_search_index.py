@@ -155,3 +155,36 @@ def test_rows_are_dealt_to_cells_in_small_batches(monkeypatch):
         got = pa.Table.from_batches(dealt)
         assert got.column_names == ["query_id", *(["embedding"] if with_vectors else []), "cell", "place"]
         assert got.column("cell").to_pylist() == true[:, :20].ravel().tolist()
+
+
+def test_queries_are_packed_once_however_many_cells_they_probe(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(ann, "BATCH_VALUES", 1 << 10)
+    x, centres = np.random.default_rng(2).normal(size=(300, 8)), np.random.default_rng(3).normal(size=(40, 8))
+    vectors = pa.ListArray.from_arrays(pa.array(np.arange(301) * 8, pa.int32()), pa.array(x.ravel()))
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(300)), vectors, pa.array(np.full(300, np.inf))], ["id", "embedding", "bound"])
+    true = np.argsort(((x[:, None] - centres[None])**2).sum(axis=2), axis=1)
+    packed = list(ann._pack_probes(centres, "l2", 30, pa.int64())(iter([batch])))
+    assert [i for b in packed for i in b.column("ids")[0].as_py()] == list(range(300))
+    assert sum(len(b.column("mat")[0].as_py()) for b in packed) == 300 * 8 * 8
+    cells = np.concatenate([np.frombuffer(b.column("cells")[0].as_py(), np.uint16).reshape(-1, 30) for b in packed])
+    assert (cells == true[:, :30]).all() and max(len(b.column("ids")[0]) for b in packed) * 40 <= 1 << 10
+
+
+def test_search_shuffles_neither_rows_nor_queries(spark, scratch, monkeypatch):
+    """Vectors stay where they are stored or packed; what a search sends on is at most k rows a query of all that
+    a task holds, and equal distances in several cells go to the smaller ids."""
+    monkeypatch.setattr(ann, "HELD_BYTES", 40_000)
+    rng = np.random.default_rng(6)
+    x = np.r_[rng.normal(size=(3000, 16)), np.eye(16), np.eye(16)]
+    index = ann.CellIndex.build(frame(spark, x, "id"), f"{scratch}/still", 16, "l2", cells=30)
+    q = np.r_[np.zeros((1, 16)), x[:200]]
+    sent = []
+    whole = kn.final_topk
+    monkeypatch.setattr(kn, "final_topk", lambda c, k: sent.append(c) or whole(c, k))
+    found = index.search(frame(spark, q, "query_id"), 5, 30)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "CoGroup" not in plan and not [at for at in plan.splitlines() if "Exchange" in at and "query_id" not in at]
+    assert {(r.query_id, r.id) for r in found.collect()} == nearest(q, x, 5, "l2")
+    assert sent[-1].count() < 201 * 5 * 30 / 2
