@@ -274,3 +274,18 @@ def test_restore_refuses_another_dimension_or_metric(spark, coll, scratch):
     path = store.backup(f"{scratch}/wide_backup")
     with pytest.raises(ValueError, match="dimension"):
         CollectionStore(spark, scratch, "narrow", DIM // 2).restore(path)
+
+
+def test_add_shuffles_ids_alone(spark):
+    """Rows are not dealt by id unless their id is repeated; repeated and held ones are told apart by ids."""
+    held = spark.createDataFrame([("a", "old", [1.0, 0.0])], "id string, text string, embedding array<float>")
+    rows = [("a", "new", [1.0, 0.0]), ("b", "b", [0.0, 1.0]), ("c", "two", [1.0, 1.0]), ("c", "one", [2.0, 1.0]), ("c", None, [3.0, 1.0]),
+            ("d", "bad", [1.0]), ("a", "again", [1.0, 2.0]), ("d", "fine", [1.0, 3.0])]
+    new = spark.createDataFrame(rows, held.schema)
+    got = co.add_documents(held, new, 2)
+    assert sorted((r.id, r.text) for r in got.added.collect()) == [("b", "b"), ("c", "one"), ("d", "fine")]
+    assert got.collection.count() == 4 and [r.reason for r in got.rejected.collect()] == ["dimension_mismatch:1"]
+    for some, n in ((new.where("id != 'c'"), 2), (new.where("id = 'b'"), 1), (new.where("id = 'a'"), 0)):
+        added = co.add_documents(held, some, 2).added
+        plan = added._jdf.queryExecution().executedPlan().toString()
+        assert added.count() == n and "hashpartitioning" not in plan and "Window" not in plan

@@ -121,3 +121,22 @@ def test_stream_takes_every_file_once(spark, scratch, files_per_batch):
     assert sum(second["batches"]) == 1 and second["rejected"] == 0
     third = run_incremental_import(spark, root, store, ckpt, files_per_batch=files_per_batch)
     assert third["before"] == third["after"] == second["after"]
+
+
+def test_stream_works_in_bounded_batches_and_leaves_nothing_behind(spark, scratch, monkeypatch):
+    """Without a number of files from the caller a batch is bounded all the same, and what it wrote to work on is
+    gone when its rows are in the store."""
+    from vellum.sources.snapshot import CollectionStore
+    from vellum.streaming import incremental
+
+    monkeypatch.setattr(incremental, "FILES_PER_BATCH", 4)
+    base = scratch[len("file:"):] if scratch.startswith("file:") else scratch
+    root, ckpt = f"{base}/in", f"{base}/ckpt"
+    _corpus(root)
+    for i in range(6):
+        _write(root, f"more/{i}.md", b"text %d" % i)
+    store = CollectionStore(spark, f"{base}/coll", "notes", 32)
+    got = incremental.run_incremental_import(spark, root, store, ckpt)
+    assert len(got["batches"]) >= 4 and max(got["batches"]) <= 4 and sum(got["batches"]) == got["after"] == 14 and got["rejected"] == 1
+    assert sorted(os.listdir(ckpt)) == ["files", "rejects", "stream"]
+    assert store.read().select("id").distinct().count() == 14

@@ -9,6 +9,10 @@ its name, size or age. Each micro-batch goes through the same import plan as a b
 appended with ``add_documents`` semantics: chunk ids are content ids and rows whose id already exists are
 skipped, so a micro-batch replayed after a failure (at-least-once ``foreachBatch``) does not duplicate
 anything; a run that ended before its stream did leaves its files in the log for the next one.
+
+A micro-batch takes ``FILES_PER_BATCH`` files at most. What they held and the rows made of it are written
+once each, compressed, and deleted when the batch is in the store, so what the import needs beside the
+store does not grow with the folder; only ids are shuffled.
 """
 
 from __future__ import annotations
@@ -24,25 +28,26 @@ from vellum.sources.markdown import decoded, list_files, read_files
 from vellum.sources.snapshot import CollectionStore
 
 LOG_SCHEMA = "path string, modification_time timestamp"
+FILES_PER_BATCH = 250_000
 
 
-def log_new_files(spark: SparkSession, root: str, log: str, files_per_batch: int | None = None) -> None:
+def log_new_files(spark: SparkSession, root: str, log: str, files_per_batch: int = FILES_PER_BATCH) -> None:
     """Append the markdown files below ``root`` that ``log`` does not have; nothing is written if there are
     none. A log file, the unit of a micro-batch, names ``files_per_batch`` files at most."""
     files = list_files(spark, root)
     if fs.exists(spark, log):
         files = files.join(spark.read.schema(LOG_SCHEMA).parquet(log).select("path"), "path", "left_anti")
     files = em.materialize(files.select("path", "modification_time"))
-    if not files.isEmpty():
-        files.coalesce(64).write.mode("append").option("maxRecordsPerFile", files_per_batch or 0).parquet(log)
+    n = files.count()
+    if n:
+        parts = min(64, -(-n // files_per_batch))
+        files.repartition(parts).write.mode("append").option("maxRecordsPerFile", files_per_batch).parquet(log)
 
 
-def file_stream(spark: SparkSession, log: str, one_by_one: bool = False) -> DataFrame:
-    """The rows of the log as a stream; ``one_by_one`` makes each log file a micro-batch."""
+def file_stream(spark: SparkSession, log: str) -> DataFrame:
+    """The rows of the log as a stream; each log file is a micro-batch."""
     reader = spark.readStream.schema(LOG_SCHEMA).option("maxFileAge", "36500d")
-    if one_by_one:
-        reader = reader.option("maxFilesPerTrigger", "1")
-    return reader.parquet(log)
+    return reader.option("maxFilesPerTrigger", "1").parquet(log)
 
 
 def run_incremental_import(spark: SparkSession, root: str, store: CollectionStore, checkpoint: str,
@@ -50,32 +55,37 @@ def run_incremental_import(spark: SparkSession, root: str, store: CollectionStor
                            files_per_batch: int | None = None) -> dict:
     """Import every file not yet seen; returns counts before/after, per-batch additions and the number of
     files that are not UTF-8 or were gone, whose ``(stage, key, reason)`` rows are kept below
-    ``<checkpoint>/rejects``. The log of files is ``<checkpoint>/files``."""
+    ``<checkpoint>/rejects``. The log of files is ``<checkpoint>/files``; ``files_per_batch`` defaults to
+    ``FILES_PER_BATCH``."""
     encoder = encoder or em.HashEncoder(store.dimension)
     before = store.read().count()
     added: list[int] = []
     rejected: list[int] = []
     log = f"{checkpoint}/files"
-    log_new_files(spark, root, log, files_per_batch)
+    log_new_files(spark, root, log, files_per_batch or FILES_PER_BATCH)
     if not fs.exists(spark, log):  # the folder has no markdown file yet
         return {"before": before, "after": before, "batches": [], "rejected": 0}
 
     def batch(files: DataFrame, epoch_id: int) -> None:
-        docs, bad = decoded(em.materialize(read_files(files, root)))
+        own = f"{checkpoint}/batch"  # one batch runs at a time; one that failed is written anew
+
+        def written(df: DataFrame, name: str) -> DataFrame:
+            df.write.mode("overwrite").option("compression", "zstd").parquet(f"{own}/{name}")
+            return df.sparkSession.read.schema(df.schema).parquet(f"{own}/{name}")
+
+        docs, bad = decoded(written(read_files(files, root), "read"))
         bad = em.materialize(bad.select("stage", "key", "reason"))
         rejected.append(bad.count())
         if rejected[-1]:  # one folder per batch: a replayed batch writes the same rows again
             bad.write.mode("overwrite").parquet(f"{checkpoint}/rejects/batch={epoch_id}")
         rows, _ = ingest_documents(docs, encoder, chunk_size, chunk_overlap)
+        rows = written(rows, "rows")
         current = store.read() if store.segments() else rows.limit(0)
-        res = add_documents(current, rows, store.dimension)
-        new_rows = em.materialize(res.added)
-        n = new_rows.count()
-        if n:
-            store.append(new_rows)
-        added.append(n)
-
-    q = (file_stream(spark, log, bool(files_per_batch)).writeStream.foreachBatch(batch)
+        new_rows = add_documents(current, rows, store.dimension).added
+        added.append(0 if new_rows.isEmpty() else store.segment(store.append(new_rows)).count())
+        fs.delete(spark, own)
+
+    q = (file_stream(spark, log).writeStream.foreachBatch(batch)
          .option("checkpointLocation", f"{checkpoint}/stream").trigger(availableNow=True).start())
     q.awaitTermination()
     return {"before": before, "after": store.read().count(), "batches": added, "rejected": sum(rejected)}
